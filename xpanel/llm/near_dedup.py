@@ -37,19 +37,22 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of k words of each lower-cased text, repeats included, and their text's index."""
+def shingles(texts: pa.Array, k: int = SHINGLE, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k words of each lower-cased text, repeats included, and their text's index.
+
+    short: a text of fewer words is one run.
+    """
     w = Words(pc.utf8_lower(texts.cast(pa.large_string())))
     h, n = w.hashes(), np.diff(w.at)
-    many = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    many = np.where(n >= k, n - k + 1, np.minimum(n, int(short)))
     doc = np.repeat(np.arange(len(n)), many)
     at = np.arange(len(doc)) - (np.cumsum(many) - many)[doc] + w.at[doc]
-    short = np.flatnonzero((n > 0) & (n < k))
+    few = np.flatnonzero((n > 0) & (n < k))
     out = np.zeros(len(doc), U)
     full = n[doc] >= k
     out[full] = grams(h, k)[at[full]]
-    if len(short):
-        out[~full] = runs(h, w.at[short], w.at[short + 1])
+    if short and len(few):
+        out[~full] = runs(h, w.at[few], w.at[few + 1])
     return out, doc
 
 
