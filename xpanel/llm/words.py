@@ -56,6 +56,23 @@ class _Powers:
 _bytes, _grams = _Powers(_BASE), _Powers(_GRAM)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each of the ascending spans start:end of the bytes."""
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        lo = start[i]
+        j = max(i + 1, int(np.searchsorted(end, lo + _BLOCK, "right")))
+        part = data[lo : end[j - 1]]
+        up, down = _bytes.upto(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] ^ (e - s).astype(U))
+        i = j
+    return out
+
+
 class Words:
     """The words of a group of texts: byte spans, hashes, and the range of words of each text."""
 
@@ -77,22 +94,10 @@ class Words:
         starts[edge] = inside[edge]  # a text's first byte and its neighbour's last belong to different words
         ends[edge - 1] = inside[edge - 1]
         self.data, self.start, self.end = data, np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        self.at = np.searchsorted(self.start, at)  # text i has words at[i]:at[i + 1]
+        self.byte_at, self.at = at, np.searchsorted(self.start, at)  # text i has words at[i]:at[i + 1]
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), U)
-        i = 0
-        while i < len(self.start):
-            lo = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, lo + _BLOCK, "right")))
-            part = self.data[lo : self.end[j - 1]]
-            up, down = _bytes.upto(len(part) + 1)
-            sums = np.zeros(len(part) + 1, U)
-            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] ^ (e - s).astype(U))
-            i = j
-        return out
+        return span_hashes(self.data, self.start, self.end)
 
     def texts(self, lo: int, hi: int) -> list[bytes]:
         return [self.data[a:b].tobytes() for a, b in zip(self.start[lo:hi], self.end[lo:hi], strict=True)]
