@@ -8,9 +8,11 @@ there: a later arrival can win nothing. Two documents agree in a register with t
 Jaccard similarity. Registers are cut into bands, and equal bands propose links.
 
 Candidates are verified by the exact Jaccard similarity of the sets of runs. Equal texts are one
-vertex, so copies are never compared. Each bucket proposes only links to its smallest member: first
-every vertex's most promising one, then those that still cross components, and last the pairs of a
-bucket that still lie in different components. A class is a component of the verified links.
+vertex, so copies are never compared. Elements that no other candidate text holds cannot be shared, so a
+text or pair with too many of them is left out without loss. Each bucket proposes only links to its
+most central member (the one in the largest buckets): first every vertex's most promising one, then those that
+still cross components, and last the pairs of a bucket that could still join different components. A
+class is a component of the verified links.
 
 Null texts count as empty; documents without words form classes with equal texts only. Rows with a null or
 repeated doc_id are kept and classed by text.
@@ -110,14 +112,37 @@ def _bands(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 for i in range(rows):
                     key = mix(key * U(0x100000001B3) + won[:, i::rows])
                 key = mix(key + np.arange(1, bands + 1, dtype=U))
-                some = np.flatnonzero(np.bincount(doc, minlength=part.num_rows))
+                size = np.bincount(doc, minlength=part.num_rows)
+                some = np.flatnonzero(size)
                 flat = signed(np.ascontiguousarray(key[some]).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(some)), lists], names=["k", "bands"])
+                yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(some)), pa.array(size[some]), lists], names=["k", "size", "bands"])
 
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct elements, with its id as two numbers."""
+    for batch in batches:
+        for part in groups(batch, "text"):
+            element, doc, _ = weighted(*shingles(part["text"]))
+            key = np.frombuffer(b"".join(part["k"].to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)[doc]
+            yield pa.RecordBatch.from_arrays([signed(element), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["element", "k1", "k2"])
+
+
+def _own(texts: DataFrame) -> DataFrame:
+    """k and own: how many of a text's elements occur in no other of the texts."""
+    rows = texts.mapInArrow(_elements, "element long, k1 long, k2 long")
+    single = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2")).filter("n = 1")
+    half = lambda c: F.lpad(F.hex(c), 16, "0")
+    return single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("own")).select(F.unhex(F.concat(half("k1"), half("k2"))).alias("k"), "own")
+
+
+def _may_link(least: float, most_a: str, size_a: str, most_b: str, size_b: str) -> Column:
+    """The intersection holds no own elements; a similarity of `least` asks for this much of it."""
+    return F.least(most_a, most_b) >= least / (1 + least) * (F.col(size_a) + F.col(size_b)) - 1e-6
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, mine = None, None
     for batch in batches:
@@ -148,25 +173,34 @@ def _crossing(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def links(docs: DataFrame, text: str = "text", least: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) between ids of different texts, enough to connect every class; and node, component."""
     keyed = docs.select(text_id(F.col(text)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed_ = keyed.mapInArrow(_bands(rows, bands), "k binary, bands array<long>").groupBy("k").agg(F.first("bands").alias("bands"))
-    buckets = signed_.select("k", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("k").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    full = stored(buckets.join(heads, "band").select("band", F.col("k").alias("a"), "b"), "buckets")
-    stars = stored(full.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "candidates")
-    some = full.select(F.col("a").alias("k")).distinct()
-    texts = stored(keyed.groupBy("k").agg(F.first("text").alias("text")).join(some, "k", "left_semi"), "texts")
+    made = keyed.mapInArrow(_bands(rows, bands), "k binary, size long, bands array<long>").groupBy("k").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    made = stored(made, "signatures")
+    buckets = made.select("k", "size", F.explode("bands").alias("band"))
+    hot = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    full = stored(buckets.join(hot.select("band"), "band"), "buckets")
+    texts = stored(keyed.groupBy("k").agg(F.first("text").alias("text")).join(full.select("k").distinct(), "k", "left_semi"), "texts")
+    most = stored(full.select("k", "size").distinct().join(_own(texts), "k", "left").select("k", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"), "size").filter(F.col("most") >= least * F.col("size") - 1e-6), "linkable")
+    members = full.select("k", "band").join(most, "k")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(members.join(sizes, "band"), "members")
+    central = members.groupBy("k").agg(F.sum("n").alias("central"))
+    heads = members.join(central, "k").groupBy("band").agg(F.max(F.struct("central", "k", "most", "size")).alias("h"))
+    head = heads.select("band", F.col("h.k").alias("b"), F.col("h.most").alias("most_b"), F.col("h.size").alias("size_b"))
+    full = stored(members.select("band", F.col("k").alias("a"), "most", "size").join(head, "band"), "headed")
+    stars = full.filter(F.col("a") != F.col("b")).filter(_may_link(least, "most", "size", "most_b", "size_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    stars = stored(stars, "candidates")
     best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
     found = stored(_verified(best, texts, least), "links")
     label = components(found)
     rest = _crossing(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
     found = stored(found.union(_verified(rest, texts, least)), "links")
     label = components(found)
-    labelled = full.join(label.select(F.col("node").alias("a"), "component"), "a", "left").select("band", "a", F.coalesce("component", "a").alias("c"), F.col("b").alias("head"))
+    labelled = full.join(label.select(F.col("node").alias("a"), "component"), "a", "left").select("band", "a", F.coalesce("component", "a").alias("c"), F.col("b").alias("head"), "most", "size")
     several = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stored(labelled.join(several, "band"), "open")
-    others = open_.filter("a <> head").select("band", F.col("a").alias("x"), F.col("c").alias("cx"))
-    pairs = open_.filter("a <> head").join(others, "band").filter("a < x and c <> cx").select("a", F.col("x").alias("b")).distinct()
-    found = stored(found.union(_verified(pairs, texts, least)), "links")
+    open_ = stored(labelled.join(several, "band").filter("a <> head"), "open")
+    others = open_.select("band", F.col("a").alias("x"), F.col("c").alias("cx"), F.col("most").alias("most_x"), F.col("size").alias("size_x"))
+    pairs = open_.join(others, (open_["band"] == others["band"]) & (F.col("a") < F.col("x")) & (F.col("c") != F.col("cx")) & _may_link(least, "most", "size", "most_x", "size_x"))
+    found = stored(found.union(_verified(pairs.select("a", F.col("x").alias("b")).distinct(), texts, least)), "links")
     return found, components(found)
 
 
