@@ -130,9 +130,8 @@ class Block:
         return self.best_fit(child, self.falling(np.flatnonzero(child < 0)))
 
     def evolve(self, elite: list[np.ndarray], population: int, generations: int) -> list[np.ndarray]:
-        """The two best solutions found."""
-        if not elite:
-            elite = [self.fresh(0.0)]
+        """The two best solutions found; elite holds groupings with any labels."""
+        elite = [np.unique(x, return_inverse=True)[1] for x in elite] or [self.fresh(0.0)]
         if self.worth(elite[0])[0] > self.bound:
             elite = elite + [self.fresh(0.05 * (i + 1)) for i in range(max(0, population - len(elite)))]
         elite = sorted(elite, key=self.worth)
@@ -147,7 +146,7 @@ class Block:
         return elite[:2]
 
 
-_STATE = "block long, island int, uid array<long>, size array<int>, elite array<array<int>>, bins int"
+_STATE = "block long, island int, uid array<long>, size array<int>, elite array<array<long>>, bins int"
 
 
 def _evolved(capacity: int, population: int, generations: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,7 +156,7 @@ def _evolved(capacity: int, population: int, generations: int, epoch: int) -> Ca
                 it = Block(np.array(row["size"], np.int64), capacity, hash((row["block"], row["island"], epoch)) & 0x7FFFFFFF)
                 best = it.evolve([np.array(x, np.int64) for x in row["elite"]], population, generations)
                 row |= {"elite": [x.tolist() for x in best], "bins": it.worth(best[0])[0]}
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("uid", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32())]))
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("uid", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int64()))), ("bins", pa.int32())]))
 
     return run
 
@@ -179,16 +178,15 @@ def pack(lengths: DataFrame, capacity: int = 2048, block: int = 4096, islands: i
     total = lengths.count()
     blocks = max(1, round(total / block))
     deal = lengths.select("uid", F.col("length").cast("int").alias("size"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
-    none = F.array().cast("array<array<int>>")
+    none = F.array().cast("array<array<long>>")
     start = deal.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("uid", "size"))).alias("x")).select("block", "x.uid", "x.size", none.alias("elite"))
     first = stored(_epochs(start, capacity, islands, epochs, population, generations), "packed")
     bins = first.groupBy("block", "bin").agg(F.sum("size").alias("full"))
     weak = stored(bins.filter(F.col("full") < well_filled * capacity), "weak")
     again = max(1, round(weak.count() * total / max(1, bins.count()) / block))
-    moved = first.join(weak, ["block", "bin"]).select("uid", "size", F.struct("block", "bin").alias("old"), F.pmod(F.xxhash64("block", "bin", F.lit(1)), F.lit(again)).alias("block"))
+    moved = first.join(weak, ["block", "bin"]).select("uid", "size", (F.col("block") * (1 << 21) + F.col("bin")).alias("old"), F.pmod(F.xxhash64("block", "bin", F.lit(1)), F.lit(again)).alias("block"))
     grouped = moved.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("old", "uid", "size"))).alias("x"))
-    old = F.array_distinct("x.old")
-    start = grouped.select("block", "x.uid", "x.size", F.array(F.transform("x.old", lambda o: (F.array_position(old, o) - 1).cast("int"))).alias("elite"))
+    start = grouped.select("block", "x.uid", "x.size", F.array("x.old").alias("elite"))
     second = _epochs(start, capacity, islands, 1, population, generations)
     done = first.join(weak, ["block", "bin"], "left_anti").select("uid", "size", (F.col("block") * (1 << 21) + F.col("bin")).alias("sequence_id"))
     both = done.union(second.select("uid", "size", (F.col("block") * (1 << 21) + (1 << 20) + F.col("bin")).alias("sequence_id")))
