@@ -10,9 +10,8 @@ Jaccard similarity. Registers are cut into bands, and equal bands propose links.
 Candidates are verified by the exact Jaccard similarity of the sets of runs. Equal texts are one
 vertex, so copies are never compared. Elements that no other candidate text holds cannot be shared, so a
 text or pair with too many of them is left out without loss. Each bucket proposes only links to its
-most central member (the one in the largest buckets): first every vertex's most promising one, then those that
-still cross components, and last the pairs of a bucket that could still join different components. A
-class is a component of the verified links.
+most central member (the one in the largest buckets). What then lies in buckets of several components is
+compared across them by exact prefix filtering. A class is a component of the verified links.
 
 Null texts count as empty; documents without words form classes with equal texts only. Rows with a null or
 repeated doc_id are kept and classed by text.
@@ -25,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -130,6 +129,14 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(element), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["element", "k1", "k2"])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in groups(batch, "text"):
+            element, doc, _ = weighted(*shingles(part["text"]))
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([signed(element), *(part[c].take(at) for c in ("id", "c", "size"))], names=["element", "id", "c", "size"])
+
+
 def _own(texts: DataFrame) -> DataFrame:
     """k and own: how many of a text's elements occur in no other of the texts."""
     rows = texts.mapInArrow(_elements, "element long, k1 long, k2 long")
@@ -144,16 +151,15 @@ def _may_link(least: float, most_a: str, size_a: str, most_b: str, size_b: str)
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, mine = None, None
     for batch in batches:
-        out = []
-        for head, a, b in zip(batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
-            if head != last:
-                last, mine = head, np.unique(shingles(pa.array([b.as_py()]))[0])
-            other = np.unique(shingles(pa.array([a.as_py()]))[0])
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            out.append(both / max(1, len(mine) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out)], names=["a", "b", "similarity"])
+        for part in groups(batch, "text_a", 1 << 20):
+            sides = [weighted(*shingles(part[c]))[:2] for c in ("text_a", "text_b")]
+            size = sum(np.bincount(d, minlength=part.num_rows) for _, d in sides)
+            h, pair = (np.concatenate(x) for x in zip(*sides, strict=True))
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows) if len(h) else size
+            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(both / np.maximum(size - both, 1))], names=["a", "b", "similarity"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -163,11 +169,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return found.filter(F.col("similarity") >= least)
 
 
-def _crossing(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    a = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _across(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of docs (k, size, c, id) in different c that can reach the similarity, by prefix filtering.
+
+    With the elements of every text in one order, rarest first, a pair that reaches it shares an element so early
+    in both texts that what follows suffices. Rare elements have short lists; a list's largest c is never paired with itself.
+    """
+    rows = texts.join(docs, "k").mapInArrow(_placed, "element long, id long, c long, size long")
+    df = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = rows.join(df, "element")
+    by_doc = Window.partitionBy("id")
+    place = F.col("size") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("n", "element"))
+    early = shared.withColumn("left", F.col("size") - place + 1).filter(F.col("left") >= least * F.col("size") - 1e-6)
+    early = stored(early.select("element", "id", "c", "size", "left"), "prefixes")
+    main = early.groupBy("element", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("element", F.col("m.c").alias("main"))
+    some = stored(early.join(main, "element"), "prefixes")
+    other = some.filter("c <> main").select("element", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
+    able = F.least("left", "left2") >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-6
+    met = some.join(other, (some["element"] == other["element"]) & (F.col("c") != F.col("c2")) & able).select("id", "id2").distinct()
+    name = docs.select("id", "k")
+    return met.join(name.select("id", F.col("k").alias("a")), "id").join(name.select(F.col("id").alias("id2"), F.col("k").alias("b")), "id2").select("a", "b")
 
 
 def links(docs: DataFrame, text: str = "text", least: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -187,20 +208,15 @@ def links(docs: DataFrame, text: str = "text", least: float = 0.8, rows: int = R
     heads = members.join(central, "k").groupBy("band").agg(F.max(F.struct("central", "k", "most", "size")).alias("h"))
     head = heads.select("band", F.col("h.k").alias("b"), F.col("h.most").alias("most_b"), F.col("h.size").alias("size_b"))
     full = stored(members.select("band", F.col("k").alias("a"), "most", "size").join(head, "band"), "headed")
-    stars = full.filter(F.col("a") != F.col("b")).filter(_may_link(least, "most", "size", "most_b", "size_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    stars = full.filter(F.col("a") != F.col("b")).filter(_may_link(least, "most", "size", "most_b", "size_b")).select("a", "b").distinct()
     stars = stored(stars, "candidates")
-    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
-    found = stored(_verified(best, texts, least), "links")
-    label = components(found)
-    rest = _crossing(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
-    found = stored(found.union(_verified(rest, texts, least)), "links")
+    found = stored(_verified(stars, texts, least), "links")
     label = components(found)
     labelled = full.join(label.select(F.col("node").alias("a"), "component"), "a", "left").select("band", "a", F.coalesce("component", "a").alias("c"), F.col("b").alias("head"), "most", "size")
     several = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stored(labelled.join(several, "band").filter("a <> head"), "open")
-    others = open_.select("band", F.col("a").alias("x"), F.col("c").alias("cx"), F.col("most").alias("most_x"), F.col("size").alias("size_x"))
-    pairs = open_.join(others, (open_["band"] == others["band"]) & (F.col("a") < F.col("x")) & (F.col("c") != F.col("cx")) & _may_link(least, "most", "size", "most_x", "size_x"))
-    found = stored(found.union(_verified(pairs.select("a", F.col("x").alias("b")).distinct(), texts, least)), "links")
+    open_ = labelled.join(several, "band").select(F.col("a").alias("k"), "size", F.xxhash64("c").alias("c")).distinct()
+    pairs = _across(stored(open_.withColumn("id", F.monotonically_increasing_id()), "open"), texts, least)
+    found = stored(found.union(_verified(pairs, texts, least)), "links")
     return found, components(found)
 
 
