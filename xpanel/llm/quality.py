@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_rows
     pattern, count = counts["pattern"].to_numpy().astype(np.int64), counts["n"].to_numpy()
     model = fit_label_model(_decode(pattern), count)
     share = min(1.0, most_rows / max(1, int(count.sum())))
-    sample = docs.filter((F.xxhash64("doc_id", "text") % F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else docs
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else docs
     sample = sample.select("text").limit(2 * most_rows)
     parts: list[tuple] = []
     base, target = 0, []
