@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, id_files, near_dedup, packing, quality, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"), window=35)
 
@@ -35,8 +39,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE_SQL}
+    import corpus_pipeline
+
+    made = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return made | {"op9_decontaminate": decontaminate.ORACLE_SQL}
