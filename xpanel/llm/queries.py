@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_files, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, id_files, language_id, near_dedup, packing, quality, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"), window=35)
 
@@ -41,7 +45,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op3_language_id, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
