@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_files, language_id, near_dedup, packing, quality, substring_dedup
+from . import chat_format, decontaminate, graph_search, id_files, language_id, near_dedup, packing, quality, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat_format.digest(_read(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"), window=35)
 
@@ -42,14 +47,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op3_language_id, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op3_language_id, op4_chat_format, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate, op10_graph_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     made = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return made | {"op9_decontaminate": decontaminate.ORACLE_SQL}
+    return made | {"op4_chat_format": chat_format.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
