@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, graph_search, id_files, language_id, near_dedup, packing, quality, substring_dedup
+from . import chat_format, decontaminate, graph_search, id_files, language_id, near_dedup, packing, quality, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_id_files, op3_language_id, op4_chat_format, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate, op10_graph_search)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_counts, op2_id_files, op3_language_id, op4_chat_format, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate, op10_graph_search)}
 
 
 def oracle_sql() -> dict[str, str]:
