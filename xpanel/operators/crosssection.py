@@ -6,28 +6,29 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ColumnOrName, average_rank, col, quantile_bucket, safe_div
 
-DAY = Window.partitionBy("trade_date")
+def by_date() -> WindowSpec:
+    return Window.partitionBy("trade_date")
 
 
 def winsorize(c: ColumnOrName, p: float) -> Column:
-    lo, hi = F.percentile(col(c), p).over(DAY), F.percentile(col(c), 1 - p).over(DAY)
+    lo, hi = F.percentile(col(c), p).over(by_date()), F.percentile(col(c), 1 - p).over(by_date())
     return F.when(col(c).isNotNull(), F.greatest(F.least(col(c), hi), lo))
 
 
 def zscore(c: ColumnOrName, fill: bool = True) -> Column:
     """Population z-score; with fill, nulls and dates without spread give 0."""
-    z = safe_div(col(c) - F.avg(col(c)).over(DAY), F.stddev_pop(col(c)).over(DAY))
+    z = safe_div(col(c) - F.avg(col(c)).over(by_date()), F.stddev_pop(col(c)).over(by_date()))
     return F.coalesce(z, F.lit(0.0)) if fill else z
 
 
 def rank_pct(c: ColumnOrName) -> Column:
     """Average rank over count, less one half."""
-    return average_rank(c, "trade_date") / F.count(col(c)).over(DAY) - 0.5
+    return average_rank(c, "trade_date") / F.count(col(c)).over(by_date()) - 0.5
 
 
 def keep_nulls(c: ColumnOrName, made: Column) -> Column:
@@ -35,7 +36,7 @@ def keep_nulls(c: ColumnOrName, made: Column) -> Column:
 
 
 def median_fill(c: ColumnOrName) -> Column:
-    return F.coalesce(col(c), F.percentile(col(c), 0.5).over(DAY))
+    return F.coalesce(col(c), F.percentile(col(c), 0.5).over(by_date()))
 
 
 def missing_flag(c: ColumnOrName) -> Column:
@@ -46,9 +47,9 @@ def neutralize_one(c: ColumnOrName, control: ColumnOrName, strength: float = 1.0
     """c less strength times its per-date regression on one control with intercept."""
     both = col(c).isNotNull() & col(control).isNotNull()
     y, x = F.when(both, col(c)), F.when(both, col(control))
-    slope = safe_div(F.covar_pop(y, x).over(DAY), F.var_pop(x).over(DAY))
-    fit = F.avg(y).over(DAY) + F.coalesce(slope, F.lit(0.0)) * (x - F.avg(x).over(DAY))
-    return F.when(both & (F.count(y).over(DAY) >= least), y - strength * fit).otherwise(col(c))
+    slope = safe_div(F.covar_pop(y, x).over(by_date()), F.var_pop(x).over(by_date()))
+    fit = F.avg(y).over(by_date()) + F.coalesce(slope, F.lit(0.0)) * (x - F.avg(x).over(by_date()))
+    return F.when(both & (F.count(y).over(by_date()) >= least), y - strength * fit).otherwise(col(c))
 
 
 def neutralize(df: DataFrame, c: str, controls: Sequence[str], strength: float = 1.0, least: int = 3, name: str = "neutral") -> DataFrame:
@@ -79,19 +80,19 @@ def bucket(c: ColumnOrName, q: int, tie: str = "symbol") -> Column:
     """Quantile bucket 0..q-1 within the date, ties by symbol; null for nulls and for dates of fewer than q values."""
     missing = col(c).isNull()
     place = F.row_number().over(Window.partitionBy("trade_date", missing).orderBy(col(c), tie))
-    return F.when(~missing, quantile_bucket(place, F.count(col(c)).over(DAY), q))
+    return F.when(~missing, quantile_bucket(place, F.count(col(c)).over(by_date()), q))
 
 
 def top_k(df: DataFrame, c: str, k: int, whole: bool = True) -> DataFrame:
     """The k largest of each date, ties by symbol; dates of fewer rows are left out if whole."""
-    placed = df.filter(F.col(c).isNotNull()).withColumn("place", F.row_number().over(DAY.orderBy(F.desc(c), "symbol"))).withColumn("_n", F.count(F.lit(1)).over(DAY))
+    placed = df.filter(F.col(c).isNotNull()).withColumn("place", F.row_number().over(by_date().orderBy(F.desc(c), "symbol"))).withColumn("_n", F.count(F.lit(1)).over(by_date()))
     return placed.filter((F.col("place") <= k) & ((F.col("_n") >= k) if whole else F.lit(True))).drop("_n")
 
 
 def permute(df: DataFrame, c: str, seed: int, name: str = "permuted") -> DataFrame:
     """c dealt anew within each date by a seeded hash of the symbols."""
-    a = df.withColumn("_i", F.row_number().over(DAY.orderBy("symbol")))
-    b = df.select("trade_date", F.col(c).alias(name), F.row_number().over(DAY.orderBy(F.xxhash64(F.lit(seed), "symbol"), "symbol")).alias("_i"))
+    a = df.withColumn("_i", F.row_number().over(by_date().orderBy("symbol")))
+    b = df.select("trade_date", F.col(c).alias(name), F.row_number().over(by_date().orderBy(F.xxhash64(F.lit(seed), "symbol"), "symbol")).alias("_i"))
     return a.join(b, ["trade_date", "_i"]).drop("_i")
 
 

@@ -50,7 +50,7 @@ def fit(df: DataFrame, kind: str, features: Sequence[str], label: str, weight: s
         raise ValueError(f"unknown model {kind!r}; known: {', '.join(REGISTRY)}")
     df = df.filter(F.col(label).isNotNull())
     if kind == "ranker":
-        df = df.withColumn(label, average_rank(label, "trade_date") / F.count(label).over(CS.DAY))
+        df = df.withColumn(label, average_rank(label, "trade_date") / F.count(label).over(CS.by_date()))
     made = REGISTRY[kind](df, label, **settings)
     made.setFeaturesCol("_x").setLabelCol(label).setPredictionCol("pred")
     if weight:

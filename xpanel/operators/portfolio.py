@@ -181,7 +181,7 @@ def buy_fills(orders: DataFrame, days: DataFrame, cash: float, most_days: int =
     met = met.withColumn("day", day).filter(F.col("day") <= most_days)
     per_day = met.groupBy("rebalance_date", "day", "trade_date").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("order_id", "capacity")))).alias("cap"))
     asked = orders.groupBy("rebalance_date").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("order_id", "requested")))).alias("left"))
-    book = per_day.groupBy("rebalance_date").agg(F.sort_array(F.collect_list(F.struct("day", "trade_date", "cap"))).alias("days")).join(asked, "rebalance_date")
+    book = per_day.groupBy("rebalance_date").agg(F.array_sort(F.collect_list(F.struct("day", "trade_date", "cap")), lambda a, b: a["day"] - b["day"]).alias("days")).join(asked, "rebalance_date")
     start = F.struct(F.lit(cash).alias("cash"), F.col("left").alias("left"), F.array().cast("array<struct<trade_date:date,filled:map<bigint,double>>>").alias("fills"))
 
     def step(s: Column, d: Column) -> Column:

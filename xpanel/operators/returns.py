@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, safe_div, sample_kurtosis, sample_skew
 
-RUN = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def so_far() -> WindowSpec:
+    return Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def compounded(r: str) -> Column:
@@ -17,8 +20,8 @@ def compounded(r: str) -> Column:
 
 def nav(series: DataFrame, r: str = "r") -> DataFrame:
     """series with nav, its running maximum (at least 1) and drawdown."""
-    made = series.filter(F.col(r).isNotNull()).withColumn("nav", F.product(1 + F.col(r)).over(RUN))
-    made = made.withColumn("peak", F.greatest(F.max("nav").over(RUN), F.lit(1.0)))
+    made = series.filter(F.col(r).isNotNull()).withColumn("nav", F.product(1 + F.col(r)).over(so_far()))
+    made = made.withColumn("peak", F.greatest(F.max("nav").over(so_far()), F.lit(1.0)))
     return made.withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
 
 
@@ -48,7 +51,7 @@ def drawdown_timing(series: DataFrame, r: str = "r") -> DataFrame:
 
 def episodes(series: DataFrame, r: str = "r", most: int = 10) -> DataFrame:
     """The deepest stretches below the running maximum: start, trough, last date below, depth, periods."""
-    n = nav(series, r).withColumn("id", F.sum((F.col("drawdown") >= 0).cast("int")).over(RUN)).filter("drawdown < 0")
+    n = nav(series, r).withColumn("id", F.sum((F.col("drawdown") >= 0).cast("int")).over(so_far())).filter("drawdown < 0")
     made = n.groupBy("id").agg(F.min("trade_date").alias("start"), F.min_by("trade_date", F.struct("drawdown", "trade_date")).alias("trough"), F.max("trade_date").alias("last"), F.min("drawdown").alias("depth"), F.count(F.lit(1)).alias("periods"))
     return made.drop("id").orderBy("depth", "start").limit(most)
 

@@ -86,8 +86,8 @@ _window_query("safe_ratio", lambda p: p.withColumn("v", X.safe_div("amount", F.c
 _window_query("null_aware_sum", lambda p: _holes(p).withColumn("v", X.null_sum("hole", F.when(F.col("vol") > 50, F.col("vol")))), "CASE WHEN hole IS NULL AND NOT vol > 50 THEN NULL ELSE coalesce(hole, 0) + coalesce(CASE WHEN vol > 50 THEN vol END, 0) END", weekly, _HOLES, "y")
 _window_query("combine_first", lambda p: _holes(p).withColumn("v", X.first_of("hole", "vol")), "coalesce(hole, vol)", weekly, _HOLES, "y")
 _MK = f"{PM}, r AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret FROM pm), m AS (SELECT *, avg(ret) OVER {_DAY} AS mkt FROM r), x AS (SELECT *, CASE WHEN ret IS NOT NULL THEN mkt END AS mx FROM m)"
-_window_query("rolling_beta", lambda p: TS.with_return(p).withColumn("mkt", F.avg("ret").over(CS.DAY)).withColumn("v", TS.rolling_beta("ret", "mkt", 24, 12)), f"CASE WHEN count(mx) OVER {_N(24)} >= 12 THEN covar_pop(ret, mx) OVER {_N(24)} / nullif(var_pop(mx) OVER {_N(24)}, 0) END", cte=_MK, table="x")
-_window_query("sample_weight_date", lambda p: p.withColumn("v", 1 / F.count(F.lit(1)).over(CS.DAY)), f"1.0 / count(*) OVER {_DAY}")
+_window_query("rolling_beta", lambda p: TS.with_return(p).withColumn("mkt", F.avg("ret").over(CS.by_date())).withColumn("v", TS.rolling_beta("ret", "mkt", 24, 12)), f"CASE WHEN count(mx) OVER {_N(24)} >= 12 THEN covar_pop(ret, mx) OVER {_N(24)} / nullif(var_pop(mx) OVER {_N(24)}, 0) END", cte=_MK, table="x")
+_window_query("sample_weight_date", lambda p: p.withColumn("v", 1 / F.count(F.lit(1)).over(CS.by_date())), f"1.0 / count(*) OVER {_DAY}")
 
 
 @query(None)
@@ -117,7 +117,7 @@ def neutralize_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PM} SELECT trade_date, symbol, n FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM pm) WHERE n >= 9")
 def min_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = CS.least_symbols(monthly(spark, sf_dir), 9)
-    return good.select("trade_date", "symbol", F.count(F.lit(1)).over(CS.DAY).alias("n"))
+    return good.select("trade_date", "symbol", F.count(F.lit(1)).over(CS.by_date()).alias("n"))
 
 
 @query(f"WITH {_HOLES} SELECT trade_date, symbol, hole FROM y WHERE hole IS NOT NULL AND vol IS NOT NULL")

@@ -114,9 +114,9 @@ def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.capacity(p, ["med", "amount"], 0.05, 1e6, "ok")
 
 
-@query(f"WITH {_CAP} SELECT trade_date, symbol, round(capacity, 8) AS capacity FROM cp")
+@query(f"WITH {_CAP} SELECT trade_date, symbol, floor(capacity * 1e8 + 0.5001) / 1e8 AS capacity FROM cp")
 def trade_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _capacity(spark, sf_dir).select("trade_date", "symbol", F.round("capacity", 8).alias("capacity"))
+    return _capacity(spark, sf_dir).select("trade_date", "symbol", (F.floor(F.col("capacity") * 1e8 + 0.5001) / 1e8).alias("capacity"))
 
 
 _ORD = f"{_CAP}, o AS (SELECT CAST(symbol AS BIGINT) AS order_id, symbol, 0.05 AS requested, DATE '1997-01-01' AS start, DATE '1997-12-01' AS stop FROM (SELECT DISTINCT symbol FROM cp))"
