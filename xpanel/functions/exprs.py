@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -93,28 +95,43 @@ def sample_kurtosis(c: ColumnOrName) -> Column:
     return F.when(n > 3, F.try_divide((n - 1) * ((n + 1) * g + 6), (n - 2) * (n - 3)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value in the plan once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def norm_cdf(x: ColumnOrName) -> Column:
     """Standard normal distribution by the complementary error function's Chebyshev fit (error below 1.2e-7)."""
-    z = F.abs(col(x)) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * z)
-    # fixed values: coefficients of the published fit, lowest power first
-    poly = F.lit(0.0)
-    for c in reversed((-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)):
-        poly = poly * t + c
-    tail = t * F.exp(-z * z + poly) / 2
-    return F.when(col(x) >= 0, 1 - tail).otherwise(tail)
+
+    def tail(z: Column, t: Column) -> Column:
+        # fixed values: coefficients of the published fit, lowest power first
+        poly = F.lit(0.0)
+        for c in reversed((-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)):
+            poly = poly * t + c
+        return t * F.exp(-z * z + poly) / 2
+
+    def cdf(v: Column) -> Column:
+        z = F.abs(v) / F.sqrt(F.lit(2.0))
+        upper = let(1 / (1 + 0.5 * z), lambda t: tail(z, t))
+        return F.when(v >= 0, 1 - upper).otherwise(upper)
+
+    return let(col(x), cdf)
 
 
 def norm_ppf(p: ColumnOrName) -> Column:
-    """Inverse of the standard normal distribution (rational fit refined by one Newton step); null outside (0, 1)."""
-    p = col(p)
-    q = F.when((p > 0) & (p < 1), F.least(p, 1 - p))
-    t = F.sqrt(-2 * F.log(q))
-    # fixed values: coefficients of the published rational fit
-    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    for _ in range(2):
-        x = x - (norm_cdf(x) - (1 - q)) / (F.exp(-x * x / 2) / F.sqrt(F.lit(6.283185307179586)))
-    return F.when((p > 0) & (p < 1), F.when(p >= 0.5, x).otherwise(-x))
+    """Inverse of the standard normal distribution (rational fit refined by two Newton steps); null outside (0, 1)."""
+
+    def start(t: Column) -> Column:
+        # fixed values: coefficients of the published rational fit
+        return t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+
+    def ppf(v: Column) -> Column:
+        q = F.when((v > 0) & (v < 1), F.least(v, 1 - v))
+        newton = lambda x: x - (norm_cdf(x) - (1 - q)) / (F.exp(-x * x / 2) / F.sqrt(F.lit(6.283185307179586)))
+        x = let(let(let(F.sqrt(-2 * F.log(q)), start), newton), newton)
+        return let(x, lambda y: F.when(v >= 0.5, y).otherwise(-y))
+
+    return let(col(p), ppf)
 
 
 def sharpe_error(sharpe: ColumnOrName, n: ColumnOrName, skew: ColumnOrName, excess_kurtosis: ColumnOrName) -> Column:
