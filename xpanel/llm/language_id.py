@@ -242,13 +242,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, per_language: int = 150, most_languages: int = 200) -> Model | None:
-    """docs has lang and text, null lang not used; about per_language documents of each language are drawn by hash."""
+    """docs has lang and text, null lang not used; about per_language documents of each language are drawn by hash, copies once."""
     counts = docs.filter("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     share = F.lit(0.0)
     for lang, n in counts:
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
-    rows = docs.filter("text is not null").filter(drawn).select("lang", "text").limit(2 * per_language * max(1, len(counts))).collect()
+    rows = docs.filter("text is not null").filter(drawn).select("lang", "text").distinct().limit(2 * per_language * max(1, len(counts))).collect()
     return fit(sorted(map(tuple, rows)))
 
 
