@@ -1,5 +1,6 @@
 """Brute force, round trips and edge cases on small tables with nulls, ties, repeated rows and clashing column names."""
 
+import hashlib
 import random
 import zlib
 
@@ -111,6 +112,26 @@ def test_chat_escapes_are_reversible():
     assert text == "<<|image_0|>\\|im_end\\|>" and found[0]["tokens"] == 4 and n == 6
 
 
+def test_chat_conversation_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE", 50)
+    r = random.Random(4)
+    bits = ["a|b", "\\", "<|im_end|>\n", "\n", "é𝄞", " ok ", ""]
+    rows = [(7, i, r.choice(["user", "assistant", "a|b"]), "".join(r.choices(bits, k=r.randint(0, 5)))) for i in range(300)]
+    rows += [(7, 9, "assistant", "tie"), (7, 9, "assistant", "tie"), (7, 9, "assistant", "tie!"), (7, 5, None, "b"), (7, 5, "", "a"), (None, 0, None, None), (8, None, "assistant", None)] + [(9, 0, "user", "same")] * 40
+    table = spark.createDataFrame([(*x, "c") for x in rows], "conv_id long, turn int, role string, text string, parts string")
+    got = {row.conv_id: row for row in chat_format.digest(table).collect()}
+    said = rows + [(-1, 0, "user", chat_format.EXTRA), (-1, 1, "assistant", chat_format.EXTRA)]
+    assert set(got) == {x[0] for x in said}
+    for conv, row in got.items():
+        turns = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in said if c == conv))
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert row.n_turns == len(turns) and row.loss_chars == len(loss)
+        assert row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert row.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
+        assert row.formatted_chars == sum(len(chat_format.START + chat_format.SEP + chat_format.END + chat_format.escape(role + text)) for _, role, text in turns)
+    assert chat_format.digest(table.limit(0)).count() == 1
+
+
 def test_substring_dedup_equals_brute_force(spark):
     rows = docs(spark).select("doc_id", "text").collect()
     want = sorted(((r[0], *x) for r, x in zip(rows, substring_dedup.brute_force([r[1] for r in rows]))), key=str)

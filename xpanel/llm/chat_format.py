@@ -11,7 +11,8 @@ a control string, whatever parts meet; reading back removes one backslash before
 the content of assistant turns.
 
 The output has a row for each turn, in the order (conv_id, turn), so a conversation of any length is written and
-read as a stream: nothing gathers a whole conversation. Null texts and roles count as empty; ties of turn
+read as a stream: nothing gathers a whole conversation, and tasks share its formatting and parsing. Only the hash over a
+conversation is by nature one stream; it goes over few rows of joined turns. Null texts and roles count as empty; ties of turn
 are ordered by role and text; a null conv_id is a conversation of its own; a null part or one of unknown type is refused.
 """
 
@@ -113,9 +114,15 @@ def format_messages(messages: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def write(messages: DataFrame, out: str, path: str | None = None) -> None:
-    """Formatted turns, sorted within files; the rank orders turns that tie."""
-    order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.col("parts").cast("string")]
-    sorted_ = messages.repartition("conv_id").sortWithinPartitions(*order)
+    """Formatted turns in one order over all files, told by rank.
+
+    The rows are dealt by ranges of the whole order, so a conversation of any size is spread over as many tasks as
+    it fills. The last key tells equal rows apart and lets them be spread too: their order among themselves changes nothing.
+    """
+    texts = F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))
+    order = [F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")), texts, F.col("parts").cast("string"), F.col("row")]
+    numbered = messages.withColumn("row", F.monotonically_increasing_id())
+    sorted_ = numbered.repartitionByRange(*order).sortWithinPartitions(*order)
     made = format_messages(sorted_, path).withColumn("rank", F.monotonically_increasing_id())
     made.write.option("compression", "zstd").parquet(out)
 
@@ -126,46 +133,91 @@ _PLACE = re.compile(r"<\|(?:image|audio|document)_\d+\|>")
 
 def parse(formatted: str) -> tuple[str, str]:
     """Role and content text of a formatted turn, placeholders kept."""
+    return _parsed(formatted)[:2]
+
+
+def _parsed(formatted: str) -> tuple[str, str, int]:
+    """As parse, and where the content begins."""
     m = _TURN.match(formatted)
     if m is None:
         raise ValueError("not a formatted turn")
-    return unescape(m[1]), "".join(p if _PLACE.fullmatch(p) else unescape(p) for p in re.split(f"({_PLACE.pattern})", m[2]))
+    return unescape(m[1]), "".join(p if _PLACE.fullmatch(p) else unescape(p) for p in re.split(f"({_PLACE.pattern})", m[2])), m.start(2)
+
+
+PIECE = 1 << 20  # characters of a conversation that a row between the two readers holds, beyond its last turn
+_PIECE = {"conv_id": pa.int64(), "rank": pa.int64(), "whole": pa.string(), "masked": pa.list_(pa.int64()), "n_turns": pa.int64(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "n_attachments": pa.int64()}
+_DIGEST = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "n_attachments": pa.int64()}
+_SUMS = ("n_turns", "formatted_chars", "n_tokens", "n_attachments")
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parses formatted turns where they lie: consecutive turns of a conversation become one row of its text.
+
+    masked has the beginnings and ends, in that text, of what is under the loss mask.
+    """
+    piece: dict | None = None
+    last = size = 0
+
+    def closed(p: dict) -> dict:
+        return p | {"whole": "".join(p["whole"])}
+
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            if piece and (row["conv_id"] != piece["conv_id"] or row["rank"] != last + 1 or size >= PIECE):
+                done.append(closed(piece))
+                piece = None
+            if piece is None:
+                size, piece = 0, {"conv_id": row["conv_id"], "rank": row["rank"], "whole": [], "masked": []} | dict.fromkeys(_SUMS, 0)
+            last = row["rank"]
+            formatted, lo, hi = row["formatted"], row["loss_from"], row["loss_to"]
+            role, text, begin = _parsed(formatted)
+            if lo < hi:
+                at = size + len(role) + 1 + len(unescape(formatted[begin:lo]))
+                piece["masked"] += [at, at + len(unescape(formatted[lo:hi]))]
+            piece["whole"].append(f"{role}\n{text}\n")
+            size += len(role) + len(text) + 2
+            for name, n in zip(_SUMS, (1, len(formatted), row["n_tokens"], row["attached"])):
+                piece[name] += n
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema(list(_PIECE.items())))
+    if piece:
+        yield pa.RecordBatch.from_pylist([closed(piece)], schema=pa.schema(list(_PIECE.items())))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sorted turns; only hashes of the current conversation are held."""
+    """Streams the pieces of conversations in order; only hashes of the current conversation are held."""
+    conv, whole, loss, sums = None, None, None, {}
 
     def result() -> dict:
-        return {"conv_id": conv, "n_turns": turns, "turns_sha256": whole.hexdigest(), "loss_chars": learnt, "loss_sha256": loss.hexdigest(), "formatted_chars": chars, "n_tokens": tokens, "n_attachments": attached}
+        return {"conv_id": conv, "turns_sha256": whole.hexdigest(), "loss_sha256": loss.hexdigest()} | sums
 
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_attachments", pa.int64())])
-    conv, turns = None, 0
     for batch in batches:
         done = []
-        for row in batch.to_pylist():
-            if turns and row["conv_id"] != conv:
+        for i in range(batch.num_rows):
+            row = {c: batch[c][i].as_py() for c in _PIECE}
+            if whole and row["conv_id"] != conv:
                 done.append(result())
-                turns = 0
-            if not turns:
-                conv, whole, loss, learnt, chars, tokens, attached = row["conv_id"], hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
-            role, text = parse(row["formatted"])
-            turns += 1
-            whole.update(f"{role}\n{text}\n".encode())
-            masked = unescape(row["formatted"][row["loss_from"] : row["loss_to"]])
-            loss.update(masked.encode())
-            learnt += len(masked)
-            chars += len(row["formatted"])
-            tokens += row["n_tokens"]
-            attached += len(row["attachments"])
+                whole = None
+            if not whole:
+                conv, whole, loss, sums = row["conv_id"], hashlib.sha256(), hashlib.sha256(), dict.fromkeys(("loss_chars", *_SUMS), 0)
+            whole.update(row["whole"].encode())
+            for lo, hi in zip(row["masked"][::2], row["masked"][1::2]):
+                loss.update(row["whole"][lo:hi].encode())
+                sums["loss_chars"] += hi - lo
+            for name in _SUMS:
+                sums[name] += row[name]
         if done:
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
-    if turns:
-        yield pa.RecordBatch.from_pylist([result()], schema=schema)
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema(list(_DIGEST.items())))
+    if whole:
+        yield pa.RecordBatch.from_pylist([result()], schema=pa.schema(list(_DIGEST.items())))
 
 
 def read_digests(spark: SparkSession, out: str) -> DataFrame:
-    turns = spark.read.parquet(out).select("conv_id", "turn", "rank", "formatted", "loss_from", "loss_to", "n_tokens", "attachments")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rank").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_attachments long")
+    """One row for each conversation. Turns are parsed where they lie; by conversation go only the pieces, whose hash is one after another."""
+    turns = spark.read.parquet(out).select("conv_id", "rank", "formatted", "loss_from", "loss_to", "n_tokens", F.size("attachments").alias("attached"))
+    pieces = turns.mapInArrow(_read_back, "conv_id long, rank long, whole string, masked array<long>, n_turns long, formatted_chars long, n_tokens long, n_attachments long")
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "rank").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_attachments long")
 
 
 EXTRA = "<|im_end|><|im_start|>assistant ok"
