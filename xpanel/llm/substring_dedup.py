@@ -129,16 +129,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         raise ValueError(f"window must be at least {ANCHOR}")
     texts = _keyed(docs, text, key)
     seen = _keyed(docs, text).mapInArrow(_anchors(window), "anchor long, context long, _t1 long, _t2 long, at int, many int")
-    hot = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # grouped sides are written first: joins of tables have both exchanges of their own, which adaptive execution can split
+    hot = stored(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "hot")
     seeds = stored(seen.join(hot, "anchor"), "seeds")
-    classes = seeds.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("_t1", "_t2", "at", "many")))
+    classes = stored(seeds.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("_t1", "_t2", "at", "many"))), "classes")
     same = seeds.join(classes.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("_t1", "_t2", "at", "many").distinct()
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("anchor")
-    wanted = classes.join(mixed, "anchor").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "many", (F.col("n") == 1).alias("alone"))).alias("wanted"))
+    mixed = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("anchor"), "mixed")
+    wanted = stored(classes.join(mixed, "anchor").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "many", (F.col("n") == 1).alias("alone"))).alias("wanted")), "wanted")
     windows = stored(texts.join(wanted, ["_t1", "_t2"]).mapInArrow(_windows(window), "w1 long, w2 long, _t1 long, _t2 long, at int, alone boolean"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("alone")).filter("n > 1 and alone").select("w1", "w2")
+    twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("alone")).filter("n > 1 and alone").select("w1", "w2"), "twice")
     found = windows.filter("alone").join(twice, ["w1", "w2"]).select("_t1", "_t2", "at", F.lit(1).alias("many"))
-    covers = same.unionByName(found).groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "many")).alias("covers"))
+    covers = stored(same.unionByName(found).groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "many")).alias("covers")), "covers")
     kind = docs.schema[key].dataType.simpleString()
     return texts.join(covers, ["_t1", "_t2"], "left").mapInArrow(_spans(window, _ARROW), f"`{key}` {kind}, {_OUT}")
 
