@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 DATA = os.environ.get("XPANEL_TEST_DIR", "/root/testdata/sf0.001")
-NAMES = ("daily_ic_spearman", "quantile_returns", "asof_merge", "universe_asof", "topk_backtest", "label_next_rebalance", "event_overlap_purge", "ffill_limit", "sell_fills", "contribution_summary", "drawdown_episodes", "rolling_beta")
+NAMES = ("daily_ic_spearman", "quantile_returns", "asof_merge", "universe_asof", "topk_backtest", "label_next_rebalance", "event_overlap_purge", "ffill_limit", "sell_fills", "contribution_summary", "drawdown_episodes", "rolling_beta", "universe_headers", "return_headers", "round_lot_pick", "latest_price", "sell_signals", "scenario_grid", "target_export", "order_summary")
 
 
 @pytest.fixture(scope="module")
