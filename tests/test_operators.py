@@ -59,6 +59,30 @@ def test_cash_scales_buys(spark):
     assert {r.order_id: round(r.filled, 9) for r in P.buy_fills(orders, days, cash=0.2).collect()} == {1: 0.05, 2: 0.15}
 
 
+def test_buys_of_every_rebalance_date(spark):
+    from xpanel.plans import portfolio_queries as Q
+    from xpanel.plans.panels import scored
+
+    data = "/root/testdata/sf0.001"
+    room = {(r.symbol, r.trade_date): r.capacity for r in Q._capacity(spark, data).collect()}
+    orders = {}
+    for r in P.select(scored(spark, data), 4).select("trade_date", "symbol").collect():
+        orders.setdefault(r.trade_date, []).append(r.symbol)
+    want = {}
+    for date, names in orders.items():
+        cash, left = 0.2, {s: 1 / len(names) for s in names}
+        for d in sorted({d for s, d in room if s in left and d >= date})[:5]:
+            ask = {s: min(left[s], room.get((s, d), 0.0)) for s in names}
+            share = min(1.0, cash / sum(ask.values())) if sum(ask.values()) else 0.0
+            for s in names:
+                want[date, int(s), d] = ask[s] * share
+                left[s] -= ask[s] * share
+            cash = max(0.0, cash - share * sum(ask.values()))
+    got = {(r.rebalance_date, r.order_id, r.trade_date): r.filled for r in Q.buy_fills(spark, data).collect()}
+    assert len(orders) > 50 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_cpcv_counts():
     assert len(SP.combinatorial(8, 2)) == 28
     paths = SP.paths(8, 2)

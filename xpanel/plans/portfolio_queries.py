@@ -132,10 +132,10 @@ def sell_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def buy_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _capacity(spark, sf_dir)
-    orders = days.select("symbol").distinct().withColumn("k", F.row_number().over(Window.orderBy("symbol"))).filter("k <= 50")
-    orders = orders.select(F.lit("1997-01-01").cast("date").alias("rebalance_date"), F.col("symbol").cast("long").alias("order_id"), "symbol", F.lit(0.05).alias("requested"), F.lit("1997-01-01").cast("date").alias("start"))
-    return P.buy_fills(orders, days, cash=0.2).select("rebalance_date", "order_id", "trade_date", F.round("filled", 8).alias("filled"))
+    """Each rebalance date orders its top-k portfolio, at most k rows, so that a date's fold stays small."""
+    held = P.weights(P.select(scored(spark, sf_dir), 4))
+    orders = held.select(F.col("trade_date").alias("rebalance_date"), F.col("symbol").cast("long").alias("order_id"), "symbol", F.col("weight").alias("requested"), F.col("trade_date").alias("start"))
+    return P.buy_fills(orders, _capacity(spark, sf_dir), cash=0.2).select("rebalance_date", "order_id", "trade_date", F.round("filled", 8).alias("filled"))
 
 
 _NAV = f"{_PRICED}, nv AS (SELECT trade_date, r, exp(sum(ln(1 + r)) OVER (ORDER BY trade_date)) AS nav FROM rs), dw AS (SELECT *, greatest(max(nav) OVER (ORDER BY trade_date), 1) AS peak FROM nv), dn AS (SELECT *, CASE WHEN nav >= peak THEN 0 ELSE nav / peak - 1 END AS drawdown FROM dw)"
