@@ -177,6 +177,16 @@ def test_near_classes_equal_brute_force(spark):
     assert near_dedup.keep_one(docs(spark)).count() == len(names)
 
 
+def test_near_copies_with_repeated_lines(spark):
+    r, rows = random.Random(8), []
+    line = lambda n: "".join(f" w{r.getrandbits(40)}" for _ in range(n))
+    for i in range(40):
+        base = line(94)
+        rows += [(2 * i, base), (2 * i + 1, base + line(7) * 200 + line(7) * 200)]
+    got = {x.doc_id: x.class_id for x in near_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}  # 90 of 112 different runs are common
+
+
 def test_decontamination(spark):
     base = texts()[0].split()
     items = spark.createDataFrame([(1, " ".join(base[20:50])), (2, "not in any of them at all, no"), (3, None), (4, "too short")], "item_id long, text string")

@@ -7,6 +7,10 @@ are drawn round by round up to a horizon by which all registers are likely full,
 there: a later arrival can win nothing. Two documents agree in a register with the probability
 Jaccard similarity. Registers are cut into bands, and equal bands propose links.
 
+Repeated runs can press the probability Jaccard similarity far below that of the sets, which decides. So a document
+with repeats has a second signature of unit weights, and its bands too; without repeats both signatures are one. Any two
+documents thus meet by signatures whose agreement is the Jaccard similarity of their sets.
+
 Candidates are verified by the exact Jaccard similarity of the sets of runs. Equal texts are one
 vertex, so copies are never compared. Elements that no other candidate text holds cannot be shared, so a
 text or pair with too many of them is left out without loss. Each bucket proposes only links to its
@@ -101,21 +105,33 @@ def prob_min_hash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs
     return won.reshape(docs, registers)
 
 
+def _keys(won: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    key = np.zeros((len(won), bands), U)
+    for i in range(rows):
+        key = mix(key * U(0x100000001B3) + won[:, i::rows])
+    return mix(key + np.arange(1, bands + 1, dtype=U))
+
+
 def _bands(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch, "text"):
+                n = part.num_rows
                 element, doc, weight = weighted(*shingles(part["text"]))
-                won = prob_min_hash(element, doc, weight, part.num_rows, rows * bands)
-                key = np.zeros((part.num_rows, bands), U)
-                for i in range(rows):
-                    key = mix(key * U(0x100000001B3) + won[:, i::rows])
-                key = mix(key + np.arange(1, bands + 1, dtype=U))
-                size = np.bincount(doc, minlength=part.num_rows)
+                size = np.bincount(doc, minlength=n)
                 some = np.flatnonzero(size)
-                flat = signed(np.ascontiguousarray(key[some]).reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(some)), pa.array(size[some]), lists], names=["k", "size", "bands"])
+                repeats = np.bincount(doc, weight > 1, n) > 0
+                own, nth = repeats[doc], np.cumsum(repeats) - 1
+                key = _keys(prob_min_hash(element, doc, weight, n, rows * bands), rows, bands)[some]
+                unit = _keys(prob_min_hash(element[own], nth[doc[own]], np.ones(own.sum()), int(repeats.sum()), rows * bands), rows, bands)
+                flat = np.concatenate([key.reshape(-1), unit.reshape(-1)])
+                owner = np.repeat(np.concatenate([some, np.flatnonzero(repeats)]), bands)
+                order = np.lexsort((flat, owner))
+                flat, owner = flat[order], owner[order]
+                new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][: len(flat)])
+                flat, owner = flat[new], owner[new]  # a band equal in both signatures counts once
+                at = np.searchsorted(owner, np.r_[some, n]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(some)), pa.array(size[some]), pa.ListArray.from_arrays(pa.array(at), signed(flat))], names=["k", "size", "bands"])
 
     return run
 
