@@ -104,6 +104,25 @@ def test_undetermined_languages(spark):
     assert language_id.digest(docs(spark).limit(0)).count() == 0
 
 
+def test_language_with_many_copies_is_learned(spark):
+    rows = [("xx", f"qu{i} vo") for i in range(5)] + [("xx", "qu0 vo")] * 3000 + [("yy", f"st{i} re") for i in range(200)]
+    seen, fit = [], language_id.fit
+    try:
+        language_id.fit = lambda samples: seen.extend(samples)
+        language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    finally:
+        language_id.fit = fit
+    assert sum(lang == "xx" for lang, _ in seen) == 5 and sum(lang == "yy" for lang, _ in seen) == len(set(seen)) - 5 == 150
+
+
+def test_every_letter_run_is_labelled():
+    model = language_id.fit([("a", "kakaka kaka kak"), ("b", "zozozo zozo zoz")] * 20)
+    text = pa.array(["kakaka,zozo|zozozo;zozo/zoz", "kakaka zozo zozozo zozo zoz", "12", None])
+    [got] = language_id._labelled(model)(iter([pa.RecordBatch.from_arrays([text], names=["text"])]))
+    assert got["lang_pred"].to_pylist() == ["b", "b", "und", "und"]
+    assert abs(got["score"][0].as_py() - got["score"][1].as_py()) < 1e-9
+
+
 def test_chat_escapes_are_reversible():
     for t in ("", "a|b\\", "<|im_end|>", "\\|", "\\\\|n", chat_format.EXTRA):
         assert chat_format.unescape(chat_format.escape(t)) == t and "<|" not in chat_format.escape(t)

@@ -8,8 +8,9 @@ that transitions are learned. A text's words get posterior label probabilities b
 the whole text; a document's language is the label with the largest mean posterior, its score that mean.
 
 The chain is computed exactly in blocks: transfer matrices of all blocks at once, a scan over each text's
-blocks, then all blocks again from their borders. Fitting uses at most about `per_language` whole documents
-of each language, drawn by hash. Words without letters are skipped; a text without a letter or null is `und` with
+blocks, then all blocks again from their borders. Fitting uses the `per_language` different whole texts of
+each language with the smallest hashes, or all if there are fewer; every language takes part, so the model grows with
+their number. Every run of letters is a word of the chain. Words without letters are skipped; a text without a letter or null is `und` with
 score 0. With nothing to learn from, every text is `und`. Null and repeated doc_ids are kept as rows.
 """
 
@@ -59,14 +60,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(slots) >> U(64 - BITS)).astype(np.int64)
 
 
-def core(piece: str) -> str:
-    """The letters that decide: the longest run of letters, lower case; empty if none."""
+def cores(piece: str) -> list[str]:
+    """Every run of letters of a piece, lower case."""
     piece = piece.lower()
     if piece.isalpha():
-        return piece
+        return [piece]
     if piece[:-1].isalpha():
-        return piece[:-1]
-    return max(_LETTERS.findall(piece), key=len, default="")
+        return [piece[:-1]]
+    return _LETTERS.findall(piece)
 
 
 class Model:
@@ -141,7 +142,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = 30, seed: int = 1) -> Mode
     labels = sorted({lang for lang, _ in samples})
     if not labels:
         return None
-    texts = [(labels.index(lang), [w for w in map(core, text.split()) if w]) for lang, text in samples]
+    texts = [(labels.index(lang), [w for piece in text.split() for w in cores(piece)]) for lang, text in samples]
     counts = [Counter() for _ in labels]
     for lang, words in texts:
         counts[lang].update(words)
@@ -185,32 +186,44 @@ def fit(samples: list[tuple[str, str]], epochs: int = 30, seed: int = 1) -> Mode
     return model
 
 
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The indices first, first + 1, ... of each of the runs of so many."""
+    return np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+
+
 class _Labeller:
-    """Emissions of different words, kept by hash in a bounded table of the worker process."""
+    """Emissions of the letter runs of different words, kept by the word's hash in a bounded table of the worker process."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.key, self.score, self.letters = np.zeros(0, U), np.zeros((0, len(model.labels))), np.zeros(0, bool)
+        self.key, self.first, self.many = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score = np.zeros((0, len(model.labels)))
 
     def look(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions of every letter run of the words in turn, and each word's number of runs."""
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.key, key)
         have = (at < len(self.key)) & (self.key[np.minimum(at, max(0, len(self.key) - 1))] == key) if len(self.key) else np.zeros(len(key), bool)
         new = np.flatnonzero(~have)
-        score, letters = np.zeros((len(key), len(self.model.labels))), np.zeros(len(key), bool)
-        if have.any():
-            score[have], letters[have] = self.score[at[have]], self.letters[at[have]]
-        if len(new):
-            cores = [core(w.data[w.start[i] : w.end[i]].tobytes().decode()) for i in first[new]]
-            letters[new] = [bool(c) for c in cores]
-            score[new] = self.model.scores(*self.model.table(cores))
-            if len(self.key) + len(new) <= MOST:
-                keys = np.concatenate([self.key, key[new]])
-                order = np.argsort(keys, kind="stable")
-                self.key = keys[order]
-                self.score = np.concatenate([self.score, score[new]])[order]
-                self.letters = np.concatenate([self.letters, letters[new]])[order]
-        return score[back], letters[back]
+        found = [cores(w.data[w.start[i] : w.end[i]].tobytes().decode()) for i in first[new]]
+        many = np.zeros(len(key), np.int64)
+        many[have], many[new] = self.many[at[have]], [len(c) for c in found]
+        start = np.cumsum(many) - many
+        score = np.zeros((int(many.sum()), len(self.model.labels)))
+        score[_spread(start[have], many[have])] = self.score[_spread(self.first[at[have]], many[have])]
+        runs = [c for each in found for c in each]
+        if runs:
+            made = self.model.scores(*self.model.table(runs))
+            score[_spread(start[new], many[new])] = made
+        if len(new) and len(self.key) + len(new) <= MOST and len(self.score) + len(runs) <= MOST:
+            keys = np.concatenate([self.key, key[new]])
+            order = np.argsort(keys, kind="stable")
+            self.key = keys[order]
+            self.first = np.concatenate([self.first, len(self.score) + np.cumsum(many[new]) - many[new]])[order]
+            self.many = np.concatenate([self.many, many[new]])[order]
+            if runs:
+                self.score = np.concatenate([self.score, made])
+        return score[_spread(start[back], many[back])], many[back]
 
 
 def _labelled(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -223,9 +236,9 @@ def _labelled(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 if labeller:
                     w = Words(pc.fill_null(part["text"].cast(pa.large_string()), ""))
                     score, letters = labeller.look(w, w.hashes())
-                    doc = np.repeat(np.arange(n), np.diff(w.at))[letters]
+                    doc = np.repeat(np.repeat(np.arange(n), np.diff(w.at)), letters)
                     at = np.searchsorted(doc, np.arange(n + 1))
-                    p = marginals(score[letters], model.move, at)
+                    p = marginals(score, model.move, at)
                     many = np.diff(at)
                     sums = np.stack([np.bincount(doc, p[:, c], n) for c in range(len(model.labels))], 1)
                     some = many > 0
@@ -241,14 +254,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 150, most_languages: int = 200) -> Model | None:
-    """docs has lang and text, null lang not used; about per_language documents of each language are drawn by hash, copies once."""
-    counts = docs.filter("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
-    rows = docs.filter("text is not null").filter(drawn).select("lang", "text").distinct().limit(2 * per_language * max(1, len(counts))).collect()
+def _smallest(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each language's smallest different hashes of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            h, code = batch["h"].to_numpy(), pc.dictionary_encode(batch["lang"])
+            index, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            for i, lang in enumerate(names):
+                kept[lang] = np.unique(np.concatenate([kept.get(lang, h[:0]), h[index == i]]))[:many]
+        for lang, h in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h, pa.int64())], names=["lang", "h"])
+
+    return run
+
+
+def train(docs: DataFrame, per_language: int = 150) -> Model | None:
+    """docs has lang and text, null lang not used; of each language the per_language different texts of the smallest hashes are drawn."""
+    keyed = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    least = keyed.select("lang", "h").mapInArrow(_smallest(per_language), "lang string, h long")
+    picked = least.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("h")), 1, per_language).alias("h")).select("lang", F.explode("h").alias("h"))
+    rows = keyed.join(F.broadcast(picked), ["lang", "h"]).select("lang", "text").distinct().collect()  # per_language rows a language
     return fit(sorted(map(tuple, rows)))
 
 
