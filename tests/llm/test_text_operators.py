@@ -225,6 +225,16 @@ def test_quality_without_labels(spark):
     assert all(got[100 + i] for i in range(5)) and not got[0] and not got[14]
 
 
+def test_lexicon_counts_texts_and_short_words(spark):
+    hot = " ".join(f"ordinary{i}" for i in range(50))
+    rows = [(i, hot, 1) for i in range(300)] + [(1000 + i, f"hot{i} vile{i} zax end", 1) for i in range(6)]
+    rows += [(2000 + i, f"plain{i} ordinary{i} end", 0) for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    made = quality.lexicon(table, table.select("doc_id", F.lit(0).alias("quality"), "toxic"))
+    w = quality.Words(pa.array(["zax", "vilest", "ordinary1 ordinary2", "end"]))
+    assert made.hits(w, w.hashes()).tolist() == [True, True, False, False, False]
+
+
 def test_graph_search_recall(spark):
     r = np.random.default_rng(2)
     x = np.concatenate([r.normal(size=(400, 8)), np.tile(r.normal(size=(1, 8)), (50, 1))]).astype(np.float32)

@@ -2,8 +2,9 @@
 
 Labellers look at whole texts and vote reject (2), keep (1) or abstain (0): capitals, exclamation, symbols,
 bars, stuttered words, and words of a lexicon. The lexicon holds word beginnings of 4 to 8 bytes that,
-in one, two or three different words, `labels` shows almost only in toxic documents of a bounded sample
-(`most_labels` rows). The label model has
+in one, two or three different words, and whole words of fewer bytes that `labels` shows almost only in toxic texts of a
+bounded sample (`most_labels` rows): in 4 or more, and in 25 for each other text. Different texts are counted, each
+toxic if most of its labels say so, so copies add nothing. All such entries are kept. The label model has
 one latent class that keeps and one for each kind of fault, with a table of vote probabilities per labeller; EM
 runs over the counts of vote patterns of all documents (at most 3 to the number of labellers rows, whatever the input). Its posteriors label
 a bounded sample of documents (`most_rows` expected), on which a logistic scorer over hashed words and votes is
@@ -37,15 +38,16 @@ _SYMBOL[[ord(c) for c in "#$%&*"]] = 1
 
 
 def _beginnings(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length the words of at least so many bytes, and the hashes of their beginnings."""
+    """For each length the words of at least so many bytes, and the hashes of their beginnings; shorter words are taken whole."""
     h, at, done = np.zeros(len(w.start), U), np.arange(len(w.start)), 0
-    for k in PREFIXES:
+    for k in (*range(1, PREFIXES[0]), *PREFIXES):
         enough = w.end[at] - w.start[at] >= k
         h, at = h[enough], at[enough]
         for i in range(done, k):
             h = h * U(0x100000001B3) + w.data[w.start[at] + i].astype(U) + U(1)
         done = k
-        yield at, mix(h + U(k))
+        whole = w.end[at] - w.start[at] == k if k < PREFIXES[0] else slice(None)
+        yield at[whole], mix(h[whole] + U(k))
 
 
 def _entries(word: np.ndarray, beginning: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,12 +213,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), level, np.int32)), pa.array(np.bincount(inverse, bad, len(key)).astype(np.int64)), pa.array(np.bincount(inverse, ~bad, len(key)).astype(np.int64))], names=["beginning", "level", "toxic", "other"])
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_entries: int = 5_000) -> Lexicon:
+def lexicon(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000) -> Lexicon:
     """The word beginnings that mark toxic documents."""
     some = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_labels)
     known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most most_labels rows
+    known = known.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k")).agg(F.first("text").alias("text"), (F.avg(F.col("toxic").cast("int")) > 0.5).alias("toxic"))
     counts = known.select("text", "toxic").mapInArrow(_counted, "beginning long, level int, toxic long, other long").groupBy("beginning", "level").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    marks = counts.filter("toxic >= 4 and other * 25 <= toxic").orderBy(F.desc("toxic"), "beginning", "level").limit(most_entries).toArrow()
+    marks = counts.filter("toxic >= 4 and other * 25 <= toxic").select("beginning", "level").toArrow()
     return Lexicon(marks["beginning"].to_numpy().astype(np.int64).view(U), marks["level"].to_numpy())
 
 
