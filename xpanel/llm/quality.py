@@ -7,8 +7,9 @@ bounded sample (`most_labels` rows): in 4 or more, and in 25 for each other text
 toxic if most of its labels say so, so copies add nothing. All such entries are kept. The label model has
 one latent class that keeps and one for each kind of fault, with a table of vote probabilities per labeller; EM
 runs over the counts of vote patterns of all documents (at most 3 to the number of labellers rows, whatever the input). Its posteriors label
-a bounded sample of documents (`most_rows` expected), on which a logistic scorer over hashed words and votes is
-fitted. Every whole text is then scored; a document is rejected at a score of `cut` or more.
+a bounded sample of documents (`most_rows` expected), on which a logistic scorer over hashed beginnings and shapes of
+words is fitted; the votes are not among its features, so it judges texts by what it learned. Every whole text is then
+scored; a document is rejected at a score of `cut` or more.
 
 Null texts count as empty; an empty text gets all abstentions and is kept. Rows with null or repeated doc_id
 are scored by text. Labels with nulls are not used, and no labels at all leave the lexicon empty.
@@ -24,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, groups, mix
+from .words import U, Words, groups, mix, span_hashes
 
 LABELLERS = ("capitals", "exclamation", "symbols", "bars", "stutter", "lexicon", "lexicon_density")
 FAULTS = ((0, 1), (2,), (3,), (4,), (5, 6))  # labellers by the fault they look for
 BITS = 18
+WIDTH = 1 << BITS
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = 3  # an entry may ask for so many different words with its beginning
 _UPPER, _LETTER, _SYMBOL = np.zeros(256, np.int8), np.zeros(256, np.int8), np.zeros(256, np.int8)
@@ -167,31 +169,85 @@ def posterior(model: dict, pattern: np.ndarray) -> np.ndarray:
     return 1 - _classes(model, pattern)[:, 0]
 
 
-def _features(table: np.ndarray, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hashed column and value: distinct words with 1 / sqrt(their number), and the votes."""
-    n = len(table)
-    doc = np.repeat(np.arange(n), np.diff(w.at))
-    slot = (h >> U(64 - BITS)).astype(np.int64)
-    code = np.unique(doc * (1 << BITS) + slot)
-    row, column = code >> BITS, code & ((1 << BITS) - 1)
-    value = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))[row]
-    label = np.tile(np.arange(table.shape[1]), n)
-    vote = (1 << BITS) + label * 3 + table.reshape(-1)
-    return np.r_[row, np.repeat(np.arange(n), table.shape[1])], np.r_[column, vote], np.r_[value, np.ones(len(vote))]
+_KIND = np.zeros(256, np.uint8)  # a byte's kind in the shape of a word; other ASCII bytes stand for themselves
+_KIND[:128] = np.arange(128)
+_KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = ord("A"), ord("a"), ord("0"), ord("x")
 
 
-WIDTH = (1 << BITS) + 3 * len(LABELLERS)
+def _shapes(w: Words) -> np.ndarray:
+    """The hash of every word's shape: the kinds of its bytes, repeats of one kind written once."""
+    kind = _KIND[w.data]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[w.start] = True
+    at = np.r_[0, np.cumsum(keep)]
+    return span_hashes(kind[keep], at[w.start], at[w.end])
 
 
-def fit_scorer(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, epochs: int = 60) -> np.ndarray:
-    """Logistic weights by full-batch Adagrad; the last weight is the bias."""
-    weight, seen = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-8)
-    for _ in range(epochs):
-        z = np.bincount(row, weight[column] * value, len(target)) + weight[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        grad = np.r_[np.bincount(column, error[row] * value, WIDTH), error.sum()] / max(1, len(target)) + 1e-5 * weight
-        seen += grad**2
-        weight -= 0.3 * grad / np.sqrt(seen)
+def _features(raw: Words, w: Words, h: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hashed column and value of texts, none of them a vote; wanted: only these columns.
+
+    Distinct beginnings of words (whole, if short) are present or absent; shapes of words, and words that repeat the one
+    before, have the square root of their share of the text.
+    """
+    n = len(w.at) - 1
+    owner = np.repeat(np.arange(n), np.diff(w.at))
+    found = [(owner[at], (b >> U(64 - BITS)).astype(np.int64)) for at, b in _beginnings(w)]
+    if wanted is not None:
+        found = [(d[m], c[m]) for d, c in found for m in [wanted[c]]]
+    code = np.unique(np.concatenate([d * WIDTH + c for d, c in found]))
+    row, column, value = [code >> BITS], [code & ((1 << BITS) - 1)], [np.ones(len(code))]
+    same = np.flatnonzero(np.r_[False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])][: len(h)])
+    doc = np.repeat(np.arange(n), np.diff(raw.at))
+    shape = np.r_[mix(_shapes(raw) + U(1)), np.full(len(same), mix(np.array([2], U))[0])]
+    code, many = np.unique(np.r_[doc, owner[same]] * (1 << BITS) + (shape >> U(64 - BITS)).astype(np.int64), return_counts=True)
+    row.append(code >> BITS)
+    column.append(code & ((1 << BITS) - 1))
+    value.append(np.sqrt(many / np.maximum(np.diff(raw.at), 1)[row[-1]]))
+    return np.concatenate(row), np.concatenate(column), np.concatenate(value)
+
+
+def fit_scorer(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, steps: int = 150, support: int = 3, sparse: float = 0.003, screen: float = 3.0) -> np.ndarray:
+    """Logistic weights by accelerated proximal gradient steps with an L1 penalty, which leaves chance columns at 0.
+
+    Both sides of the target weigh alike; columns are scaled by their own curvature. Columns of fewer than `support` rows
+    stay at 0, as do those whose gradient at weights of 0 is below `screen` times the penalty. The last weight is the bias.
+    """
+    weight = np.zeros(WIDTH + 1)
+    high = np.clip(target.sum(), 1e-3, len(target) - 1e-3)
+    scale = np.where(target > 0.5, 0.5 / high, 0.5 / (len(target) - high))
+    name, column = np.unique(column, return_inverse=True)
+    often = np.bincount(column) >= support
+    used = often[column]
+    row, column, value = row[used], (np.cumsum(often) - 1)[column[used]], value[used]
+    name = name[often]
+    curve = np.sqrt(np.bincount(column, scale[row] * value**2, len(name))) + 1e-6
+    value = value / curve[column]
+    first = np.bincount(column, ((target - (target * scale).sum()) * scale)[row] * value, len(name))
+    worth = np.abs(first) >= screen * sparse
+    used = worth[column]
+    row, column, value = row[used], (np.cumsum(worth) - 1)[column[used]], value[used]
+    name, curve = name[worth], curve[worth]
+    many = len(name)
+    times = lambda w: np.bincount(row, w[column] * value, len(target))
+    back = lambda e: np.bincount(column, e[row] * value, many)
+    v = np.ones(many) / max(1, many) ** 0.5
+    top = 1.0
+    for _ in range(12):  # the largest curvature, by powers
+        u = back(times(v) * scale)
+        top = max(float(np.linalg.norm(u)), 1e-9)
+        v = u / top
+    w, bias, ahead, ahead_bias, t = np.zeros(many), 0.0, np.zeros(many), 0.0, 1.0
+    rate = 4 / (1.1 * top + 1)
+    for _ in range(steps):
+        error = (1 / (1 + np.exp(-np.clip(times(ahead) + ahead_bias, -40, 40))) - target) * scale
+        new = ahead - rate * back(error)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * sparse, 0)
+        new_bias = ahead_bias - rate * error.sum()
+        t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, ahead_bias = new + (was - 1) / t * (new - w), new_bias + (was - 1) / t * (new_bias - bias)
+        w, bias = new, new_bias
+    weight[name], weight[-1] = w / curve, bias
     return weight
 
 
@@ -235,37 +291,73 @@ def _patterns(entries: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def _scores(entries: Lexicon, model: dict, weight: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = weight[:-1] != 0
         for batch in batches:
             for part in groups(batch, "text"):
                 table, w, h = votes(part["text"], entries)
-                row, column, value = _features(table, w, h)
+                row, column, value = _features(_raw(part["text"]), w, h, wanted)
                 z = np.bincount(row, weight[column] * value, part.num_rows) + weight[-1]
+                z[np.diff(w.at) == 0] = -40.0  # nothing speaks against a text without words
                 made = [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))), pa.array(posterior(model, table)), pa.array(_code(table))]
                 yield pa.RecordBatch.from_arrays([part[c] for c in part.schema.names] + made, names=[*part.schema.names, "score", "weak_label", "votes"])
 
     return run
 
 
+def _raw(texts: pa.Array) -> Words:
+    return Words(pc.fill_null(texts.cast(pa.large_string()), ""))
+
+
+def _sampled(entries: Lexicon, model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The weak label and the features of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch, "text"):
+                table, w, h = votes(part["text"], entries)
+                row, column, value = _features(_raw(part["text"]), w, h)
+                order = np.argsort(row, kind="stable")
+                at = pa.array(np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x[order].astype(k))) for x, k in ((column, np.int32), (value, np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array(posterior(model, table)), *lists], names=["target", "column", "value"])
+
+    return run
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scorer's weights other than 0, from all rows of the sample."""
+    row, column, value, target = [], [], [], []
+    n = 0
+    for batch in batches:
+        many = np.diff(batch["column"].offsets.to_numpy())
+        row.append(np.repeat(np.arange(n, n + batch.num_rows, dtype=np.int32), many))
+        column.append(batch["column"].flatten().to_numpy())
+        value.append(batch["value"].flatten().to_numpy())
+        target.append(batch["target"].to_numpy())
+        n += batch.num_rows
+    if n:
+        weight = fit_scorer(*(np.concatenate(x) for x in (row, column, value, target)))
+        some = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(weight[some])], names=["column", "weight"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_rows: int = 8_000) -> tuple[Lexicon, dict, np.ndarray]:
-    """The lexicon, the label model and the scorer's weights."""
+    """The lexicon, the label model and the scorer's weights.
+
+    Features of the sample are made where its texts lie; one task, which `most_rows` bounds, fits the scorer, so the
+    driver gets only counts of vote patterns and weights.
+    """
     entries = lexicon(docs, labels, most_labels)
     counts = docs.select("text").mapInArrow(_patterns(entries), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     pattern, count = counts["pattern"].to_numpy().astype(np.int64), counts["n"].to_numpy()
     model = fit_label_model(_decode(pattern), count)
     share = min(1.0, most_rows / max(1, int(count.sum())))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else docs
-    sample = sample.select("text").limit(2 * most_rows)
-    parts: list[tuple] = []
-    base, target = 0, []
-    for batch in sample.toArrow().to_batches(max_chunksize=500):
-        table, w, h = votes(batch["text"], entries)
-        row, column, value = _features(table, w, h)
-        parts.append(((row + base).astype(np.int32), column.astype(np.int32), value.astype(np.float32)))
-        target.append(posterior(model, table))
-        base += batch.num_rows
-    if not parts:
-        return entries, model, np.zeros(WIDTH + 1)
-    return entries, model, fit_scorer(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(target))
+    made = sample.select("text").mapInArrow(_sampled(entries, model), "target double, column array<int>, value array<float>").limit(2 * most_rows)
+    found = made.repartition(1).mapInArrow(_fitted, "column long, weight double").toArrow()
+    weight = np.zeros(WIDTH + 1)
+    weight[found["column"].to_numpy().astype(np.int64)] = found["weight"].to_numpy()
+    return entries, model, weight
 
 
 def score(docs: DataFrame, labels: DataFrame, carry: list[str], cut: float = 0.5) -> DataFrame:
