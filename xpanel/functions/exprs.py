@@ -57,12 +57,11 @@ def slug(c: ColumnOrName) -> Column:
 
 
 def average_rank(value: ColumnOrName, *by: ColumnOrName) -> Column:
-    """Rank from 1 with ties sharing the mean rank; null for a null value."""
-    v, part = col(value), [col(b) for b in by]
-    missing = v.isNull()
-    rank = F.rank().over(Window.partitionBy(*part, missing).orderBy(v))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, v))
-    return F.when(~missing, rank + (ties - 1) / 2)
+    """Rank from 1 with ties sharing the mean rank; null for a null value. One exchange and one sort by the keys."""
+    v = col(value)
+    order = Window.partitionBy(*(col(b) for b in by)).orderBy(v.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(v.isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def quantile_bucket(position: ColumnOrName, n: ColumnOrName, q: int) -> Column:
@@ -151,3 +150,75 @@ def expected_max_sharpe(trials: ColumnOrName, variance: ColumnOrName) -> Column:
     share = F.try_divide(F.lit(1.0), n)
     z = (1 - gamma) * norm_ppf(1 - share) + gamma * norm_ppf(1 - F.exp(F.lit(-1.0)) * share)
     return F.when(n > 1, F.sqrt(F.greatest(col(variance), F.lit(0.0))) * z).otherwise(F.lit(0.0))
+
+
+# The seventeen ratios with their inputs, (added, subtracted) over the denominator.
+RATIOS = {
+    "profit_margin": (("net_profit",), "revenue"),
+    "operating_margin": (("operating_profit",), "revenue"),
+    "cfo_margin": (("cash_flow_from_operating_activities",), "revenue"),
+    "cfo_to_profit": (("cash_flow_from_operating_activities",), "net_profit"),
+    "asset_turnover": (("revenue",), "total_assets"),
+    "roa": (("net_profit",), "total_assets"),
+    "leverage": (("total_liabilities",), "total_assets"),
+    "cfo_to_assets": (("cash_flow_from_operating_activities",), "total_assets"),
+    "debt_to_assets": (("total_debt",), "total_assets"),
+    "debt_to_equity": (("total_debt",), "total_equity"),
+    "cash_to_assets": (("cash_and_equivalents",), "total_assets"),
+    "goodwill_to_assets": (("goodwill",), "total_assets"),
+    "accrual_ratio": (("net_profit", "cash_flow_from_operating_activities"), "total_assets"),
+    "receivables_to_revenue": (("accounts_receivable",), "revenue"),
+    "inventory_to_revenue": (("inventory",), "revenue"),
+    "working_capital_to_assets": (("current_assets", "current_liabilities"), "total_assets"),
+    "net_debt_to_assets": (("total_debt", "cash_and_equivalents"), "total_assets"),
+}
+
+
+def financial_ratios(columns: list[str]) -> dict[str, Column]:
+    """Those of RATIOS whose inputs are among the columns; null for a null input or a zero denominator."""
+    have = set(columns)
+    top = lambda names: F.col(names[0]) - F.col(names[1]) if len(names) > 1 else F.col(names[0])
+    return {n: safe_div(top(names), below) for n, (names, below) in RATIOS.items() if have.issuperset((*names, below))}
+
+
+def compose(columns: list[str], candidates: list[tuple[str, str]]) -> Column | None:
+    """The first candidate (column, how) that is among the columns, as it is (identity), negative (neg), or log or negative log of a positive value."""
+    for name, how in candidates:
+        if name in columns:
+            c = F.col(name).cast("double")
+            return {"identity": c, "neg": -c, "log": safe_log(c), "neg_log": -safe_log(c)}[how]
+    return None
+
+
+def tokens(c: ColumnOrName) -> Column:
+    """The different stripped non-empty parts of a comma, semicolon, bar or blank separated text, in order; null gives none."""
+    parts = F.split(F.coalesce(col(c).cast("string"), F.lit("")), r"[,;|\s]+")
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def connect_flag(c: ColumnOrName) -> Column:
+    """Whether any part of a flag list says true; null for a list without parts."""
+    parts = F.transform(tokens(c), lambda x: F.lower(x))
+    return F.when(F.size(parts) > 0, F.arrays_overlap(parts, F.array(*map(F.lit, ("true", "1", "yes", "y", "t")))))
+
+
+def json_first(c: ColumnOrName, *paths: str) -> Column:
+    """The value at the first of the dotted paths of a JSON text that is there and not empty, as text."""
+    found = [F.get_json_object(col(c), "$." + p) for p in paths]
+    return F.coalesce(*(F.when(f != "", f) for f in found))
+
+
+def cohort_key(*cs: ColumnOrName) -> Column:
+    """Twelve hex digits that stand for the values of the columns, nulls told apart from empty texts."""
+    return F.substring(F.md5(F.to_json(F.array(*(col(c).cast("string") for c in cs)))), 1, 12)
+
+
+def feature_window(c: ColumnOrName) -> Column:
+    """The window in a feature's name such as sma_20_diff: its first number, null for none."""
+    return F.regexp_extract(col(c), r"_(\d+)(?:_|$)", 1).try_cast("int")
+
+
+def padded_code(c: ColumnOrName, width: int = 5) -> Column:
+    """The digits of a code such as 700.HK, padded with zeros in front; other texts as they are."""
+    head = F.split_part(F.trim(col(c).cast("string")), F.lit("."), F.lit(1))
+    return F.when(head.rlike(r"^\d+$") & (F.length(head) < width), F.lpad(head, width, "0")).otherwise(head)

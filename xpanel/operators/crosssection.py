@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -53,19 +51,26 @@ def neutralize_one(c: ColumnOrName, control: ColumnOrName, strength: float = 1.0
 
 
 def neutralize(df: DataFrame, c: str, controls: Sequence[str], strength: float = 1.0, least: int = 3, name: str = "neutral") -> DataFrame:
-    """The same for several controls: least squares on each date's rows (one date, bounded by the number of symbols)."""
-
-    def day(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf[c].to_numpy(float), pdf[list(controls)].to_numpy(float)
-        ok = np.isfinite(y) & np.isfinite(x).all(1)
-        out = y.copy()
-        if ok.sum() >= least:
-            full = np.c_[np.ones(ok.sum()), x[ok]]
-            out[ok] = y[ok] - strength * (full @ np.linalg.lstsq(full, y[ok], rcond=None)[0])
-        return pdf.assign(**{name: out})
-
-    schema = df.select("*", F.lit(None).cast("double").alias(name)).schema
-    return df.groupBy("trade_date").applyInPandas(day, schema)
+    """The same for several controls, by taking each control's own part out of c and of the controls after it.
+
+    That is least squares with an intercept; all sums are windows over the date, so one exchange serves them. A control that the ones
+    before it explain has no part of its own. Rows with a null stay as they are, as do dates of fewer rows than least.
+    """
+    names = [f"_x{i}" for i in range(len(controls))]
+    whole = F.col(c).isNotNull()
+    for x in controls:
+        whole = whole & F.col(x).isNotNull()
+    centred = lambda x: F.when(whole, F.col(x)) - F.avg(F.when(whole, F.col(x))).over(by_date())
+    made = df.withColumns({"_y": centred(c), **{n: centred(x) for n, x in zip(names, controls, strict=True)}, "_n": F.count(F.when(whole, F.lit(1))).over(by_date())})
+    made = made.withColumns({f"{n}s": F.sum(F.col(n) * F.col(n)).over(by_date()) for n in names})
+    for i, n in enumerate(names):
+        size = F.sum(F.col(n) * F.col(n)).over(by_date())
+        own = F.when(size > 1e-10 * F.col(f"{n}s"), size)
+        rest = {o: F.col(o) - F.coalesce(F.sum(F.col(o) * F.col(n)).over(by_date()) / own, F.lit(0.0)) * F.col(n) for o in ("_y", *names[i + 1 :])}
+        made = made.withColumns(rest)
+    fit = F.col(c) - F.avg(F.when(whole, F.col(c))).over(by_date()) - F.col("_y")
+    out = F.when(whole & (F.col("_n") >= least), F.col(c) - strength * (fit + F.avg(F.when(whole, F.col(c))).over(by_date()))).otherwise(F.col(c))
+    return made.withColumn(name, out).drop("_y", "_n", *names, *(f"{n}s" for n in names))
 
 
 def composite(*cs: str) -> Column:
@@ -104,3 +109,20 @@ def least_symbols(df: DataFrame, n: int) -> DataFrame:
     """Dates with at least n different symbols; counted before the join, so only dates travel."""
     good = df.groupBy("trade_date").agg(F.countDistinct("symbol").alias("n")).filter(F.col("n") >= n)
     return df.join(good.select("trade_date"), "trade_date", "left_semi")
+
+
+def numbered(df: DataFrame, c: str, tie: str, bins: int = 1024) -> DataFrame:
+    """df with position (from 1, by c and then tie) and n, over all rows with a value, without one task for all of them.
+
+    Rows fall into bins of equal width between the least and the largest value; the counts of the bins (a row each) say where
+    every bin's positions begin.
+    """
+    some = df.filter(F.col(c).isNotNull())
+    span = some.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))  # one row
+    share = F.coalesce(safe_div(F.col(c) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    binned = some.crossJoin(F.broadcast(span)).withColumn("_bin", F.floor(share * (bins - 1))).drop("_lo", "_hi")
+    count = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_many"))
+    every = Window.orderBy("_bin")  # a row for each bin
+    count = count.withColumns({"_before": F.sum("_many").over(every) - F.col("_many"), "n": F.sum("_many").over(Window.partitionBy())}).drop("_many")
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(c, tie))
+    return binned.withColumn("_p", place).join(F.broadcast(count), "_bin").withColumn("position", F.col("_before") + F.col("_p")).drop("_bin", "_p", "_before")

@@ -70,5 +70,48 @@ def overlapping(events: DataFrame, tests: DataFrame, embargo_days: int = 0) -> D
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     merged = t.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("id", F.sum("new").over(w)).groupBy("id").agg(F.min("start").alias("t_start"), F.max("stop").alias("t_stop"))
     right = merged.select(F.lit(0).alias("k"), F.col("t_start").alias("stop"), "t_stop")
-    met = asof(events.withColumn("k", F.lit(0)), right, ["k"], "stop", ["t_stop"])
-    return met.filter(F.col("t_stop") >= F.col("start")).drop("k", "t_stop")
+    stops = events.select(F.lit(0).alias("k"), "stop").distinct()  # different dates, so the one group is a calendar
+    reached = asof(stops, right, ["k"], "stop", ["t_stop"]).filter("t_stop is not null").select("stop", "t_stop")
+    return events.join(F.broadcast(reached), "stop").filter(F.col("t_stop") >= F.col("start")).select(*events.columns)
+
+
+def value_at(df: DataFrame, by: str, value: str, date: str, exact: bool = False) -> DataFrame:
+    """by, value: the one on the date, or the last that is not null at or before it (null if all are)."""
+    day = F.lit(date).cast("date")
+    if exact:
+        return df.filter(F.col("trade_date") == day).select(by, F.col(value).alias("value"))
+    known = df.filter(F.col("trade_date") <= day)
+    return known.groupBy(by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("trade_date"))).alias("value"))
+
+
+def newcomers(members: DataFrame, date: str, by: str) -> DataFrame:
+    """by of the members at the last date that were none at the date before."""
+    last = members.select(date).distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.desc(date)))).filter("_n <= 2")  # a row for each date
+    two = members.join(F.broadcast(last), date)
+    return two.filter("_n = 1").select(by).distinct().join(two.filter("_n = 2").select(by), by, "left_anti")
+
+
+def labels_asof(df: DataFrame, history: DataFrame, label: str, missing: str | None = None) -> DataFrame:
+    """df with its missing labels filled from the symbol's latest known one at or before the date (history: trade_date, symbol, label)."""
+    known = history.filter(F.col(label).isNotNull()).select("symbol", "trade_date", F.col(label).alias("_known"))
+    made = asof(df, known, ["symbol"], "trade_date", ["_known"])
+    return made.withColumn(label, F.coalesce(label, "_known", *([F.lit(missing)] if missing else []))).drop("_known")
+
+
+def by_label(universe: DataFrame, labels: DataFrame, label: str, chosen: Sequence[str], mode: str = "exclude", missing: str = "keep") -> DataFrame:
+    """Rows of the universe whose symbol's label is (only) or is not (exclude) among the chosen ones; missing: keep or drop those without one.
+
+    labels has one row for each symbol.
+    """
+    if mode not in ("exclude", "only") or missing not in ("keep", "drop"):
+        raise ValueError(f"unknown mode {mode!r} or missing policy {missing!r}")
+    both = universe.join(labels.select("symbol", F.col(label).alias("_label")), "symbol", "left")
+    hit = F.col("_label").isin(*chosen)
+    keep = F.when(F.col("_label").isNull(), F.lit(missing == "keep")).otherwise(hit if mode == "only" else ~hit)
+    return both.filter(keep).select(*universe.columns)
+
+
+def mapped(df: DataFrame, mapping: DataFrame, by: Sequence[str], source: str, target: str) -> DataFrame:
+    """df with target: the mapping's value for its keys, or the source as it is where there is no rule. mapping has one row for each key."""
+    both = df.join(mapping.select(*by, F.col(target).alias("_mapped")), list(by), "left")
+    return both.withColumn(target, F.coalesce("_mapped", source)).drop("_mapped")

@@ -6,8 +6,10 @@ row for each date, so its state is a portfolio's size and never the panel's.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ class Constraints:
 
 def eligible(df: DataFrame, c: Constraints) -> DataFrame:
     """Rows that may be bought: a finite price, price, amount and tradability as asked."""
-    ok = F.col("close").isNotNull() & (F.col("close") >= c.least_price)
+    ok = F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") != float("inf")) & (F.col("close") >= c.least_price)
     if c.least_amount:
         ok = ok & (F.col("amount") >= c.least_amount)
     if c.tradable:
@@ -55,23 +57,37 @@ def weights(held: DataFrame, mode: str = "equal", score: str = "s", side: int =
     return held.withColumn("_e", F.exp(F.greatest(F.lit(-5.0), F.least(z, F.lit(5.0))))).withColumn("weight", F.col("_e") / F.sum("_e").over(day)).drop("_e")
 
 
+def _held_with_buffer(pdf: pd.DataFrame, k: int, exit_: int, entry: int) -> pd.DataFrame:
+    """The rows of pdf (trade_date, place, symbol) that are held, date after date."""
+    before: set[str] | None = None
+    out = []
+    for _, day in pdf.sort_values(["trade_date", "place"]).groupby("trade_date", sort=True):
+        names = day["symbol"].tolist()
+        if before is None or (exit_ <= 0 and entry <= 0):
+            chosen = names[:k]
+        else:
+            kept = [n for n in names[: k + max(0, exit_)] if n in before]
+            preferred = names[: max(0, k - max(0, entry))]
+            chosen = list(dict.fromkeys([*kept, *preferred, *names]))[:k]
+        before = set(chosen)
+        out.append(day[day["symbol"].isin(before)])
+    return pd.concat(out) if out else pdf
+
+
 def buffered(df: DataFrame, k: int, exit_: int, entry: int, score: str = "s") -> DataFrame:
-    """trade_date, symbol held with hysteresis.
+    """The rows of df held with hysteresis, with place.
 
     A held name stays while it ranks within k + exit; free places go to names within k - entry first, then to the next.
-    Only each date's first k + exit names enter the fold, in rank order.
+    Only each date's first k + exit names enter the fold, so its one group has a portfolio's size for each date.
     """
-    ranked = select(df, k + exit_, score).groupBy("trade_date").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "symbol"))), lambda x: x.symbol).alias("names"))
-    days = ranked.groupBy().agg(F.sort_array(F.collect_list(F.struct("trade_date", "names"))).alias("days"))  # a row for each date
+    ranked = select(df, k + max(0, exit_), score)
+    return ranked.groupBy().applyInPandas(lambda pdf: _held_with_buffer(pdf, k, exit_, entry), ranked.schema)
 
-    def step(state: Column, day: Column) -> Column:
-        before = F.coalesce(F.try_element_at(state, F.lit(-1))["held"], F.array().cast("array<string>"))
-        kept = F.slice(F.filter(day.names, lambda x: F.array_contains(before, x)), 1, k)
-        pool = F.array_distinct(F.concat(kept, F.slice(day.names, 1, max(1, k - entry)), day.names))
-        return F.array_append(state, F.struct(day.trade_date.alias("trade_date"), F.slice(pool, 1, k).alias("held")))
 
-    folded = F.aggregate("days", F.array().cast("array<struct<trade_date:date,held:array<string>>>"), step)
-    return days.select(F.explode(folded).alias("d")).select("d.trade_date", F.explode("d.held").alias("symbol"))
+def holdings_at(positions: DataFrame, as_of: str) -> DataFrame:
+    """Rows of the latest entry_date at or before as_of; none if there is no such date."""
+    known = positions.filter(F.col("entry_date") <= F.lit(as_of).cast("date"))
+    return known.join(F.broadcast(known.agg(F.max("entry_date").alias("entry_date"))), "entry_date", "left_semi")  # one row
 
 
 def periods(dates: DataFrame) -> DataFrame:
@@ -110,20 +126,6 @@ def period_returns(held: DataFrame) -> DataFrame:
     return ok.groupBy("trade_date", "exit_date").agg((F.sum(F.col("weight") * r) / F.sum("weight")).alias("gross"), F.count(F.lit(1)).alias("n"))
 
 
-def drifted_turnover(held: DataFrame) -> DataFrame:
-    """trade_date, turnover: half the weight moved, after the former weights have drifted with prices to the exit; the first date is all bought."""
-    dates = held.select("trade_date").distinct().withColumn("prev", F.lag("trade_date").over(Window.orderBy("trade_date")))
-    drift = held.withColumn("_w", F.col("weight") * F.coalesce(F.col("exit_price") / F.col("entry_price"), F.lit(1.0)))
-    drift = drift.withColumn("drifted", F.col("_w") / F.sum("_w").over(Window.partitionBy("trade_date"))).select(F.col("trade_date").alias("prev"), "symbol", "drifted")
-    dated = F.broadcast(dates)  # a row for each date
-    now = held.join(dated, "trade_date").select("trade_date", "prev", "symbol", "weight")
-    before = drift.join(dated, "prev").select("trade_date", "prev", "symbol", "drifted")
-    both = now.drop("prev").join(before.drop("prev"), ["trade_date", "symbol"], "full_outer")
-    moved = F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("drifted", F.lit(0.0))))
-    first = F.max(F.col("drifted")).isNull()
-    return both.groupBy("trade_date").agg(F.when(first, moved).otherwise(moved / 2).alias("turnover"), first.alias("initial"))
-
-
 def bps_fee(turnover: Column, initial: Column, bps: float) -> Column:
     """One side at first, both sides of the turnover later."""
     return F.when(initial, F.lit(bps / 1e4)).otherwise(2 * turnover * bps / 1e4)
@@ -140,17 +142,110 @@ def participation_slippage(traded: Column, capital: float, amount: Column, base_
     return traded * (base_bps + impact_bps * F.pow(F.coalesce(part, F.lit(cap)), F.lit(power))) / 1e4
 
 
-def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0, exit_policy: str = "strict", c: Constraints = Constraints(), side: int = 1) -> DataFrame:  # noqa: B008
-    """trade_date, exit_date, gross, turnover, fee, net for a top-k portfolio rebalanced on every date of df."""
-    held = weights(select(df, k, c=c, ascending=side < 0), weighting, side=side).select("trade_date", "symbol", "weight", F.col("close").alias("entry_price"))
-    dated = held.join(F.broadcast(periods(df)), "trade_date")  # a row for each date
-    priced = exits(dated, df.select("symbol", "trade_date", "close"), exit_policy)
-    survivors = priced.filter("exit_price is not null")
-    made = period_returns(survivors).withColumn("gross", F.col("gross") * side).join(drifted_turnover(survivors), "trade_date")
-    made = made.withColumn("fee", bps_fee(F.col("turnover"), F.col("initial"), bps))
+def price_ahead(df: DataFrame) -> DataFrame:
+    """df with the symbol's own next date and its price then; one exchange by symbol."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    return df.withColumns({"_next": F.lead("trade_date").over(w), "_price": F.lead("close").over(w)})
+
+
+def evaluated(held: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, trade_date, exit_date, gross, turnover, initial for holdings (by, trade_date, exit_date, symbol, weight, entry_price, exit_price).
+
+    Names without an exit price fall out. Turnover is half the weight moved after the former weights have drifted with
+    prices; the first date is all bought. Dates are numbered over the holdings, a portfolio's rows for each date, so that a
+    name's former and next holding tell by their numbers whether it was kept.
+    """
+    by = list(by)
+    ok = held.filter("exit_price is not null and entry_price <> 0").withColumn("_i", F.dense_rank().over(Window.partitionBy(*by).orderBy("trade_date") if by else Window.orderBy("trade_date")))
+    value = F.col("weight") * F.col("exit_price") / F.col("entry_price")
+    ok = ok.withColumn("_drift", value / F.sum(value).over(Window.partitionBy(*by, "_i")))
+    own = Window.partitionBy(*by, "symbol").orderBy("_i")
+    before = F.when(F.lag("_i").over(own) == F.col("_i") - 1, F.lag("_drift").over(own))
+    gone = F.coalesce(F.lead("_i").over(own) != F.col("_i") + 1, F.lit(True))
+    ok = ok.withColumns({"_moved": F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0))), "_sold": F.when(gone, F.col("_drift")).otherwise(0.0)})
+    r = F.col("weight") * (F.col("exit_price") / F.col("entry_price") - 1)
+    day = ok.groupBy(*by, "trade_date", "exit_date", "_i").agg((F.sum(r) / F.sum("weight")).alias("gross"), F.sum("_moved").alias("_moved"), F.sum("_sold").alias("_sold"))
+    w = Window.partitionBy(*by).orderBy("_i") if by else Window.orderBy("_i")
+    moved = F.col("_moved") + F.coalesce(F.lag("_sold").over(w), F.lit(0.0))
+    first = F.col("_i") == 1
+    return day.select(*by, "trade_date", "exit_date", "gross", F.when(first, moved).otherwise(moved / 2).alias("turnover"), first.alias("initial"))
+
+
+def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0, exit_policy: str = "strict", c: Constraints = Constraints(), side: int = 1, short_k: int = 0, exit_: int = 0, entry: int = 0) -> DataFrame:  # noqa: B008
+    """trade_date, exit_date, gross, turnover, fee, net for a top-k portfolio rebalanced on every date of df.
+
+    side -1 sells the k worst short. With short_k both legs run and their returns, turnovers and fees add up; the short leg
+    takes no name of the long one, and a date without either leg has no period. exit_ and entry are the hysteresis of
+    the holdings. The table is read once, and exits are each symbol's own next row.
+    """
+    strict = exit_policy == "strict"
+    source = price_ahead(df) if strict else df
+
+    def leg(sign: int, many: int) -> DataFrame:
+        rows = source
+        if sign < 0 and short_k:
+            n = F.count(F.lit(1)).over(Window.partitionBy("trade_date"))
+            rows = rows.withColumn("_room", n - k)
+        rows = rows.withColumn("_score", sign * F.col("s"))
+        eligible_ = eligible(rows, c) if exit_ or entry else rows
+        held = buffered(eligible_, many, exit_, entry, "_score") if exit_ or entry else select(rows, many, "_score", c)
+        if sign < 0 and short_k:
+            held = held.filter("place <= _room")
+        kept = ["_next", "_price"] if strict else []
+        return weights(held, weighting, "_score").select(F.lit(sign).alias("side"), "trade_date", "symbol", "weight", F.col("close").alias("entry_price"), *kept)
+
+    legs = leg(1, k).unionByName(leg(-1, short_k)) if short_k else leg(side, k)
+    dated = legs.join(F.broadcast(periods(df)), "trade_date")  # a row for each date
+    if strict:
+        priced = dated.withColumn("exit_price", F.when(F.col("_next") == F.col("exit_date"), F.col("_price")))
+    else:
+        priced = exits(dated, df.select("symbol", "trade_date", "close"), exit_policy)
+    made = evaluated(priced, ["side"]).withColumn("fee", bps_fee(F.col("turnover"), F.col("initial"), bps)).withColumn("gross", F.col("gross") * F.col("side"))
+    if short_k:
+        both = made.groupBy("trade_date", "exit_date").agg(*(F.sum(x).alias(x) for x in ("gross", "turnover", "fee")), F.count(F.lit(1)).alias("_legs"))
+        made = both.filter("_legs = 2")
     return made.withColumn("net", F.col("gross") - F.col("fee")).select("trade_date", "exit_date", "gross", "turnover", "fee", "net")
 
 
+@dataclass(frozen=True)
+class Variant:
+    """One setting of a parameter grid."""
+
+    k: int
+    bps: float = 10.0
+    weighting: str = "equal"
+    exit_: int = 0
+    entry: int = 0
+
+    def name(self) -> str:
+        return f"k{self.k}_{self.weighting}_bps{self.bps:g}_x{self.exit_}_e{self.entry}"
+
+
+def grid(df: DataFrame, variants: Sequence[Variant]) -> DataFrame:
+    """One row for each variant: periods, mean gross, turnover, fee and net, total net return.
+
+    All variants share one ranking of the table; the grid is the broadcast side and meets only the first names of each date.
+    """
+    table = df.sparkSession.createDataFrame([(v.name(), v.k, float(v.bps), v.weighting, v.exit_, v.entry) for v in variants], "variant string, k int, bps double, weighting string, exit_ int, entry int")
+    most = max(v.k + max(0, v.exit_) for v in variants)
+    ranked = select(price_ahead(df), most).select("trade_date", "symbol", "s", "place", F.col("close").alias("entry_price"), "_next", "_price")
+    met = ranked.join(F.broadcast(table), F.col("place") <= F.col("k") + F.col("exit_"))
+    if any(v.exit_ or v.entry for v in variants):
+        fold = lambda pdf: _held_with_buffer(pdf, *(int(pdf[c].iloc[0]) for c in ("k", "exit_", "entry")))
+        met = met.groupBy("variant").applyInPandas(fold, met.schema)  # a portfolio's rows for each date
+    else:
+        met = met.filter("place <= k")
+    day = Window.partitionBy("variant", "trade_date")
+    z = F.coalesce(safe_div(F.col("s") - F.avg("s").over(day), F.stddev_pop("s").over(day)), F.lit(0.0))
+    met = met.withColumn("_e", F.exp(F.greatest(F.lit(-5.0), F.least(z, F.lit(5.0)))))
+    held = met.withColumn("weight", F.when(F.col("weighting") == "equal", 1 / F.count(F.lit(1)).over(day)).otherwise(F.col("_e") / F.sum("_e").over(day)))
+    held = held.join(F.broadcast(periods(df)), "trade_date").withColumn("exit_price", F.when(F.col("_next") == F.col("exit_date"), F.col("_price")))
+    made = evaluated(held, ["variant"]).join(F.broadcast(table.select("variant", "bps")), "variant")
+    fee = F.when(F.col("initial"), F.col("bps") / 1e4).otherwise(2 * F.col("turnover") * F.col("bps") / 1e4)
+    made = made.withColumn("fee", fee).withColumn("net", F.col("gross") - F.col("fee"))
+    return made.groupBy("variant").agg(F.count(F.lit(1)).alias("periods"), *(F.avg(x).alias(x) for x in ("gross", "turnover", "fee", "net")), (F.product(1 + F.col("net")) - 1).alias("total_return"))
+
+
 def capacity(prices: DataFrame, liquidity: list[str], participation: float, capital: float, tradable: str | None = None) -> DataFrame:
     """prices with capacity: the weight that can be traded in a day; 0 where untradable or unknown."""
     least = F.least(*(F.col(c) for c in liquidity)) if len(liquidity) > 1 else F.col(liquidity[0])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from ..functions.exprs import correlation, safe_div, sample_kurtosis, sample_skew
 
@@ -25,28 +28,75 @@ def nav(series: DataFrame, r: str = "r") -> DataFrame:
     return made.withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
 
 
-def summary(series: DataFrame, a_year: float, r: str = "r") -> DataFrame:
-    """One row: totals, annualised return and risk, ratios, tails, moments and the deepest drawdown."""
-    n = nav(series, r)
+def path(series: DataFrame, r: str = "r") -> DataFrame:
+    """series in order with its position, nav, the running maximum of nav and the drawdown from it. One row a period."""
+    made = series.filter(F.col(r).isNotNull()).withColumns({"position": F.row_number().over(Window.orderBy("trade_date")), "nav": F.product(1 + F.col(r)).over(so_far())})
+    made = made.withColumn("peak", F.max("nav").over(so_far()))
+    return made.withColumn("drawdown", F.when(F.col("nav") >= F.col("peak"), 0.0).otherwise(F.col("nav") / F.col("peak") - 1))
+
+
+TIMING = ("drawdown_duration", "recovery_time", "drawdown_duration_days", "recovery_time_days")
+
+
+def _timed(rows: DataFrame, trough: DataFrame) -> DataFrame:
+    """One row: dates and lengths of the deepest drawdown; trough holds its first lowest row."""
+    both = rows.crossJoin(F.broadcast(trough))  # one row
+    top = F.when((F.col("nav") == F.col("_peak")) & (F.col("position") <= F.col("_at")), F.struct("position", "trade_date"))
+    back = F.when((F.col("nav") >= F.col("_peak")) & (F.col("position") >= F.col("_at")), F.struct("position", "trade_date"))
+    made = both.groupBy("_at", "trough_date", "depth").agg(F.max(top).alias("_top"), F.min(back).alias("_back"))
+    return made.select(
+        F.col("_top.trade_date").alias("peak_date"), "trough_date", F.col("_back.trade_date").alias("recovery_date"), "depth",
+        (F.col("_at") - F.col("_top.position")).cast("double").alias("drawdown_duration"), (F.col("_back.position") - F.col("_at")).cast("double").alias("recovery_time"),
+        F.datediff("trough_date", "_top.trade_date").cast("double").alias("drawdown_duration_days"), F.datediff("_back.trade_date", "trough_date").cast("double").alias("recovery_time_days"),
+    )
+
+
+def _trough(rows: DataFrame) -> DataFrame:
+    low = F.min_by(F.struct("position", "trade_date", "peak", "drawdown"), F.struct("drawdown", "position"))
+    return rows.agg(low.alias("x")).filter("x is not null").select(F.col("x.position").alias("_at"), F.col("x.trade_date").alias("trough_date"), F.col("x.peak").alias("_peak"), F.col("x.drawdown").alias("depth"))
+
+
+def drawdown_timing(series: DataFrame, r: str = "r") -> DataFrame:
+    """One row: depth, dates and lengths (periods, days) from the last peak to the deepest trough and back; no recovery is null."""
+    rows = path(series, r)
+    return _timed(rows, _trough(rows))
+
+
+def summary(series: DataFrame, days_a_year: float, r: str = "r") -> DataFrame:
+    """One row of 22 figures of a series (trade_date, r, entry_idx, exit_idx, planned_exit_idx), a row for each period.
+
+    Years are counted in trading days: the whole return over those from the first entry to the last exit, deviations over the
+    mean holding. Null figures are those that the series is too short or too even for.
+    """
+    rows = path(series, r)
     v = F.col(r)
-    worst = n.select(F.percentile(r, 0.05).alias("_v"))
-    tail = n.join(F.broadcast(worst))
-    made = tail.agg(
+    worst = F.percentile(r, 0.05).over(Window.partitionBy())  # a row for each period
+    hold, lag = F.col("exit_idx") - F.col("entry_idx"), F.greatest(F.col("exit_idx") - F.col("planned_exit_idx"), F.lit(0))
+    made = rows.withColumn("_v", worst).agg(
         F.count(r).alias("periods"), compounded(r).alias("total_return"), F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"), F.min("drawdown").alias("max_drawdown"),
+        F.avg(hold).alias("avg_holding"), (F.max_by("exit_idx", "trade_date") - F.min_by("entry_idx", "trade_date")).alias("_days"), F.sqrt(F.avg(F.least(v, F.lit(0.0)) * F.least(v, F.lit(0.0)))).alias("_down"),
         sample_skew(r).alias("skew"), sample_kurtosis(r).alias("kurtosis"), F.max("_v").alias("var_95"), F.avg(F.when(v <= F.col("_v"), v)).alias("cvar_95"),
-        F.sqrt(F.avg(F.least(v, F.lit(0.0)) * F.least(v, F.lit(0.0)))).alias("_down"), F.avg((v > 0).cast("double")).alias("win_rate"), F.max(r).alias("best"), F.min(r).alias("worst"),
+        F.avg(lag).alias("avg_exit_lag_days"), F.max(lag).cast("double").alias("max_exit_lag_days"), F.count_if(lag > 0).alias("periods_with_delayed_exit"), F.avg((lag > 0).cast("double")).alias("delayed_exit_ratio"),
+        F.min_by(F.struct("position", "trade_date", "peak", "drawdown"), F.struct("drawdown", "position")).alias("_low"),
+        F.sort_array(F.collect_list(F.struct("position", "trade_date", "nav"))).alias("_path"),
     )
-    made = made.withColumn("ann_return", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), safe_div(F.lit(a_year), F.col("periods"))) - 1)).withColumn("ann_vol", F.col("_std") * a_year**0.5)
-    made = made.withColumn("sharpe", safe_div(F.col("_mean") * a_year**0.5, "_std")).withColumn("sortino", safe_div(F.col("_mean") * a_year**0.5, "_down")).withColumn("calmar", safe_div("ann_return", F.abs("max_drawdown")))
-    return made.drop("_mean", "_std", "_down")
+    a_year = safe_div(F.lit(days_a_year), F.when(F.col("avg_holding") > 0, F.col("avg_holding")))
+    ratio = lambda d: F.when(F.col(d) > 0, F.col("_mean") / F.col(d) * F.sqrt("periods_per_year"))
+    made = made.withColumn("periods_per_year", a_year).withColumns({
+        "ann_return": F.when(F.col("_days") > 0, F.pow(1 + F.col("total_return"), days_a_year / F.col("_days")) - 1),
+        "ann_vol": F.when(F.col("_std") > 0, F.col("_std") * F.sqrt("periods_per_year")), "sharpe": ratio("_std"), "sortino": ratio("_down"),
+        "_top": F.try_element_at(F.filter("_path", lambda x: (x["position"] <= F.col("_low.position")) & (x["nav"] == F.col("_low.peak"))), F.lit(-1)),
+        "_back": F.try_element_at(F.filter("_path", lambda x: (x["position"] >= F.col("_low.position")) & (x["nav"] >= F.col("_low.peak"))), F.lit(1)),
+    })
+    made = made.withColumns({
+        "calmar": F.when(F.col("max_drawdown") < 0, F.col("ann_return") / F.abs("max_drawdown")),
+        "drawdown_duration": (F.col("_low.position") - F.col("_top.position")).cast("double"), "recovery_time": (F.col("_back.position") - F.col("_low.position")).cast("double"),
+        "drawdown_duration_days": F.datediff("_low.trade_date", "_top.trade_date").cast("double"), "recovery_time_days": F.datediff("_back.trade_date", "_low.trade_date").cast("double"),
+    })
+    return made.select(*SUMMARY)
 
 
-def drawdown_timing(series: DataFrame, r: str = "r") -> DataFrame:
-    """One row: depth, peak, trough and recovery dates of the deepest drawdown; no recovery is null."""
-    n = nav(series, r)
-    low = n.orderBy("drawdown", "trade_date").limit(1).select(F.col("trade_date").alias("trough_date"), F.col("drawdown").alias("depth"), F.col("peak").alias("_peak"))
-    both = n.join(F.broadcast(low))
-    return both.groupBy("trough_date", "depth").agg(F.min(F.when((F.col("nav") == F.col("_peak")) & (F.col("trade_date") <= F.col("trough_date")), F.col("trade_date"))).alias("peak_date"), F.min(F.when((F.col("nav") >= F.col("_peak")) & (F.col("trade_date") > F.col("trough_date")), F.col("trade_date"))).alias("recovery_date"))
+SUMMARY = ("periods", "total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown", "avg_holding", "periods_per_year", "sortino", "calmar", *TIMING, "skew", "kurtosis", "var_95", "cvar_95", "avg_exit_lag_days", "max_exit_lag_days", "periods_with_delayed_exit", "delayed_exit_ratio")
 
 
 def episodes(series: DataFrame, r: str = "r", most: int = 10) -> DataFrame:
@@ -61,15 +111,19 @@ def resampled(series: DataFrame, unit: str, r: str = "r") -> DataFrame:
     return series.groupBy(F.trunc("trade_date", unit).alias("trade_date")).agg(compounded(r).alias("r"))
 
 
-def active(series: DataFrame, benchmark: DataFrame, a_year: float) -> DataFrame:
-    """One row over dates in both: tracking error, information ratio, beta, alpha, correlation, relative return."""
-    both = series.select("trade_date", F.col("r").alias("a")).join(benchmark.select("trade_date", F.col("r").alias("b")), "trade_date").filter("a is not null and b is not null")
+def _active(both: GroupedData, a_year: float) -> DataFrame:
     gap = F.col("a") - F.col("b")
     made = both.agg(F.count(F.lit(1)).alias("periods"), F.avg(gap).alias("_m"), F.stddev_samp(gap).alias("_s"), safe_div(F.covar_samp("a", "b"), F.var_samp("b")).alias("beta"), F.avg("a").alias("_a"), F.avg("b").alias("_b"), correlation("a", "b").alias("corr"), (F.product(1 + F.col("a")) / F.product(1 + F.col("b")) - 1).alias("relative_return"))
     made = made.withColumn("tracking_error", F.col("_s") * a_year**0.5).withColumn("information_ratio", safe_div(F.col("_m") * a_year**0.5, "_s"))
     return made.withColumn("alpha", (F.col("_a") - F.col("beta") * F.col("_b")) * a_year).drop("_m", "_s", "_a", "_b")
 
 
+def active(series: DataFrame, benchmark: DataFrame, a_year: float) -> DataFrame:
+    """One row over dates in both: tracking error, information ratio, beta, alpha, correlation, relative return."""
+    both = series.select("trade_date", F.col("r").alias("a")).join(benchmark.select("trade_date", F.col("r").alias("b")), "trade_date").filter("a is not null and b is not null")
+    return _active(both.groupBy(), a_year)
+
+
 def rolling_cagr(series: DataFrame, n: int, a_year: float, r: str = "r") -> DataFrame:
     w = Window.orderBy("trade_date").rowsBetween(-(n - 1), 0)
     return series.select("trade_date", F.when(F.count(r).over(w) >= n, F.pow(F.product(1 + F.col(r)).over(w), F.lit(a_year / n)) - 1).alias("cagr"))
@@ -88,10 +142,48 @@ def rolling_drawdown(series: DataFrame, n: int, r: str = "r") -> DataFrame:
     return series.select("trade_date", F.when(F.count(r).over(w) >= n, F.aggregate(F.collect_list(r).over(w), start, step)["low"]).alias("max_drawdown"))
 
 
-def ladder(series: DataFrame, benchmarks: dict[str, DataFrame], a_year: float) -> DataFrame:
-    """Active statistics against each named benchmark, with a status."""
-    out = None
-    for name, b in benchmarks.items():
-        one = active(series, b, a_year).withColumn("benchmark", F.lit(name)).withColumn("status", F.when(F.col("periods") > 1, "ok").otherwise("incompatible"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def ladder(series: DataFrame, benchmarks: DataFrame, a_year: float, names: Sequence[str]) -> DataFrame:
+    """Active statistics against each benchmark of a long table (benchmark, trade_date, r): one row for each name.
+
+    status: ok, incompatible (fewer than two common dates) or missing (no row at all). One join serves all benchmarks.
+    """
+    both = series.select("trade_date", F.col("r").alias("a")).join(benchmarks.select("benchmark", "trade_date", F.col("r").alias("b")), "trade_date").filter("a is not null and b is not null")
+    have = benchmarks.groupBy("benchmark").agg(F.count(F.lit(1)).alias("rows"))
+    listed = series.sparkSession.createDataFrame([(n,) for n in names], "benchmark string")
+    made = listed.join(have, "benchmark", "left").join(_active(both.groupBy("benchmark"), a_year), "benchmark", "left")
+    status = F.when(F.col("rows").isNull(), "missing").when(F.coalesce("periods", F.lit(0)) < 2, "incompatible").otherwise("ok")
+    return made.withColumn("status", status).withColumn("periods", F.coalesce("periods", F.lit(0))).drop("rows")
+
+
+def benchmark_series(spans: DataFrame, returns: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """spans (entry_date, exit_date) with r: a return series' value on the exit date, or the exit price over the entry price.
+
+    Periods without data fall out. returns has trade_date and r; prices trade_date and close, one row a date.
+    """
+    if returns is not None:
+        return spans.join(returns.select(F.col("trade_date").alias("exit_date"), "r"), "exit_date").filter("r is not null").select("entry_date", "exit_date", "r")
+    at = lambda d: prices.select(F.col("trade_date").alias(d), F.col("close").alias(f"_{d}"))
+    both = spans.join(at("entry_date"), "entry_date").join(at("exit_date"), "exit_date")
+    return both.withColumn("r", safe_div("_exit_date", "_entry_date") - 1).filter("r is not null").select("entry_date", "exit_date", "r")
+
+
+def report(series: DataFrame, benchmark: DataFrame, n: int, a_year: float) -> DataFrame:
+    """trade_date, r, nav, drawdown, benchmark_nav, active, relative_nav, rolling_sharpe; a date without benchmark has nulls."""
+    both = series.select("trade_date", "r").join(benchmark.select("trade_date", F.col("r").alias("b")), "trade_date", "left")
+    made = nav(both)
+    w = Window.orderBy("trade_date").rowsBetween(-(n - 1), 0)
+    made = made.withColumn("benchmark_nav", F.when(F.col("b").isNotNull(), F.product(1 + F.coalesce("b", F.lit(0.0))).over(so_far())))
+    sharpe = F.when(F.count("r").over(w) >= n, safe_div(F.avg("r").over(w), F.stddev_samp("r").over(w)) * a_year**0.5)
+    return made.select("trade_date", "r", "nav", "drawdown", "benchmark_nav", (F.col("r") - F.col("b")).alias("active"), safe_div("nav", "benchmark_nav").alias("relative_nav"), sharpe.alias("rolling_sharpe"))
+
+
+def last_periods(runs: DataFrame, windows: Sequence[int], a_year: float) -> DataFrame:
+    """run, window and the statistics of each run's last so many periods: periods, mean, sharpe, information ratio, turnover.
+
+    runs: run, trade_date, r, b (benchmark), turnover. All windows are read off one numbering of each run's dates.
+    """
+    back = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("trade_date")))
+    table = runs.sparkSession.createDataFrame([(int(w),) for w in windows], "window int")
+    met = runs.withColumn("_n", back).filter(F.col("_n") <= max(windows)).join(F.broadcast(table), F.col("_n") <= F.col("window"))
+    gap = F.col("r") - F.col("b")
+    return met.groupBy("run", "window").agg(F.count("r").alias("periods"), F.avg("r").alias("mean"), (safe_div(F.avg("r"), F.stddev_samp("r")) * a_year**0.5).alias("sharpe"), (safe_div(F.avg(gap), F.stddev_samp(gap)) * a_year**0.5).alias("information_ratio"), F.avg("turnover").alias("turnover"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -103,30 +104,78 @@ def cross_up(c: str, trigger: str) -> Column:
     return F.coalesce((F.col(c) >= F.lag(trigger).over(w)) & (F.lag(c).over(w) < F.lag(trigger, 2).over(w)), F.lit(False))
 
 
-def _fold(df: DataFrame, c: str, start: Column, step, name: str, kind: str) -> DataFrame:
-    """A recurrence along each symbol, in the JVM: the state after each row."""
-    rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("trade_date", c))).alias("rows"))
-    state = F.aggregate("rows", F.array().cast(f"array<{kind}>"), lambda acc, x: F.array_append(acc, step(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(start), x[c])))
-    both = rows.select("symbol", F.explode(F.arrays_zip(F.col("rows"), state.alias("state"))).alias("z"))
-    return both.select("symbol", F.col("z.rows.trade_date").alias("trade_date"), F.col("z.rows." + c).alias(c), F.col("z.state").alias(name))
+def _smoothed(df: DataFrame, c: str, alpha: float, name: str) -> DataFrame:
+    """df with name: the exponential mean along each symbol, started at the first value; nulls carry the mean on.
+
+    A recurrence has no window form that keeps its precision, so each symbol's rows are one group, read in date order; a
+    symbol's history bounds it.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        known = pdf[c].notna()
+        pdf[name] = pdf.loc[known, c].ewm(alpha=alpha, adjust=False).mean().reindex(pdf.index).ffill()
+        return pdf
+
+    return df.groupBy("symbol").applyInPandas(one, df.withColumn(name, F.lit(None).cast("double")).schema)
 
 
 def ema(df: DataFrame, c: str, n: int, name: str) -> DataFrame:
-    """symbol, trade_date, c, name: exponential mean with weight 2 / (n + 1), started at the first value."""
-    a = 2 / (n + 1)
-    return _fold(df, c, F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), v).when(v.isNull(), s).otherwise(s + a * (v - s)), name, "double")
+    """df with name: exponential mean with weight 2 / (n + 1), started at the first value."""
+    return _smoothed(df, c, 2 / (n + 1), name)
 
 
 def macd_hist(df: DataFrame, c: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """symbol, trade_date, macd_hist; every mean starts at its first value."""
-    both = ema(df, c, fast, "f").drop(c).join(ema(df, c, slow, "s").drop(c), ["symbol", "trade_date"]).withColumn("macd", F.col("f") - F.col("s"))
-    return ema(both, "macd", signal, "line").select("symbol", "trade_date", (F.col("macd") - F.col("line")).alias("macd_hist"))
+    """symbol, trade_date, macd_hist; every mean starts at its first value. The three means share one group of each symbol."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        mean = lambda x, n: x.ewm(alpha=2 / (n + 1), adjust=False).mean().ffill()
+        macd = mean(pdf[c], fast) - mean(pdf[c], slow)
+        return pdf[["symbol", "trade_date"]].assign(macd_hist=macd - mean(macd, signal))
+
+    kinds = df.select("symbol", "trade_date", F.lit(None).cast("double").alias("macd_hist")).schema
+    return df.select("symbol", "trade_date", c).groupBy("symbol").applyInPandas(one, kinds)
 
 
 def rsi(df: DataFrame, c: str = "close", n: int = 14) -> DataFrame:
-    """symbol, trade_date, rsi: gains and losses smoothed with weight 1 / n, started at the first change."""
-    moved = df.withColumn("_d", delta(c)).filter("_d is not null").withColumn("_m", F.struct(F.greatest("_d", F.lit(0.0)).alias("up"), F.greatest(-F.col("_d"), F.lit(0.0)).alias("down")))
-    a = 1 / n
-    mean = lambda s, v, k: s[k] + a * (v[k] - s[k])
-    out = _fold(moved, "_m", F.lit(None).cast("struct<up:double,down:double>"), lambda s, v: F.when(s.isNull(), v).otherwise(F.struct(mean(s, v, "up").alias("up"), mean(s, v, "down").alias("down"))), "m", "struct<up:double,down:double>")
-    return out.select("symbol", "trade_date", (100 * safe_div("m.up", F.col("m.up") + F.col("m.down"))).alias("rsi"))
+    """symbol, trade_date, rsi: gains and losses smoothed with weight 1 / n from the first change on; null until n changes are known."""
+    moved = df.select("symbol", "trade_date", delta(c).alias("_d")).filter("_d is not null")
+    moved = moved.select("symbol", "trade_date", F.greatest("_d", F.lit(0.0)).alias("_up"), F.greatest(-F.col("_d"), F.lit(0.0)).alias("_down"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        up, down = (pdf[x].ewm(alpha=1 / n, adjust=False, min_periods=n).mean() for x in ("_up", "_down"))
+        return pdf[["symbol", "trade_date"]].assign(rsi=100 * up / (up + down).where(up + down > 0))
+
+    return moved.groupBy("symbol").applyInPandas(one, moved.select("symbol", "trade_date", F.lit(None).cast("double").alias("rsi")).schema)
+
+
+def calendar_stat(c: ColumnOrName, years: int, stat: str, least: int = 2) -> Column:
+    """mean, std (sample), median or positive_ratio of the values of the last so many calendar years, the row's own included.
+
+    The window goes by date: from the same day `years` before, exclusive. Null below `least` values.
+    """
+    day = F.col("trade_date")
+    w = Window.partitionBy("symbol").orderBy(F.year(day) * 12 * 31 + F.month(day) * 31 + F.dayofmonth(day)).rangeBetween(-(years * 12 * 31) + 1, 0)
+    x = col(c)
+    made = {"mean": F.avg(x), "std": F.stddev_samp(x), "median": F.percentile(x, 0.5), "positive_ratio": F.avg((x > 0).cast("double"))}[stat]
+    return F.when(F.count(x).over(w) >= least, made.over(w))
+
+
+def calendar_cagr(df: DataFrame, c: str, years: int, name: str = "cagr") -> DataFrame:
+    """df with the yearly growth of c since the latest row at least `years` calendar years back; null unless both are above 0."""
+    from .joins import asof
+
+    back = df.withColumn("_then", F.add_months("trade_date", -12 * years))
+    old = df.filter(F.col(c).isNotNull()).select("symbol", F.col("trade_date").alias("_then"), F.col(c).alias("_old"))
+    both = asof(back, old, ["symbol"], "_then", ["_old"])
+    good = (F.col("_old") > 0) & (F.col(c) > 0)
+    return both.withColumn(name, F.when(good, F.pow(F.col(c) / F.col("_old"), F.lit(1 / years)) - 1)).drop("_then", "_old")
+
+
+def session_bars(ticks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """by with open, high, low, close, n, volume, amount and vwap of ticks (price, size); vwap is null without volume."""
+    at, worth = F.struct(*order), F.col("price") * F.col("size")
+    made = ticks.groupBy(*by).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"), F.sum(worth).alias("amount"))
+    return made.withColumn("vwap", safe_div("amount", "volume"))

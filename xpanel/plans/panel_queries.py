@@ -90,7 +90,10 @@ _window_query("rolling_beta", lambda p: TS.with_return(p).withColumn("mkt", F.av
 _window_query("sample_weight_date", lambda p: p.withColumn("v", 1 / F.count(F.lit(1)).over(CS.by_date())), f"1.0 / count(*) OVER {_DAY}")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PM}, o AS (SELECT symbol, trade_date, close - lag(close) OVER ({W}) AS d, row_number() OVER ({W}) - 1 AS n FROM pm),
+e AS (SELECT symbol, n, trade_date, greatest(d, 0) AS up, greatest(-d, 0) AS down FROM o WHERE n = 1
+  UNION ALL SELECT o.symbol, o.n, o.trade_date, e.up + (greatest(o.d, 0) - e.up) / 6, e.down + (greatest(-o.d, 0) - e.down) / 6 FROM e JOIN o ON o.symbol = e.symbol AND o.n = e.n + 1)
+SELECT trade_date, symbol, round(CASE WHEN n >= 6 AND up + down > 0 THEN 100 * up / (up + down) END, 6) AS rsi FROM e""")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(TS.rsi(monthly(spark, sf_dir), "close", 6), "rsi")
 
@@ -103,15 +106,22 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(TS.ema(monthly(spark, sf_dir), "close", 12, "ema"), "ema")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PM}, o AS (SELECT symbol, trade_date, close, row_number() OVER ({W}) AS n FROM pm),
+e AS (SELECT symbol, n, trade_date, close AS f, close AS s, 0.0::DOUBLE AS line FROM o WHERE n = 1
+  UNION ALL SELECT symbol, n, trade_date, f, s, line + 2.0 / 10 * ((f - s) - line) FROM (
+    SELECT o.symbol, o.n, o.trade_date, e.f + 2.0 / 13 * (o.close - e.f) AS f, e.s + 2.0 / 27 * (o.close - e.s) AS s, e.line FROM e JOIN o ON o.symbol = e.symbol AND o.n = e.n + 1))
+SELECT trade_date, symbol, round(f - s - line, 6) AS macd_hist FROM e""")
 def macd_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(TS.macd_hist(monthly(spark, sf_dir)), "macd_hist")
 
 
-@query(None)
+@query(f"""WITH {PM}, a AS (SELECT trade_date, symbol, close - avg(close) OVER d AS y, vol - avg(vol) OVER d AS x1, ln(1 + vol) - avg(ln(1 + vol)) OVER d AS x2, count(*) OVER d AS n, close FROM pm WINDOW d AS (PARTITION BY trade_date)),
+b AS (SELECT *, x2 - coalesce(sum(x1 * x2) OVER d / nullif(sum(x1 * x1) OVER d, 0), 0) * x1 AS z2, y - coalesce(sum(x1 * y) OVER d / nullif(sum(x1 * x1) OVER d, 0), 0) * x1 AS y2, sum(x2 * x2) OVER d AS s2 FROM a WINDOW d AS (PARTITION BY trade_date)),
+c AS (SELECT *, sum(z2 * z2) OVER d AS q, sum(z2 * y2) OVER d AS p FROM b WINDOW d AS (PARTITION BY trade_date))
+SELECT trade_date, symbol, round(CASE WHEN n < 3 THEN close ELSE y2 - CASE WHEN q > 1e-10 * s2 THEN p / q * z2 ELSE 0 END END, 5) AS neutral FROM c""")
 def neutralize_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = CS.neutralize(monthly(spark, sf_dir).withColumn("lv", F.log1p("vol")), "close", ["vol", "lv"])
-    return _rounded(made, "neutral")
+    return made.select("trade_date", "symbol", F.round("neutral", 5).alias("neutral"))
 
 
 @query(f"WITH {PM} SELECT trade_date, symbol, n FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM pm) WHERE n >= 9")
@@ -232,20 +242,19 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overlay(p, _fundamentals(p).withColumnRenamed("revenue", "amount"), ["trade_date", "symbol"], ["amount"]).select("trade_date", "symbol", "amount")
 
 
-@query(f"WITH {PM} SELECT symbol, max_by(close, trade_date) AS value FROM pm WHERE trade_date <= DATE '1998-06-15' GROUP BY symbol")
+@query(f"WITH {PM} SELECT symbol, max_by(close, trade_date) FILTER (close IS NOT NULL) AS value FROM pm WHERE trade_date <= DATE '1998-06-15' GROUP BY symbol")
 def value_lookup_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly(spark, sf_dir).filter("trade_date <= date'1998-06-15'").groupBy("symbol").agg(F.max_by("close", "trade_date").alias("value"))
+    return J.value_at(monthly(spark, sf_dir), "symbol", "close", "1998-06-15")
 
 
 @query(f"WITH {PM} SELECT symbol, close AS value FROM pm WHERE trade_date = DATE '1998-06-01'")
 def value_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly(spark, sf_dir).filter("trade_date = date'1998-06-01'").select("symbol", F.col("close").alias("value"))
+    return J.value_at(monthly(spark, sf_dir), "symbol", "close", "1998-06-01", exact=True)
 
 
 @query(f"WITH {PM}, {_UNI}, lst AS (SELECT DISTINCT rebalance_date FROM uni ORDER BY 1 DESC LIMIT 2), a AS (SELECT symbol FROM uni WHERE rebalance_date = (SELECT max(rebalance_date) FROM lst)), b AS (SELECT symbol FROM uni WHERE rebalance_date = (SELECT min(rebalance_date) FROM lst)) SELECT symbol FROM a WHERE symbol NOT IN (SELECT symbol FROM b)")
 def new_members_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _universe(monthly(spark, sf_dir)).withColumn("n", F.dense_rank().over(Window.orderBy(F.desc("rebalance_date"))))
-    return u.filter("n = 1").select("symbol").join(u.filter("n = 2").select("symbol"), "symbol", "left_anti")
+    return J.newcomers(_universe(monthly(spark, sf_dir)), "rebalance_date", "symbol")
 
 
 @query(f"""WITH {PM}, d AS (SELECT DISTINCT trade_date FROM pm ORDER BY 1 DESC LIMIT 2), n AS (SELECT symbol, vol FROM pm WHERE trade_date = (SELECT max(trade_date) FROM d) AND vol > 0 AND CAST(vol AS BIGINT) % 3 <> 0), o AS (SELECT symbol, vol FROM pm WHERE trade_date = (SELECT min(trade_date) FROM d) AND vol > 0 AND CAST(vol AS BIGINT) % 3 <> 0)
@@ -269,10 +278,10 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.keep_last(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], first=True).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query(f"WITH {EV} SELECT symbol, trade_date, arg_min(price, (ts, event_id)) AS open, arg_max(price, (ts, event_id)) AS close, max(price) AS high, min(price) AS low, count(*) AS n, round(sum(price), 4) AS amount, round(sum(price * price) / nullif(sum(price), 0), 6) AS vwap FROM ev GROUP BY 1, 2")
+@query(f"WITH {EV} SELECT symbol, trade_date, arg_min(price, (ts, event_id)) AS open, arg_max(price, (ts, event_id)) AS close, max(price) AS high, min(price) AS low, count(*) AS n, CAST(sum(event_id % 90 + 10) AS DOUBLE) AS volume, round(sum(price * (event_id % 90 + 10)), 4) AS amount, round(sum(price * (event_id % 90 + 10)) / sum(event_id % 90 + 10), 6) AS vwap FROM ev GROUP BY 1, 2")
 def session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct("ts", "event_id")
-    return intraday(spark, sf_dir).groupBy("symbol", "trade_date").agg(F.min_by("price", at).alias("open"), F.max_by("price", at).alias("close"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("amount"), F.round(F.try_divide(F.sum(F.col("price") * F.col("price")), F.sum("price")), 6).alias("vwap"))
+    ticks = intraday(spark, sf_dir).withColumn("size", (F.col("event_id") % 90 + 10).cast("double"))
+    return _rounded(TS.session_bars(ticks, ("symbol", "trade_date"), ("ts", "event_id")), "open", "close", "high", "low", "n", "volume", "amount", "vwap", keys=("symbol", "trade_date")).withColumns({"n": F.col("n").cast("long"), "amount": F.round("amount", 4)})
 
 
 def snapshot(df: DataFrame, c: str) -> DataFrame:
@@ -287,11 +296,12 @@ def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PM}, d AS (SELECT symbol, avg(amount) AS adv FROM pm GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY adv, symbol) AS p, count(*) OVER () AS n FROM d), b AS (SELECT *, CAST(greatest(0, ceil((p - 1) * 5.0 / (n - 1)) - 1) AS INTEGER) AS bucket FROM r)
-SELECT bucket, count(*) AS n, round(min(adv), 4) AS lo, round(quantile_cont(adv, 0.5), 4) AS mid, round(max(adv), 4) AS hi FROM b GROUP BY bucket""")
+SELECT bucket, count(*) AS n, round(min(adv), 4) AS lo, round(quantile_cont(adv, 0.5), 4) AS mid, round(quantile_cont(adv, 0.75), 4) AS p75, round(quantile_cont(adv, 0.9), 4) AS p90, round(max(adv), 4) AS hi FROM b GROUP BY bucket""")
 def liquidity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = monthly(spark, sf_dir).groupBy("symbol").agg(F.avg("amount").alias("adv"))
-    placed = d.withColumn("p", F.row_number().over(Window.orderBy("adv", "symbol"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each symbol
-    return placed.withColumn("bucket", X.quantile_bucket("p", "n", 5)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("adv"), 4).alias("lo"), F.round(F.percentile("adv", 0.5), 4).alias("mid"), F.round(F.max("adv"), 4).alias("hi"))
+    placed = CS.numbered(d, "adv", "symbol")
+    q = lambda p: F.round(F.percentile("adv", p), 4)
+    return placed.withColumn("bucket", X.quantile_bucket("position", "n", 5)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("adv"), 4).alias("lo"), q(0.5).alias("mid"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.round(F.max("adv"), 4).alias("hi"))
 
 
 @query(f"WITH {_HOLES} SELECT 'hole' AS feature, count(*) - count(hole) AS missing, count(DISTINCT CASE WHEN hole IS NOT NULL THEN trade_date END) AS dates, round(100.0 * (count(*) - count(hole)) / count(*), 6) AS missing_pct FROM y UNION ALL SELECT 'vol', count(*) - count(vol), count(DISTINCT CASE WHEN vol IS NOT NULL THEN trade_date END), round(100.0 * (count(*) - count(vol)) / count(*), 6) FROM y")
@@ -355,12 +365,24 @@ def calendar_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.month("trade_date") != 2).intersect(d.filter(F.month("trade_date") != 5)).exceptAll(d.filter(F.year("trade_date") == 1996))
 
 
-_RATIOS = {"amount_per_unit": ("amount", "vol"), "share_of_price": ("close", "amount"), "turn": ("vol", "amount")}
+# statement items made of the panel's columns, so that every ratio has its inputs
+_ITEMS = {
+    "revenue": "amount", "net_profit": "amount * 0.1 - vol", "operating_profit": "amount * 0.15 - vol", "cash_flow_from_operating_activities": "amount * 0.12 - close", "total_assets": "amount + close * 100", "total_liabilities": "close * 60", "total_equity": "amount - close * 20",
+    "cash_and_equivalents": "vol * 10", "goodwill": "close", "accounts_receivable": "amount * 0.2", "inventory": "vol * 5", "current_assets": "amount * 0.5", "current_liabilities": "close * 30", "total_debt": "close * 40",
+}
+_RATIO_SQL = {
+    "profit_margin": "net_profit / nullif(revenue, 0)", "operating_margin": "operating_profit / nullif(revenue, 0)", "cfo_margin": "cash_flow_from_operating_activities / nullif(revenue, 0)", "cfo_to_profit": "cash_flow_from_operating_activities / nullif(net_profit, 0)",
+    "asset_turnover": "revenue / nullif(total_assets, 0)", "roa": "net_profit / nullif(total_assets, 0)", "leverage": "total_liabilities / nullif(total_assets, 0)", "cfo_to_assets": "cash_flow_from_operating_activities / nullif(total_assets, 0)",
+    "debt_to_assets": "total_debt / nullif(total_assets, 0)", "debt_to_equity": "total_debt / nullif(total_equity, 0)", "cash_to_assets": "cash_and_equivalents / nullif(total_assets, 0)", "goodwill_to_assets": "goodwill / nullif(total_assets, 0)",
+    "accrual_ratio": "(net_profit - cash_flow_from_operating_activities) / nullif(total_assets, 0)", "receivables_to_revenue": "accounts_receivable / nullif(revenue, 0)", "inventory_to_revenue": "inventory / nullif(revenue, 0)",
+    "working_capital_to_assets": "(current_assets - current_liabilities) / nullif(total_assets, 0)", "net_debt_to_assets": "(total_debt - cash_and_equivalents) / nullif(total_assets, 0)",
+}
 
 
-@query(f"WITH {PM} SELECT trade_date, symbol, " + ", ".join(f"round({a} / nullif({b}, 0), {R}) AS {n}" for n, (a, b) in _RATIOS.items()) + " FROM pm")
+@query(f"WITH {PM}, st AS (SELECT trade_date, symbol, " + ", ".join(f"{e} AS {n}" for n, e in _ITEMS.items()) + " FROM pm) SELECT trade_date, symbol, " + ", ".join(f"round({e}, {R}) AS {n}" for n, e in _RATIO_SQL.items()) + " FROM st")
 def ratio_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly(spark, sf_dir).select("trade_date", "symbol", *(F.round(X.safe_div(a, b), R).alias(n) for n, (a, b) in _RATIOS.items()))
+    items = monthly(spark, sf_dir).select("trade_date", "symbol", *(F.expr(e).alias(n) for n, e in _ITEMS.items()))
+    return _rounded(items.select("trade_date", "symbol", *(r.alias(n) for n, r in X.financial_ratios(items.columns).items())), *_RATIO_SQL)
 
 
 @query(f"WITH {PM}, {SC}, x AS (SELECT count(*) AS n, max(trade_date) AS last FROM sc), d AS (SELECT trade_date, pow(0.5, date_diff('day', trade_date, last) / 365.0) AS raw FROM (SELECT DISTINCT trade_date FROM sc), x), m AS (SELECT avg(raw) AS mean FROM d) SELECT sc.trade_date, symbol, round(raw / mean / count(*) OVER (PARTITION BY sc.trade_date), 9) AS weight FROM sc JOIN d USING (trade_date), m")

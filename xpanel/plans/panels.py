@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class PanelSpec:
-    """Which columns of a table play which role; any table becomes a canonical panel."""
-
-    date: str
-    symbol: str
-    price: str = "close"
-    volume: str | None = "vol"
-    amount: str | None = "amount"
-    extras: tuple[str, ...] = ()
-
-    def canonical(self, df: DataFrame) -> DataFrame:
-        """Validated, projected and normalised: dates as DATE, symbols stripped, null keys dropped, numbers as double."""
-        wanted = [self.date, self.symbol, self.price, *(c for c in (self.volume, self.amount) if c), *self.extras]
-        missing = [c for c in dict.fromkeys(wanted) if c not in df.columns]
-        if missing:
-            raise ValueError(f"missing columns: {', '.join(missing)}")
-        named = [F.col(self.date).cast("date").alias("trade_date"), F.trim(F.col(self.symbol).cast("string")).alias("symbol"), F.col(self.price).cast("double").alias("close")]
-        named += [F.col(c).cast("double").alias(n) for c, n in ((self.volume, "vol"), (self.amount, "amount")) if c]
-        return df.select(*named, *self.extras).filter("trade_date is not null and symbol is not null")
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -71,12 +47,30 @@ SUP = """sup AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_acctbal AS cap,
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 EV = """ev AS (SELECT CAST(user_id AS VARCHAR) AS symbol, ts, CAST(ts AS DATE) AS trade_date, CAST(value AS DOUBLE) AS price, event_id
   FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL)"""
+IX = f"""{PW}, lv AS (SELECT trade_date, avg(close) AS close FROM pw GROUP BY 1),
+lx AS (SELECT *, row_number() OVER (ORDER BY trade_date) - 1 AS idx, max(trade_date) OVER (PARTITION BY date_trunc('month', trade_date)) AS last FROM lv),
+ix0 AS (SELECT trade_date, lag(idx) OVER (ORDER BY trade_date) AS entry_idx, idx + CASE WHEN idx % 5 = 0 THEN 1 ELSE 0 END AS exit_idx, idx AS planned_exit_idx, round(close / lag(close) OVER (ORDER BY trade_date) - 1, 8) AS r FROM lx WHERE trade_date = last),
+ix AS (SELECT * FROM ix0 WHERE r IS NOT NULL)"""
 W = "PARTITION BY symbol ORDER BY trade_date"
 #: signal (three-month return) and one-month forward return, complete rows only
 SC = f"""sg AS (SELECT *, close / nullif(lag(close, 3) OVER ({W}), 0) - 1 AS signal, lead(close) OVER ({W}) / nullif(close, 0) - 1 AS target FROM pm),
 sc AS (SELECT *, round(signal, 8) AS s, round(target, 8) AS t FROM sg WHERE signal IS NOT NULL AND target IS NOT NULL)"""
 
 
+def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trade_date, entry_idx, exit_idx, planned_exit_idx, r: the mean weekly price from month's end to month's end; gains, losses and recoveries.
+
+    One row for each month; every fifth week's exit is a step late.
+    """
+    from pyspark.sql import Window
+
+    level = weekly(spark, sf_dir).groupBy("trade_date").agg(F.avg("close").alias("close"))  # a row for each date
+    days = Window.orderBy("trade_date")
+    level = level.withColumns({"idx": F.row_number().over(days) - 1, "last": F.max("trade_date").over(Window.partitionBy(F.trunc("trade_date", "MM")))}).filter("trade_date = last")
+    made = level.select("trade_date", F.lag("idx").over(days).alias("entry_idx"), (F.col("idx") + (F.col("idx") % 5 == 0).cast("int")).alias("exit_idx"), F.col("idx").alias("planned_exit_idx"), F.round(F.col("close") / F.lag("close").over(days) - 1, 8).alias("r"))
+    return made.filter("r is not null")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly panel with a momentum signal s and its forward return t, complete rows only."""
     from pyspark.sql import Window

@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..operators import benchmarks as B
 from ..operators import portfolio as P
 from ..operators import returns as T
-from .panels import PM, PW, SC, SUP, monthly, read, scored, suppliers, weekly
+from .panels import IX, PM, PW, SC, SUP, index_series, monthly, read, scored, suppliers, weekly
 from .registry import query
 
 R = 6
@@ -68,14 +68,47 @@ def _net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.backtest(scored(spark, sf_dir), 4).select("trade_date", F.col("net").alias("r"))
 
 
-@query(None)
+def _leg(x: str, order: str, k: int = 4, room: str = "TRUE") -> str:
+    """The CTEs of one leg, names ending in x: bt{x} has gross, turnover, fee of its periods."""
+    return f"""rk{x} AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, symbol) AS place, count(*) OVER (PARTITION BY trade_date) AS n FROM sc), held{x} AS (SELECT * FROM rk{x} WHERE place <= {k} AND {room}),
+pr{x} AS (SELECT held{x}.trade_date, d.exit_date, held{x}.symbol, 1.0 / count(*) OVER (PARTITION BY held{x}.trade_date) AS weight, held{x}.close AS entry_price, y.close AS exit_price FROM held{x} JOIN d USING (trade_date) LEFT JOIN sc y ON y.symbol = held{x}.symbol AND y.trade_date = d.exit_date WHERE d.exit_date IS NOT NULL),
+sv{x} AS (SELECT * FROM pr{x} WHERE exit_price IS NOT NULL), gr{x} AS (SELECT trade_date, exit_date, sum(weight * (exit_price / entry_price - 1)) / sum(weight) AS gross FROM sv{x} GROUP BY 1, 2),
+dd{x} AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev FROM (SELECT DISTINCT trade_date FROM sv{x})),
+bf{x} AS (SELECT dd{x}.trade_date, symbol, drifted FROM (SELECT trade_date AS prev, symbol, weight * exit_price / entry_price / sum(weight * exit_price / entry_price) OVER (PARTITION BY trade_date) AS drifted FROM sv{x}) JOIN dd{x} USING (prev)),
+tu{x} AS (SELECT coalesce(a.trade_date, b.trade_date) AS trade_date, sum(abs(coalesce(a.weight, 0) - coalesce(b.drifted, 0))) AS moved, max(b.drifted) IS NULL AS initial FROM sv{x} a FULL JOIN bf{x} b ON a.trade_date = b.trade_date AND a.symbol = b.symbol GROUP BY 1),
+bt{x} AS (SELECT trade_date, exit_date, gross, CASE WHEN initial THEN moved ELSE moved / 2 END AS turnover, CASE WHEN initial THEN 0.001 ELSE moved * 0.001 END AS fee FROM gr{x} JOIN tu{x} USING (trade_date))"""
+
+
+_DATES = "d AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS exit_date FROM (SELECT DISTINCT trade_date FROM sc))"
+_BT = "trade_date, exit_date, round({0}, 6) AS gross, round({1}, 6) AS turnover, round({2}, 6) AS fee, round({0} - ({2}), 6) AS net"
+
+
+@query(f"WITH {PM}, {SC}, {_DATES}, {_leg('s', 's')} SELECT {_BT.format('-gross', 'turnover', 'fee')} FROM bts")
 def short_leg_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(P.backtest(scored(spark, sf_dir), 4, side=-1))
 
 
-@query(None)
+@query(f"WITH {PM}, {SC}, {_DATES}, {_leg('l', 's DESC')}, {_leg('s', 's', 3, 'place <= n - 4')} SELECT {_BT.format('l.gross - s.gross', 'l.turnover + s.turnover', 'l.fee + s.fee')} FROM btl l JOIN bts s USING (trade_date, exit_date)")
+def long_short_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(P.backtest(scored(spark, sf_dir), 4, short_k=3))
+
+
+_BUF = f"""{PM}, {SC}, rk AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol) AS place FROM sc),
+nm AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i, names FROM (SELECT trade_date, list(symbol ORDER BY place) AS names FROM rk WHERE place <= 6 GROUP BY 1)),
+f AS (SELECT i, trade_date, names[:4] AS held FROM nm WHERE i = 1
+  UNION ALL SELECT i, trade_date, list_concat(pool, list_filter(names, lambda z: NOT list_contains(pool, z)))[:4] FROM (
+    SELECT i, trade_date, names, list_concat(kept, list_filter(names[:3], lambda z: NOT list_contains(kept, z))) AS pool FROM (
+      SELECT nm.i, nm.trade_date, nm.names, list_filter(nm.names, lambda z: list_contains(f.held, z)) AS kept FROM f JOIN nm ON nm.i = f.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_BUF} SELECT trade_date, unnest(held) AS symbol FROM f")
 def buffered_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.buffered(scored(spark, sf_dir), 4, exit_=2, entry=1)
+    return P.buffered(scored(spark, sf_dir), 4, exit_=2, entry=1).select("trade_date", "symbol")
+
+
+@query(None)
+def buffered_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(P.backtest(scored(spark, sf_dir), 4, short_k=3, exit_=2, entry=1))
 
 
 for _policy, _cond, _pick in (("ffill", "<= h.exit_date", "max_by"), ("delay", ">= h.exit_date", "min_by")):
@@ -138,53 +171,69 @@ def buy_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.buy_fills(orders, _capacity(spark, sf_dir), cash=0.2).select("rebalance_date", "order_id", "trade_date", F.round("filled", 8).alias("filled"))
 
 
-_NAV = f"{_PRICED}, nv AS (SELECT trade_date, r, exp(sum(ln(1 + r)) OVER (ORDER BY trade_date)) AS nav FROM rs), dw AS (SELECT *, greatest(max(nav) OVER (ORDER BY trade_date), 1) AS peak FROM nv), dn AS (SELECT *, CASE WHEN nav >= peak THEN 0 ELSE nav / peak - 1 END AS drawdown FROM dw)"
+_NAV = f"{IX}, nv AS (SELECT *, exp(sum(ln(1 + r)) OVER (ORDER BY trade_date)) AS nav FROM ix), dw AS (SELECT *, greatest(max(nav) OVER (ORDER BY trade_date), 1) AS peak FROM nv), dn AS (SELECT *, CASE WHEN nav >= peak THEN 0 ELSE nav / peak - 1 END AS drawdown FROM dw)"
 
 
 @query(f"WITH {_NAV} SELECT trade_date, round(nav, 5) AS nav, round(drawdown, 6) AS drawdown FROM dn")
 def nav_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.nav(_net(spark, sf_dir)).select("trade_date", "nav", "drawdown"), nav=5)
+    return _r(T.nav(index_series(spark, sf_dir)).select("trade_date", "nav", "drawdown"), nav=5)
 
 
 @query(f"""WITH {_NAV}, i AS (SELECT *, sum(CASE WHEN drawdown >= 0 THEN 1 ELSE 0 END) OVER (ORDER BY trade_date) AS id FROM dn)
 SELECT min(trade_date) AS start, arg_min(trade_date, (drawdown, trade_date)) AS trough, max(trade_date) AS last, round(min(drawdown), 6) AS depth, count(*) AS periods FROM i WHERE drawdown < 0 GROUP BY id ORDER BY min(drawdown), 1 LIMIT 10""")
 def drawdown_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.episodes(_net(spark, sf_dir)))
+    return _r(T.episodes(index_series(spark, sf_dir)))
 
 
-@query(None)
+# the running maximum of the path itself; products of the same factors in the same order, so that equal levels are equal numbers
+_PATH = f"""{IX}, lg AS (SELECT *, row_number() OVER (ORDER BY trade_date) AS position, CAST(r AS DOUBLE) AS rd FROM ix),
+nv AS (SELECT position, trade_date, rd, 1 + rd AS nav FROM lg WHERE position = 1 UNION ALL SELECT lg.position, lg.trade_date, lg.rd, nv.nav * (1 + lg.rd) FROM nv JOIN lg ON lg.position = nv.position + 1),
+pk AS (SELECT *, max(nav) OVER (ORDER BY position) AS peak FROM nv), dn AS (SELECT *, CASE WHEN nav >= peak THEN 0.0 ELSE nav / peak - 1 END AS drawdown FROM pk),
+lo AS (SELECT * FROM dn ORDER BY drawdown, position LIMIT 1),
+tp AS (SELECT max(dn.position) AS tp FROM dn, lo WHERE dn.position <= lo.position AND dn.nav = lo.peak), bk AS (SELECT min(dn.position) AS bk FROM dn, lo WHERE dn.position >= lo.position AND dn.nav >= lo.peak),
+tm AS (SELECT (SELECT trade_date FROM dn WHERE position = tp) AS peak_date, lo.trade_date AS trough_date, (SELECT trade_date FROM dn WHERE position = bk) AS recovery_date, lo.drawdown AS depth, CAST(lo.position - tp AS DOUBLE) AS drawdown_duration, CAST(bk - lo.position AS DOUBLE) AS recovery_time FROM lo, tp, bk),
+tmd AS (SELECT *, CAST(trough_date - peak_date AS DOUBLE) AS drawdown_duration_days, CAST(recovery_date - trough_date AS DOUBLE) AS recovery_time_days FROM tm)"""
+
+
+@query(f"WITH RECURSIVE {_PATH} SELECT peak_date, trough_date, recovery_date, round(depth, 6) AS depth, drawdown_duration, recovery_time, drawdown_duration_days, recovery_time_days FROM tmd")
 def drawdown_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.drawdown_timing(_net(spark, sf_dir)))
+    return _r(T.drawdown_timing(index_series(spark, sf_dir)))
 
 
-@query(f"""WITH {_NAV}, v AS (SELECT quantile_cont(r, 0.05) AS v FROM rs), a AS (SELECT count(*) AS periods, exp(sum(ln(1 + r))) - 1 AS total_return, min(drawdown) AS max_drawdown, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(least(r, 0) * least(r, 0))) AS d, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win_rate, max(r) AS best, min(r) AS worst, skewness(r) AS skew, kurtosis(r) AS kurtosis, max(v) AS var_95, avg(CASE WHEN r <= v THEN r END) AS cvar_95 FROM dn, v)
-SELECT periods, round(total_return, 4) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(skew, 5) AS skew, round(kurtosis, 4) AS kurtosis, round(var_95, 6) AS var_95, round(cvar_95, 6) AS cvar_95, round(win_rate, 6) AS win_rate, round(best, 6) AS best, round(worst, 6) AS worst,
-round(pow(1 + total_return, 12.0 / periods) - 1, 6) AS ann_return, round(s * sqrt(12), 6) AS ann_vol, round(m * sqrt(12) / nullif(s, 0), 5) AS sharpe, round(m * sqrt(12) / nullif(d, 0), 5) AS sortino, round((pow(1 + total_return, 12.0 / periods) - 1) / nullif(abs(max_drawdown), 0), 5) AS calmar FROM a""")
+@query(f"""WITH RECURSIVE {_PATH}, a AS (SELECT count(*) AS periods, exp(sum(ln(1 + r))) - 1 AS total_return, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(least(r, 0) * least(r, 0))) AS dv, skewness(r) AS skew, kurtosis(r) AS kurtosis, quantile_cont(r, 0.05) AS var_95,
+avg(exit_idx - entry_idx) AS avg_holding, arg_max(exit_idx, trade_date) - arg_min(entry_idx, trade_date) AS days, avg(greatest(exit_idx - planned_exit_idx, 0)) AS avg_exit_lag_days, CAST(max(greatest(exit_idx - planned_exit_idx, 0)) AS DOUBLE) AS max_exit_lag_days, count(CASE WHEN exit_idx > planned_exit_idx THEN 1 END) AS late FROM ix),
+b AS (SELECT *, 52 / avg_holding AS y, (SELECT min(drawdown) FROM dn) AS mdd, (SELECT avg(r) FROM ix WHERE r <= var_95) AS cvar_95 FROM a)
+SELECT periods, round(total_return, 4) AS total_return, round(pow(1 + total_return, 52.0 / days) - 1, 6) AS ann_return, round(s * sqrt(y), 6) AS ann_vol, round(m / s * sqrt(y), 5) AS sharpe, round(mdd, 6) AS max_drawdown, round(avg_holding, 6) AS avg_holding, round(y, 6) AS periods_per_year, round(m / dv * sqrt(y), 5) AS sortino,
+round((pow(1 + total_return, 52.0 / days) - 1) / abs(mdd), 5) AS calmar, drawdown_duration, recovery_time, drawdown_duration_days, recovery_time_days, round(skew, 5) AS skew, round(kurtosis, 4) AS kurtosis, round(var_95, 6) AS var_95, round(cvar_95, 6) AS cvar_95,
+round(avg_exit_lag_days, 6) AS avg_exit_lag_days, max_exit_lag_days, late AS periods_with_delayed_exit, round(late / periods, 6) AS delayed_exit_ratio FROM b, tmd""")
 def return_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.summary(_net(spark, sf_dir), 12), total_return=4, skew=5, kurtosis=4, sharpe=5, sortino=5, calmar=5)
+    return _r(T.summary(index_series(spark, sf_dir), 52), total_return=4, skew=5, kurtosis=4, sharpe=5, sortino=5, calmar=5)
 
 
-@query(f"WITH {_PRICED} SELECT CAST(date_trunc('year', trade_date) AS DATE) AS trade_date, round(exp(sum(ln(1 + r))) - 1, 6) AS r FROM rs GROUP BY 1")
+@query(f"WITH {IX} SELECT CAST(date_trunc('year', trade_date) AS DATE) AS trade_date, round(exp(sum(ln(1 + r))) - 1, 6) AS r FROM ix GROUP BY 1")
 def yearly_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.resampled(_net(spark, sf_dir), "year"))
+    return _r(T.resampled(index_series(spark, sf_dir), "year"))
 
 
-@query(f"""WITH {_PRICED}, w AS (SELECT trade_date, count(r) OVER x AS c, avg(r) OVER x AS m, stddev_samp(r) OVER x AS d FROM rs WINDOW x AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {IX}, w AS (SELECT trade_date, count(r) OVER x AS c, avg(r) OVER x AS m, stddev_samp(r) OVER x AS d FROM ix WINDOW x AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
 SELECT trade_date, round(CASE WHEN c >= 12 THEN m / nullif(d, 0) * sqrt(12) END, 5) AS sharpe FROM w""")
 def rolling_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.signals import rolling
 
-    return rolling(_net(spark, sf_dir), "r", 12, 1, F.lit(12**0.5)).select("trade_date", F.round("ratio", 5).alias("sharpe"))
+    return rolling(index_series(spark, sf_dir), "r", 12, 1, F.lit(12**0.5)).select("trade_date", F.round("ratio", 5).alias("sharpe"))
 
 
-@query(f"WITH {_PRICED} SELECT trade_date, round(CASE WHEN count(r) OVER x >= 12 THEN exp(sum(ln(1 + r)) OVER x) - 1 END, 5) AS cagr FROM rs WINDOW x AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {IX} SELECT trade_date, round(CASE WHEN count(r) OVER x >= 12 THEN exp(sum(ln(1 + r)) OVER x) - 1 END, 5) AS cagr FROM ix WINDOW x AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
 def rolling_cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.rolling_cagr(_net(spark, sf_dir), 12, 12), cagr=5)
+    return _r(T.rolling_cagr(index_series(spark, sf_dir), 12, 12), cagr=5)
 
 
-@query(None)
+@query(f"""WITH {IX}, n AS (SELECT trade_date, r, row_number() OVER (ORDER BY trade_date) AS i FROM ix),
+w AS (SELECT a.trade_date, a.i AS hi, b.i, exp(sum(ln(1 + b.r)) OVER (PARTITION BY a.i ORDER BY b.i)) AS nav FROM n a JOIN n b ON b.i BETWEEN a.i - 11 AND a.i),
+p AS (SELECT *, greatest(max(nav) OVER (PARTITION BY hi ORDER BY i), 1) AS peak FROM w)
+SELECT trade_date, round(CASE WHEN hi >= 12 THEN least(min(nav / peak - 1), 0) END, 6) AS max_drawdown FROM p GROUP BY trade_date, hi""")
 def rolling_max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(T.rolling_drawdown(_net(spark, sf_dir), 12))
+    return _r(T.rolling_drawdown(index_series(spark, sf_dir), 12))
 
 
 _BM = f"""{PM}, {SUP}, fr AS (SELECT trade_date, symbol, lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1 AS r FROM pm),
@@ -219,10 +268,44 @@ def active_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(made, beta=5, relative_return=4, information_ratio=5, alpha=5)
 
 
-@query(None)
+_EW = "ew AS (SELECT trade_date, avg(r) AS r FROM fr WHERE r IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_PRICED}, {_BM.replace(PM + ', ', '')}, {_EW}, nm AS (SELECT unnest(['cap', 'equal', 'none']) AS benchmark), al AS (SELECT 'cap' AS benchmark, trade_date, r FROM bs UNION ALL SELECT 'equal', trade_date, r FROM ew),
+b2 AS (SELECT benchmark, rs.r AS a, al.r AS b FROM rs JOIN al USING (trade_date)),
+st AS (SELECT benchmark, count(*) AS periods, covar_samp(a, b) / nullif(var_samp(b), 0) AS beta, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS corr, exp(sum(ln(1 + a)) - sum(ln(1 + b))) - 1 AS relative_return, stddev_samp(a - b) * sqrt(12) AS tracking_error, avg(a - b) * sqrt(12) / nullif(stddev_samp(a - b), 0) AS information_ratio, (avg(a) - covar_samp(a, b) / nullif(var_samp(b), 0) * avg(b)) * 12 AS alpha FROM b2 GROUP BY 1)
+SELECT benchmark, coalesce(periods, 0) AS periods, CASE WHEN benchmark = 'none' THEN 'missing' WHEN coalesce(periods, 0) < 2 THEN 'incompatible' ELSE 'ok' END AS status, round(beta, 5) AS beta, round(corr, 6) AS corr, round(relative_return, 4) AS relative_return, round(tracking_error, 6) AS tracking_error, round(information_ratio, 5) AS information_ratio, round(alpha, 5) AS alpha FROM nm LEFT JOIN st USING (benchmark)""")
 def benchmark_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = {w: B.series(_members(spark, sf_dir, w)) for w in ("cap", "equal")}
-    return _r(T.ladder(_net(spark, sf_dir), each, 12))
+    each = [B.series(_members(spark, sf_dir, w)).select(F.lit(w).alias("benchmark"), "trade_date", "r") for w in ("cap", "equal")]
+    return _r(T.ladder(_net(spark, sf_dir), each[0].union(each[1]), 12, ["cap", "equal", "none"]), beta=5, relative_return=4, information_ratio=5, alpha=5)
+
+
+@query(f"""WITH {IX}, {_BM}, w AS (SELECT ix.trade_date, ix.r, bs.r AS b, exp(sum(ln(1 + ix.r)) OVER (ORDER BY ix.trade_date)) AS nav, exp(sum(ln(1 + coalesce(bs.r, 0))) OVER (ORDER BY ix.trade_date)) AS bn, count(ix.r) OVER x AS c, avg(ix.r) OVER x / nullif(stddev_samp(ix.r) OVER x, 0) * sqrt(12) AS sh
+FROM ix LEFT JOIN bs ON bs.trade_date = date_trunc('month', ix.trade_date) WINDOW x AS (ORDER BY ix.trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), p AS (SELECT *, greatest(max(nav) OVER (ORDER BY trade_date), 1) AS peak FROM w)
+SELECT trade_date, r, round(nav, 5) AS nav, round(CASE WHEN nav >= peak THEN 0 ELSE nav / peak - 1 END, 6) AS drawdown, round(CASE WHEN b IS NOT NULL THEN ln(bn) END, 5) AS log_benchmark_nav, round(r - b, 6) AS active, round(CASE WHEN c >= 6 THEN sh END, 5) AS rolling_sharpe FROM p""")
+def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = B.series(_members(spark, sf_dir)).select(F.col("trade_date").alias("month"), "r")
+    s = index_series(spark, sf_dir)
+    dated = s.select("trade_date", F.trunc("trade_date", "MM").alias("month")).join(b, "month").select("trade_date", "r")
+    made = T.report(s, dated, 6, 12).withColumn("log_benchmark_nav", F.log("benchmark_nav"))
+    return _r(made.select("trade_date", "r", "nav", "drawdown", "log_benchmark_nav", "active", "rolling_sharpe"), r=8, nav=5, log_benchmark_nav=5, rolling_sharpe=5)
+
+
+@query(f"""WITH {IX}, lp AS (SELECT lx.trade_date AS entry_date, lead(lx.trade_date) OVER (ORDER BY lx.trade_date) AS exit_date FROM lx WHERE trade_date = last)
+SELECT entry_date, exit_date, round(b.close / nullif(a.close, 0) - 1, 6) AS r FROM lp JOIN lv a ON a.trade_date = entry_date JOIN lv b ON b.trade_date = exit_date""")
+def benchmark_period_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = weekly(spark, sf_dir).groupBy("trade_date").agg(F.avg("close").alias("close"))
+    ends = level.groupBy(F.trunc("trade_date", "MM")).agg(F.max("trade_date").alias("trade_date"))
+    spans = P.periods(ends.select("trade_date")).withColumnRenamed("trade_date", "entry_date")
+    return _r(T.benchmark_series(spans, prices=level))
+
+
+@query(f"""WITH {_PRICED}, {_BM.replace(PM + ', ', '')}, ru AS (SELECT 'top4' AS run, bt.trade_date, gross - fee AS r, bs.r AS b, turnover FROM bt LEFT JOIN bs USING (trade_date)), nb AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY trade_date DESC) AS n FROM ru), w AS (SELECT CAST(unnest([6, 12]) AS INTEGER) AS "window")
+SELECT run, "window", count(r) AS periods, round(avg(r), 6) AS mean, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 5) AS sharpe, round(avg(r - b) / nullif(stddev_samp(r - b), 0) * sqrt(12), 5) AS information_ratio, round(avg(turnover), 6) AS turnover FROM nb JOIN w ON n <= "window" GROUP BY 1, 2""")
+def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = B.series(_members(spark, sf_dir)).select("trade_date", F.col("r").alias("b"))
+    runs = P.backtest(scored(spark, sf_dir), 4).select(F.lit("top4").alias("run"), "trade_date", F.col("net").alias("r"), "turnover").join(b, "trade_date", "left")
+    return _r(T.last_periods(runs, [6, 12], 12), sharpe=5, information_ratio=5)
 
 
 @query(f"""WITH {_SEL}, {SUP}, fr AS (SELECT trade_date, symbol, lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1 AS r FROM pm),
@@ -263,14 +346,30 @@ def valuation_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("trade_date", "symbol", known.otherwise("NEUTRAL").alias("class"))
 
 
-@query(f"WITH {PM}, g AS (SELECT * FROM (VALUES (3), (5)) a(k), (VALUES (0.0), (10.0)) b(bps)), rk AS (SELECT trade_date, symbol, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, symbol) AS p FROM pm) SELECT CAST(k AS INTEGER) AS k, CAST(bps AS DOUBLE) AS bps, count(*) AS rows_held FROM g JOIN rk ON p <= k GROUP BY 1, 2")
+def _grid_sql() -> str:
+    parts, rows = [], []
+    for i, (k, bps) in enumerate(((3, 0), (3, 10), (5, 0), (5, 10))):
+        parts.append(_leg(f"g{i}", "s DESC", k))
+        fee = f"CASE WHEN initial THEN {bps / 1e4} ELSE moved * {bps / 1e4} END"
+        rows.append(f"SELECT 'k{k}_equal_bps{bps}_x0_e0' AS variant, count(*) AS periods, round(avg(gross), 6) AS gross, round(avg(CASE WHEN initial THEN moved ELSE moved / 2 END), 6) AS turnover, round(avg({fee}), 6) AS fee, round(avg(gross - {fee}), 6) AS net FROM grg{i} JOIN tug{i} USING (trade_date)")
+    return f"WITH {PM}, {SC}, {_DATES}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_grid_sql())
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every parameter pair over one ranked panel: the grid is the broadcast side."""
-    grid = spark.createDataFrame([(k, b) for k in (3, 5) for b in (0.0, 10.0)], "k int, bps double")
-    ranked = P.select(monthly(spark, sf_dir).withColumn("s", F.col("amount")), 5)
-    return ranked.join(F.broadcast(grid), F.col("place") <= F.col("k")).groupBy("k", "bps").agg(F.count(F.lit(1)).alias("rows_held"))
+    made = P.grid(scored(spark, sf_dir), [P.Variant(k, b) for k in (3, 5) for b in (0.0, 10.0)])
+    return _r(made.drop("total_return"))
+
+
+@query(None)
+def construction_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, weighting and hysteresis crossed over one ranking of one scored panel."""
+    variants = [P.Variant(k, 10.0, w, x, e) for k in (3, 5) for w in ("equal", "signal") for x, e in ((0, 0), (2, 1))]
+    return _r(P.grid(scored(spark, sf_dir), variants).drop("total_return"))
 
 
-@query("SELECT n_regionkey, max_by(n_name, n_nationkey) AS latest, count(*) AS n FROM nation GROUP BY 1")
+@query("WITH x AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS entry_date, o_totalprice AS weight, o_orderkey FROM orders WHERE o_orderdate IS NOT NULL), m AS (SELECT max(entry_date) AS entry_date FROM x WHERE entry_date <= DATE '1997-06-30') SELECT entry_date, symbol, weight, row_number() OVER (ORDER BY weight DESC, symbol, o_orderkey) AS place FROM x JOIN m USING (entry_date)")
 def latest_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.max_by("n_name", "n_nationkey").alias("latest"), F.count(F.lit(1)).alias("n"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("date").alias("entry_date"), F.col("o_totalprice").alias("weight"), "o_orderkey").filter("entry_date is not null")
+    held = P.holdings_at(o, "1997-06-30")
+    return held.select("entry_date", "symbol", "weight", F.row_number().over(Window.orderBy(F.desc("weight"), "symbol", "o_orderkey")).cast("long").alias("place"))  # one date's holdings
