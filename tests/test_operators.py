@@ -100,3 +100,97 @@ def test_normal_functions(spark):
     p = spark.createDataFrame([(0.001,), (0.3,), (0.5,), (0.99,)], "p double")
     for r in p.select("p", X.norm_cdf(X.norm_ppf("p")).alias("back")).collect():
         assert abs(r.p - r.back) < 1e-6
+
+
+def test_execution_of_two_names(spark):
+    """Room of 5 % of the median amount: A fits in a day, B runs out of time."""
+    from xpanel.operators import execution as E
+
+    positions = spark.createDataFrame([(day(0), day(1), n, 0.10) for n in "AB"], "rebalance_date date, entry_date date, symbol string, weight double")
+    prices = spark.createDataFrame([(day(d), n, 10.0, a, True) for d in range(7) for n, a in (("A", 5e5), ("B", 1e5))] + [(day(6), "A", 10.0, 1.0, True)], "trade_date date, symbol string, close double, adv double, open boolean")
+    rules = E.Rules(0.05, ("adv",), buy_days=5, tradable="open")
+    got = {r.symbol: r for r in E.simulate(positions, prices, {"m": 1e6}, rules).collect()}
+    assert math.isclose(got["A"].filled_weight, 0.1) and got["A"].status == "filled" and got["A"].fill_days == 4
+    assert math.isclose(got["B"].filled_weight, 0.025) and got["B"].status == "cancelled_buy_deadline"
+    [s] = E.summarized(E.simulate(positions, prices, {"m": 1e6}, rules), {"m": 1e6}).collect()
+    assert math.isclose(s.unfilled_buy_notional, 75_000) and s.orders == 2
+    fills = E.simulate(positions, prices, {"m": 1e6}, rules, "fills").collect()
+    assert len(fills) == 9 and math.isclose(sum(f.fill_weight for f in fills), 0.125)
+    assert E.simulate(positions.limit(0), prices, {"m": 1e6}, rules).count() == 0
+
+
+def test_execution_sells_before_it_buys(spark):
+    from xpanel.operators import execution as E
+
+    positions = spark.createDataFrame([(day(0), day(0), "A", 1.0), (day(3), day(3), "B", 1.0), (day(6), day(6), "C", 0.5)], "rebalance_date date, entry_date date, symbol string, weight double")
+    amounts = {"A": 10.0, "B": 4.0, "C": 0.0}
+    prices = spark.createDataFrame([(day(d), n, 1.0, a) for d in range(9) for n, a in amounts.items()], "trade_date date, symbol string, close double, amount double")
+    rules = E.Rules(0.05, buy_days=3, abandon_after=2)
+    got = {(r.rebalance_date, r.side, r.symbol): (round(r.filled_weight, 9), r.status) for r in E.simulate(positions, prices, {"x": 1.0}, rules).collect()}
+    assert got == {
+        (day(0), "buy", "A"): (1.0, "filled"), (day(3), "sell", "A"): (1.0, "filled"), (day(3), "buy", "B"): (0.6, "cancelled_buy_deadline"),
+        (day(6), "sell", "B"): (0.6, "filled"), (day(6), "buy", "C"): (0.0, "abandoned_zero_fill"),
+    }
+    with pytest.raises(Exception, match="negative"):
+        E.simulate(positions.withColumn("weight", -F.col("weight")), prices, {"x": 1.0}, rules).collect()
+
+
+def test_legs_add_up_and_take_no_name_twice(spark):
+    scores = {0: (3.0, 2.0, 1.0), 1: (3.0, 2.0, 1.0)}
+    df = spark.createDataFrame([(day(d), n, s, p) for d, row in scores.items() for n, s, p in zip("ABC", row, (100.0 + 10 * d, 100.0, 100.0 - 20 * d))], "trade_date date, symbol string, s double, close double")
+    [row] = P.backtest(df, 1, bps=0, short_k=1).collect()
+    assert math.isclose(row.gross, 0.1 + 0.2) and math.isclose(row.turnover, 2.0)
+    assert P.backtest(df, 3, short_k=1).count() == 0  # no name is left to sell
+
+
+def test_smoothing_starts_late_and_bridges_nulls(spark):
+    from xpanel.operators import timeseries as TS
+
+    df = spark.createDataFrame([(day(i), "A", v) for i, v in enumerate((None, 1.0, None, 3.0))], "trade_date date, symbol string, close double")
+    assert [r.e for r in TS.ema(df, "close", 3, "e").orderBy("trade_date").collect()] == [None, 1.0, 1.0, 2.0]
+    rising = spark.createDataFrame([(day(i), "A", float(i)) for i in range(5)], "trade_date date, symbol string, close double")
+    assert [r.rsi for r in TS.rsi(rising, "close", 3).orderBy("trade_date").collect()] == [None, None, 100.0, 100.0]
+
+
+def test_numbers_without_one_task(spark):
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate((5.0, 1.0, 1.0, None, 9.0))], "symbol string, v double")
+    assert {r.symbol: (r.position, r.n) for r in CS.numbered(df, "v", "symbol").collect()} == {"1": (1, 4), "2": (2, 4), "0": (3, 4), "4": (4, 4)}
+
+
+def test_ridge_equals_the_closed_form(spark):
+    import numpy as np
+    from xpanel.operators import models as M
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 2))
+    y = x @ [1.5, -2.0] + 0.3 + r.normal(size=60)
+    df = spark.createDataFrame([(day(i % 6), str(i), float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "trade_date date, symbol string, a double, b double, t double")
+    model = M.fit(df, "ridge", ["a", "b"], "t", alpha=5.0)
+    c = x - x.mean(0)
+    want = np.linalg.solve(c.T @ c + 5.0 * np.eye(2), c.T @ (y - y.mean()))
+    assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
+    assert M.fit(df, "elasticnet", ["a", "b"], "t").coefficients.size == 2
+    ranked = M.predict(M.fit(df, "ranker", ["a", "b"], "t", trees=3), df, ["a", "b"])
+    assert ranked.count() == 60 and ranked.filter("pred is null").count() == 0
+
+
+def test_modelling_rows_and_labels_on_odd_tables(spark):
+    from xpanel.operators import dataset as DS
+
+    spec = DS.PanelSpec("d", "s", "p", None, None)
+    df = spark.createDataFrame([("2020-01-01", " A ", "nan"), ("2020-01-02", "", "1"), (None, "A", "1"), ("2020-01-03", "B", "2.5")], "d string, s string, p string")
+    assert sorted(map(tuple, spec.canonical(df).collect()), key=str) == sorted([(day(0), "A", None), (day(2), "B", 2.5)], key=str)
+    with pytest.raises(ValueError):
+        DS.PanelSpec("d", "s", "q").canonical(df)
+    empty = spark.createDataFrame([], "trade_date date, symbol string, close double, f double, t double")
+    assert DS.modeling_rows(empty, DS.Recipe(("f",), transform="rank", rebalance="month", least_symbols=2)).count() == 0
+    assert DS.holdout(empty, 0.5).count() == 0
+
+
+def test_promotion_reasons(spark):
+    from xpanel.operators import research as Q
+
+    rows = [("a", "x", "x", 1.0, 1.0, 20), ("b", "x", "y", 1.0, 1.0, 20), ("c", "x", "x", None, 1.0, 20), ("d", "x", "x", 0.5, 1.0, 20), ("e", "x", "x", 1.0, 1.0, 5)]
+    df = spark.createDataFrame(rows, "run string, b_key string, c_key string, c_ic double, b_ic double, c_periods int")
+    got = {r.run: (r.verdict, r.reasons) for r in Q.promotion(df, ["ic"], ["key"], {"periods": 10}, {"ic": 0.1}).collect()}
+    assert got == {"a": ("promotable", ""), "b": ("non_comparable", "differs:key"), "c": ("rejected", "missing:ic,behind:ic"), "d": ("reviewable", "behind:ic"), "e": ("rejected", "below:periods")}

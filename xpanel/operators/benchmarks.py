@@ -47,3 +47,25 @@ def style_exposure(held: DataFrame, universe: DataFrame, style: str) -> DataFram
     equal = scored.groupBy("trade_date").agg(F.avg("_z").alias("equal"))
     mine = held.join(scored, ["trade_date", "symbol"]).filter("_z is not null").groupBy("trade_date").agg(safe_div(F.sum(F.col("weight") * F.col("_z")), F.sum("weight")).alias("portfolio"))
     return mine.join(equal, "trade_date").withColumn("active", F.col("portfolio") - F.col("equal"))
+
+
+def period_series(spans: DataFrame, universe: DataFrame, prices: DataFrame, caps: DataFrame) -> DataFrame:
+    """One row for each span (entry_date, exit_date): members, used, coverage_pct, r, top1, top5, hhi, effective_n.
+
+    Members are those of the latest universe (rebalance_date, symbol) at or before the entry; a member counts with the exact prices of
+    both dates and its latest cap (trade_date, symbol, cap) above 0. Spans are a calendar's size, members spans times universe.
+    """
+    from .joins import asof
+
+    when = universe.select(F.lit(0).alias("k"), F.col("rebalance_date").alias("entry_date"), "rebalance_date").distinct()
+    dated = asof(spans.select(F.lit(0).alias("k"), "entry_date", "exit_date"), when, ["k"], "entry_date", ["rebalance_date"]).filter("rebalance_date is not null").drop("k")
+    rows = universe.select("rebalance_date", "symbol").distinct().join(F.broadcast(dated), "rebalance_date").select("entry_date", "exit_date", "symbol")  # a row for each span
+    rows = asof(rows, caps.select("symbol", F.col("trade_date").alias("entry_date"), "cap").filter("cap is not null"), ["symbol"], "entry_date", ["cap"])
+    at = lambda d: prices.select("symbol", F.col("trade_date").alias(d), F.col("close").alias(f"_{d}"))
+    rows = rows.join(at("entry_date"), ["symbol", "entry_date"], "left").join(at("exit_date"), ["symbol", "exit_date"], "left")
+    r = safe_div("_exit_date", "_entry_date") - 1
+    rows = rows.withColumn("r", r).withColumn("_w", F.when(F.col("r").isNotNull() & (F.col("cap") > 0), F.col("cap")))
+    span = Window.partitionBy("entry_date")
+    rows = rows.withColumn("weight", F.col("_w") / F.sum("_w").over(span)).withColumn("_k", F.row_number().over(span.orderBy(F.col("weight").desc_nulls_last(), "symbol")))
+    made = rows.groupBy("entry_date", "exit_date").agg(F.count(F.lit(1)).alias("members"), F.count("weight").alias("used"), F.sum(F.col("weight") * F.col("r")).alias("r"), F.max("weight").alias("top1"), F.sum(F.when(F.col("_k") <= 5, F.col("weight"))).alias("top5"), F.sum(F.col("weight") * F.col("weight")).alias("hhi"))
+    return made.withColumns({"coverage_pct": 100.0 * F.col("used") / F.col("members"), "effective_n": safe_div(F.lit(1.0), "hhi")})

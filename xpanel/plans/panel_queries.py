@@ -304,14 +304,6 @@ def liquidity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("bucket", X.quantile_bucket("position", "n", 5)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("adv"), 4).alias("lo"), q(0.5).alias("mid"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.round(F.max("adv"), 4).alias("hi"))
 
 
-@query(f"WITH {_HOLES} SELECT 'hole' AS feature, count(*) - count(hole) AS missing, count(DISTINCT CASE WHEN hole IS NOT NULL THEN trade_date END) AS dates, round(100.0 * (count(*) - count(hole)) / count(*), 6) AS missing_pct FROM y UNION ALL SELECT 'vol', count(*) - count(vol), count(DISTINCT CASE WHEN vol IS NOT NULL THEN trade_date END), round(100.0 * (count(*) - count(vol)) / count(*), 6) FROM y")
-def feature_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ("hole", "vol")
-    one = _holes(weekly(spark, sf_dir)).agg(*(x for f in features for x in ((F.count(F.lit(1)) - F.count(f)).alias(f"{f}_m"), F.countDistinct(F.when(F.col(f).isNotNull(), F.col("trade_date"))).alias(f"{f}_d"), (100.0 * (F.count(F.lit(1)) - F.count(f)) / F.count(F.lit(1))).alias(f"{f}_p"))))
-    stack = ", ".join(f"'{f}', {f}_m, {f}_d, round({f}_p, 6)" for f in features)
-    return one.selectExpr(f"stack({len(features)}, {stack}) as (feature, missing, dates, missing_pct)")
-
-
 @query(f"WITH {PM}, {SUP} SELECT trade_date, symbol, close FROM pm JOIN sup USING (symbol) WHERE industry NOT LIKE '%1%' AND cap > 0")
 def universe_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name match, positive cap and membership as semi joins on the small side."""
@@ -346,11 +338,6 @@ def distinct_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers(spark, sf_dir).groupBy(F.coalesce("industry", F.lit("?")).alias("industry")).agg(F.countDistinct("symbol").alias("symbols"), F.array_join(F.array_sort(F.collect_set("symbol")), "|").alias("members"))
 
 
-@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
-def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 @query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k, sum(n) OVER (PARTITION BY c_nationkey) AS total FROM c) SELECT c_nationkey, c_mktsegment AS mode, round(n / total, 6) AS share FROM r WHERE k = 1")
 def mode_and_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

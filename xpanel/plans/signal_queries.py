@@ -89,11 +89,15 @@ def rolling_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_IC}, f AS (SELECT trade_date, symbol, s AS v, t, 'momentum' AS feature FROM sc UNION ALL SELECT trade_date, symbol, vol, t, 'volume' FROM sc),
 c AS (SELECT feature, count(v) / count(*) AS coverage FROM f GROUP BY 1),
-p AS (SELECT feature, trade_date, covar_pop(v, t) / nullif(stddev_pop(v) * stddev_pop(t), 0) AS ic FROM f GROUP BY 1, 2 HAVING stddev_pop(v) * stddev_pop(t) > 0)
-SELECT feature, round(coverage, 6) AS coverage, round(avg(ic), 6) AS ic_pearson, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 6) AS positive_pearson FROM c JOIN p USING (feature) GROUP BY feature, coverage""")
+p AS (SELECT feature, trade_date, covar_pop(v, t) / nullif(stddev_pop(v) * stddev_pop(t), 0) AS ic FROM f GROUP BY 1, 2 HAVING stddev_pop(v) * stddev_pop(t) > 0),
+r2 AS (SELECT feature, trade_date, rank() OVER (PARTITION BY feature, trade_date ORDER BY v) + (count(*) OVER (PARTITION BY feature, trade_date, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature, trade_date ORDER BY t) + (count(*) OVER (PARTITION BY feature, trade_date, t) - 1) / 2.0 AS b FROM f),
+sp AS (SELECT feature, trade_date, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM r2 GROUP BY 1, 2 HAVING stddev_pop(a) * stddev_pop(b) > 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY feature, trade_date ORDER BY v, symbol) AS k, count(*) OVER (PARTITION BY feature, trade_date) AS n FROM f), qb AS (SELECT feature, trade_date, greatest(0, ceil((k - 1) * 5.0 / (n - 1)) - 1) AS b, avg(t) AS m FROM q WHERE n >= 5 GROUP BY 1, 2, 3), ls AS (SELECT feature, avg(l) AS ls FROM (SELECT feature, trade_date, max_by(m, b) - min_by(m, b) AS l FROM qb GROUP BY 1, 2) GROUP BY 1)
+SELECT feature, round(coverage, 6) AS coverage, round(pe.m, 6) AS ic_pearson, round(pe.p, 6) AS positive_pearson, round(ss.m, 6) AS ic_spearman, round(ss.p, 6) AS positive_spearman, round(ls, 6) AS long_short
+FROM c JOIN (SELECT feature, avg(ic) AS m, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS p FROM p GROUP BY 1) pe USING (feature) JOIN (SELECT feature, avg(ic) AS m, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS p FROM sp GROUP BY 1) ss USING (feature) JOIN ls USING (feature)""")
 def factor_ic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = S.factor_report(scored(spark, sf_dir).select("trade_date", "symbol", "t", F.col("s").alias("momentum"), F.col("vol").alias("volume")), ["momentum", "volume"])
-    return made.select("feature", *(F.round(c, R).alias(c) for c in ("coverage", "ic_pearson", "positive_pearson")))
+    return made.select("feature", *(F.round(c, R).alias(c) for c in ("coverage", "ic_pearson", "positive_pearson", "ic_spearman", "positive_spearman", "long_short")))
 
 
 @query(f"WITH {PM}, {SC}, d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM sc)) SELECT trade_date, CASE WHEN idx < CAST(floor(n * 0.8) AS BIGINT) - 2 THEN 'train' WHEN idx >= CAST(floor(n * 0.8) AS BIGINT) THEN 'test' ELSE 'gap' END AS part FROM d")
@@ -116,18 +120,13 @@ def time_series_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold_rows(spark, cal, P.time_series(cal.count(), 5, gap=1))
 
 
-@query(None)
+@query(f"""WITH {PM}, {SC}, d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM sc)), z AS (SELECT *, greatest(1, CAST(floor(n * 0.1) AS BIGINT)) AS size FROM d), f AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS fold), g AS (SELECT *, n - size * (3 - fold) AS lo FROM z, f)
+SELECT fold, trade_date, idx >= lo AS is_test FROM g WHERE lo > 1 AND (idx < lo - 1 OR (idx >= lo AND idx < lo + size))""")
 def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = D.calendar(scored(spark, sf_dir))
     return _fold_rows(spark, cal, P.walk_forward(cal.count(), 0.1, 3, gap=1))
 
 
-@query(None)
-def cpcv_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(p, g, s) for p, path in enumerate(P.paths(8, 2)) for g, s in path]
-    return spark.createDataFrame(rows, "path int, grp int, split int")
-
-
 @query(None)
 def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = M.with_features(scored(spark, sf_dir))
