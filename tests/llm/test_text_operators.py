@@ -193,7 +193,11 @@ def test_near_classes_equal_brute_force(spark):
     want = sorted((k, min(x for x in v if x is not None)) for v in names.values() if any(x is not None for x in v) for k in v if k is not None)
     got = sorted((r.doc_id, r.class_id) for r in near_dedup.digest(docs(spark)).collect() if r.doc_id is not None)
     assert got == want
-    assert near_dedup.keep_one(docs(spark)).count() == len(names)
+    clash = docs(spark).select("*", *(F.lit(c).alias(c) for c in ("_k", "_r", "_c", "_h", "row", "r", "class_key", "component", "node")))
+    kept = near_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == len(names)
+    assert all(r["_k"] == "_k" and r["_r"] == "_r" and r["row"] == "row" and r["class_key"] == "class_key" for r in kept.collect())
+    assert near_dedup.digest(docs(spark).limit(0)).count() == near_dedup.keep_one(clash.limit(0)).count() == 0
 
 
 def test_near_copies_with_repeated_lines(spark):
@@ -235,17 +239,34 @@ def test_lexicon_counts_texts_and_short_words(spark):
     assert made.hits(w, w.hashes()).tolist() == [True, True, False, False, False]
 
 
+def found_neighbours(df, **options):
+    got = {}
+    for row in graph_search.search(df, **options).collect():
+        got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
+    return got
+
+
 def test_graph_search_recall(spark):
+    """Shards of about 900 vectors, many times the beam; a group of copies and one vector that outweighs all others."""
     r = np.random.default_rng(2)
-    x = np.concatenate([r.normal(size=(400, 8)), np.tile(r.normal(size=(1, 8)), (50, 1))]).astype(np.float32)
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(500, None, 0), (501, [0.0] * 8, 0), (502, [float("nan")] * 8, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {}
-    for row in graph_search.search(df, k=10).collect():
-        got.setdefault(row.query_id, []).append(row.vec_id)
+    x = np.concatenate([r.normal(size=(5300, 16)), np.tile(r.normal(size=(1, 16)), (100, 1)), r.normal(size=(1, 16)) * 1e6]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = found_neighbours(df, k=10, width=40, shard_vectors=900)
     hit = 0
-    for q in range(0, 450, 20):
+    for q in range(0, len(x), 20):
         s = x.astype(float) @ x[q].astype(float)
         s[q] = -np.inf
-        hit += len(set(np.lexsort((np.arange(450), -s))[:10]) & set(got[q]))
-    assert hit >= 0.9 * 10 * 23
+        best = np.lexsort((np.arange(len(x)), -s))[:10]
+        hit += len(set(best) & {v for v, _ in got[q].values()})
+        assert sorted(got[q]) == list(range(1, 11)) and all(abs(s[v] - z) <= 1e-9 * abs(s).max(where=np.isfinite(s), initial=1) for v, z in got[q].values())
+    assert hit >= 0.9 * 10 * len(range(0, len(x), 20))
+
+
+def test_graph_search_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 1.0]), (20, [1.0, 1.0, 1.0]), (21, [1.0, 0.0, 5.0]), (40, [0.0, 0.0]), (60, None), (4, [float("nan"), 1.0]), (None, [1.0, 1.0]), (1, [2.0, 0.0])]
+    got = found_neighbours(spark.createDataFrame(rows, schema))
+    assert got == {0: {1: (1, 2.0), 2: (2, 2.0), 3: (3, -1.0)}, 20: {1: (21, 6.0)}}
+    assert found_neighbours(spark.createDataFrame([], schema)) == {}
+    twice = spark.createDataFrame([(0, [3.0]), (0, [1.0]), (5, [7.0])], schema)
+    assert found_neighbours(twice) == {0: {1: (5, 7.0)}}
