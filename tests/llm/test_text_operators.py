@@ -212,14 +212,37 @@ def test_near_copies_with_repeated_lines(spark):
 
 def test_decontamination(spark):
     base = texts()[0].split()
-    items = spark.createDataFrame([(1, " ".join(base[20:50])), (2, "not in any of them at all, no"), (3, None), (4, "too short")], "item_id long, text string")
+    other = texts()[4].split()
+    rows = [(1, " ".join(base[20:50])), (2, "not in any of them at all, no"), (3, None), (4, "too short"), (1, " ".join(base[20:50])), (5, " ".join(base[20:50])), (None, " ".join(other[30:60]))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.digest(docs(spark), items).collect()}
-    assert {(0, 1), (12, 1), (13, 1)} <= got and {i for _, i in got} == {1}
-    kept = decontaminate.drop_contaminated(docs(spark), items)
-    assert kept.columns == docs(spark).columns and kept.filter("doc_id in (0, 12, 13)").count() == 0
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    holds = lambda t, i: bool(sets(i)) and len(sets(t) & sets(i)) >= 0.8 * len(sets(i))
+    listed = [(r.doc_id, r.text) for r in docs(spark).collect()]
+    assert got == {(d, i) for d, t in listed for i, text in rows if i is not None and holds(t, text)} and {(0, 1), (12, 5), (13, 1)} <= got
+    clash = docs(spark).withColumns({"_h": F.lit("mine"), "h": F.lit(1), "row": F.lit(2)})
+    want = sorted(str(r.doc_id) for r in docs(spark).collect() if not any(holds(r.text, text) for _, text in rows))
+    for most in (0, 1000):
+        kept = decontaminate.drop_contaminated(clash, items, most_local=most)
+        assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == want and kept.filter("_h <> 'mine'").count() == 0
     d = docs(spark).select(F.col("doc_id").alias("doc_key"), "text")
-    i = items.select(F.col("item_id").alias("item_key"), "text")
+    i = items.filter("item_id < 5").select(F.col("item_id").alias("item_key"), "text")
     assert sorted(map(tuple, decontaminate.contained(d, i, most_local=0).distinct().collect()), key=str) == sorted(map(tuple, decontaminate.contained(d, i).distinct().collect()), key=str)
+    for most in (0, 1000):
+        assert decontaminate.drop_contaminated(docs(spark), items.limit(0), most_local=most).count() == docs(spark).count()
+        assert decontaminate.drop_contaminated(docs(spark).limit(0), items, most_local=most).count() == 0
+
+
+def test_scattered_runs_of_an_item_are_found(spark):
+    """An item whose runs lie far apart in a long document, at and just below the threshold."""
+    r = random.Random(11)
+    word = lambda: f"w{r.getrandbits(40)}"
+    item = [word() for _ in range(54)]  # 50 runs
+    filler = lambda n: [word() for _ in range(n)]
+    long = lambda runs: " ".join(w for i in runs for w in item[i : i + 5] + filler(300))
+    table = spark.createDataFrame([(1, long(range(0, 40))), (2, long(range(10, 49)))], "doc_id long, text string")
+    found = decontaminate.digest(table, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.shared, x.item_size) for x in found] == [(1, 40, 50)]
 
 
 def test_quality_without_labels(spark):

@@ -1,17 +1,19 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items and documents are sets of five-word runs (lower case). Items are partitioned by size; the
-partition's upper bound fixes how many of an item's smallest hashes - its bottom-k MinHash sketch -
-are searched: k = floor((1 - t) * n) + 1 of n runs, so a document that contains at least t of the item holds
-at least one of them, whatever its own length, and none is missed. A document whose own set is
-smaller than t * (the partition's lower bound) skips that partition. Every candidate is verified by the
-exact containment |item & document| / |item|.
+Items and documents are sets of five-word runs (lower case). Items are partitioned by size. An item's signature is its bottom-k
+MinHash sketch, the k = floor((1 - t) * n) + 1 smallest of its n hash values. A partition's ceiling is the largest value of
+its items' signatures, and a document's signature for the partition holds the document's hash values up to that ceiling, so it
+grows with the document and can hold a short item however long the document is. Signatures are matched: a document that
+contains at least t of an item lacks fewer than k of its runs, hence holds one of the k of the signature, which is below the
+ceiling and so in the document's signature: no pair is missed. Every candidate is then verified by the exact
+containment |item & document| / |item| over all runs of both.
 
-Sketches of at most `most_local` hashes are sent to every task (about 16 bytes a hash); beyond that the
-documents' runs are joined with the sketch table by hash, and candidates with their texts.
+Items of at most `most_local` runs together (24 bytes a run) are sent to every task; beyond that signatures are joined as
+tables, and candidates with their runs.
 
 An item without a run (fewer than five words, empty or null) matches nothing; so does such a document. Repeated
-items and documents each give their own rows.
+items and documents each give their own rows. Items are told apart by their text, so one without an id is searched
+too: documents that hold it go, but a report by id has no row for it.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def sketch_size(size: np.ndarray, least: float) -> np.ndarray:
 
 
 def _sketches(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every run of every item, marked if it is in the item's sketch."""
+    """Every run of every item with its MinHash value (signed order is not used: values are unsigned), marked if it is in the item's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,85 +61,150 @@ def _sketches(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _search(items: dict[str, np.ndarray], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidates and their verification for documents, by partitions of item size."""
-    size_class = np.frexp(items["item_size"].astype(float))[1]  # partition c has sizes 2^(c-1) .. 2^c - 1
-    parts = []
-    for c in np.unique(size_class):
-        mine = size_class == c
-        h, key, n, s = (items[k][mine] for k in ("hash", "item_key", "item_size", "sketched"))
-        order = np.argsort(h, kind="stable")
-        parts.append((2.0 ** (c - 1), h[order], key[order], n[order], s[order]))
+class _Items:
+    """Signatures by partition and all runs of the items."""
+
+    def __init__(self, item_key: np.ndarray, hash_: np.ndarray, item_size: np.ndarray, sketched: np.ndarray):
+        order = np.argsort(item_key, kind="stable")
+        key, self.runs = item_key[order], hash_[order]
+        self.key, first, self.size = np.unique(key, return_index=True, return_counts=True)
+        self.at = np.r_[first, len(key)]
+        item = np.searchsorted(self.key, item_key)
+        partition = np.frexp(item_size.astype(float))[1]  # partition c has sizes 2^(c-1) .. 2^c - 1
+        self.parts = []
+        for c in np.unique(partition):
+            mine = (partition == c) & sketched
+            value = mix(hash_[mine])
+            by = np.argsort(value, kind="stable")
+            self.parts.append((value.max(), value[by], item[mine][by]))
+
+    def candidates(self, value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Pairs of a document and an item whose signatures share a value."""
+        found = []
+        for ceiling, table, item in self.parts:
+            low = value <= ceiling  # the documents' signatures for this partition
+            v, d = value[low], doc[low]
+            lo = np.searchsorted(table, v, "left")
+            hit = table[np.minimum(lo, len(table) - 1)] == v
+            v, d, lo = v[hit], d[hit], lo[hit]
+            many = np.searchsorted(table, v, "right") - lo
+            row = np.repeat(np.arange(len(lo)), many)
+            found.append(np.stack([d[row], item[lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]]))
+        return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+
+    def contained(self, texts: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and number of common runs of every verified pair."""
+        h, doc = shingles(texts, SHINGLE, short=False)
+        pairs = self.candidates(mix(h), doc)
+        out = []
+        for d in np.unique(pairs[0]):
+            own = np.unique(h[np.searchsorted(doc, d, "left") : np.searchsorted(doc, d, "right")])
+            for i in pairs[1][pairs[0] == d]:
+                runs = self.runs[self.at[i] : self.at[i + 1]]
+                at = np.minimum(np.searchsorted(own, runs), len(own) - 1)
+                shared = int((own[at] == runs).sum())
+                if shared >= least * self.size[i] - 1e-9:
+                    out.append((d, i, shared))
+        return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _search(items: _Items, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch, "text"):
+                doc, item, shared = items.contained(part["text"], least)
+                yield pa.RecordBatch.from_arrays([part["doc_key"].take(pa.array(doc)), pa.array(items.key[item]), pa.array(shared), pa.array(items.size[item])], names=["doc_key", "item_key", "shared", "item_size"])
+
+    return run
+
 
-    def probe(h: np.ndarray, doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-        hit = hi > lo
-        lo, many, d = lo[hit], (hi - lo)[hit], doc[hit]
-        row = np.repeat(np.arange(len(lo)), many)
-        return d[row], lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+def _clean(items: _Items, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose text contains no item, where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch, "text"):
-                h, doc = _distinct(part["text"])
-                size = np.bincount(doc, minlength=part.num_rows)
-                for low, table, key, n, sketched in parts:
-                    fits = size[doc] >= least * low
-                    d, at = probe(h[fits], doc[fits], table)
-                    hits = sketched[at]
-                    candidate = np.unique(np.stack([d[hits], key[at[hits]]]), axis=1)
-                    if not candidate.shape[1]:
-                        continue
-                    pair, shared = np.unique(np.stack([d, key[at], n[at]]), axis=1, return_counts=True)
-                    code = lambda x: x[0].astype(np.int64) * (int(key.max()) + 1) + x[1]  # noqa: B023, E731
-                    good = np.isin(code(pair), code(candidate)) & (shared >= least * pair[2] - 1e-9)
-                    yield pa.RecordBatch.from_arrays([part["doc_key"].take(pa.array(pair[0][good])), pa.array(pair[1][good]), pa.array(shared[good]), pa.array(pair[2][good])], names=["doc_key", "item_key", "shared", "item_size"])
+                keep = np.ones(part.num_rows, bool)
+                keep[items.contained(part["text"], least)[0]] = False
+                yield part.select(["row"]).filter(pa.array(keep))
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in groups(batch, "text"):
-            h, doc = _distinct(part["text"])
-            n = np.bincount(doc, minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part["doc_key"].take(pa.array(doc)), signed(h), pa.array(n[doc])], names=["doc_key", "hash", "doc_size"])
+def _runs(ceiling: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's different runs; with a ceiling, those of its signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch, "text"):
+                h, doc = _distinct(part["text"])
+                if ceiling is not None:
+                    low = mix(h) <= U(ceiling)
+                    h, doc = h[low], doc[low]
+                yield pa.RecordBatch.from_arrays([part["doc_key"].take(pa.array(doc)), signed(h)], names=["doc_key", "hash"])
+
+    return run
 
 
 def _joined(docs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    runs = docs.mapInArrow(_runs, "doc_key long, hash long, doc_size long")
-    hits = runs.join(sketches, "hash").filter(F.col("doc_size") >= least * F.pow(F.lit(2.0), F.floor(F.log2("item_size"))))
-    found = hits.groupBy("doc_key", "item_key", "item_size").agg(F.count(F.lit(1)).alias("shared"), F.max("sketched").alias("sketched"))
-    return found.filter(F.col("sketched") & (F.col("shared") >= least * F.col("item_size") - 1e-9)).select("doc_key", "item_key", "shared", "item_size")
+    """The same by joins, with the largest ceiling for all partitions."""
+    top = sketches.filter("sketched").select("hash").mapInArrow(_largest, "top binary").collect()  # a row for each task
+    ceiling = max((int.from_bytes(r.top, "little") for r in top), default=0)
+    signature = docs.mapInArrow(_runs(ceiling), "doc_key long, hash long")
+    pairs = stored(signature.join(sketches.filter("sketched"), "hash").select("doc_key", "item_key").distinct(), "candidates")
+    wanted = stored(pairs.join(sketches.select("item_key", "hash", "item_size"), "item_key"), "wanted")
+    own = stored(docs.join(stored(pairs.select("doc_key").distinct(), "documents"), "doc_key", "left_semi").mapInArrow(_runs(None), "doc_key long, hash long").distinct(), "runs")
+    found = wanted.join(own, ["doc_key", "hash"]).groupBy("doc_key", "item_key", "item_size").agg(F.count(F.lit(1)).alias("shared"))
+    return found.filter(F.col("shared") >= least * F.col("item_size") - 1e-9).select("doc_key", "item_key", "shared", "item_size")
+
+
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = max((int(mix(b["hash"].to_numpy().astype(np.int64).view(U)).max()) for b in batches if b.num_rows), default=0)
+    yield pa.RecordBatch.from_arrays([pa.array([top.to_bytes(8, "little")], pa.binary())], names=["top"])
+
+
+def _prepared(items: DataFrame, least: float, most_local: int) -> tuple[DataFrame, _Items | None]:
+    """All runs of the items as a table, and at hand if they are few enough."""
+    made = items.select(F.col("item_key").cast("long"), "text").filter("item_key is not null").distinct()
+    sketches = stored(made.mapInArrow(_sketches(least), "item_key long, hash long, item_size long, sketched boolean"), "sketches")
+    if sketches.count() > most_local:
+        return sketches, None
+    local = sketches.toArrow()
+    columns = {c: local[c].to_numpy(zero_copy_only=False) for c in local.column_names}
+    return sketches, _Items(columns["item_key"].astype(np.int64), columns["hash"].astype(np.int64).view(U), columns["item_size"].astype(np.int64), columns["sketched"].astype(bool))
 
 
-def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, most_local: int = 4_000_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, most_local: int = 1_000_000) -> DataFrame:
     """doc_key, item_key, shared, item_size of every document that contains at least `least` of an item's runs.
 
-    docs has doc_key and text, items item_key and text.
+    docs has doc_key and text, items item_key and text, with one text for each item_key; rows with a null item_key are left out.
     """
-    docs, items = docs.select(F.col("doc_key").cast("long"), "text"), items.select(F.col("item_key").cast("long"), "text")
-    sketches = stored(items.filter("item_key is not null").distinct().mapInArrow(_sketches(least), "item_key long, hash long, item_size long, sketched boolean"), "sketches")
-    if sketches.count() > most_local:
-        return _joined(docs, sketches, least)
-    local = sketches.toArrow()
-    columns = {c: local[c].to_numpy(zero_copy_only=False) for c in local.column_names}
-    columns["hash"] = columns["hash"].astype(np.int64).view(U)
-    if not len(columns["hash"]):
-        return docs.sparkSession.createDataFrame([], _PAIR)
-    return docs.mapInArrow(_search(columns, least), _PAIR)
+    docs = docs.select(F.col("doc_key").cast("long"), "text")
+    sketches, local = _prepared(items, least, most_local)
+    return _joined(docs, sketches, least) if local is None else docs.mapInArrow(_search(local, least), _PAIR)
 
 
-def digest(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    pairs = contained(docs.select(F.col("doc_id").alias("doc_key"), "text"), benchmark.select(F.col("item_id").alias("item_key"), "text"), least)
-    return pairs.select(F.col("doc_key").alias("doc_id"), F.col("item_key").alias("item_id"), "shared", "item_size").distinct()
+def _by_text(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.xxhash64("text").alias("item_key"), "text").filter("text is not null").distinct()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents that contain no item; a null doc_id is judged by its text like any other."""
-    whole = docs.withColumn("_h", F.xxhash64("text"))
-    bad = contained(whole.select(F.col("_h").alias("doc_key"), "text"), benchmark.select(F.col("item_id").alias("item_key"), "text"), least)
-    return whole.join(bad.select(F.col("doc_key").alias("_h")).distinct(), "_h", "left_anti").select(*docs.columns)
+def digest(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, item_id, shared, item_size; every item with an id is reported for its text."""
+    pairs = contained(docs.select(F.col("doc_id").alias("doc_key"), "text"), _by_text(benchmark), least)
+    names = benchmark.filter("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("item_key")).distinct()
+    return pairs.join(names, "item_key").select(F.col("doc_key").alias("doc_id"), "item_id", "shared", "item_size").distinct()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most_local: int = 1_000_000) -> DataFrame:
+    """The documents that contain no item, ids or none; a null doc_id is judged by its text like any other. Few items need no exchange."""
+    row = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
+    sketches, local = _prepared(_by_text(benchmark), least, most_local)
+    if local is None:
+        whole = docs.select(row, F.xxhash64("text").alias("h"), "text")
+        bad = stored(_joined(whole.select(F.col("h").alias("doc_key"), "text"), sketches, least).select(F.col("doc_key").alias("h")).distinct(), "contaminated")
+        return whole.join(bad, "h", "left_anti").select("row.*")
+    whole = docs.select(row, "text")
+    return whole.mapInArrow(_clean(local, least), whole.select("row").schema).select("row.*")
 
 
 ORACLE_SQL = """
