@@ -87,7 +87,7 @@ def test_forward_backward():
     for lo, hi in zip(at, at[1:]):
         s, a, b = score[lo:hi], [], []
         for t in range(len(s)):
-            a.append((np.ones(3) if t == 0 else a[-1]) @ np.exp(move) * np.exp(s[t]))
+            a.append((np.ones(3) if t == 0 else a[-1] @ np.exp(move)) * np.exp(s[t]))
             a[-1] /= a[-1].sum()
         b = [np.ones(3)]
         for t in range(len(s) - 1, 0, -1):
@@ -98,6 +98,47 @@ def test_forward_backward():
             assert np.allclose(got[lo + t], p / p.sum())
 
 
+def test_expected_transitions_are_the_gradient():
+    """Of the logarithm of the partition function, by finite differences over all label sequences."""
+    import itertools
+
+    r = np.random.default_rng(4)
+    score, move, at = r.normal(size=(24, 2)), r.normal(size=(2, 2)), np.array([0, 1, 5, 5, 24])
+
+    def log_z(m):
+        total = 0.0
+        for lo, hi in zip(at, at[1:]):
+            if hi - lo > 12:  # long chains by the plain recurrence
+                a = score[lo]
+                for t in range(lo + 1, hi):
+                    a = np.log(np.exp(a[:, None] + m).sum(0)) + score[t]
+                total += np.log(np.exp(a).sum())
+            elif hi > lo:
+                total += np.log(sum(np.exp(sum(score[lo + i, y] for i, y in enumerate(ys)) + sum(m[a, b] for a, b in zip(ys, ys[1:]))) for ys in itertools.product(range(2), repeat=hi - lo)))
+        return total
+
+    _, joint = language_id.forward_backward(score, move, at, pairs=True)
+    for i, j in itertools.product(range(2), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-5
+        assert abs((log_z(move + step) - log_z(move - step)) / 2e-5 - joint[i, j]) < 1e-5
+    assert abs(joint.sum() - (4 - 1 + 19 - 1)) < 1e-9
+
+
+def test_languages_are_told_apart_and_words_switch():
+    r = random.Random(6)
+    parts = {"aa": ["ka", "ke", "ki"], "bb": ["zo", "zu", "ze"], "cc": ["mi", "mo", "ma"]}
+    say = lambda lang, n: " ".join("".join(r.choices(parts[lang], k=r.randint(1, 4))) for _ in range(n))
+    model = language_id.fit([(lang, say(lang, 60)) for lang in parts for _ in range(20)])
+    texts_ = [say(lang, 30) for lang in parts] + [say("aa", 4000) + " " + say("bb", 9000), "k" * 100_000]
+    [got] = language_id._labelled(model)(iter([pa.RecordBatch.from_arrays([pa.array(texts_)], names=["text"])]))
+    assert got["lang_pred"].to_pylist() == ["aa", "bb", "cc", "bb", "aa"]
+    words = (say("aa", 30) + " " + say("cc", 30)).split()
+    p = language_id.marginals(model.scores(*model.table(words)), model.move, np.array([0, 60]))
+    assert (p[:30].argmax(1) == 0).mean() > 0.95 and (p[30:].argmax(1) == 2).mean() > 0.95
+    assert all(model.move[i, i] > model.move[i].sum() - model.move[i, i] for i in range(3))  # staying is likelier than switching
+
+
 def test_undetermined_languages(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.digest(docs(spark)).collect()}
     assert got[15] == ("und", 0.0) and got[0][0] == "en" and all(0 <= s <= 1 for _, s in got.values())

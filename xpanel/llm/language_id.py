@@ -87,10 +87,19 @@ class Model:
 
 
 def marginals(score: np.ndarray, move: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Posterior label probabilities of each word; text i has the words at[i]:at[i + 1]. Forward-backward in blocks."""
+    """Posterior label probabilities of each word; text i has the words at[i]:at[i + 1]."""
+    return forward_backward(score, move, at)[0]
+
+
+def forward_backward(score: np.ndarray, move: np.ndarray, at: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As marginals, and with pairs the expected number of each transition: the posteriors of neighbouring words' labels, summed.
+
+    A text's first word has no transition. Computed in blocks.
+    """
     n, k = score.shape
+    joint = np.zeros((k, k))
     if not n:
-        return score
+        return score, joint
     emit = np.exp(score - score.max(1, keepdims=True))
     step = np.exp(move - move.max())
     many = np.diff(at)
@@ -102,12 +111,13 @@ def marginals(score: np.ndarray, move: np.ndarray, at: np.ndarray) -> np.ndarray
     pos = lo[:, None] + np.arange(CHAIN)
     real = pos < at[1:][text][:, None]
     e = np.where(real[:, :, None], emit[np.minimum(pos, n - 1)], 1.0)
+    depth = np.arange(total) - first[text]
+    enter = np.where((depth == 0)[:, None, None], 1.0, step)  # into a block's first word
     through = np.broadcast_to(np.eye(k), (total, k, k))
     for t in range(CHAIN):  # the transfer of a block: step into each word, times its emission
-        nxt = through @ step * e[:, t, None, :]
+        nxt = (through @ step if t else enter) * e[:, t, None, :]
         through = np.where(real[:, t, None, None], nxt / nxt.sum((1, 2), keepdims=True), through)
     left, right = np.full((total, k), 1 / k), np.ones((total, k))
-    depth = np.arange(total) - first[text]
     order = np.argsort(depth, kind="stable")
     cut = np.searchsorted(depth[order], np.arange(depth.max() + 2))
     for d in range(depth.max()):
@@ -124,7 +134,7 @@ def marginals(score: np.ndarray, move: np.ndarray, at: np.ndarray) -> np.ndarray
     ahead = np.empty((total, CHAIN, k))
     v = left
     for t in range(CHAIN):
-        v = v @ step * e[:, t]
+        v = (v @ step if t else np.einsum("bi,bij->bj", v, enter)) * e[:, t]
         v = v / v.sum(1, keepdims=True)
         ahead[:, t] = v
     v = right
@@ -132,9 +142,14 @@ def marginals(score: np.ndarray, move: np.ndarray, at: np.ndarray) -> np.ndarray
     for t in range(CHAIN - 1, -1, -1):
         p = ahead[:, t] * v
         out[:, t] = p / p.sum(1, keepdims=True)
-        w = (e[:, t] * v) @ step.T
+        b = e[:, t] * v
+        if pairs:
+            some = real[:, t] & ((depth > 0) if t == 0 else True)
+            both = (ahead[some, t - 1] if t else left[some])[:, :, None] * step * b[some][:, None, :]
+            joint += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        w = b @ step.T
         v = np.where(real[:, t, None], w / w.sum(1, keepdims=True), v)
-    return out[real]
+    return out[real], joint
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = 30, seed: int = 1) -> Model | None:
@@ -164,19 +179,17 @@ def fit(samples: list[tuple[str, str]], epochs: int = 30, seed: int = 1) -> Mode
     hot = np.eye(len(labels))[gold]
     inner = np.ones(len(gold), bool)
     inner[at[:-1]] = False
-    pairs = np.zeros((len(labels), len(labels)))
-    np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
+    seen_pairs = np.zeros((len(labels), len(labels)))
+    np.add.at(seen_pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
     seen = {name: [np.zeros_like(getattr(model, name)), np.zeros_like(getattr(model, name))] for name in ("emit", "known", "bias", "move")}
     for epoch in range(1, epochs + 1):
         score = model.scores(row, slot, known)[index]
-        p = marginals(score, model.move, at)
+        p, joint = forward_backward(score, model.move, at, pairs=True)
         gap = np.stack([np.bincount(index, hot[:, c] - p[:, c], len(vocabulary)) for c in range(len(labels))], 1)
         emit = np.stack([np.bincount(slot, gap[row, c], 1 << BITS) for c in range(len(labels))], 1)
         lex = np.zeros_like(model.known)
         np.add.at(lex, known[known >= 0], gap[known >= 0])
-        joint = np.exp(model.move) * (p[np.flatnonzero(inner) - 1].T @ p[inner]) if inner.any() else np.zeros_like(pairs)
-        joint *= pairs.sum() / max(joint.sum(), 1e-9)
-        grads = {"emit": emit - 0.5 * model.emit, "known": lex - 0.5 * model.known, "bias": gap.sum(0), "move": pairs - joint - 0.5 * model.move}
+        grads = {"emit": emit - 0.5 * model.emit, "known": lex - 0.5 * model.known, "bias": gap.sum(0), "move": seen_pairs - joint - 0.5 * model.move}
         for name, g in grads.items():
             g = g / len(gold)
             m, v = seen[name]
