@@ -52,12 +52,43 @@ def test_edits_equal_encoding_again():
         assert d.tree.total == len(count.coder.tokenizer.encode(d.text, add_special_tokens=False).ids)
 
 
-def test_edit_tables(spark):
-    trees = token_counts.build_trees(docs(spark), BYTES)
-    out = token_counts.apply_edits(trees, token_counts.sample_edits(docs(spark)).filter("doc_id < 8"), BYTES)
-    for r in out.collect():
-        assert r.n_edits == (3 if r.doc_id is not None and r.doc_id < 8 and r.doc_id != 3 else r.n_edits)
-        assert sum(r.piece_tokens) == r.n_tokens == r.tree[1]
+def recounted(text, edits):
+    """The text after the edits, and its number of tokens encoded anew."""
+    for start, stop, new in edits:
+        start = min(max(0, start), len(text))
+        text = text[:start] + new + text[min(max(start, stop), len(text)) :]
+    return text, len(token_counts.Counter(BYTES).coder.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_edit_tables(spark, monkeypatch):
+    """Stored trees, read back and edited twice, against encoding the edited texts anew; a long text and an empty table."""
+    monkeypatch.setattr(token_counts, "BLOCK", 8)
+    long = spark.createDataFrame([(77, " ".join(texts()[0].split() * 200), "en", "s", 1, "x", "y")], DOCS)
+    table = docs(spark).union(long)
+    trees = token_counts.build_trees(table, BYTES)
+    edits = token_counts.sample_edits(table).filter("doc_id < 8 or doc_id = 77").union(spark.createDataFrame([(None, 0, 0, 1, "q"), (5, 9, 3, 1, None), (999, 0, 0, 0, "q"), (6, 9, 0, 10**6, "all new")], "doc_id long, seq int, start int, stop int, replacement string"))
+    by_doc = {}
+    for e in sorted(edits.filter("doc_id is not null").collect(), key=lambda e: (e.seq, e.start, e.stop, e.replacement or "")):
+        by_doc.setdefault(e.doc_id, []).append((e.start, e.stop, e.replacement or ""))
+    once = token_counts.apply_edits(trees, edits, BYTES)
+    twice = token_counts.apply_edits(once, edits, BYTES)
+    want = sorted((str(r.doc_id), *recounted(r.text or "", by_doc.get(r.doc_id, []) * 2)) for r in table.collect())
+    got = twice.collect()
+    assert sorted((str(r.doc_id), r.text, r.n_tokens) for r in got) == want
+    for r in got:
+        leaves, ends, sums = np.frombuffer(r.leaves, "<u4").reshape(-1, 2), np.frombuffer(r.ends, "<i4"), np.frombuffer(r.sums, "<i8").reshape(-1, 2)
+        assert leaves.sum(0).tolist() == sums[1].tolist() == [len(r.text), r.n_tokens] and ends[-1] == len(leaves) == r.n_pieces
+        assert r.n_edits == len(by_doc.get(r.doc_id, []))
+    assert next(r.n_reencoded for r in got if r.doc_id == 77) < 60 < 20_000 < next(r.n_pieces for r in got if r.doc_id == 77)
+    assert token_counts.digest(docs(spark).limit(0), BYTES).count() == 0
+
+
+def test_token_counts_of_the_query(spark):
+    sampled = {}
+    for e in token_counts.sample_edits(docs(spark).dropDuplicates()).orderBy("seq").collect():
+        sampled.setdefault(e.doc_id, []).append((e.start, e.stop, e.replacement))
+    want = sorted((str(r.doc_id), recounted(r.text or "", [])[1], recounted(r.text or "", sampled[r.doc_id])[1]) for r in docs(spark).collect())
+    assert sorted((str(r.doc_id), r.n_before, r.n_tokens) for r in token_counts.digest(docs(spark), BYTES).collect()) == want
 
 
 def test_id_files_round_trip(spark):

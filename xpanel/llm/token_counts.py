@@ -8,22 +8,27 @@ boundary meets an old one behind the edit; only those pre-tokens are encoded. Th
 rewritten and the sums on their paths updated. A block that has grown too much has its tree rebuilt.
 
 State tables hold one row per document and survive between jobs: `build_trees` makes them, `apply_edits` joins
-edits to them by document and returns the new state. Edits of a document are applied in the order of (seq,
-start, stop, replacement); bounds beyond the text are clipped and a stop before the start counts as the start. Null texts count
-as empty, a null replacement as empty; edits with a null or unknown doc_id change nothing; rows of a repeated
-doc_id each get the edits.
+edits to them by document and returns the new state. A row has the text, `leaves` (pairs of unsigned 32-bit numbers, block after
+block), `ends` (pre-tokens up to each block's end) and `sums` (pairs of 64-bit numbers, node after node). Reading it back makes
+views of these; a block is unpacked only when an edit touches it, and the others are copied as they are. Edits of a
+document are applied in the order of (seq, start, stop, replacement); bounds beyond the text are clipped and a stop before
+the start counts as the start. Null texts count as empty, a null replacement as empty; edits with a null or unknown doc_id
+change nothing; rows of a repeated doc_id each get the edits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoder import encoder
+from .shared import stored
+from .words import groups
 
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed value: the vocabulary's own pre-tokens
 BLOCK, BACK = 64, 2
@@ -47,46 +52,86 @@ class Counter:
         return out
 
 
-class Tree:
-    """chars and tokens: of every block's pre-tokens; sums: heap-ordered (chars, tokens) with the root at 1."""
+def _heap(leaf: np.ndarray) -> np.ndarray:
+    """Node sums (a row of characters and tokens each) in heap order, the root at 1, over the sums of the blocks."""
+    width = 1 << max(0, (len(leaf) - 1).bit_length())
+    sums = np.zeros((2 * width, 2), np.int64)
+    sums[width : width + len(leaf)] = leaf
+    while width > 1:
+        half = width // 2
+        sums[half:width] = sums[width : 2 * width : 2] + sums[width + 1 : 2 * width : 2]
+        width = half
+    return sums
+
 
-    def __init__(self, chars: list[list[int]], tokens: list[list[int]]):
-        self.chars, self.tokens = chars or [[]], tokens or [[]]
-        self.width = 1 << max(0, (len(self.chars) - 1).bit_length())
-        self.sums = [[0, 0] for _ in range(2 * self.width)]
-        for b in range(len(self.chars)):
-            self.sums[self.width + b] = [sum(self.chars[b]), sum(self.tokens[b])]
-        for i in range(self.width - 1, 0, -1):
-            self.sums[i] = [self.sums[2 * i][k] + self.sums[2 * i + 1][k] for k in (0, 1)]
+class Tree:
+    """Blocks of pre-tokens (rows of characters and tokens) and the heap of their sums. A stored tree's blocks stay packed until they are asked for."""
+
+    def __init__(self, leaves: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None):
+        self.leaves, self.ends, self.changed = leaves, ends, {}
+        if sums is None:
+            total = np.zeros((len(leaves) + 1, 2), np.int64)
+            np.cumsum(leaves, axis=0, out=total[1:], dtype=np.int64)
+            at = total[np.r_[0, ends]]
+            sums = _heap(at[1:] - at[:-1])
+        self.sums = sums
+        self.width = len(sums) // 2
 
     @classmethod
     def of(cls, chars: list[int], tokens: list[int]) -> Tree:
-        cut = range(0, max(1, len(chars)), BLOCK)
-        return cls([chars[i : i + BLOCK] for i in cut], [tokens[i : i + BLOCK] for i in cut])
+        n = len(chars)
+        return cls(np.array([chars, tokens], np.uint32).T.reshape(n, 2), np.minimum(np.arange(BLOCK, max(n, 1) + BLOCK, BLOCK), n).astype(np.int32))
+
+    @classmethod
+    def restored(cls, leaves: bytes, ends: bytes, sums: bytes) -> Tree:
+        return cls(np.frombuffer(leaves, "<u4").reshape(-1, 2), np.frombuffer(ends, "<i4"), np.frombuffer(sums, "<i8").reshape(-1, 2).copy())
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        if self.changed:
+            parts, size, cut = [], np.diff(np.r_[0, self.ends]), np.r_[0, self.ends]
+            last = 0
+            for b in sorted(self.changed):
+                mine = np.array(self.changed[b], np.uint32).reshape(-1, 2)
+                parts += [self.leaves[cut[last] : cut[b]], mine]
+                size[b], last = len(mine), b + 1
+            self.leaves, self.ends, self.changed = np.concatenate([*parts, self.leaves[cut[last] :]]), np.cumsum(size).astype(np.int32), {}
+        return self.leaves.astype("<u4").tobytes(), self.ends.astype("<i4").tobytes(), self.sums.astype("<i8").tobytes()
+
+    @property
+    def blocks(self) -> int:
+        return len(self.ends)
 
     @property
     def total(self) -> int:
-        return self.sums[1][1]
+        return int(self.sums[1, 1])
+
+    def block(self, b: int) -> list[list[int]]:
+        """The block's pre-tokens as [characters, tokens]."""
+        if b not in self.changed:
+            return self.leaves[(self.ends[b - 1] if b else 0) : self.ends[b]].tolist()
+        return self.changed[b]
+
+    def pieces(self) -> int:
+        return sum(len(self.block(b)) for b in self.changed) + sum(int(self.ends[b] - (self.ends[b - 1] if b else 0)) for b in range(self.blocks) if b not in self.changed)
 
     def find(self, at: int) -> tuple[int, int]:
         """The block with the character `at` (the last one if there is none), and where the block begins."""
         i, begin = 1, 0
         while i < self.width:
             i *= 2
-            if at >= begin + self.sums[i][0] and self.sums[i + 1][0]:
-                begin += self.sums[i][0]
+            if at >= begin + self.sums[i, 0] and self.sums[i + 1, 0]:
+                begin += int(self.sums[i, 0])
                 i += 1
-        return min(i - self.width, len(self.chars) - 1), begin
+        return min(i - self.width, self.blocks - 1), begin
 
-    def update(self, block: int) -> None:
-        i = self.width + block
-        self.sums[i] = [sum(self.chars[block]), sum(self.tokens[block])]
+    def put(self, b: int, block: list[list[int]]) -> None:
+        """Writes a block and the sums on its path."""
+        self.changed[b] = block
+        i = self.width + b
+        self.sums[i] = (sum(p[0] for p in block), sum(p[1] for p in block))
         while i > 1:
             i //= 2
-            self.sums[i] = [self.sums[2 * i][k] + self.sums[2 * i + 1][k] for k in (0, 1)]
-
-    def flat(self) -> tuple[list[int], list[int]]:
-        return [c for b in self.chars for c in b], [t for b in self.tokens for t in b]
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
 
 class Document:
@@ -104,72 +149,75 @@ class Document:
         stop = min(max(start, stop), n)
         text = self.text[:start] + replacement + self.text[stop:]
         shift = len(replacement) - (stop - start)
-        block, begin = tree.find(max(0, start - 1))
-        first = block
-        inside, at = 0, begin
-        while inside < len(tree.chars[first]) and at + tree.chars[first][inside] < start:
-            at += tree.chars[first][inside]
+        first, at = tree.find(max(0, start - 1))
+        inside, here = 0, tree.block(first)
+        while inside < len(here) and at + here[inside][0] < start:
+            at += here[inside][0]
             inside += 1
         for _ in range(BACK):
             while not inside and first:
                 first -= 1
-                inside = len(tree.chars[first])
+                here = tree.block(first)
+                inside = len(here)
             if inside:
                 inside -= 1
-                at -= tree.chars[first][inside]
+                at -= here[inside][0]
         # old boundaries from the edit's end on, block by block, until a new one meets one
-        old, last, taken = at, first, inside
+        old, last, taken, there = at, first, inside, here
         made: list[str] = []
         new = at
         for m in CUT.finditer(text, at):
             made.append(m[0])
             new = m.end()
             while old + shift < new or old < stop:
-                while last < len(tree.chars) and taken >= len(tree.chars[last]):
+                while last < tree.blocks and taken >= len(there):
                     last, taken = last + 1, 0
-                if last >= len(tree.chars):
+                    there = tree.block(last) if last < tree.blocks else []
+                if last >= tree.blocks:
                     break
-                old += tree.chars[last][taken]
+                old += there[taken][0]
                 taken += 1
             if old >= stop and old + shift == new and new >= start + len(replacement):
                 break
         else:
-            last, taken = len(tree.chars) - 1, len(tree.chars[-1])
-        if last >= len(tree.chars):
-            last, taken = len(tree.chars) - 1, len(tree.chars[-1])
-        counts = self.count(made)
+            last = tree.blocks
+        if last >= tree.blocks:
+            last = tree.blocks - 1
+            there = tree.block(last)
+            taken = len(there)
         self.encoded += len(made)
-        head_c, head_t = tree.chars[first][:inside], tree.tokens[first][:inside]
-        tail_c, tail_t = tree.chars[last][taken:], tree.tokens[last][taken:]
-        for b in range(first, last + 1):
-            tree.chars[b], tree.tokens[b] = [], []
-        tree.chars[first], tree.tokens[first] = head_c + list(map(len, made)), head_t + counts
-        tree.chars[last], tree.tokens[last] = tree.chars[last] + tail_c, tree.tokens[last] + tail_t
+        head = [*here[:inside], *([len(p), c] for p, c in zip(made, self.count(made)))]
+        tail = there[taken:]
         self.text = text
-        if max(len(tree.chars[first]), len(tree.chars[last])) > 4 * BLOCK:
-            self.tree = Tree.of(*tree.flat())
-        else:
-            for b in range(first, last + 1):
-                tree.update(b)
+        if first == last:
+            head, tail = head + tail, []
+        if max(len(head), len(tail)) > 4 * BLOCK:
+            pieces = [p for b in range(first) for p in tree.block(b)] + head + tail + [p for b in range(last + 1, tree.blocks) for p in tree.block(b)]
+            self.tree = Tree.of([p[0] for p in pieces], [p[1] for p in pieces])
+            return
+        for b in range(first + 1, last):
+            tree.put(b, [])
+        tree.put(first, head)
+        if last > first:
+            tree.put(last, tail)
 
 
-_STATE = "text string, piece_chars array<int>, piece_tokens array<int>, tree array<long>, n_tokens long"
-_ARROW = {"text": pa.string(), "piece_chars": pa.list_(pa.int32()), "piece_tokens": pa.list_(pa.int32()), "tree": pa.list_(pa.int64()), "n_tokens": pa.int64(), "n_before": pa.int64(), "n_edits": pa.int64(), "n_reencoded": pa.int64(), "n_pieces": pa.int64()}
+_STATE = "text string, leaves binary, ends binary, sums binary, n_tokens long"
+_COUNTS = ("n_before", "n_tokens", "n_edits", "n_reencoded", "n_pieces")
 
 
-def _state(doc: Document) -> dict:
-    chars, tokens = doc.tree.flat()
-    return {"text": doc.text, "piece_chars": chars, "piece_tokens": tokens, "tree": [s[1] for s in doc.tree.sums], "n_tokens": doc.tree.total}
+def _columns(docs: list[Document]) -> list[pa.Array]:
+    packed = [d.tree.packed() for d in docs]
+    return [pa.array([d.text for d in docs], pa.string()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)), pa.array([d.tree.total for d in docs], pa.int64())]
 
 
-def _run(path: str, keep: list[str], work: Callable[[dict, Counter], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _built(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                made = [work(row, count) for row in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array([m[k] for m in made], _ARROW[k]) for k in keep)], names=["doc_id", *keep])
+            for part in groups(batch, "text"):
+                docs = [Document.new(text or "", count) for text in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *_columns(docs)], names=["doc_id", "text", "leaves", "ends", "sums", "n_tokens"])
 
     return run
 
@@ -177,16 +225,35 @@ def _run(path: str, keep: list[str], work: Callable[[dict, Counter], dict]) -> C
 def build_trees(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the state of every whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keep = ["text", "piece_chars", "piece_tokens", "tree", "n_tokens"]
-    return docs.select("doc_id", "text").mapInArrow(_run(path, keep, lambda row, count: _state(Document.new(row["text"] or "", count))), f"doc_id {kind}, {_STATE}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_built(path), f"doc_id {kind}, {_STATE}")
 
 
-def _edited(row: dict, count: Counter) -> dict:
-    doc = Document(row["text"] or "", Tree.of(row["piece_chars"], row["piece_tokens"]), count)
-    before, edits = doc.tree.total, row["edits"] or []
-    for e in edits:
-        doc.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
-    return _state(doc) | {"n_before": before, "n_edits": len(edits), "n_reencoded": doc.encoded, "n_pieces": sum(map(len, doc.tree.chars))}
+def _edited(path: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Restores each stored tree, applies the row's edits, and gives counts and, if whole, the new state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter(path)
+        for batch in batches:
+            for part in groups(batch, "text"):
+                docs, rows = [], []
+                for text, leaves, ends, sums, edits in zip(*(part[c].to_pylist() for c in ("text", "leaves", "ends", "sums", "edits"))):
+                    doc = Document(text, Tree.restored(leaves, ends, sums), count)
+                    before = doc.tree.total
+                    for e in edits or []:
+                        doc.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
+                    docs.append(doc)
+                    rows.append((before, doc.tree.total, len(edits or []), doc.encoded, doc.tree.pieces()))
+                counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], *_columns(docs), *(counts[i] for i in (0, 2, 3, 4))], names=["doc_id", "text", "leaves", "ends", "sums", "n_tokens", "n_before", "n_edits", "n_reencoded", "n_pieces"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], *counts], names=["doc_id", *_COUNTS])
+
+    return run
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
 
 
 def apply_edits(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
@@ -195,10 +262,8 @@ def apply_edits(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
     edits: doc_id, seq, start, stop, replacement.
     """
     listed = edits.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "replacement"))).alias("edits"))
-    kind = trees.schema["doc_id"].dataType.simpleString()
-    keep = ["text", "piece_chars", "piece_tokens", "tree", "n_tokens", "n_before", "n_edits", "n_reencoded", "n_pieces"]
-    both = trees.select("doc_id", "text", "piece_chars", "piece_tokens").join(listed, "doc_id", "left")
-    return both.mapInArrow(_run(path, keep, _edited), f"doc_id {kind}, {_STATE}, n_before long, n_edits long, n_reencoded long, n_pieces long")
+    both = trees.select("doc_id", "text", "leaves", "ends", "sums").join(listed, "doc_id", "left")
+    return both.mapInArrow(_edited(path, True), f"doc_id {_kind(trees)}, {_STATE}, n_before long, n_edits long, n_reencoded long, n_pieces long")
 
 
 def _sample_edits() -> Column:
@@ -217,17 +282,8 @@ def sample_edits(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Counts before and after three edits of every document; n_reencoded tells how little was encoded again.
 
-    The edits depend on the row alone, so they are attached without a join; apply_edits is the general form.
+    The trees are written and read back as a later job would. These edits depend on the row alone, so they are attached
+    to it; edits that come as a table are joined by apply_edits, through the same restored trees.
     """
-    edits = _sample_edits()
-
-    def work(row: dict, count: Counter) -> dict:
-        doc = Document.new(row["text"] or "", count)
-        before = doc.tree.total
-        for e in row["edits"]:
-            doc.edit(e["start"], e["stop"], e["replacement"])
-        return {"n_before": before, "n_tokens": doc.tree.total, "n_edits": len(row["edits"]), "n_reencoded": doc.encoded, "n_pieces": sum(map(len, doc.tree.chars))}
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keep = ["n_before", "n_tokens", "n_edits", "n_reencoded", "n_pieces"]
-    return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(_run(path, keep, work), f"doc_id {kind}, " + ", ".join(f"{k} long" for k in keep))
+    trees = stored(build_trees(docs, path), "trees").withColumn("edits", _sample_edits())
+    return trees.mapInArrow(_edited(path, False), f"doc_id {_kind(docs)}, " + ", ".join(f"{k} long" for k in _COUNTS))
