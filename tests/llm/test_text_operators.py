@@ -100,8 +100,24 @@ def test_id_files_round_trip(spark):
     start = np.cumsum([0, *map(len, ids)])
     want = sorted(((k, int(s), len(x), zlib.crc32(x.tobytes())) for (k, _), s, x in zip(rows, start, ids)), key=str)
     assert sorted(map(tuple, id_files.read_digests(spark, out).collect()), key=str) == want
-    found = id_files.lookup(spark.createDataFrame([(3,), (99,)], "doc_id long"), out).collect()
-    assert [r.doc_id for r in found] == [3, 3]
+    asked = spark.createDataFrame([(i,) for i in (*range(-2, 25), None, 10**12)], "doc_id long")
+    found = sorted((r.doc_id, r.start, r.ids) for r in id_files.lookup(asked, out).collect())
+    assert found == sorted((k, int(s), x.tolist()) for (k, _), s, x in zip(rows, start, ids) if k is not None)
+
+
+def test_id_files_of_runs_long_texts_and_nothing(spark):
+    table = spark.createDataFrame([(5, "a b"), (5, "c"), (5, None), (5, "a b"), (6, "word " * 30_000), (None, "x"), (None, ""), (7, "")], "doc_id long, text string")
+    tok = Tokenizer.from_file(WORDS)
+    for docs_a_segment in (1, 3, 100):
+        out = folder(spark, "test-ids")
+        id_files.write(table, out, WORDS, segment_docs=docs_a_segment)
+        found = sorted((r.doc_id, r.ids) for r in id_files.lookup(table.select("doc_id"), out).collect())
+        assert found == sorted((r.doc_id, [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in table.collect() if r.doc_id is not None)
+        got = sorted((r.start, r.n_tokens) for r in id_files.read_digests(spark, out).collect())
+        assert [s for s, _ in got] == np.cumsum([0, *(n for _, n in got)])[:-1].tolist() and len(got) == 8
+    out = folder(spark, "test-ids")
+    id_files.write(table.limit(0), out, WORDS)
+    assert id_files.read_digests(spark, out).count() == id_files.lookup(table.select("doc_id"), out).count() == 0
 
 
 def test_perfect_hash_is_a_permutation():

@@ -1,16 +1,18 @@
 """Token-id files with a minimal perfect hash index.
 
 Format: a Parquet folder `segments` whose rows are segments of raw ids, written by tasks of one ascending range
-of doc_id each (a shard), and a folder `shards` with each shard's first id position. A segment row holds
+of doc_id each (a shard), and a folder `shards` with each shard's first id position and keys. A segment row holds
 `payload` (unsigned 32-bit little-endian ids of its documents, nothing between them) and an index: `pilots`,
-`prints` and `offsets`, `lengths`. A key's bucket is a hash of the key; the bucket's pilot displaces its keys
+`prints`, `offsets`, `lengths` and `counts`. A key's bucket is a hash of the key; the bucket's pilot displaces its keys
 to slots of their own, one for each key; `prints` has the key's fingerprint at its slot, so an absent key is
-told apart, and `offsets` and `lengths` say where its ids are. The fingerprint is a bijection of the 64-bit key, so it also gives
+told apart, and `offsets` and `lengths` at the slot say where in the payload its ids are: two arithmetic steps, one
+comparison and one slice, whatever the segment holds. The fingerprint is a bijection of the 64-bit key, so it also gives
 the key back and never matches wrongly.
 
 A whole task is written or not at all (Spark's committer), so a lost executor leaves no half file. Documents follow
-by doc_id, null first, equal ones by text; documents with equal keys in one segment are one run, `counts`
-telling how many. Null texts count as empty. A segment is closed at `segment_ids` ids or `segment_docs`
+by doc_id, null first, equal ones by text. Documents of equal keys in one segment follow one another: `counts` has their
+number, and `more` the lengths of those after the first, as triples of slot, number and length; `loose` has offset and length of each
+document without a key. Null texts count as empty. A segment is closed at `segment_ids` ids or `segment_docs`
 documents, so a task holds one segment at a time; keys of one run may go on in the next segment.
 """
 
@@ -85,7 +87,7 @@ def build(print_: np.ndarray) -> np.ndarray:
     return pilots
 
 
-_SEGMENT = "shard int, segment int, seg_start long, n_ids long, n_docs long, first_key long, last_key long, payload binary, pilots binary, prints binary, offsets binary, lengths binary, counts binary, loose binary"
+_SEGMENT = "shard int, segment int, seg_start long, n_ids long, n_docs long, first_key long, last_key long, payload binary, pilots binary, prints binary, offsets binary, lengths binary, counts binary, more binary, loose binary"
 _NAMES = [x.split()[0] for x in _SEGMENT.split(", ")]
 
 
@@ -99,12 +101,20 @@ def _segment(shard: int, segment: int, start: int, keys: list, parts: list[np.nd
     print_ = fingerprint(different)
     pilots = build(print_) if len(different) else np.zeros(1, np.uint32)
     slot = slots(print_, pilots, len(different)) if len(different) else np.zeros(0, np.int64)
-    place = lambda v, kind: (lambda out: (out.__setitem__(slot, v), out.tobytes())[1])(np.zeros(len(different), kind))
+
+    def place(v: np.ndarray, kind: str) -> bytes:
+        out = np.zeros(len(different), kind)
+        out[slot] = v
+        return out.tobytes()
+
+    begin = where[first] if len(where) else where
+    extra = [(int(slot[i]), j, int(length[begin[i] + j])) for i in np.flatnonzero(count > 1) for j in range(1, count[i])]
+    loose = np.stack([offset[~known], length[~known]], 1)
     return {
         "shard": shard, "segment": segment, "seg_start": start, "n_ids": int(length.sum()), "n_docs": len(keys),
         "first_key": int(key[where].min()) if len(where) else None, "last_key": int(key[where].max()) if len(where) else None,
         "payload": np.concatenate(parts).astype("<u4").tobytes(), "pilots": pilots.astype("<u4").tobytes(), "prints": place(print_, "<u8"),
-        "offsets": place(where[first], "<u4"), "lengths": length.astype("<u4").tobytes(), "counts": place(count, "<u4"), "loose": np.flatnonzero(~known).astype("<u4").tobytes(),
+        "offsets": place(offset[begin], "<u4"), "lengths": place(length[begin], "<u4"), "counts": place(count, "<u4"), "more": np.array(extra, "<u4").tobytes(), "loose": loose.astype("<u4").tobytes(),
     }
 
 
@@ -146,33 +156,51 @@ def write(docs: DataFrame, out: str, path: str, end: int = 2, most_shards: int =
     sums.withColumn("shard_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{out}/shards")
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[n], k) for n, k in (("payload", "<u4"), ("pilots", "<u4"), ("prints", "<u8"), ("offsets", "<u4"), ("lengths", "<u4"), ("counts", "<u4"), ("loose", "<u4")))
-
-
-def _records(row: dict, ordinals: np.ndarray, keys: list) -> Iterator[tuple]:
-    payload, lengths = np.frombuffer(row["payload"], "<u4"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    at = np.r_[0, np.cumsum(lengths)]
-    base = row["shard_start"] + row["seg_start"]
-    for key, i in zip(keys, ordinals.tolist(), strict=True):
-        yield key, base + int(at[i]), int(lengths[i]), payload[at[i] : at[i + 1]]
+class _Index:
+    """A segment row's index: where the ids of a key are."""
+
+    def __init__(self, row: dict):
+        self.payload, self.pilots, self.offsets, self.lengths, self.counts = (np.frombuffer(row[c], "<u4") for c in ("payload", "pilots", "offsets", "lengths", "counts"))
+        self.prints = np.frombuffer(row["prints"], "<u8").astype(U)
+        self.more, self.loose = np.frombuffer(row["more"], "<u4").reshape(-1, 3), np.frombuffer(row["loose"], "<u4").reshape(-1, 2)
+        self.base = row["shard_start"] + row["seg_start"]
+        self.name = f"shard {row['shard']}, segment {row['segment']}"
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys that are there, and their slots."""
+        if not len(self.prints) or not len(keys):
+            return keys[:0], np.zeros(0, np.int64)
+        print_ = fingerprint(keys)
+        slot = slots(print_, self.pilots, len(self.prints))
+        hit = self.prints[slot] == print_
+        return keys[hit], slot[hit]
+
+    def records(self, keys: np.ndarray, slot: np.ndarray) -> Iterator[tuple]:
+        """Key, start among all ids, and ids of each document of the keys."""
+        for key, s in zip(keys.tolist(), slot.tolist(), strict=True):
+            at, n = int(self.offsets[s]), int(self.lengths[s])
+            yield key, self.base + at, self.payload[at : at + n]
+            if self.counts[s] > 1:
+                for _, _, m in self.more[self.more[:, 0] == s].tolist():  # in order
+                    at, n = at + n, m
+                    yield key, self.base + at, self.payload[at : at + n]
+
+    def unnamed(self) -> Iterator[tuple]:
+        for at, n in self.loose.tolist():
+            yield None, self.base + at, self.payload[at : at + n]
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every key of every segment, looked up through the segment's hash, with its ids."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, pilots, prints, first, _, counts, loose = _arrays(row)
-            keys = key_of(prints.astype(U))
-            if len(keys):
-                slot = slots(fingerprint(keys), pilots, len(keys))
-                if not (prints[slot] == fingerprint(keys)).all():
-                    raise ValueError(f"the index of shard {row['shard']}, segment {row['segment']} is damaged")
-                first, counts = first[slot].astype(np.int64), counts[slot].astype(np.int64)
-            many = np.repeat(np.arange(len(keys)), counts)
-            ordinal = first[many] + np.arange(len(many)) - np.repeat(np.cumsum(counts) - counts, counts) if len(keys) else np.zeros(0, np.int64)
-            found = list(_records(row, np.r_[ordinal.astype(np.int64), loose.astype(np.int64)], keys[many].tolist() + [None] * len(loose)))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([zlib.crc32(f[3].tobytes()) for f in found], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            index = _Index(row)
+            keys = key_of(index.prints)
+            found, slot = index.slots(keys)
+            if len(found) != len(keys):
+                raise ValueError(f"the index of {index.name} is damaged")
+            made = [(k, start, len(ids), zlib.crc32(ids.tobytes())) for part in (index.records(found, slot), index.unnamed()) for k, start, ids in part]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _segments(spark: SparkSession, out: str) -> DataFrame:
@@ -188,26 +216,40 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            _, pilots, prints, first, _, counts, _ = _arrays(row)
-            if not len(prints):
-                continue
-            asked = np.array(row["keys"], np.int64)
-            slot = slots(fingerprint(asked), pilots, len(prints))
-            hit = prints[slot] == fingerprint(asked)
-            asked, slot = asked[hit], slot[hit]
-            many = np.repeat(np.arange(len(asked)), counts[slot])
-            ordinal = first[slot][many].astype(np.int64) + np.concatenate([np.arange(c) for c in counts[slot]]) if len(asked) else np.zeros(0, np.int64)
-            found = list(_records(row, ordinal.astype(np.int64), asked[many].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[3].tolist() for f in found], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+            index = _Index(row)
+            found = list(index.records(*index.slots(np.array(row["keys"], np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2].tolist() for f in found], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+
+def _shards_of(shard: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each key with the shards (more than one where a run of equal keys goes on) whose ascending ranges hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            first, last = np.searchsorted(hi, key, "left"), np.searchsorted(lo, key, "right")
+            many = np.maximum(last - first, 0)
+            row = np.repeat(np.arange(len(key)), many)
+            at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(shard[at].astype(np.int32))], names=["key", "shard"])
+
+    return run
 
 
 def lookup(keys: DataFrame, out: str) -> DataFrame:
-    """doc_id, start, ids of each of the keys (a column doc_id) that is in the files; others give no row."""
+    """doc_id, start, ids of each of the keys (a column doc_id) that is in the files; others give no row.
+
+    A key finds its shard by two searches in the shards' ranges (at most most_shards), its segment among the shard's own, and its
+    ids through the segment's hash. Only segments that are asked for are joined.
+    """
     spark = keys.sparkSession
+    ranges = spark.read.parquet(f"{out}/shards").filter("first_key is not null").select("shard", "first_key", "last_key").orderBy("shard").toArrow()  # most_shards rows at most
+    shard, lo, hi = (ranges[c].to_numpy().astype(np.int64) for c in ("shard", "first_key", "last_key"))
+    near = keys.select(F.col("doc_id").cast("long").alias("key")).filter("key is not null").distinct().mapInArrow(_shards_of(shard, lo, hi), "key long, shard int")
     spans = spark.read.parquet(f"{out}/segments").filter("first_key is not null").select("shard", "segment", "first_key", "last_key")
-    lists = spark.read.parquet(f"{out}/shards").select("shard", F.col("first_key").alias("lo"), F.col("last_key").alias("hi"))
-    near = keys.select(F.col("doc_id").cast("long").alias("key")).distinct().join(F.broadcast(lists), F.expr("key between lo and hi"))
-    asked = near.join(spans, "shard").filter("key between first_key and last_key").groupBy("shard", "segment").agg(F.collect_set("key").alias("keys"))
+    listed = spans.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("first_key", "last_key", "segment"))).alias("spans"))  # a shard's segments
+    mine = F.filter("spans", lambda x: (x["first_key"] <= F.col("key")) & (F.col("key") <= x["last_key"]))
+    asked = near.join(listed, "shard").select("shard", "key", F.explode(mine).alias("x")).groupBy("shard", F.col("x.segment").alias("segment")).agg(F.collect_set("key").alias("keys"))
     return _segments(spark, out).join(asked, ["shard", "segment"]).mapInArrow(_finder, "doc_id long, start long, ids array<long>")
 
 
