@@ -23,6 +23,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,22 +83,27 @@ class Visitor:
         return "".join(out), attachments, tokens
 
 
+def _counts(texts: list[str], path: str | None) -> list[int]:
+    """The number of tokens of each text, all of a batch at once; of words without a vocabulary."""
+    if not path:
+        return [len(t.split()) for t in texts]
+    from .encoder import encoder
+
+    return np.diff(encoder(path, "bytes").encode(pa.array(texts, pa.large_string()))[1]).tolist()
+
+
 def _formatted(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Callable[[str], int] = lambda text: len(text.split())
-        if path:
-            from .encoder import encoder
-
-            coder = encoder(path, "bytes")
-            count = lambda text: len(coder.encode(pa.array([text]))[0])
-        visitor = Visitor(count)
         for batch in batches:
+            turns = list(zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role", "parts"))))
+            counts = iter(_counts([p.get("text") or "" for *_, parts in turns for p in parts or [] if p and p["type"] == "text"], path))
+            visitor = Visitor(lambda text: next(counts))  # noqa: B023  the visitor meets the texts in the same order
             rows = []
-            for row in batch.to_pylist():
-                content, attachments, tokens = visitor.flatten(row["parts"] or [])
-                head = f"{START}{escape(row['role'] or '')}{SEP}"
-                learn = row["role"] == "assistant"
-                rows.append({"conv_id": row["conv_id"], "turn": row["turn"], "formatted": head + content + END, "loss_from": len(head) if learn else 0, "loss_to": len(head) + len(content) if learn else 0, "n_tokens": tokens, "attachments": [a | {"at": a["at"] + len(head)} for a in attachments]})
+            for conv_id, turn, role, parts in turns:
+                content, attachments, tokens = visitor.flatten(parts or [])
+                head = f"{START}{escape(role or '')}{SEP}"
+                learn = role == "assistant"
+                rows.append({"conv_id": conv_id, "turn": turn, "formatted": head + content + END, "loss_from": len(head) if learn else 0, "loss_to": len(head) + len(content) if learn else 0, "n_tokens": tokens, "attachments": [a | {"at": a["at"] + len(head)} for a in attachments]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("n_tokens", pa.int64()), ("attachments", pa.list_(_ATTACHMENT))]))
 
     return run

@@ -5,7 +5,8 @@ one). Pieces are dealt at random into blocks of about `block` pieces; each block
 islands evolve each block in tasks of their own: crossover injects a random half of the well-filled bins
 of one parent into the other, bins that lose a piece to an injected one are dissolved, and the displaced
 pieces are put back best-fit, largest first. Between epochs every island sends its elite to the next
-one. Evolution stops where the lower bound ceil(sum / capacity) is met. Bins that stay poorly filled are
+one. Evolution stops where the lower bound ceil(sum / capacity) is met, which best-fit alone does for many blocks of ordinary lengths;
+where it does not, the generations run (state tables hold their number and the bins before and after). Bins that stay poorly filled are
 released, gathered whole into new blocks and evolved once more from that grouping, so a block is never packed worse.
 
 Only lengths travel; a block is bounded by construction whatever the keys. Null texts count as empty, and
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoder import encoder
@@ -105,6 +106,29 @@ class Block:
                 with_room[left].append(b)
         return bins
 
+    def tight(self, bins: np.ndarray, which: np.ndarray, slack: int) -> np.ndarray:
+        """Pieces not placed yet fill new bins by threes or pairs of at most that slack, largest first; the others are put best-fit."""
+        by = which[np.argsort(self.size[which], kind="stable")]
+        count = int(bins.max()) + 1 if (bins >= 0).any() else 0
+        rest = []
+        while len(by) > 2:
+            seed, by = by[-1], by[:-1]
+            v = self.size[by]
+            room = self.capacity - self.size[seed]
+            j = np.searchsorted(v, room - v, "right") - 1
+            j -= j >= np.arange(len(v))  # the partner stands before
+            total = np.where(j >= 0, v + v[np.maximum(j, 0)], 0)
+            total = np.where(v <= room, np.maximum(total, v), -1)
+            i = int(total.argmax())
+            if total[i] < room - slack:
+                rest.append(seed)
+                continue
+            mine = [i] if total[i] == v[i] else [i, int(j[i])]
+            bins[[seed, *by[mine]]] = count
+            count += 1
+            by = np.delete(by, mine)
+        return self.best_fit(bins, self.falling(np.array([*rest, *by], np.int64)))
+
     def falling(self, which: np.ndarray) -> np.ndarray:
         return which[np.argsort(-self.size[which], kind="stable")]
 
@@ -113,7 +137,7 @@ class Block:
         return self.best_fit(np.full(len(self.size), -1, np.int64), order)
 
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """a with a random half of b's well-filled bins."""
+        """a with a random half of b's well-filled bins; displaced pieces fill new bins tightly or are put best-fit, by turns of chance."""
         full = self.fill(b)
         good = full >= np.quantile(full, 0.3)
         give = (good & (self.random.random(len(full)) < 0.5))[b]
@@ -127,43 +151,48 @@ class Block:
         base = int(child.max()) + 1 if kept.any() else 0
         if give.any():
             child[give] = base + np.unique(b[give], return_inverse=True)[1]
-        return self.best_fit(child, self.falling(np.flatnonzero(child < 0)))
+        out = np.flatnonzero(child < 0)
+        return self.tight(child, out, self.capacity // 200) if self.random.random() < 0.5 else self.best_fit(child, self.falling(out))
 
     def evolve(self, elite: list[np.ndarray], population: int, generations: int) -> list[np.ndarray]:
-        """The two best solutions found; elite holds groupings with any labels."""
+        """The two best solutions found; elite holds groupings with any labels. Sets first, last (bins) and ran (generations)."""
         elite = [np.unique(x, return_inverse=True)[1] for x in elite] or [self.fresh(0.0)]
-        if self.worth(elite[0])[0] > self.bound:
-            elite = elite + [self.fresh(0.05 * (i + 1)) for i in range(max(0, population - len(elite)))]
+        self.ran, self.first = 0, self.worth(elite[0])[0]
+        if self.first > self.bound:
+            made = [self.tight(np.full(len(self.size), -1, np.int64), np.arange(len(self.size)), self.capacity // 200)]
+            elite = elite + made + [self.fresh(0.05 * (i + 1)) for i in range(max(0, population - len(elite) - 1))]
         elite = sorted(elite, key=self.worth)
         for _ in range(generations):
             if self.worth(elite[0])[0] <= self.bound or len(elite) < 2:
                 break
+            self.ran += 1
             made = []
             for _ in range(population):
                 x, y = self.random.choice(len(elite), 2, replace=False)
                 made.append(self.cross(elite[min(x, y)], elite[max(x, y)]))
             elite = sorted(elite + made, key=self.worth)[:population]
+        self.last = self.worth(elite[0])[0]
         return elite[:2]
 
 
-_STATE = "block long, island int, uid array<long>, size array<int>, elite array<array<long>>, bins int"
+_STATE = "block long, island int, uid array<long>, size array<int>, elite array<array<long>>, bins int, bins_before int, generations int"
 
 
 def _evolved(capacity: int, population: int, generations: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                it = Block(np.array(row["size"], np.int64), capacity, hash((row["block"], row["island"], epoch)) & 0x7FFFFFFF)
+                it = Block(np.array(row["size"], np.int64), capacity, (row["block"] * 1_000_003 + row["island"] * 101 + epoch) & 0x7FFFFFFF)
                 best = it.evolve([np.array(x, np.int64) for x in row["elite"]], population, generations)
-                row |= {"elite": [x.tolist() for x in best], "bins": it.worth(best[0])[0]}
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("uid", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int64()))), ("bins", pa.int32())]))
+                row |= {"elite": [x.tolist() for x in best], "bins": it.last, "bins_before": it.first, "generations": it.ran}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("uid", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int64()))), ("bins", pa.int32()), ("bins_before", pa.int32()), ("generations", pa.int32())]))
 
     return run
 
 
 def _epochs(start: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
     """uid, block, bin of the best solution of each block. start: block, uid, size, elite (possibly empty)."""
-    state = start.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "uid", "size", "elite", F.lit(0).alias("bins"))
+    state = start.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "uid", "size", "elite", *(F.lit(0).alias(c) for c in ("bins", "bins_before", "generations")))
     for epoch in range(epochs):
         if epoch:  # every island's best goes to its neighbour
             guest = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite")[0].alias("guest"))
@@ -190,8 +219,8 @@ def pack(lengths: DataFrame, capacity: int = 2048, block: int = 4096, islands: i
     second = _epochs(start, capacity, islands, 1, population, generations)
     done = first.join(weak, ["block", "bin"], "left_anti").select("uid", "size", (F.col("block") * (1 << 21) + F.col("bin")).alias("sequence_id"))
     both = done.union(second.select("uid", "size", (F.col("block") * (1 << 21) + (1 << 20) + F.col("bin")).alias("sequence_id")))
-    at = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("uid", "size"))).alias("x"))  # at most capacity rows
-    return at.select("sequence_id", F.posexplode("x").alias("i", "y"), "x").select(F.col("y.uid").alias("uid"), "sequence_id", F.aggregate(F.slice("x.size", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, b: a + b).alias("offset"))
+    before = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)  # at most capacity rows
+    return both.select("uid", "sequence_id", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
