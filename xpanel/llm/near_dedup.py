@@ -192,14 +192,15 @@ def _across(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     in both texts that what follows suffices. Rare elements have short lists; a list's largest c is never paired with itself.
     """
     rows = texts.join(docs, "k").mapInArrow(_placed, "element long, id long, c long, size long")
-    df = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # grouped sides are written first: joins of tables have both exchanges of their own, which adaptive execution can split
+    df = stored(rows.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "elements")
     shared = rows.join(df, "element")
     by_doc = Window.partitionBy("id")
     place = F.col("size") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("n", "element"))
     early = shared.withColumn("left", F.col("size") - place + 1).filter(F.col("left") >= least * F.col("size") - 1e-6)
     early = stored(early.select("element", "id", "c", "size", "left"), "prefixes")
     main = early.groupBy("element", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("element", F.col("m.c").alias("main"))
-    some = stored(early.join(main, "element"), "prefixes")
+    some = stored(early.join(stored(main, "main"), "element"), "prefixes")
     other = some.filter("c <> main").select("element", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
     able = F.least("left", "left2") >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-6
     met = some.join(other, (some["element"] == other["element"]) & (F.col("c") != F.col("c2")) & able).select("id", "id2").distinct()
@@ -236,25 +237,36 @@ def links(docs: DataFrame, text: str = "text", least: float = 0.8, rows: int = R
     return found, components(found)
 
 
+def _classed(whole: DataFrame, least: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """whole (row, text) with k and class_key. Only class keys that differ from k are joined, and they are written first."""
+    _, label = links(whole.select("text"), "text", least, rows, bands)
+    keyed = whole.withColumn("k", text_id(F.col("text")))
+    label = stored(label.filter("node <> component").select(F.col("node").alias("k"), "component"), "labels")
+    return keyed.join(label, "k", "left").select("row", "text", "k", F.coalesce("component", "k").alias("class_key"))
+
+
 def classes(docs: DataFrame, text: str = "text", least: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """Every row with class_key, equal for rows of one class of near or exact copies."""
-    _, label = links(docs, text, least, rows, bands)
-    keyed = docs.withColumn("_k", text_id(F.col(text)))
-    return keyed.join(label.select(F.col("node").alias("_k"), F.col("component").alias("_c")), "_k", "left").withColumn("class_key", F.coalesce("_c", "_k")).drop("_k", "_c")
+    """Every row with class_key, equal for rows of one class of near or exact copies; a class_key of the input is replaced."""
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    made = _classed(whole, least, rows, bands)
+    return made.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "class_key"), "class_key")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its class."""
-    named = classes(docs.select("doc_id", "text"), "text").select("doc_id", "class_key")
-    least = named.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    """doc_id, class_id, the smallest doc_id of its class, and class_size."""
+    named = stored(classes(docs.select("doc_id", "text"), "text").select("doc_id", "class_key"), "classes")
+    least = stored(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "sizes")
     return named.join(least, "class_key").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: the one with the smallest doc_id (null last), then the smallest text id."""
-    keyed = docs.withColumn("_k", text_id(F.col("text"))).withColumn("_r", F.unhex(F.md5(F.concat_ws("|", F.hex("_k"), F.col("doc_id").cast("string")).cast("binary"))))
-    _, label = links(docs)
-    named = keyed.select("_r", "_k", "doc_id").join(label.select(F.col("node").alias("_k"), F.col("component").alias("_c")), "_k", "left")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r")
-    keep = named.groupBy(F.coalesce("_c", "_k")).agg(F.min(order).alias("x")).select("x._r")
-    return keyed.groupBy("_r").agg(F.first(F.struct(*docs.columns)).alias("row")).join(keep, "_r", "left_semi").select("row.*")
+    """One row of each class: the one with the smallest doc_id (null last), then the smallest text id.
+
+    Rows with equal doc_id and text are one; which of their other columns stay is not defined.
+    """
+    row_id = F.unhex(F.md5(F.concat_ws("|", F.hex(text_id(F.col("text"))), F.col("doc_id").cast("string")).cast("binary")))
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), row_id.alias("r"), "doc_id", "text")
+    named = _classed(whole.select(F.struct("r", "doc_id").alias("row"), "text"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row.r").alias("r"))
+    keep = stored(named.groupBy("class_key").agg(F.min(order).alias("x")).select("x.r"), "kept")
+    return whole.groupBy("r").agg(F.first("row").alias("row")).join(keep, "r", "left_semi").select("row.*")
