@@ -144,7 +144,7 @@ class Block:
         gone = np.zeros(int(a.max()) + 1, bool)
         gone[a[give]] = True  # bins that hold an injected piece are dissolved
         weak = self.fill(a)
-        gone[self.random.permutation(np.argsort(weak)[: max(4, len(weak) // 20)])[: max(2, len(weak) // 40)]] = True
+        gone[self.random.permutation(np.argsort(weak)[: max(4, len(weak) // 4)])[: max(2, len(weak) // 8)]] = True
         kept = ~gone[a] & ~give
         child = np.full(len(a), -1, np.int64)
         child[kept] = np.unique(a[kept], return_inverse=True)[1]

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
+    """A new path below spark.checkpoint.dir, the folder that driver and executors share; without it there is nowhere safe to write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"{tempfile.gettempdir()}/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"  # one machine: driver and tasks share its folders
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
