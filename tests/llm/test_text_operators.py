@@ -440,3 +440,57 @@ def test_graph_search_odd_rows(spark):
     assert found_neighbours(spark.createDataFrame([], schema)) == {}
     twice = spark.createDataFrame([(0, [3.0]), (0, [1.0]), (5, [7.0])], schema)
     assert found_neighbours(twice) == {0: {1: (5, 7.0)}}
+
+
+def pipeline_tables(spark, tmp_path):
+    """Documents with copies, junk, a repeated passage, a benchmark item, nulls and columns of clashing names."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(4, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passage, item = say(60), say(40)
+    plain = [say(150) for _ in range(40)]
+    rows = list(enumerate(plain))
+    rows += [(100 + i, plain[i]) for i in range(5)] + [(200 + i, plain[i] + " " + word()) for i in range(5, 8)]
+    rows += [(300 + i, say(40) + " " + passage + " " + say(40)) for i in range(4)]
+    rows += [(400, say(60) + " " + item + " " + say(60))]
+    rows += [(500 + i, " ".join(w.upper() + "!!" for w in say(80).split())) for i in range(8)]
+    rows += [(600, None), (601, ""), (None, say(150)), (602, say(150)), (602, plain[0])]
+    docs_ = spark.createDataFrame([(k, t, "en", "s", len(t or ""), "k", "r", "row") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _k string, r string, row string")
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(500, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return docs_, rows, passage
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+    from xpanel.llm import shared
+
+    table, rows, passage = pipeline_tables(spark, tmp_path)
+    seen, ids = table, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = shared.stored(stage(spark, seen, str(tmp_path)), "test")
+        assert seen.columns == table.columns and seen.filter("_k <> 'k' or r <> 'r' or row <> 'row'").count() == 0
+        ids[name] = [x.doc_id for x in seen.select("doc_id").collect()]
+    all_ids = [k for k, _ in rows]
+    rejected = {500 + i for i in range(8)}
+    assert sorted(map(str, ids["quality classifier"])) == sorted(str(k) for k in all_ids if k not in rejected)
+    gone = {100 + i for i in range(5)} | {200 + i for i in range(5, 8)} | {601}
+    kept = [k for k in all_ids if k not in rejected | gone]
+    kept.remove(602)  # one of its two texts is a copy of document 0
+    assert sorted(map(str, ids["MinHash near-dedup"])) == sorted(map(str, kept)) == sorted(map(str, ids["substring dedup"]))
+    assert sorted(map(str, ids["benchmark decontamination"])) == sorted(str(k) for k in kept if k != 400)
+    texts_ = {r.doc_id: r.text for r in seen.collect()}
+    assert all(passage not in texts_[300 + i] and len(texts_[300 + i].split()) == 80 for i in range(4)) and texts_[7] == dict(rows)[7]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {str(r.doc_id) for r in out.select("doc_id").collect()} == {str(k) for k in kept if k != 400}
+    tok = Tokenizer.from_file(BYTES)
+    assert sum(r.length for r in out.collect()) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts_.values())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    table, _, _ = pipeline_tables(spark, tmp_path)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+written: list[str] = []  # folders that this process has asked for, oldest first
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share; without it there is nowhere safe to write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints"  # one machine: driver and tasks share its folders
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = f"{tempfile.gettempdir()}/checkpoints"  # driver and tasks are one process on one machine
+    written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return written[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,3 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Removes folders that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        written.remove(path)
