@@ -270,3 +270,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row.r").alias("r"))
     keep = stored(named.groupBy("class_key").agg(F.min(order).alias("x")).select("x.r"), "kept")
     return whole.groupBy("r").agg(F.first("row").alias("row")).join(keep, "r", "left_semi").select("row.*")
+
+
+ORACLE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER (ORDER BY text) AS k, text, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)
+), runs AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS run FROM t, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT k, count(*) AS n FROM runs GROUP BY k
+), common AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.k < b.k GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT k, k AS root FROM t UNION SELECT b, root FROM reach JOIN edges ON a = k
+), classes AS (
+  SELECT k, min(root) AS class FROM reach GROUP BY k
+), named AS (
+  SELECT doc_id, class FROM documents JOIN t ON t.text = coalesce(documents.text, '') JOIN classes USING (k)
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id, count(*) OVER (PARTITION BY class) AS class_size FROM named
+"""

@@ -65,4 +65,4 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     made = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return made | {"op4_chat_format": chat_format.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
+    return made | {"op4_chat_format": chat_format.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}

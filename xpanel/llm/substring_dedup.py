@@ -123,7 +123,7 @@ _ARROW = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept",
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """For each row: its key, n_words, n_removed, kept (the words left, joined by a space), spans.
 
-    spans are the maximal repeats, as first and last word, of at least window words.
+    spans are the stretches of removed words, as first and last word: unions of overlapping repeats of at least window words.
     """
     if window < ANCHOR:
         raise ValueError(f"window must be at least {ANCHOR}")
@@ -158,6 +158,27 @@ def remove(docs: DataFrame, window: int = 35) -> DataFrame:
     return found.withColumns(changed).select(*docs.columns)
 
 
+ORACLE_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35
+), twice AS (
+  SELECT h FROM starts GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT rid, p FROM starts JOIN twice USING (h), unnest(range(i, i + 35)) AS t(p)
+), words AS (
+  SELECT rid, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid
+), many AS (
+  SELECT rid, count(*) AS n FROM gone GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN many USING (rid)
+"""
+
+
 def brute_force(texts: list[str | None], window: int = 35) -> list[tuple[int, int, str]]:
     """The same by comparing whole windows, for tests."""
     import re
