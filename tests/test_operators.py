@@ -194,3 +194,37 @@ def test_promotion_reasons(spark):
     df = spark.createDataFrame(rows, "run string, b_key string, c_key string, c_ic double, b_ic double, c_periods int")
     got = {r.run: (r.verdict, r.reasons) for r in Q.promotion(df, ["ic"], ["key"], {"periods": 10}, {"ic": 0.1}).collect()}
     assert got == {"a": ("promotable", ""), "b": ("non_comparable", "differs:key"), "c": ("rejected", "missing:ic,behind:ic"), "d": ("reviewable", "behind:ic"), "e": ("rejected", "below:periods")}
+
+
+def test_left_over_cash_goes_lot_by_lot(spark):
+    from xpanel.operators import live as L
+
+    cols = "scenario string, capital double, symbol string, price double, round_lot double, lots long, target_value double, valuation string, tradable boolean"
+    rows = [("x", 100.0, "A", 1.0, 10.0, 2, 33.0, "NEUTRAL", True), ("x", 100.0, "B", 1.0, 15.0, 1, 33.0, "LOW", True), ("x", 100.0, "C", 1.0, 5.0, 0, 33.0, "NEUTRAL", False), ("y", 10.0, "A", None, 10.0, 0, 10.0, "LOW", True)]
+    df = spark.createDataFrame(rows, cols)
+    got = {(r.scenario, r.symbol): (r.lots, r.extra) for r in L.secondary_fill(df).collect()}
+    assert got == {("x", "A"): (3, 1), ("x", "B"): (2, 1), ("x", "C"): (0, 0), ("y", "A"): (0, 0)}
+    tight = {r.symbol: (r.lots, r.cash_left) for r in L.secondary_fill(df.filter("scenario = 'x'"), L.Filling(buffer=45.0)).collect()}
+    assert tight["B"] == (2, 5.0) and tight["A"] == (2, 5.0)  # the low valuation first, then too little is left
+    over = L.Filling(most_over=10.0, over_lots=1)
+    assert {r.symbol: r.lots for r in L.secondary_fill(df.filter("scenario = 'x'"), over).collect()} == {"A": 3, "B": 2, "C": 0}
+
+
+def test_summary_of_short_and_even_series(spark):
+    from xpanel.operators import returns as T
+
+    cols = "trade_date date, r double, entry_idx long, exit_idx long, planned_exit_idx long"
+    [none] = T.summary(spark.createDataFrame([], cols), 252).collect()
+    assert none.periods == 0 and none.sharpe is None and len(none) == 22
+    [lost] = T.summary(spark.createDataFrame([(day(0), 0.1, 0, 5, 5), (day(5), -1.0, 5, 11, 10), (day(10), 0.5, 11, 15, 15)], cols), 252).collect()
+    assert lost.total_return == -1.0 and lost.ann_return == -1.0 and lost.calmar == -1.0 and lost.periods_with_delayed_exit == 1
+    assert lost.drawdown_duration == 1.0 and lost.recovery_time is None and math.isclose(lost.avg_holding, 5.0)
+
+
+def test_calendar_windows_go_by_date(spark):
+    from xpanel.operators import timeseries as TS
+
+    rows = [(dt.date(2018, 1, 31), 1.0), (dt.date(2019, 1, 31), 2.0), (dt.date(2020, 1, 31), 4.0), (dt.date(2020, 2, 29), None)]
+    df = spark.createDataFrame([(d, "A", v) for d, v in rows], "trade_date date, symbol string, v double")
+    got = {r.trade_date: (r.m, r.c) for r in TS.calendar_cagr(df.withColumn("m", TS.calendar_stat("v", 2, "mean")), "v", 2, "c").collect()}
+    assert got == {dt.date(2018, 1, 31): (None, None), dt.date(2019, 1, 31): (1.5, None), dt.date(2020, 1, 31): (3.0, 1.0), dt.date(2020, 2, 29): (3.0, None)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,67 @@ def order_summary(orders: DataFrame) -> DataFrame:
         many("buy", "abandoned_zero_fill").alias("abandoned_buy_orders"),
         many("sell", "delayed_sell").alias("delayed_sell_orders"),
     )
+
+
+# The order in which valuation classes are filled; any other class comes last.
+VALUATION_ORDER = {"LOW": 0, "NEUTRAL": 1, "HIGH": 2, "EXTREME": 3, "NA": 4}
+
+
+@dataclass(frozen=True)
+class Filling:
+    """How left-over cash is spent. most_over: the value by which a position may exceed its target, over_lots: how often."""
+
+    steps: int = 1000
+    buffer_share: float = 0.0
+    buffer: float = 0.0
+    fee: float = 0.0
+    most_over: float = 0.0
+    over_lots: int = 0
+    avoid_high: bool = False
+    never_high: bool = False
+
+
+def _filled(rule: Filling) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    tiny = 1e-9
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("symbol").to_dict("records")
+        for r in rows:
+            r["extra"] = 0
+            r["_cost"] = r["price"] * r["round_lot"] if r["tradable"] and (r["price"] or 0) > 0 and (r["round_lot"] or 0) > 0 else 0.0
+            r["_gap"] = (r["target_value"] or 0.0) - r["lots"] * (r["round_lot"] or 0.0) * (r["price"] or 0.0)
+            r["_over"] = 0
+        capital = float(pdf["capital"].iloc[0])
+        cash = capital - capital * max(rule.buffer_share, 0.0) - max(rule.buffer, 0.0) - sum((r["target_value"] or 0.0) - r["_gap"] for r in rows)
+
+        def fits(r: dict) -> bool:
+            after = r["_gap"] - r["_cost"]
+            over = after < -tiny
+            if r["_cost"] <= 0 or r["_gap"] <= tiny or r["_cost"] + max(rule.fee, 0.0) > cash + tiny or abs(after) + tiny >= abs(r["_gap"]):
+                return False
+            return not over or (after >= -rule.most_over - tiny and r["_over"] < rule.over_lots)
+
+        for _ in range(rule.steps):
+            able = [r for r in rows if fits(r)]
+            calm = [r for r in able if r["valuation"] not in ("HIGH", "EXTREME")]
+            if rule.avoid_high and (calm or rule.never_high):
+                able = calm
+            if not able:
+                break
+            r = min(able, key=lambda r: (VALUATION_ORDER.get(r["valuation"], 5), abs(r["_gap"] - r["_cost"]), r["_cost"], r["symbol"]))
+            r["extra"], r["_gap"], cash = r["extra"] + 1, r["_gap"] - r["_cost"], cash - r["_cost"] - max(rule.fee, 0.0)
+            r["_over"] += r["_gap"] < -tiny
+        made = pd.DataFrame([{**{k: r[k] for k in ("scenario", "symbol")}, "lots": int(r["lots"] + r["extra"]), "extra": r["extra"], "gap": r["_gap"], "cash_left": cash} for r in rows])
+        return made[["scenario", "symbol", "lots", "extra", "gap", "cash_left"]]
+
+    return run
+
+
+def secondary_fill(allocation: DataFrame, rule: Filling = Filling()) -> DataFrame:  # noqa: B008
+    """scenario, symbol, lots, extra, gap, cash_left: one more lot at a time for the name that ranks first while cash lasts.
+
+    allocation: scenario, capital, symbol, price, round_lot, lots, target_value, valuation, tradable. Names rank by valuation class, then the gap
+    that a lot leaves, its cost and symbol; a lot must bring its name nearer to the target. Each step depends on the last, so a
+    scenario, a portfolio's rows, is one group.
+    """
+    return allocation.groupBy("scenario").applyInPandas(_filled(rule), "scenario string, symbol string, lots long, extra long, gap double, cash_left double")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
+from random import Random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -221,6 +223,12 @@ class Variant:
         return f"k{self.k}_{self.weighting}_bps{self.bps:g}_x{self.exit_}_e{self.entry}"
 
 
+def trials(space: dict[str, Sequence[object]], most: int | None = None, seed: int = 1) -> list[Variant]:
+    """The product of a search space, or `most` different settings of it drawn with a seed."""
+    every = [Variant(**dict(zip(space, values, strict=True))) for values in product(*space.values())]
+    return every if most is None or most >= len(every) else Random(seed).sample(every, most)
+
+
 def grid(df: DataFrame, variants: Sequence[Variant]) -> DataFrame:
     """One row for each variant: periods, mean gross, turnover, fee and net, total net return.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import live as L
@@ -87,3 +87,71 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "lineitem").filter("l_quantity is not null").select(side.alias("side"), status.alias("status"), q.alias("requested_notional"), filled.alias("filled_notional"), (q - filled).alias("unfilled_notional"))
     made = L.order_summary(orders)
     return made.withColumns({c: F.round(c, 6) for c in ("fill_ratio", "buy_fill_ratio", "sell_fill_ratio")})
+
+
+# ---- sources and tables
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, CAST(NULL AS DATE) AS list_date FROM supplier")
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = tables.projected(spark, f"{sf_dir}/supplier.parquet", ["s_suppkey", "s_name", "not there"])
+    return tables.instruments(raw.select(F.col("s_suppkey").alias("Order_Book_Id"), F.col("s_name").alias("name")))
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS trade_date, CAST(o_custkey AS VARCHAR) AS symbol, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL GROUP BY 1, 2")
+def prices_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = tables.projected(spark, f"{sf_dir}/orders.parquet", ["o_orderdate", "o_custkey", "o_totalprice", "o_orderkey"])
+    named = raw.select(F.date_format("o_orderdate", "yyyyMMdd").alias("DATE"), F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("ts_code"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    return tables.keyed(named, ["price"], order="o_orderkey")
+
+
+@query("SELECT trade_date, symbol, max(label) AS label FROM (SELECT CAST(o_orderdate AS DATE) AS trade_date, CAST(o_custkey AS VARCHAR) AS symbol, o_orderpriority AS label FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL) GROUP BY 1, 2")
+def industry_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("trade_date"), F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("label"))
+    return tables.keyed(raw, ["label"])
+
+
+@query("SELECT n_name AS name, NULL::VARCHAR AS r_name FROM nation WHERE n_name IS NOT NULL UNION ALL SELECT NULL, r_name FROM region")
+def many_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tables.many(spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"], ["n_name", "r_name"])
+    return made.select(F.col("n_name").alias("name"), "r_name")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS symbol, lower(o_orderstatus) AS field, year(o_orderdate) || 'q' || quarter(o_orderdate) AS quarter, o_orderpriority AS subject, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS amount, CAST(o_orderdate AS DATE) AS info_date FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderstatus IN ('O', 'F') AND o_orderkey % 11 <> 0""")
+def details_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    quarter = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "))
+    raw = o.select(F.col("o_custkey").alias("symbol"), F.concat(F.lit(" "), "o_orderstatus").alias("field"), quarter.alias("quarter"), F.when(F.col("o_orderkey") % 11 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("subject"), F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("amount"), F.date_format("o_orderdate", "yyyyMMdd").alias("info_date"), *(F.lit("x").alias(c) for c in ("order_book_id", "fiscal_year", "relationship", "currency", "standard", "if_adjusted")))
+    return tables.details(raw, ["O", "F"]).select("symbol", "field", "quarter", "subject", "amount", "info_date")
+
+
+_POS = f"{PM}, ps AS (SELECT trade_date AS entry_date, symbol, round(1.0 / count(*) OVER (PARTITION BY trade_date), 9) AS weight FROM pm WHERE CAST(vol AS BIGINT) % 3 = 0), ds AS (SELECT DISTINCT entry_date FROM ps ORDER BY 1 DESC LIMIT 2)"
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    p = monthly(spark, sf_dir).filter(F.col("vol").cast("long") % 3 == 0)
+    return tables.position_tables(P.weights(p).select(F.col("trade_date").alias("entry_date"), "symbol", F.round("weight", 9).alias("weight")))
+
+
+@query(f"WITH {_POS} SELECT entry_date, symbol, weight FROM ps WHERE entry_date = (SELECT max(entry_date) FROM ds)")
+def current_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(spark, sf_dir)["current"].select("entry_date", "symbol", "weight")
+
+
+@query(f"WITH {_POS}, a AS (SELECT symbol, weight FROM ps WHERE entry_date = (SELECT max(entry_date) FROM ds)), b AS (SELECT symbol, weight FROM ps WHERE entry_date = (SELECT min(entry_date) FROM ds)) SELECT symbol, b.weight AS old_value, a.weight AS new_value, CASE WHEN b.weight IS NULL THEN 'added' WHEN a.weight IS NULL THEN 'removed' ELSE 'changed' END AS status FROM a FULL JOIN b USING (symbol) WHERE b.weight IS NULL OR a.weight IS NULL OR abs(a.weight - b.weight) >= 1e-12")
+def position_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(spark, sf_dir)["diff"].select("symbol", "old_value", "new_value", "status")
+
+
+# ---- allocation
+
+@query(None)
+def secondary_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest date's allocation at two capitals, left-over cash spent lot by lot."""
+    last = _last(spark, sf_dir)
+    grid = spark.createDataFrame([("small", 2e6), ("large", 2e7)], "scenario string, capital double")
+    sized = last.crossJoin(F.broadcast(grid)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("scenario")))
+    rule = F.when(F.col("symbol").cast("long") % 4 == 0, "HIGH").when(F.col("symbol").cast("long") % 4 == 1, "LOW").otherwise("NEUTRAL")
+    goal = F.col("capital") / F.col("n")
+    made = sized.select("scenario", "capital", "symbol", F.col("close").alias("price"), F.lit(10.0).alias("round_lot"), F.floor(goal / (F.col("close") * 10)).alias("lots"), goal.alias("target_value"), rule.alias("valuation"), (F.col("vol") > 0).alias("tradable"))
+    out = L.secondary_fill(made, L.Filling(fee=5.0, most_over=5e3, over_lots=1, avoid_high=True))
+    return out.select("scenario", "symbol", "lots", "extra", F.round("gap", 4).alias("gap"), F.round("cash_left", 4).alias("cash_left"))

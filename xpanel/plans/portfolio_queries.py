@@ -361,6 +361,13 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(made.drop("total_return"))
 
 
+@query(f"SELECT variant, periods, net FROM ({_grid_sql()}) ORDER BY net DESC, variant LIMIT 1")
+def tuned_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a search space by its mean net return; the report has one row."""
+    made = _r(P.grid(scored(spark, sf_dir), P.trials({"k": (3, 5), "bps": (0.0, 10.0)})))
+    return made.orderBy(F.desc("net"), "variant").limit(1).select("variant", "periods", "net")
+
+
 @query(None)
 def construction_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, weighting and hysteresis crossed over one ranking of one scored panel."""

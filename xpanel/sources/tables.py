@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_date, truthy
@@ -55,6 +55,80 @@ def return_series(df: DataFrame, order: str, values: Sequence[str] = RETURN_VALU
     return keep_last(made.filter(F.col("trade_date").isNotNull() & F.col(name).isNotNull() & ~F.isnan(name)), ["trade_date"], ["_order"]).drop("_order")
 
 
+# Accepted headers of instruments, labels and prices.
+SYMBOLS = ("symbol", "ts_code", "order_book_id", "stock_ticker")
+LISTED = ("list_date", "listed_date")
+PRICE_DATES = ("trade_date", "date", "datetime")
+
+
+def instruments(df: DataFrame) -> DataFrame:
+    """symbol, name, list_date of a reference table; name or list_date may be absent (null). One row for each symbol, the last by list_date."""
+    symbol, listed, name = present(df, SYMBOLS), present(df, LISTED, needed=False), present(df, ("name", "display_name"), needed=False)
+    date = parse_date(f"`{listed}`") if listed else F.lit(None).cast("date")
+    made = df.select(F.trim(F.col(f"`{symbol}`").cast("string")).alias("symbol"), (F.col(f"`{name}`").cast("string") if name else F.lit(None).cast("string")).alias("name"), date.alias("list_date"))
+    best = made.filter("symbol <> ''").groupBy("symbol").agg(F.max_by(F.struct("name", "list_date"), F.struct("list_date", "name")).alias("x"))
+    return best.select("symbol", "x.name", "x.list_date")
+
+
+def keyed(df: DataFrame, values: Sequence[str], dates: Sequence[str] = PRICE_DATES, symbols: Sequence[str] = SYMBOLS, order: str | None = None) -> DataFrame:
+    """trade_date, symbol and the values of a table with varying key headers; rows without a key are left out.
+
+    A repeated key keeps its last row by `order`; without an order equal keys keep the one of largest values.
+    """
+    date, symbol = present(df, dates), present(df, symbols)
+    missing = [v for v in values if v not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    made = df.select(parse_date(f"`{date}`").alias("trade_date"), F.trim(F.col(f"`{symbol}`").cast("string")).alias("symbol"), F.struct(*(f"`{v}`" for v in values)).alias("_v"), (F.col(order) if order else F.lit(0)).alias("_o"))
+    best = made.filter("trade_date is not null and symbol <> ''").groupBy("trade_date", "symbol").agg(F.max_by("_v", F.struct("_o", "_v")).alias("_v"))
+    return best.select("trade_date", "symbol", "_v.*")
+
+
+def many(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The columns of several Parquet paths as one table; a column that a path lacks is null there, one that all lack fails."""
+    df = spark.read.option("mergeSchema", True).parquet(*paths)
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.select(*(f"`{c}`" for c in columns))
+
+
+# The columns a table of disclosed details must have.
+PROBE = ("symbol", "order_book_id", "field", "quarter", "fiscal_year", "relationship", "currency", "standard", "subject", "amount", "info_date", "if_adjusted")
+
+
+def details(df: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """Disclosed details: required columns checked, texts trimmed, field, quarter and standard lower case, dates and numbers read, keys complete."""
+    missing = [c for c in PROBE if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    low = {c: F.lower(text(c)).alias(c) for c in ("field", "quarter", "standard")}
+    read = {"amount": F.col("amount").cast("string").try_cast("double").alias("amount"), "info_date": parse_date("info_date").alias("info_date"), "fiscal_year": parse_date("fiscal_year").alias("fiscal_year")}
+    made = df.select(*((low | read).get(c, text(c).alias(c)) for c in PROBE))
+    made = made.filter("symbol <> '' and field <> '' and quarter <> '' and subject <> ''")
+    return made.filter(F.col("field").isin(*map(str.lower, fields))) if fields else made
+
+
+def write_tables(named: dict[str, DataFrame], path: str) -> list[str]:
+    """One Parquet folder for each table that is not empty; the names of those written."""
+    kept = [n for n, df in named.items() if df.head(1)]
+    for n in kept:
+        named[n].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{n}")
+    return kept
+
+
+def position_tables(positions: DataFrame) -> dict[str, DataFrame]:
+    """by_rebalance, current (the latest entry) and diff of the last two entries (symbol, old_value, new_value, status)."""
+    from ..operators.joins import diff
+    from ..operators.portfolio import holdings_at
+
+    days = positions.select("entry_date").distinct().orderBy(F.desc("entry_date")).limit(2).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("entry_date"))))  # two rows
+    two = positions.join(F.broadcast(days), "entry_date")
+    now, before = two.filter("_n = 1").drop("_n"), two.filter("_n = 2").drop("_n")
+    return {"by_rebalance": positions, "current": holdings_at(positions, "9999-12-31"), "diff": diff(now, before, ["symbol"], "weight")}
+
+
 def periods(frames: Sequence[DataFrame]) -> DataFrame:
     """Distinct (rebalance_date, entry_date, exit_date) of several tables, complete rows only."""
     made = (f.select(*(parse_date(c).alias(c) for c in PERIOD)).dropna() for f in frames)
