@@ -316,6 +316,19 @@ def test_generations_beat_best_fit():
     assert block.worth(elite[0])[0] <= start - 3
 
 
+def test_no_bin_overflows():
+    """Random lengths, those of a whole bin and of one token among them."""
+    r = random.Random(13)
+    for trial in range(60):
+        capacity = r.choice([8, 100, 2048])
+        size = np.array([r.choice([1, capacity, capacity - 1, r.randint(1, capacity), r.randint(1, max(1, capacity // 3))]) for _ in range(r.randint(1, 120))])
+        block = packing.Block(size, capacity, trial)
+        every = [block.fresh(0.0), block.fresh(0.3), block.tight(np.full(len(size), -1), np.arange(len(size)), capacity // 200)]
+        every += [block.cross(every[1], every[2]), block.cross(every[2], every[0]), *block.evolve([], 4, 4)]
+        for x in every:
+            assert (x >= 0).all() and block.fill(x).max() <= capacity and len(np.unique(x)) == x.max() + 1 >= block.bound
+
+
 def test_near_classes_equal_brute_force(spark):
     rows = docs(spark).collect()
     sets = []

@@ -116,14 +116,14 @@ class Block:
             v = self.size[by]
             room = self.capacity - self.size[seed]
             j = np.searchsorted(v, room - v, "right") - 1
-            j -= j >= np.arange(len(v))  # the partner stands before
-            total = np.where(j >= 0, v + v[np.maximum(j, 0)], 0)
-            total = np.where(v <= room, np.maximum(total, v), -1)
+            j -= j == np.arange(len(v))  # a piece is no partner of its own
+            total = np.where(j >= 0, v + v[np.maximum(j, 0)], v)
+            total[v > room] = 0  # the seed alone
             i = int(total.argmax())
             if total[i] < room - slack:
                 rest.append(seed)
                 continue
-            mine = [i] if total[i] == v[i] else [i, int(j[i])]
+            mine = [] if not total[i] else [i, int(j[i])] if j[i] >= 0 else [i]
             bins[[seed, *by[mine]]] = count
             count += 1
             by = np.delete(by, mine)
