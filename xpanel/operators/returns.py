@@ -111,9 +111,10 @@ def resampled(series: DataFrame, unit: str, r: str = "r") -> DataFrame:
     return series.groupBy(F.trunc("trade_date", unit).alias("trade_date")).agg(compounded(r).alias("r"))
 
 
-def _active(both: GroupedData, a_year: float) -> DataFrame:
+def _active(both: GroupedData, a_year: float, more: Sequence[Column] = ()) -> DataFrame:
+    """Of columns a and b, both null or neither."""
     gap = F.col("a") - F.col("b")
-    made = both.agg(F.count(F.lit(1)).alias("periods"), F.avg(gap).alias("_m"), F.stddev_samp(gap).alias("_s"), safe_div(F.covar_samp("a", "b"), F.var_samp("b")).alias("beta"), F.avg("a").alias("_a"), F.avg("b").alias("_b"), correlation("a", "b").alias("corr"), (F.product(1 + F.col("a")) / F.product(1 + F.col("b")) - 1).alias("relative_return"))
+    made = both.agg(F.count("a").alias("periods"), *more, F.avg(gap).alias("_m"), F.stddev_samp(gap).alias("_s"), safe_div(F.covar_samp("a", "b"), F.var_samp("b")).alias("beta"), F.avg("a").alias("_a"), F.avg("b").alias("_b"), correlation("a", "b").alias("corr"), (F.product(1 + F.col("a")) / F.product(1 + F.col("b")) - 1).alias("relative_return"))
     made = made.withColumn("tracking_error", F.col("_s") * a_year**0.5).withColumn("information_ratio", safe_div(F.col("_m") * a_year**0.5, "_s"))
     return made.withColumn("alpha", (F.col("_a") - F.col("beta") * F.col("_b")) * a_year).drop("_m", "_s", "_a", "_b")
 
@@ -147,10 +148,11 @@ def ladder(series: DataFrame, benchmarks: DataFrame, a_year: float, names: Seque
 
     status: ok, incompatible (fewer than two common dates) or missing (no row at all). One join serves all benchmarks.
     """
-    both = series.select("trade_date", F.col("r").alias("a")).join(benchmarks.select("benchmark", "trade_date", F.col("r").alias("b")), "trade_date").filter("a is not null and b is not null")
-    have = benchmarks.groupBy("benchmark").agg(F.count(F.lit(1)).alias("rows"))
+    both = benchmarks.select("benchmark", "trade_date", F.col("r").alias("b")).join(series.select("trade_date", F.col("r").alias("a")), "trade_date", "left")
+    met = F.col("a").isNotNull() & F.col("b").isNotNull()
+    both = both.select("benchmark", F.when(met, F.col("a")).alias("a"), F.when(met, F.col("b")).alias("b"))
     listed = series.sparkSession.createDataFrame([(n,) for n in names], "benchmark string")
-    made = listed.join(have, "benchmark", "left").join(_active(both.groupBy("benchmark"), a_year), "benchmark", "left")
+    made = listed.join(_active(both.groupBy("benchmark"), a_year, [F.count(F.lit(1)).alias("rows")]), "benchmark", "left")
     status = F.when(F.col("rows").isNull(), "missing").when(F.coalesce("periods", F.lit(0)) < 2, "incompatible").otherwise("ok")
     return made.withColumn("status", status).withColumn("periods", F.coalesce("periods", F.lit(0))).drop("rows")
 

@@ -61,18 +61,21 @@ def turnover(df: DataFrame, k: int, s: str = "s") -> DataFrame:
 
 
 def factor_report(df: DataFrame, features: list[str], t: str = "t", q: int = 5) -> DataFrame:
-    """One row for each feature: both IC means, share of positive ICs, spread and coverage; one grouped plan for all."""
-    long = df.unpivot(["trade_date", "symbol", t], features, "feature", "s").withColumnRenamed(t, "t")
+    """One row for each feature: coverage, both IC means, shares of positive ICs, and the last bucket's mean target less the first's.
+
+    All features are one long table: a date and feature is one group of one exchange, which ranks, buckets and sums share.
+    """
     keys = ("trade_date", "feature")
-    out = long.groupBy("feature").agg((F.count("s") / F.count(F.lit(1))).alias("coverage"))
-    for method in ("spearman", "pearson"):
-        ic = daily_ic(long, method=method, by=keys).groupBy("feature").agg(F.avg("ic").alias(f"ic_{method}"), F.avg((F.col("ic") > 0).cast("double")).alias(f"positive_{method}"))
-        out = out.join(ic, "feature", "left")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("s", "symbol"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    b = long.filter("s is not null").withColumn("p", place).withColumn("n", n).filter(F.col("n") >= q).withColumn("b", F.greatest(F.lit(0), F.ceil((F.col("p") - 1) * q / (F.col("n") - 1)) - 1))
-    mean = b.groupBy(*keys, "b").agg(F.avg("t").alias("m")).groupBy(*keys).agg((F.max_by("m", "b") - F.min_by("m", "b")).alias("ls")).groupBy("feature").agg(F.avg("ls").alias("long_short"))
-    return out.join(mean, "feature", "left")
+    long = df.unpivot(["trade_date", "symbol", t], features, "feature", "s").withColumnRenamed(t, "t")
+    long = long.withColumns({"_s": F.when(F.col("t").isNotNull(), F.col("s")), "_t": F.when(F.col("s").isNotNull(), F.col("t"))})
+    group = Window.partitionBy(*keys)
+    place = F.row_number().over(group.orderBy(F.col("s").asc_nulls_last(), "symbol"))
+    long = long.withColumns({"_a": average_rank("_s", *keys), "_b": average_rank("_t", *keys), "_p": place, "_n": F.count("s").over(group)})
+    bucket = F.when(F.col("s").isNotNull() & (F.col("_n") >= q), F.greatest(F.lit(0), F.ceil((F.col("_p") - 1) * q / (F.col("_n") - 1)) - 1))
+    mean = lambda k: F.avg(F.when(bucket == k, F.col("t")))
+    day = long.groupBy(*keys).agg(correlation("_a", "_b").alias("spearman"), correlation("_s", "_t").alias("pearson"), (mean(q - 1) - mean(0)).alias("spread"), F.count("s").alias("known"), F.count(F.lit(1)).alias("rows"))
+    share = lambda m: F.avg((F.col(m) > 0).cast("double")).alias(f"positive_{m}")
+    return day.groupBy("feature").agg((F.sum("known") / F.sum("rows")).alias("coverage"), *(x for m in ("spearman", "pearson") for x in (F.avg(m).alias(f"ic_{m}"), share(m))), F.avg("spread").alias("long_short"))
 
 
 def rolling(series: DataFrame, c: str, n: int, ddof: int = 0, scale: Column | None = None) -> DataFrame:
