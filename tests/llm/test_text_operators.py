@@ -360,6 +360,29 @@ def test_near_classes_equal_brute_force(spark):
     assert near_dedup.digest(docs(spark).limit(0)).count() == near_dedup.keep_one(clash.limit(0)).count() == 0
 
 
+def test_pairs_across_components_equal_brute_force(spark):
+    """Texts of several components that share runs: every similar pair of different components is found, and none within one."""
+    r = random.Random(17)
+    base = [[f"w{r.getrandbits(30)}" for _ in range(70)] for _ in range(5)]
+    made = []
+    for b in base:
+        for _ in range(6):
+            w = list(b)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(70)] = "new%d" % r.getrandbits(20)
+            made.append(" ".join(w[: r.choice([70, 66, 60])]))
+    made = sorted(set(made))
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in made]
+    part = [r.randrange(4) for _ in made]
+    texts_ = spark.createDataFrame([(t,) for t in made], "text string").select(near_dedup.text_id(F.col("text")).alias("k"), "text")
+    names = {bytes(x.k): made.index(x.text) for x in texts_.collect()}
+    listed = spark.createDataFrame([(bytearray(k), len(sets[i]), part[i], i) for k, i in names.items()], "k binary, size long, c long, id long")
+    got = {tuple(sorted((names[bytes(x.a)], names[bytes(x.b)]))) for x in near_dedup._across(listed, texts_, 0.8).collect()}
+    similar = {(i, j) for i in range(len(made)) for j in range(i + 1, len(made)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    across = {(i, j) for i, j in similar if part[i] != part[j]}
+    assert len(across) > 5 and across <= got and all(part[i] != part[j] for i, j in got)
+
+
 def test_near_copies_with_repeated_lines(spark):
     r, rows = random.Random(8), []
     line = lambda n: "".join(f" w{r.getrandbits(40)}" for _ in range(n))
@@ -412,6 +435,40 @@ def test_quality_without_labels(spark):
     assert all(got[100 + i] for i in range(5)) and not got[0] and not got[14]
 
 
+def test_quality_against_labels(spark):
+    """Held-out accuracy: the scorer sees neither votes nor the labels of quality."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.digest(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").select("rejected", "quality", "toxic").collect()
+    share = lambda q, t: np.mean([r.rejected for r in got if r.quality == q and r.toxic == t])
+    assert share(0, 0) >= 0.95 and share(0, 1) >= 0.95 and share(1, 1) >= 0.9 and share(1, 0) <= 0.02
+
+
+def test_quality_of_nothing_and_of_long_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.digest(docs(spark).limit(0), none).count() == quality.drop_rejected(docs(spark).limit(0), none).count() == 0
+    long = spark.createDataFrame([(1, "plain words of no kind " * 40_000, "en", "s", 1, "x", "y"), (2, None, None, None, None, "x", "y")], DOCS)
+    got = {r.doc_id: (r.score, r.rejected) for r in quality.digest(docs(spark).union(long), none).collect()}
+    assert 0 <= got[1][0] <= 1 and got[2] == (got[14][0], False)
+    clash = docs(spark).withColumns({"score": F.lit("mine"), "rejected": F.lit("mine"), "row": F.lit("mine"), "votes": F.lit("mine")})
+    kept = quality.drop_rejected(clash, none)
+    assert kept.columns == clash.columns and kept.filter("score = 'mine' and rejected = 'mine' and row = 'mine'").count() == kept.count() > 0
+
+
+def test_votes_are_no_features():
+    """The scorer's weights come from words and shapes alone: fitted to any target, it learns that target."""
+    r = random.Random(3)
+    say = lambda shape: " ".join(shape("".join(r.choices("abcdefgh", k=6))) for _ in range(40))
+    made = [say(str.lower) for _ in range(30)] + [say(str.upper) for _ in range(30)]
+    table, w, h = quality.votes(pa.array(made), quality.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    row, column, value = quality._features(quality._raw(pa.array(made)), w, h)
+    assert column.max() < quality.WIDTH
+    for target in (np.r_[np.zeros(30), np.ones(30)], np.r_[np.ones(30), np.zeros(30)]):
+        weight = quality.fit_scorer(row, column, value, target)
+        z = np.bincount(row, weight[column] * value, 60) + weight[-1]
+        assert ((z > 0) == (target > 0.5)).all()
+
+
 def test_lexicon_counts_texts_and_short_words(spark):
     hot = " ".join(f"ordinary{i}" for i in range(50))
     rows = [(i, hot, 1) for i in range(300)] + [(1000 + i, f"hot{i} vile{i} zax end", 1) for i in range(6)]
