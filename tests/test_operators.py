@@ -228,3 +228,26 @@ def test_calendar_windows_go_by_date(spark):
     df = spark.createDataFrame([(d, "A", v) for d, v in rows], "trade_date date, symbol string, v double")
     got = {r.trade_date: (r.m, r.c) for r in TS.calendar_cagr(df.withColumn("m", TS.calendar_stat("v", 2, "mean")), "v", 2, "c").collect()}
     assert got == {dt.date(2018, 1, 31): (None, None), dt.date(2019, 1, 31): (1.5, None), dt.date(2020, 1, 31): (3.0, 1.0), dt.date(2020, 2, 29): (3.0, None)}
+
+
+def test_deflated_sharpe_equals_the_textbook(spark):
+    from statistics import NormalDist
+
+    n, trials, variance, sharpe, skew, kurt = 60, 20, 0.04, 0.3, -0.2, 1.5
+    z, gamma = NormalDist().inv_cdf, 0.5772156649015329
+    best = math.sqrt(variance) * ((1 - gamma) * z(1 - 1 / trials) + gamma * z(1 - 1 / (trials * math.e)))
+    error = math.sqrt((1 - skew * sharpe + (kurt + 2) / 4 * sharpe**2) / (n - 1))
+    df = spark.createDataFrame([(n, trials, variance, sharpe, skew, kurt)], "n int, trials int, v double, s double, g double, k double")
+    [row] = df.withColumn("best", X.expected_max_sharpe("trials", "v")).select("best", X.probabilistic_sharpe("s", "best", "n", "g", "k").alias("dsr")).collect()
+    assert math.isclose(row.best, best, rel_tol=1e-5) and math.isclose(row.dsr, NormalDist().cdf((sharpe - best) / error), rel_tol=1e-5)
+
+
+def test_permutation_keeps_each_date_and_drops_what_counts(spark):
+    from xpanel.operators import research as Q
+
+    rows = [(day(d), f"{i:02d}", float(i), float((7 * i) % 20), float(i)) for d in range(8) for i in range(20)]
+    df = spark.createDataFrame(rows, "trade_date date, symbol string, a double, b double, t double")
+    got = {r.family: r for r in Q.permutation_drops(df, {"useful": ["a"], "idle": ["b"]}, {"a": 1.0, "b": 0.0}, 3).collect()}
+    assert got["base"].mean_return == 18.0 and got["base"].drop == got["idle"].drop == 0.0 and got["useful"].drop > 3
+    dealt = CS.permute(df, "a", 3).groupBy("trade_date").agg(F.sort_array(F.collect_list("permuted")).alias("x")).collect()
+    assert all(r.x == [float(i) for i in range(20)] for r in dealt)

@@ -83,18 +83,22 @@ def direction(df: DataFrame, mode: str = "fixed", fixed: float = 1.0, flip_below
 
 
 def permutation_ic(df: DataFrame, features: Sequence[str], label: str, runs: int, seed: int, kind: str = "ridge") -> DataFrame:
-    """run, mean_ic after refitting on labels dealt anew within each date. One small row for each run."""
-    out = []
+    """run, mean_ic after refitting on labels dealt anew within each date. One small row for each run, some tens at most; the rows are cached for them."""
+    df, out = df.persist(), []
     for run in range(runs):
         dealt = CS.permute(df, label, seed + run, "_label")
         scored = predict(fit(dealt, kind, features, "_label"), df, features)
         out.append((run, S.daily_ic(scored, "pred", label).agg(F.avg("ic")).first()[0]))
+    df.unpersist()
     return df.sparkSession.createDataFrame(out, "run int, mean_ic double")
 
 
 def evaluate_windows(df: DataFrame, cal: DataFrame, windows: list[Split], features: Sequence[str], label: str, kind: str = "ridge", mode: str = "train_ic") -> DataFrame:
-    """One row for each window: fit on its training dates, direction from there, IC and errors on its test dates."""
-    out = []
+    """One row for each window: fit on its training dates, direction from there, IC and errors on its test dates.
+
+    A fit and a few actions for each window, in turn, so some tens of windows at most; the rows are cached for them.
+    """
+    df, out = df.persist(), []
     for i, w in enumerate(windows):
         train, test = rows_of(df, cal, *w.train), rows_of(df, cal, *w.test)
         if not train.head(1) or not test.head(1):
@@ -106,6 +110,7 @@ def evaluate_windows(df: DataFrame, cal: DataFrame, windows: list[Split], featur
         mean = S.daily_ic(scored, "signal", label).agg(F.avg("ic")).first()[0]
         e = S.errors(scored, "pred", label).first()
         out.append((i, "ok", sign, mean, e["mae"], e["hit_rate"]))
+    df.unpersist()
     return df.sparkSession.createDataFrame(out, "window int, status string, direction double, test_ic double, mae double, hit_rate double")
 
 
