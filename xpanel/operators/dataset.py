@@ -150,3 +150,57 @@ def coverage_by_date(panel: DataFrame, value: str, age: str) -> DataFrame:
     """trade_date, n, known_pct of the value, and mean, median, p90 and largest age of the known ones."""
     old = F.when(F.col(value).isNotNull(), F.col(age).cast("double"))
     return panel.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), (100.0 * F.count(value) / F.count(F.lit(1))).alias("known_pct"), F.avg(old).alias("age_mean"), F.percentile(old, 0.5).alias("age_median"), F.percentile(old, 0.9).alias("age_p90"), F.max(old).alias("age_max"))
+
+
+def tradable(panel: DataFrame, least_amount: float = 0.0, least_volume: float = 0.0, suspended: str | None = None, name: str = "is_tradable") -> DataFrame:
+    """panel with name: a positive volume and amount of at least these sizes and no suspension; nulls are not tradable."""
+    ok = (F.col("vol") > 0) & (F.col("amount") > 0) & (F.col("vol") >= least_volume) & (F.col("amount") >= least_amount)
+    if suspended:
+        ok = ok & ~F.coalesce(F.col(suspended), F.lit(False))
+    return panel.withColumn(name, F.coalesce(ok, F.lit(False)))
+
+
+def without_names(panel: DataFrame, instruments: DataFrame, pattern: str) -> DataFrame:
+    """Rows of symbols whose name does not match the pattern (any case); symbols without a name stay. instruments: symbol, name."""
+    bad = instruments.filter(F.lower("name").rlike(pattern.lower())).select("symbol").distinct()
+    return panel.join(bad, "symbol", "left_anti")
+
+
+def of_age(panel: DataFrame, days: int, instruments: DataFrame | None = None) -> DataFrame:
+    """Rows at least so many days after the symbol's list_date, or after its first row where that is unknown."""
+    first = F.min("trade_date").over(Window.partitionBy("symbol"))
+    if instruments is None:
+        return panel.withColumn("_listed", first).filter(F.col("trade_date") >= F.date_add("_listed", days)).drop("_listed")
+    listed = instruments.select("symbol", F.col("list_date").alias("_listed"))
+    both = panel.join(listed, "symbol", "left").withColumn("_listed", F.coalesce("_listed", first))
+    return both.filter(F.col("trade_date") >= F.date_add("_listed", days)).select(*panel.columns)
+
+
+def filled_after(panel: DataFrame, right: DataFrame, take: Sequence[str], limit: int | None = None) -> DataFrame:
+    """panel with the take columns of the same date and symbol, then each carried on over at most `limit` rows of its symbol."""
+    from .timeseries import ffill
+
+    out = J.exact(panel, right, ["trade_date", "symbol"], take)
+    for c in take:
+        out = ffill(out, c, limit)
+    return out
+
+
+def period_plan(dates: DataFrame, cal: DataFrame, delay: int = 0, horizon: int | None = None) -> DataFrame:
+    """rebalance_date, entry_date, exit_date, entry_idx, exit_idx: entry `delay` open days later, exit as late after the next rebalance, or `horizon` days after entry.
+
+    Periods that the calendar (trade_date, idx) cannot hold fall out; with a horizon, so do those that begin before the last one's end.
+    """
+    made = dates.select("rebalance_date").distinct().join(cal.select(F.col("trade_date").alias("rebalance_date"), "idx"), "rebalance_date")
+    order = Window.orderBy("idx")  # a row for each rebalance date
+    made = made.select("rebalance_date", (F.col("idx") + delay).alias("entry_idx"), (F.col("idx") + delay + horizon if horizon else F.lead("idx").over(order) + delay).alias("exit_idx"))
+    at = lambda n: cal.select(F.col("idx").alias(f"{n}_idx"), F.col("trade_date").alias(f"{n}_date"))
+    both = made.join(at("entry"), "entry_idx").join(at("exit"), "exit_idx").select("rebalance_date", "entry_date", "exit_date", "entry_idx", "exit_idx")
+    if not horizon:
+        return both
+    # greedy: a period counts if it begins at or after the end of the last one that counts; a fold over a row for each period
+    rows = both.agg(F.array_sort(F.collect_list(F.struct("entry_idx", "exit_idx", "rebalance_date", "entry_date", "exit_date"))).alias("rows"))
+    start = F.struct(F.lit(-1).cast("int").alias("end"), F.array().cast("array<int>").alias("kept"))
+    step = lambda s_, x: F.when(x["entry_idx"] >= s_["end"], F.struct(x["exit_idx"].cast("int").alias("end"), F.array_append(s_["kept"], x["entry_idx"].cast("int")).alias("kept"))).otherwise(s_)
+    kept = rows.select("rows", F.aggregate("rows", start, step)["kept"].alias("kept"))
+    return kept.select(F.explode(F.filter("rows", lambda x: F.array_contains("kept", x["entry_idx"].cast("int")))).alias("x")).select("x.rebalance_date", "x.entry_date", "x.exit_date", "x.entry_idx", "x.exit_idx")

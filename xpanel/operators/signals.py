@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import average_rank, correlation, safe_div
 from . import crosssection as CS
+from .portfolio import buffered
 
 
 def daily_ic(df: DataFrame, s: str = "s", t: str = "t", method: str = "spearman", by: tuple[str, ...] = ("trade_date",)) -> DataFrame:
@@ -53,9 +54,16 @@ def bucket_ic(df: DataFrame, bucket: str, least: int = 2) -> DataFrame:
     return ic_summary(ic, bucket)
 
 
-def turnover(df: DataFrame, k: int, s: str = "s") -> DataFrame:
-    """trade_date, turnover: share of the k names that were not held at the date before; sets, one row for each date."""
-    held = CS.top_k(df, s, k).groupBy("trade_date").agg(F.collect_set("symbol").alias("names"))
+def turnover(df: DataFrame, k: int, s: str = "s", exit_: int = 0, entry: int = 0) -> DataFrame:
+    """trade_date, turnover: share of the k names that were not held at the date before; sets, one row for each date.
+
+    Dates of fewer than k names are left out. exit_ and entry are the hysteresis of the holdings.
+    """
+    top = CS.top_k(df, s, k)
+    if exit_ or entry:
+        whole = CS.top_k(df, s, k).select("trade_date").distinct()
+        top = buffered(df.join(F.broadcast(whole), "trade_date", "left_semi"), k, exit_, entry, s)  # a row for each date
+    held = top.groupBy("trade_date").agg(F.collect_set("symbol").alias("names"))
     before = F.lag("names").over(Window.orderBy("trade_date"))
     return held.withColumn("prev", before).filter("prev is not null").select("trade_date", (1 - F.size(F.array_intersect("names", "prev")) / k).alias("turnover"))
 

@@ -16,11 +16,14 @@ def date_weights(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n), "trade_date").withColumn("weight", 1 / F.col("_n")).drop("_n")  # a row for each date
 
 
-def decay_weights(df: DataFrame, half_life_days: float, floor: float = 0.0) -> DataFrame:
-    """Weights halving with age, at least `floor`, mean 1 over dates, then shared among each date's rows."""
+def decay_weights(df: DataFrame, half_life_days: float | None = None, floor: float = 0.0, rate: float | None = None) -> DataFrame:
+    """Weights halving with age (or times 1 - rate for each day of it), at least `floor`, mean 1 over dates, then shared among each date's rows."""
+    if (half_life_days is None) == (rate is None) or (rate is not None and not 0 <= rate < 1) or (half_life_days is not None and half_life_days <= 0):
+        raise ValueError("give either a positive half life or a rate from 0 to below 1")
+    base, scale = (0.5, half_life_days) if rate is None else (1 - rate, 1.0)
     n = df.groupBy("trade_date").agg(F.count(F.lit(1)).alias("_n"))
     last = n.agg(F.max("trade_date").alias("_last"))
-    raw = n.join(F.broadcast(last)).withColumn("_raw", F.greatest(F.pow(F.lit(0.5), F.datediff("_last", "trade_date") / half_life_days), F.lit(floor)))
+    raw = n.join(F.broadcast(last)).withColumn("_raw", F.greatest(F.pow(F.lit(base), F.datediff("_last", "trade_date") / scale), F.lit(floor)))
     mean = raw.agg(F.avg("_raw").alias("_mean"))
     each = raw.join(F.broadcast(mean)).select("trade_date", (F.col("_raw") / F.col("_mean") / F.col("_n")).alias("weight"))
     return df.join(F.broadcast(each), "trade_date")  # a row for each date

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import crosssection as CS
+from ..operators import dataset as DS
 from ..operators import dates as D
 from ..operators import joins as J
 from ..operators import timeseries as TS
@@ -170,10 +171,7 @@ def next_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PW}, {_REB}, nx AS (SELECT trade_date, symbol, close, (SELECT min(rebalance_date) FROM reb WHERE rebalance_date > pw.trade_date) AS nr FROM pw)
 SELECT a.trade_date, a.symbol, round(b.close / nullif(a.close, 0) - 1, 6) AS v FROM nx a LEFT JOIN pw b ON b.symbol = a.symbol AND b.trade_date = a.nr""")
 def label_next_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = weekly(spark, sf_dir)
-    dated = p.join(F.broadcast(D.next_rebalance(p, "quarter")), "trade_date")  # a row for each date
-    out = p.select("symbol", F.col("trade_date").alias("next_rebalance"), F.col("close").alias("exit"))
-    return _rounded(dated.join(out, ["symbol", "next_rebalance"], "left").withColumn("v", X.safe_div("exit", "close") - 1), "v")
+    return _rounded(DS.label_to_rebalance(weekly(spark, sf_dir), "quarter", name="v"), "v")
 
 
 @query(f"WITH {PW}, {_CAL} SELECT c.trade_date, d.trade_date AS shifted FROM cal c LEFT JOIN cal d ON d.idx = c.idx + 3")
@@ -313,13 +311,13 @@ def universe_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PM}, l AS (SELECT symbol, min(trade_date) AS listed FROM pm GROUP BY symbol) SELECT trade_date, symbol FROM pm JOIN l USING (symbol) WHERE trade_date >= listed + INTERVAL 180 DAY")
 def listing_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = monthly(spark, sf_dir)
-    return p.join(p.groupBy("symbol").agg(F.min("trade_date").alias("listed")), "symbol").filter(F.col("trade_date") >= F.date_add("listed", 180)).select("trade_date", "symbol")
+    return DS.of_age(monthly(spark, sf_dir), 180).select("trade_date", "symbol")
 
 
 @query(f"WITH {PM} SELECT trade_date, symbol, vol > 0 AND amount > 0 AND NOT vol < 300 AS is_tradable FROM pm WHERE amount >= 100000")
 def tradability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly(spark, sf_dir).filter("amount >= 100000").select("trade_date", "symbol", F.expr("vol > 0 and amount > 0 and not vol < 300").alias("is_tradable"))
+    rows = monthly(spark, sf_dir).filter("amount >= 100000")
+    return DS.tradable(rows, least_volume=300).select("trade_date", "symbol", "is_tradable")
 
 
 @query("SELECT o_orderpriority AS raw, lower(o_orderpriority) IN ('1', 'true', 't', 'yes', 'y') AS truth, CAST(trim(regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS VARCHAR) AS slug, count(*) AS n FROM orders GROUP BY 1")

@@ -105,6 +105,72 @@ def benchmark_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"))
 
 
+@query(f"WITH {PM} SELECT trade_date, symbol, coalesce(vol > 0 AND amount > 0 AND vol >= 300 AND amount >= 100000 AND NOT CAST(vol AS BIGINT) % 7 = 0, FALSE) AS is_tradable FROM pm")
+def tradable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = monthly(spark, sf_dir).withColumn("halted", F.col("vol").cast("long") % 7 == 0)
+    return DS.tradable(p, 100_000, 300, "halted").select("trade_date", "symbol", "is_tradable")
+
+
+_INST = "ins AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1997-03-01' END AS list_date FROM supplier)"
+
+
+def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.when(F.col("s_suppkey") % 3 == 0, F.lit("1997-03-01").cast("date"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_name").alias("name"), listed.alias("list_date"))
+
+
+@query(f"WITH {PM}, {_INST} SELECT trade_date, symbol FROM pm WHERE symbol NOT IN (SELECT symbol FROM ins WHERE regexp_matches(lower(name), '(1|7)$'))")
+def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DS.without_names(monthly(spark, sf_dir), _instruments(spark, sf_dir), "(1|7)$").select("trade_date", "symbol")
+
+
+@query(f"WITH {PM}, {_INST}, l AS (SELECT pm.*, coalesce(list_date, min(trade_date) OVER (PARTITION BY symbol)) AS listed FROM pm LEFT JOIN ins USING (symbol)) SELECT trade_date, symbol FROM l WHERE trade_date >= listed + 365")
+def age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DS.of_age(monthly(spark, sf_dir), 365, _instruments(spark, sf_dir)).select("trade_date", "symbol")
+
+
+@query(f"""WITH {PM}, j AS (SELECT a.trade_date, a.symbol, b.amount AS v, row_number() OVER (PARTITION BY a.symbol ORDER BY a.trade_date) AS n FROM pm a LEFT JOIN (SELECT * FROM pm WHERE month(trade_date) % 3 = 0) b USING (trade_date, symbol)),
+f AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS f, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER w AS fn FROM j WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) SELECT trade_date, symbol, CASE WHEN n - fn <= 1 THEN f END AS revenue FROM f""")
+def merge_and_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = monthly(spark, sf_dir)
+    right = p.filter("month(trade_date) % 3 = 0").select("trade_date", "symbol", F.col("amount").alias("revenue"))
+    return DS.filled_after(p, right, ["revenue"], 1).select("trade_date", "symbol", "revenue")
+
+
+_PLAN = f"{PW}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx FROM (SELECT DISTINCT trade_date FROM pw)), rb AS (SELECT trade_date AS rebalance_date, idx FROM cal JOIN (SELECT max(trade_date) AS trade_date FROM pw GROUP BY date_trunc('month', trade_date)) USING (trade_date))"
+
+
+@query(f"WITH {_PLAN}, p AS (SELECT rebalance_date, idx + 1 AS entry_idx, lead(idx) OVER (ORDER BY idx) + 1 AS exit_idx FROM rb) SELECT rebalance_date, a.trade_date AS entry_date, b.trade_date AS exit_date, entry_idx, exit_idx FROM p JOIN cal a ON a.idx = entry_idx JOIN cal b ON b.idx = exit_idx")
+def period_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = weekly(spark, sf_dir)
+    return DS.period_plan(D.rebalance_dates(p, "month"), D.calendar(p), 1).select("rebalance_date", "entry_date", "exit_date", F.col("entry_idx").cast("long").alias("entry_idx"), F.col("exit_idx").cast("long").alias("exit_idx"))
+
+
+@query(f"""WITH RECURSIVE {_PLAN}, p AS (SELECT rebalance_date, idx AS entry_idx, idx + 6 AS exit_idx, row_number() OVER (ORDER BY idx) AS n FROM rb WHERE idx + 6 <= (SELECT max(idx) FROM cal)),
+k AS (SELECT n, exit_idx AS until, TRUE AS kept FROM p WHERE n = 1 UNION ALL SELECT p.n, CASE WHEN p.entry_idx >= k.until THEN p.exit_idx ELSE k.until END, p.entry_idx >= k.until FROM k JOIN p ON p.n = k.n + 1)
+SELECT rebalance_date, a.trade_date AS entry_date, b.trade_date AS exit_date FROM p JOIN k USING (n) JOIN cal a ON a.idx = entry_idx JOIN cal b ON b.idx = exit_idx WHERE kept""")
+def period_plan_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = weekly(spark, sf_dir)
+    return DS.period_plan(D.rebalance_dates(p, "month"), D.calendar(p), 0, 6).select("rebalance_date", "entry_date", "exit_date")
+
+
+@query(f"""WITH {PM}, {SC}, x AS (SELECT max(trade_date) AS last FROM sc), d AS (SELECT trade_date, count(*) AS n, greatest(pow(0.999, date_diff('day', trade_date, any_value(last))), 0.3) AS raw FROM sc, x GROUP BY 1) SELECT trade_date, round(raw / avg(raw) OVER () / n, 8) AS weight FROM d""")
+def sample_weight_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = SP.decay_weights(scored(spark, sf_dir), floor=0.3, rate=0.001)
+    return made.groupBy("trade_date").agg(F.round(F.max("weight"), 8).alias("weight"))
+
+
+_BUF = """rk AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol) AS place, count(*) OVER (PARTITION BY trade_date) AS n FROM sc),
+nm AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i, names FROM (SELECT trade_date, list(symbol ORDER BY place) AS names FROM rk WHERE place <= 8 AND n >= 5 GROUP BY 1)),
+f AS (SELECT i, trade_date, names[:5] AS held FROM nm WHERE i = 1 UNION ALL SELECT i, trade_date, list_concat(pool, list_filter(names, lambda z: NOT list_contains(pool, z)))[:5] FROM (SELECT i, trade_date, names, list_concat(kept, list_filter(names[:4], lambda z: NOT list_contains(kept, z))) AS pool FROM (
+SELECT nm.i, nm.trade_date, nm.names, list_filter(nm.names, lambda z: list_contains(f.held, z)) AS kept FROM f JOIN nm ON nm.i = f.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {PM}, {SC}, {_BUF}, l AS (SELECT trade_date, held, lag(held) OVER (ORDER BY trade_date) AS prev FROM f) SELECT trade_date, round(1 - len(list_intersect(held, prev)) / 5.0, 6) AS turnover FROM l WHERE prev IS NOT NULL")
+def turnover_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(S.turnover(scored(spark, sf_dir), 5, exit_=3, entry=1))
+
+
 _HELD = f"{PM}, {SC}, held AS (SELECT trade_date AS entry_date, symbol, place FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol) AS place FROM sc) WHERE place <= 4)"
 
 
