@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from xpanel.llm import importance
-from xpanel.llm.words import Words
+from xpanel.llm.words import Words, folded
 
 
 def texts():
@@ -18,7 +18,7 @@ def texts():
 
 def test_crcs_of_words_and_runs():
     t = pa.array(texts())
-    w = Words(importance.folded(t))
+    w = Words(folded(t, importance._FOLD))
     assert importance.word_crcs(w).tolist() == [zlib.crc32(x) for x in w.texts(0, len(w.start))]
     r = np.random.default_rng(1)
     for n in (0, 1, 64, 65, 66, 300, 100_003):

@@ -25,13 +25,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import Words, groups
+from .words import Words, folded, groups
 
 BUCKETS = 10_000
 PARTS = 16  # of the range of buckets
@@ -44,14 +43,6 @@ for _lo, _hi in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
-def folded(texts: pa.Array) -> pa.Array:
-    """The texts with A-Z small and every separator a space; still UTF-8, as only ASCII bytes change."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(at - at[0])), pa.py_buffer(_FOLD[raw]))
-
-
 def _byte_table() -> np.ndarray:
     x = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -117,7 +108,7 @@ def word_crcs(w: Words) -> np.ndarray:
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text of every run of one to three words, and the texts' numbers of words."""
-    w = Words(folded(texts))
+    w = Words(folded(texts, _FOLD))
     many = np.diff(w.at)
     doc = np.repeat(np.arange(len(many)), many)
     one = word_crcs(w)

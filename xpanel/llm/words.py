@@ -151,3 +151,11 @@ def groups(table: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Ite
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def folded(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """The texts with every byte replaced by its entry; a table that keeps ASCII bytes ASCII and all others as they are keeps UTF-8."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(at - at[0])), pa.py_buffer(table[raw]))
