@@ -11,7 +11,8 @@ containment |item & document| / |item| over all runs of both.
 Items of at most `most_local` runs together (24 bytes a run) are sent to every task; beyond that signatures are joined as
 tables, and candidates with their runs.
 
-An item without a run (fewer than five words, empty or null) matches nothing; so does such a document. Repeated
+A text of one to four words is one run of its own length: such an item is found in documents whose whole text it is, and in no
+other. Texts without words, empty or null, match nothing. Repeated
 items and documents each give their own rows. Items are told apart by their text, so one without an id is searched
 too: documents that hold it go, but a report by id has no row for it.
 """
@@ -34,7 +35,7 @@ _PAIR = "doc_key long, item_key long, shared long, item_size long"
 
 def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of full runs of SHINGLE words, sorted by text and hash, with their text's index."""
-    h, doc = shingles(texts, SHINGLE, short=False)
+    h, doc = shingles(texts, SHINGLE, short=True)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
@@ -94,7 +95,7 @@ class _Items:
 
     def contained(self, texts: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, item and number of common runs of every verified pair."""
-        h, doc = shingles(texts, SHINGLE, short=False)
+        h, doc = shingles(texts, SHINGLE, short=True)
         pairs = self.candidates(mix(h), doc)
         out = []
         for d in np.unique(pairs[0]):
@@ -213,9 +214,9 @@ WITH words AS (
 ), item_words AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark
 ), runs AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM words, unnest(range(1, len(w) - 3)) AS t(i)
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
 ), item_runs AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS run FROM item_words, unnest(range(1, len(w) - 3)) AS t(i)
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS run FROM item_words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
 ), sizes AS (
   SELECT item_id, count(*) AS item_size FROM item_runs GROUP BY item_id
 )

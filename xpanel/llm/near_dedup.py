@@ -262,14 +262,16 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class: the one with the smallest doc_id (null last), then the smallest text id.
 
-    Rows with equal doc_id and text are one; which of their other columns stay is not defined.
+    Rows with equal doc_id and text are one; the row that stays is the one whose columns have the smallest hash.
     """
     row_id = F.unhex(F.md5(F.concat_ws("|", F.hex(text_id(F.col("text"))), F.col("doc_id").cast("string")).cast("binary")))
-    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), row_id.alias("r"), "doc_id", "text")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    whole = docs.select(row, row_id.alias("r"), "doc_id", "text")
     named = _classed(whole.select(F.struct("r", "doc_id").alias("row"), "text"))
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row.r").alias("r"))
     keep = stored(named.groupBy("class_key").agg(F.min(order).alias("x")).select("x.r"), "kept")
-    return whole.groupBy("r").agg(F.first("row").alias("row")).join(keep, "r", "left_semi").select("row.*")
+    one = whole.groupBy("r").agg(F.min_by("row", F.xxhash64("row")).alias("row")).join(keep, "r", "left_semi")
+    return one.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 ORACLE_SQL = """

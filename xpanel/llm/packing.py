@@ -5,7 +5,8 @@ one). Pieces are dealt at random into blocks of about `block` pieces; each block
 islands evolve each block in tasks of their own: crossover injects a random half of the well-filled bins
 of one parent into the other, bins that lose a piece to an injected one are dissolved, and the displaced
 pieces are put back best-fit, largest first. Between epochs every island sends its elite to the next
-one. Evolution stops where the lower bound ceil(sum / capacity) is met, which best-fit alone does for many blocks of ordinary lengths;
+one. Evolution stops where the lower bound ceil(sum / capacity) is met, after PATIENCE generations without gain or at the last generation;
+best-fit alone meets the bound in many blocks of ordinary lengths;
 where it does not, the generations run (state tables hold their number and the bins before and after). Bins that stay poorly filled are
 released, gathered whole into new blocks and evolved once more from that grouping, so a block is never packed worse.
 
@@ -29,6 +30,7 @@ from .shared import stored
 from .words import groups
 
 END = 0
+PATIENCE = 8  # generations without a better solution after which an island rests
 
 
 def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,15 +164,18 @@ class Block:
             made = [self.tight(np.full(len(self.size), -1, np.int64), np.arange(len(self.size)), self.capacity // 200)]
             elite = elite + made + [self.fresh(0.05 * (i + 1)) for i in range(max(0, population - len(elite) - 1))]
         elite = sorted(elite, key=self.worth)
+        since, best = 0, self.worth(elite[0])
         for _ in range(generations):
-            if self.worth(elite[0])[0] <= self.bound or len(elite) < 2:
+            if best[0] <= self.bound or len(elite) < 2 or since >= PATIENCE:
                 break
-            self.ran += 1
+            self.ran, since = self.ran + 1, since + 1
             made = []
             for _ in range(population):
                 x, y = self.random.choice(len(elite), 2, replace=False)
                 made.append(self.cross(elite[min(x, y)], elite[max(x, y)]))
             elite = sorted(elite + made, key=self.worth)[:population]
+            if self.worth(elite[0]) < best:
+                since, best = 0, self.worth(elite[0])
         self.last = self.worth(elite[0])[0]
         return elite[:2]
 
@@ -202,7 +207,7 @@ def _epochs(start: DataFrame, capacity: int, islands: int, epochs: int, populati
     return best.select("block", F.explode(F.arrays_zip("x.uid", "x.bin", "x.size")).alias("y")).select("block", "y.*")
 
 
-def pack(lengths: DataFrame, capacity: int = 2048, block: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 4, well_filled: float = 0.98) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = 2048, block: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 40, well_filled: float = 0.98) -> DataFrame:
     """uid, sequence_id, offset for rows of uid (long, different) and length (1 to capacity)."""
     total = lengths.count()
     blocks = max(1, round(total / block))

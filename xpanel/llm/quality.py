@@ -7,7 +7,7 @@ bounded sample (`most_labels` rows): in 4 or more, and in 25 for each other text
 toxic if most of its labels say so, so copies add nothing. All such entries are kept. The label model has
 one latent class that keeps and one for each kind of fault, with a table of vote probabilities per labeller; EM
 runs over the counts of vote patterns of all documents (at most 3 to the number of labellers rows, whatever the input). Its posteriors label
-a bounded sample of documents (`most_rows` expected), on which a logistic scorer over hashed beginnings and shapes of
+a bounded sample (the `most_rows` different texts of the smallest hashes), on which a logistic scorer over hashed beginnings and shapes of
 words is fitted; the votes are not among its features, so it judges texts by what it learned. Every whole text is then
 scored; a document is rejected at a score of `cut` or more.
 
@@ -337,10 +337,17 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += batch.num_rows
     if n:
         weight = fit_scorer(*(np.concatenate(x) for x in (row, column, value, target)))
-        some = np.flatnonzero(weight)
+        some = np.unique(np.r_[np.flatnonzero(weight), WIDTH])  # the bias always
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(weight[some])], names=["column", "weight"])
 
 
+def sample(docs: DataFrame, most_rows: int) -> DataFrame:
+    """The most_rows different texts of the smallest hashes (all, if fewer), whatever the number of rows and of copies."""
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    least = keyed.select("h").distinct().orderBy("h").limit(most_rows).agg(F.max("h").alias("h")).first().h
+    return keyed.filter(F.col("h") <= F.lit(least if least is not None else 0)).groupBy("h").agg(F.min("text").alias("text")).select("text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_rows: int = 8_000) -> tuple[Lexicon, dict, np.ndarray]:
     """The lexicon, the label model and the scorer's weights.
 
@@ -351,10 +358,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_rows
     counts = docs.select("text").mapInArrow(_patterns(entries), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     pattern, count = counts["pattern"].to_numpy().astype(np.int64), counts["n"].to_numpy()
     model = fit_label_model(_decode(pattern), count)
-    share = min(1.0, most_rows / max(1, int(count.sum())))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else docs
-    made = sample.select("text").mapInArrow(_sampled(entries, model), "target double, column array<int>, value array<float>").limit(2 * most_rows)
+    made = sample(docs, most_rows).mapInArrow(_sampled(entries, model), "target double, column array<int>, value array<float>")
     found = made.repartition(1).mapInArrow(_fitted, "column long, weight double").toArrow()
+    if len(pattern) and not found.num_rows:
+        raise RuntimeError("there are documents, but the scorer was fitted on none")
     weight = np.zeros(WIDTH + 1)
     weight[found["column"].to_numpy().astype(np.int64)] = found["weight"].to_numpy()
     return entries, model, weight
@@ -373,5 +380,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return score(whole, labels, ["row", "text"]).filter(~F.col("rejected")).select("row.*")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    kept = score(docs.select(row, "doc_id", "text"), labels, ["row", "text"]).filter(~F.col("rejected"))
+    return kept.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

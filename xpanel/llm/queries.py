@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fill_in_middle, graph_search, id_files, importance, language_id, maxent, near_dedup, packing, quality, stages, substring_dedup, token_counts
+from . import chat_format, decontaminate, fill_in_middle, graph_search, id_files, importance, language_id, maxent, near_dedup, packing, quality, shared, stages, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,8 +67,17 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(_read(spark, sf_dir, "documents"))
 
 
+def _owned(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; tables that it has written on its way go when its result is written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shared.finished(spark, f.__name__, lambda: f(spark, sf_dir))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": stages.run} | {f.__name__: f for f in (op1_token_counts, op2_id_files, op3_language_id, op4_chat_format, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate, op10_graph_search, op11_importance_resampling, op12_maxent_scores, op13_fill_in_middle)}
+    return {"pipeline": stages.run} | {f.__name__: _owned(f) for f in (op1_token_counts, op2_id_files, op3_language_id, op4_chat_format, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_near_dedup, op9_decontaminate, op10_graph_search, op11_importance_resampling, op12_maxent_scores, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

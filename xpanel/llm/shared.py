@@ -5,11 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-written: list[str] = []  # folders that this process has asked for, oldest first
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders that are asked for inside, by this thread of work alone, oldest first; whoever opens the scope owns them."""
+    made: list[str] = []
+    token = _owner.set(made)
+    try:
+        yield made
+    finally:
+        _owner.reset(token)
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -19,8 +32,10 @@ def folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"  # driver and tasks are one process on one machine
-    written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return written[-1]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (mine := _owner.get()) is not None:
+        mine.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,4 +51,14 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in list(paths):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        written.remove(path)
+
+
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns; if it has written tables on its way, the result is written too and they go."""
+    with scope() as made:
+        out = make()
+    if not made:
+        return out
+    kept = stored(out, name)
+    discard(spark, made)
+    return kept

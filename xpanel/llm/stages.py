@@ -52,9 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage has read or written on its way goes as soon as its own result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done: list[str] = []
-    for name, stage in STAGES[:-1]:
-        before = set(shared.written)
-        docs = shared.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        shared.discard(spark, [*done, *(p for p in shared.written[:-1] if p not in before)])
-        done = shared.written[-1:]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with shared.scope() as made:
+            kept = shared.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        shared.discard(spark, [*done, *made[:-1]])
+        docs, done = kept, made[-1:]
+    return docs

@@ -150,12 +150,15 @@ def digest(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def remove(docs: DataFrame, window: int = 35) -> DataFrame:
     """The documents with their columns; a text that holds repeats keeps its other words, joined by a space."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = repeats(whole, "row", "text", window).select("row.*", "n_removed", "kept")
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(changed).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    found = repeats(docs.select(row, "text"), "row", "text", window)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+
+    def column(i: int, name: str) -> Column:
+        old = F.col("row").getField(f"c{i}")
+        return (F.when(F.col("n_removed") > 0, new[name].cast(docs.schema[name].dataType)).otherwise(old) if name in new else old).alias(name)
+
+    return found.select(*(column(i, c) for i, c in enumerate(docs.columns)))
 
 
 ORACLE_SQL = """
