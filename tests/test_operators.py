@@ -103,36 +103,32 @@ def test_normal_functions(spark):
 
 
 def test_execution_of_two_names(spark):
-    """Room of 5 % of the median amount: A fits in a day, B runs out of time."""
+    """Room of 5 % of the median amount: A fits in four days, B runs out of time."""
     from xpanel.operators import execution as E
 
     positions = spark.createDataFrame([(day(0), day(1), n, 0.10) for n in "AB"], "rebalance_date date, entry_date date, symbol string, weight double")
-    prices = spark.createDataFrame([(day(d), n, 10.0, a, True) for d in range(7) for n, a in (("A", 5e5), ("B", 1e5))] + [(day(6), "A", 10.0, 1.0, True)], "trade_date date, symbol string, close double, adv double, open boolean")
-    rules = E.Rules(0.05, ("adv",), buy_days=5, tradable="open")
-    got = {r.symbol: r for r in E.simulate(positions, prices, {"m": 1e6}, rules).collect()}
-    assert math.isclose(got["A"].filled_weight, 0.1) and got["A"].status == "filled" and got["A"].fill_days == 4
-    assert math.isclose(got["B"].filled_weight, 0.025) and got["B"].status == "cancelled_buy_deadline"
-    [s] = E.summarized(E.simulate(positions, prices, {"m": 1e6}, rules), {"m": 1e6}).collect()
+    room = spark.createDataFrame([(day(d), n, 0.05 * a) for d in range(7) for n, a in (("A", 5e5), ("B", 1e5))], "trade_date date, symbol string, room double")
+    made = E.progress(E.orders(positions, room, buy_days=5), room, {"m": 1e6})
+    got = {r.symbol: r for r in E.closed(made).collect()}
+    assert math.isclose(got["A"].filled, 0.1) and got["A"].status == "filled" and got["A"].fill_days == 4
+    assert math.isclose(got["B"].filled, 0.025) and got["B"].status == "cancelled_buy_deadline"
+    [s] = E.summarized(E.closed(made)).collect()
     assert math.isclose(s.unfilled_buy_notional, 75_000) and s.orders == 2
-    fills = E.simulate(positions, prices, {"m": 1e6}, rules, "fills").collect()
-    assert len(fills) == 9 and math.isclose(sum(f.fill_weight for f in fills), 0.125)
-    assert E.simulate(positions.limit(0), prices, {"m": 1e6}, rules).count() == 0
+    done = E.fills(made).collect()
+    assert len(done) == 9 and math.isclose(sum(f.fill_weight for f in done), 0.125)
+    assert E.progress(E.orders(positions.limit(0), room), room, {"m": 1e6}).count() == 0
 
 
-def test_execution_sells_before_it_buys(spark):
+def test_execution_of_changing_targets(spark):
     from xpanel.operators import execution as E
 
-    positions = spark.createDataFrame([(day(0), day(0), "A", 1.0), (day(3), day(3), "B", 1.0), (day(6), day(6), "C", 0.5)], "rebalance_date date, entry_date date, symbol string, weight double")
-    amounts = {"A": 10.0, "B": 4.0, "C": 0.0}
-    prices = spark.createDataFrame([(day(d), n, 1.0, a) for d in range(9) for n, a in amounts.items()], "trade_date date, symbol string, close double, amount double")
-    rules = E.Rules(0.05, buy_days=3, abandon_after=2)
-    got = {(r.rebalance_date, r.side, r.symbol): (round(r.filled_weight, 9), r.status) for r in E.simulate(positions, prices, {"x": 1.0}, rules).collect()}
+    positions = spark.createDataFrame([(day(0), day(0), "A", 0.7), (day(0), day(0), "A", 0.3), (day(3), day(3), "A", 0.25), (day(3), day(3), "B", 0.75), (day(6), day(6), "C", 0.5)], "rebalance_date date, entry_date date, symbol string, weight double")
+    room = spark.createDataFrame([(day(d), n, a) for d in range(9) for n, a in (("A", 0.5), ("B", 0.2), ("C", None))], "trade_date date, symbol string, room double")
+    got = {(r.rebalance_date, r.side, r.symbol): (round(r.requested, 9), round(r.filled, 9), r.fill_days, r.status) for r in E.closed(E.progress(E.orders(positions, room, 2), room, {"x": 1.0})).collect()}
     assert got == {
-        (day(0), "buy", "A"): (1.0, "filled"), (day(3), "sell", "A"): (1.0, "filled"), (day(3), "buy", "B"): (0.6, "cancelled_buy_deadline"),
-        (day(6), "sell", "B"): (0.6, "filled"), (day(6), "buy", "C"): (0.0, "abandoned_zero_fill"),
+        (day(0), "buy", "A"): (1.0, 1.0, 2, "filled"), (day(3), "sell", "A"): (0.75, 0.75, 2, "filled"), (day(3), "buy", "B"): (0.75, 0.4, 2, "cancelled_buy_deadline"),
+        (day(6), "sell", "A"): (0.25, 0.25, 1, "filled"), (day(6), "sell", "B"): (0.75, 0.6, 3, "delayed_sell"), (day(6), "buy", "C"): (0.5, 0.0, 0, "abandoned_zero_fill"),
     }
-    with pytest.raises(Exception, match="negative"):
-        E.simulate(positions.withColumn("weight", -F.col("weight")), prices, {"x": 1.0}, rules).collect()
 
 
 def test_legs_add_up_and_take_no_name_twice(spark):
@@ -206,7 +202,7 @@ def test_left_over_cash_goes_lot_by_lot(spark):
     assert got == {("x", "A"): (3, 1), ("x", "B"): (2, 1), ("x", "C"): (0, 0), ("y", "A"): (0, 0)}
     tight = {r.symbol: (r.lots, r.cash_left) for r in L.secondary_fill(df.filter("scenario = 'x'"), L.Filling(buffer=45.0)).collect()}
     assert tight["B"] == (2, 5.0) and tight["A"] == (2, 5.0)  # the low valuation first, then too little is left
-    over = L.Filling(most_over=10.0, over_lots=1)
+    over = L.Filling(most_over=10.0)
     assert {r.symbol: r.lots for r in L.secondary_fill(df.filter("scenario = 'x'"), over).collect()} == {"A": 3, "B": 2, "C": 0}
 
 

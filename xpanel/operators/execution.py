@@ -1,172 +1,80 @@
-"""Capacity-limited execution of target portfolios: sells, then buys from the cash, over several days.
+"""Capacity-limited execution of a series of target portfolios, as joins and running sums.
 
-Cash and holdings couple every day with the one before, so a scenario (say, a capital) is one group, and scenarios run side by side.
-What a group holds is joined down first: only the orders' symbols on the days of their windows, that is portfolio times
-window rows for each rebalance, however large the price table is.
+Orders are the differences of consecutive targets: every target is met with the one before by symbol in one grouping, so a name that
+leaves the portfolio is sold and one that comes is bought. A sell stays open until the next entry, a buy for a number of trading
+days. What an order has done by a day is the running sum of what could be traded, up to its request. Orders do not compete: cash is
+not followed, and the next order starts from the target, not from what was left open (`unfilled` tells how much that is).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TINY = 1e-12
-
-
-@dataclass(frozen=True)
-class Rules:
-    """sell_days None: until the next rebalance. abandon_after: days without capacity after which a buy is given up."""
-
-    participation: float = 0.05
-    liquidity: tuple[str, ...] = ("amount",)
-    buy_days: int = 5
-    sell_days: int | None = None
-    abandon_after: int | None = None
-    tradable: str | None = None
-
-    def __post_init__(self) -> None:
-        if not 0 < self.participation <= 1 or not self.liquidity or self.buy_days < 1 or (self.sell_days or 1) < 1:
-            raise ValueError("rules of execution are out of range")
-
-
-def room(prices: DataFrame, rules: Rules) -> DataFrame:
-    """trade_date, symbol, notional that can be traded: a share of the least liquidity; 0 where the price, the flag or a liquidity is missing."""
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.abs(c) != float("inf"))
-    ok: Column = finite("close")
-    for c in rules.liquidity:
-        ok = ok & finite(c)
-    if rules.tradable:
-        ok = ok & F.coalesce(F.col(rules.tradable), F.lit(False))
-    least = F.least(*(F.col(c) for c in rules.liquidity)) if len(rules.liquidity) > 1 else F.col(rules.liquidity[0])
-    return prices.dropDuplicates(["trade_date", "symbol"]).select("trade_date", "symbol", F.when(ok, rules.participation * least).otherwise(0.0).alias("room"))
-
-
-FILLS = "scenario string, rebalance_date date, trade_date date, day_number int, side string, symbol string, capacity double, fill_weight double, remaining double"
-ORDERS = "scenario string, rebalance_date date, side string, symbol string, requested_weight double, filled_weight double, unfilled_weight double, fill_days int, status string, cash_weight double"
-
-
-class _Book:
-    def __init__(self, scenario: str, rules: Rules, capacity: dict, days: list):
-        self.scenario, self.rules, self.capacity, self.days = scenario, rules, capacity, days
-        self.held: dict[str, float] = {}
-        self.cash = 1.0
-        self.fills: list[tuple] = []
-        self.orders: list[tuple] = []
-
-    def window(self, entry: int, most: int | None, stop: int | None) -> list:
-        return self.days[entry : (entry + most if most else max(entry + 1, stop) if stop is not None else len(self.days))]
-
-    def trade(self, when: object, side: str, asked: dict[str, float], window: list) -> None:
-        left, filled, days, idle = dict(asked), dict.fromkeys(asked, 0.0), dict.fromkeys(asked, 0), dict.fromkeys(asked, 0)
-        given_up: set[str] = set()
-        for number, day in enumerate(window, 1):
-            open_ = [s for s in sorted(left) if s not in given_up]
-            if not open_:
-                break
-            can = {s: self.capacity.get((day, s), 0.0) for s in open_}
-            want = {s: min(left[s], can[s]) for s in open_}
-            total = sum(want.values())
-            share = max(self.cash, 0.0) / total if side == "buy" and total > max(self.cash, 0.0) and total > 0 else 1.0
-            for s in open_:
-                fill = min(left[s], want[s] * share)
-                if fill > TINY:
-                    left[s] = max(left[s] - fill, 0.0)
-                    filled[s], days[s], idle[s] = filled[s] + fill, days[s] + 1, 0
-                    sign = 1 if side == "buy" else -1
-                    self.held[s] = max(self.held.get(s, 0.0) + sign * fill, 0.0)
-                    if self.held[s] <= TINY:
-                        del self.held[s]
-                    self.cash = max(self.cash - sign * fill, 0.0) if side == "buy" else self.cash + fill
-                    self.fills.append((self.scenario, when, day, number, side, s, can[s], fill, left[s]))
-                elif side == "buy" and can[s] <= TINY:
-                    idle[s] += 1
-                    if self.rules.abandon_after is not None and idle[s] >= self.rules.abandon_after:
-                        given_up.add(s)
-                if left[s] <= TINY:
-                    del left[s]
-        late = "delayed_sell" if side == "sell" else "cancelled_buy_deadline"
-        for s in sorted(asked):
-            rest = left.get(s, 0.0)
-            status = "filled" if rest <= TINY else "abandoned_zero_fill" if s in given_up else late
-            self.orders.append((self.scenario, when, side, s, asked[s], min(filled[s], asked[s]), rest, days[s], status, self.cash))
-
-
-def _run(rules: Rules, what: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    names = [x.split()[0] for x in (FILLS if what == "fills" else ORDERS).split(", ")]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        targets, rooms = pdf[pdf["kind"] == "target"], pdf[pdf["kind"] == "room"]
-        days = sorted(pdf.loc[pdf["kind"] == "day", "trade_date"])
-        at = {d: i for i, d in enumerate(days)}
-        book = _Book(key[0], rules, dict(zip(zip(rooms["trade_date"], rooms["symbol"]), rooms["value"])), days)
-        dates = sorted(targets["rebalance_date"].unique())
-        entries = {d: targets.loc[targets["rebalance_date"] == d, "trade_date"].iloc[0] for d in dates}
-        for i, d in enumerate(dates):
-            if entries[d] not in at:
-                continue
-            mine = targets[(targets["rebalance_date"] == d) & (targets["value"] > 0)]
-            goal = mine.groupby("symbol")["value"].sum().to_dict()
-            start, stop = at[entries[d]], at.get(entries[dates[i + 1]]) if i + 1 < len(dates) else None
-            sells = {s: w - goal.get(s, 0.0) for s, w in book.held.items() if w - goal.get(s, 0.0) > TINY}
-            if sells:
-                book.trade(d, "sell", sells, book.window(start, rules.sell_days, stop))
-            buys = {s: w - book.held.get(s, 0.0) for s, w in goal.items() if w - book.held.get(s, 0.0) > TINY}
-            if buys:
-                book.trade(d, "buy", buys, book.window(start, rules.buy_days, None))
-        return pd.DataFrame(book.fills if what == "fills" else book.orders, columns=names)
-
-    return run
-
-
-def _inputs(positions: DataFrame, prices: DataFrame, scenarios: DataFrame, rules: Rules) -> DataFrame:
-    """One table of targets, calendar days and rooms (as weights) for every scenario."""
-    good = positions.filter("rebalance_date is not null and entry_date is not null and symbol is not null and weight is not null")
-    good = good.select("rebalance_date", "entry_date", "symbol", F.when(F.col("weight") < 0, F.raise_error(F.lit("weights must not be negative")).cast("double")).otherwise(F.col("weight")).alias("weight"))
-    some = F.broadcast(scenarios)  # a row for each scenario
-    cal = prices.select("trade_date").distinct().filter("trade_date is not null").withColumn("_i", F.row_number().over(Window.orderBy("trade_date")))  # a row for each date
-    # a symbol's order can be open from one of its entries until the later of the buy window and the sell window's end
-    entries = good.select("entry_date").distinct().withColumn("_next", F.lead("entry_date").over(Window.orderBy("entry_date")))
-    at = cal.select(F.col("trade_date").alias("entry_date"), F.col("_i").alias("_from"))
-    spans = entries.join(at, "entry_date").join(cal.select(F.col("trade_date").alias("_next"), F.col("_i").alias("_to")), "_next", "left")
-    long = rules.buy_days if rules.sell_days is None else max(rules.buy_days, rules.sell_days)
-    last = F.col("_from") + long - 1
-    spans = spans.withColumn("_last", F.greatest(last, F.coalesce("_to", F.lit(1 << 30))) if rules.sell_days is None else last)
-    days = cal.join(F.broadcast(spans.select("_from", "_last")), (F.col("_i") >= F.col("_from")) & (F.col("_i") <= F.col("_last")), "left_semi").select("trade_date")
-    rooms = room(prices, rules).join(F.broadcast(days), "trade_date").join(good.select("symbol").distinct(), "symbol", "left_semi").filter("room > 0")
-    shape = lambda kind, df, when, at_, symbol, value: df.crossJoin(some).select("scenario", F.lit(kind).alias("kind"), when.cast("date").alias("rebalance_date"), at_.alias("trade_date"), symbol.cast("string").alias("symbol"), value.cast("double").alias("value"))
-    none = F.lit(None)
-    made = shape("target", good, F.col("rebalance_date"), F.col("entry_date"), F.col("symbol"), F.col("weight"))
-    made = made.unionByName(shape("day", cal, none, F.col("trade_date"), none, none))
-    return made.unionByName(shape("room", rooms, none, F.col("trade_date"), F.col("symbol"), F.col("room") / F.col("capital")))
-
-
-def simulate(positions: DataFrame, prices: DataFrame, capitals: dict[str, float], rules: Rules = Rules(), what: str = "orders") -> DataFrame:  # noqa: B008
-    """Orders or fills of every scenario (name to capital).
-
-    positions: rebalance_date, entry_date, symbol, weight (a negative one fails; rows with nulls fall out). prices: trade_date,
-    symbol, close and the columns of the rules. At each rebalance the holdings above their targets are sold first, over
-    their window; then the missing weights are bought, each day's buys scaled alike to the cash. A rebalance whose entry date is
-    no date of prices is passed over.
+from . import dates as D
+
+DONE = 1e-12
+STATUSES = ("filled", "delayed_sell", "cancelled_buy_deadline", "abandoned_zero_fill")  # fixed values
+
+
+def orders(targets: DataFrame, prices: DataFrame, buy_days: int = 5) -> DataFrame:
+    """rebalance_date, symbol, side, requested (a weight), first and last (indices of the dates of prices, when it is open).
+
+    targets: rebalance_date, entry_date, symbol, weight; rows with nulls fall out and repeated names add up. An entry that is no
+    date of prices has no orders.
+    """
+    good = targets.filter("rebalance_date is not null and entry_date is not null and symbol is not null and weight is not null")
+    cal = D.calendar(prices.filter("trade_date is not null"))  # a row for each date, as are the next two
+    end = cal.agg(F.max("idx").alias("_end"))
+    entries = good.groupBy("rebalance_date").agg(F.min("entry_date").alias("entry_date")).withColumn("_i", F.row_number().over(Window.orderBy("rebalance_date")))
+    at = entries.join(cal.select(F.col("trade_date").alias("entry_date"), F.col("idx").alias("first")), "entry_date", "left")
+    at = at.withColumn("_next", F.lead("first").over(Window.orderBy("_i"))).crossJoin(F.broadcast(end)).filter("first is not null")
+    mine = good.join(F.broadcast(entries.select("rebalance_date", "_i")), "rebalance_date")
+    now = mine.select("_i", "symbol", F.col("weight").alias("_now"), F.lit(0.0).alias("_before"))
+    then = mine.select((F.col("_i") + 1).alias("_i"), "symbol", F.lit(0.0).alias("_now"), F.col("weight").alias("_before"))
+    moved = now.unionByName(then).groupBy("_i", "symbol").agg((F.sum("_now") - F.sum("_before")).alias("_d")).filter(F.abs("_d") > DONE)
+    sell = F.col("_d") < 0
+    last = F.when(sell, F.greatest("first", F.coalesce(F.col("_next") - 1, F.col("_end")))).otherwise(F.least(F.col("first") + buy_days - 1, F.col("_end")))
+    return moved.join(F.broadcast(at), "_i").select("rebalance_date", "symbol", F.when(sell, "sell").otherwise("buy").alias("side"), F.abs("_d").alias("requested"), "first", last.alias("last"))
+
+
+def progress(placed: DataFrame, room: DataFrame, capitals: dict[str, float]) -> DataFrame:
+    """Every day of every order for every capital: scenario, the order's columns, trade_date, day_number, capacity, fill_weight, remaining.
+
+    room: trade_date, symbol, room, the notional that can be traded; missing or null counts as 0, repeated rows add up. An order
+    meets only the days of its window, by symbol and day.
     """
-    if what not in ("orders", "fills"):
-        raise ValueError(f"what must be orders or fills, not {what!r}")
     if any(c <= 0 for c in capitals.values()):
         raise ValueError("capitals must be above 0")
-    scenarios = positions.sparkSession.createDataFrame([(n, float(c)) for n, c in capitals.items()], "scenario string, capital double")
-    return _inputs(positions, prices, scenarios, rules).groupBy("scenario").applyInPandas(_run(rules, what), FILLS if what == "fills" else ORDERS)
+    table = placed.sparkSession.createDataFrame([(n, float(c)) for n, c in capitals.items()], "scenario string, capital double")
+    cal = D.calendar(room.filter("trade_date is not null"))
+    rooms = room.groupBy("trade_date", "symbol").agg(F.sum("room").alias("room")).join(F.broadcast(cal), "trade_date").select("symbol", "idx", "room")
+    open_ = placed.withColumn("idx", F.explode(F.sequence("first", "last"))).join(rooms, ["symbol", "idx"], "left").join(F.broadcast(cal), "idx")
+    met = open_.crossJoin(F.broadcast(table)).withColumn("capacity", F.coalesce("room", F.lit(0.0)) / F.col("capital"))
+    order = Window.partitionBy("scenario", "rebalance_date", "symbol").orderBy("idx")
+    done = F.least(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("requested"))
+    before = F.least(F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.col("requested"))
+    return met.select("scenario", "capital", "rebalance_date", "symbol", "side", "requested", "trade_date", (F.col("idx") - F.col("first") + 1).alias("day_number"), "capacity", (done - before).alias("fill_weight"), (F.col("requested") - done).alias("remaining"))
+
+
+def fills(made: DataFrame) -> DataFrame:
+    return made.filter(F.col("fill_weight") > DONE)
+
+
+def closed(made: DataFrame) -> DataFrame:
+    """One row for each order: what was filled, in how many days, and its status."""
+    done = made.groupBy("scenario", "capital", "rebalance_date", "symbol", "side").agg(F.max("requested").alias("requested"), F.sum("fill_weight").alias("filled"), F.count_if(F.col("fill_weight") > DONE).alias("fill_days"))
+    unfilled = F.greatest(F.col("requested") - F.col("filled"), F.lit(0.0))
+    status = F.when(unfilled <= DONE, "filled").when(F.col("side") == "sell", "delayed_sell").when(F.col("filled") > DONE, "cancelled_buy_deadline").otherwise("abandoned_zero_fill")
+    return done.withColumns({"unfilled": unfilled, "status": status})
 
 
-def summarized(orders: DataFrame, capitals: dict[str, float], by: Sequence[str] = ("scenario",)) -> DataFrame:
-    """Requested, filled and unfilled notional and counts of every status, by scenario."""
-    table = orders.sparkSession.createDataFrame([(n, float(c)) for n, c in capitals.items()], "scenario string, capital double")
-    both = orders.join(F.broadcast(table), "scenario")
+def summarized(made: DataFrame, by: Sequence[str] = ("scenario",)) -> DataFrame:
+    """Requested, filled and unfilled notional by side, and the number of orders of every status."""
     total = lambda c, side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c) * F.col("capital"))), F.lit(0.0))
-    many = lambda status: F.count_if(F.col("status") == status)
-    return both.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("orders"), *(total(f"{c}_weight", s).alias(f"{c}_{s}_notional") for s in ("buy", "sell") for c in ("requested", "filled", "unfilled")),
-        *(many(s).alias(s) for s in ("filled", "delayed_sell", "cancelled_buy_deadline", "abandoned_zero_fill")),
+    return made.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("orders"), *(total(c, s).alias(f"{c}_{s}_notional") for s in ("buy", "sell") for c in ("requested", "filled", "unfilled")),
+        *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES),
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,59 +85,49 @@ VALUATION_ORDER = {"LOW": 0, "NEUTRAL": 1, "HIGH": 2, "EXTREME": 3, "NA": 4}
 
 @dataclass(frozen=True)
 class Filling:
-    """How left-over cash is spent. most_over: the value by which a position may exceed its target, over_lots: how often."""
+    """How left-over cash is spent. most_over: the value by which a last lot may pass its target; None: never. calm_first, calm_only: names of high or extreme valuation come last, or not at all."""
 
     steps: int = 1000
     buffer_share: float = 0.0
     buffer: float = 0.0
     fee: float = 0.0
-    most_over: float = 0.0
-    over_lots: int = 0
-    avoid_high: bool = False
-    never_high: bool = False
-
-
-def _filled(rule: Filling) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    tiny = 1e-9
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("symbol").to_dict("records")
-        for r in rows:
-            r["extra"] = 0
-            r["_cost"] = r["price"] * r["round_lot"] if r["tradable"] and (r["price"] or 0) > 0 and (r["round_lot"] or 0) > 0 else 0.0
-            r["_gap"] = (r["target_value"] or 0.0) - r["lots"] * (r["round_lot"] or 0.0) * (r["price"] or 0.0)
-            r["_over"] = 0
-        capital = float(pdf["capital"].iloc[0])
-        cash = capital - capital * max(rule.buffer_share, 0.0) - max(rule.buffer, 0.0) - sum((r["target_value"] or 0.0) - r["_gap"] for r in rows)
-
-        def fits(r: dict) -> bool:
-            after = r["_gap"] - r["_cost"]
-            over = after < -tiny
-            if r["_cost"] <= 0 or r["_gap"] <= tiny or r["_cost"] + max(rule.fee, 0.0) > cash + tiny or abs(after) + tiny >= abs(r["_gap"]):
-                return False
-            return not over or (after >= -rule.most_over - tiny and r["_over"] < rule.over_lots)
-
-        for _ in range(rule.steps):
-            able = [r for r in rows if fits(r)]
-            calm = [r for r in able if r["valuation"] not in ("HIGH", "EXTREME")]
-            if rule.avoid_high and (calm or rule.never_high):
-                able = calm
-            if not able:
-                break
-            r = min(able, key=lambda r: (VALUATION_ORDER.get(r["valuation"], 5), abs(r["_gap"] - r["_cost"]), r["_cost"], r["symbol"]))
-            r["extra"], r["_gap"], cash = r["extra"] + 1, r["_gap"] - r["_cost"], cash - r["_cost"] - max(rule.fee, 0.0)
-            r["_over"] += r["_gap"] < -tiny
-        made = pd.DataFrame([{**{k: r[k] for k in ("scenario", "symbol")}, "lots": int(r["lots"] + r["extra"]), "extra": r["extra"], "gap": r["_gap"], "cash_left": cash} for r in rows])
-        return made[["scenario", "symbol", "lots", "extra", "gap", "cash_left"]]
-
-    return run
+    most_over: float | None = None
+    calm_first: bool = False
+    calm_only: bool = False
 
 
 def secondary_fill(allocation: DataFrame, rule: Filling = Filling()) -> DataFrame:  # noqa: B008
-    """scenario, symbol, lots, extra, gap, cash_left: one more lot at a time for the name that ranks first while cash lasts.
+    """scenario, symbol, lots, extra, gap, cash_left: what is left of a scenario's capital goes to further lots.
 
-    allocation: scenario, capital, symbol, price, round_lot, lots, target_value, valuation, tradable. Names rank by valuation class, then the gap
-    that a lot leaves, its cost and symbol; a lot must bring its name nearer to the target. Each step depends on the last, so a
-    scenario, a portfolio's rows, is one group.
+    allocation: scenario, capital, symbol, price, round_lot, lots, target_value, valuation, tradable. A lot must bring its name nearer
+    to the target. Names rank by valuation class, then the gap that a lot leaves, its cost and symbol. Every further lot
+    leaves its own name a smaller gap, so a name that comes first stays first until it is done: names are served in the order
+    of their first lot, each as many whole lots as it wants and as the cash that the names before it have left will pay. The wants are
+    expressions of a row; the cash runs through a scenario's ranked names (a portfolio's) in one fold.
     """
-    return allocation.groupBy("scenario").applyInPandas(_filled(rule), "scenario string, symbol string, lots long, extra long, gap double, cash_left double")
+    zero = F.lit(0.0)
+    cost = F.when(F.col("tradable") & (F.col("price") > 0) & (F.col("round_lot") > 0), F.col("price") * F.col("round_lot")).otherwise(zero)
+    spent = F.col("lots") * F.coalesce("round_lot", zero) * F.coalesce("price", zero)
+    rows = allocation.withColumns({"_cost": F.coalesce(cost, zero), "_spent": spent}).withColumn("_gap", F.coalesce("target_value", zero) - F.col("_spent"))
+    below = F.floor(F.try_divide("_gap", "_cost") + 1e-12)  # whole lots that stay at or below the target
+    rest = F.col("_gap") - below * F.col("_cost")
+    over = F.lit(0) if rule.most_over is None else ((rest > 1e-9) & (F.col("_cost") - rest < rest - 1e-9) & (F.col("_cost") - rest <= rule.most_over + 1e-9)).cast("int")
+    wanted = F.when((F.col("_cost") > 0) & (F.col("_gap") > 1e-9), below + over).otherwise(0).cast("long")
+    high = F.coalesce(F.col("valuation").isin("HIGH", "EXTREME"), F.lit(False))
+    if rule.calm_only:
+        wanted = F.when(high, 0).otherwise(wanted)
+    place = F.coalesce(*(F.when(F.col("valuation") == n, i) for n, i in VALUATION_ORDER.items()), F.lit(len(VALUATION_ORDER)))
+    key = F.struct((high & F.lit(rule.calm_first)).alias("high"), place.alias("place"), F.abs(F.col("_gap") - F.col("_cost")).alias("after"), F.col("_cost").alias("cost"), "symbol", wanted.alias("wanted"), "lots", F.col("_gap").alias("gap"))
+    one = rows.groupBy("scenario").agg(F.sort_array(F.collect_list(key)).alias("names"), F.max("capital").alias("capital"), F.sum("_spent").alias("spent"))
+    cash = F.col("capital") - F.col("capital") * max(rule.buffer_share, 0.0) - max(rule.buffer, 0.0) - F.col("spent")
+    none = F.array().cast("array<struct<symbol:string,lots:bigint,extra:bigint,gap:double>>")
+    start = F.struct(cash.alias("cash"), F.lit(rule.steps).cast("long").alias("steps"), none.alias("done"))
+
+    def serve(s: Column, n: Column) -> Column:
+        able = F.floor((s["cash"] + 1e-9) / F.when(n["wanted"] > 0, n["cost"] + max(rule.fee, 0.0))).cast("long")
+        extra = F.greatest(F.least(n["wanted"], F.coalesce(able, F.lit(0)), s["steps"]), F.lit(0)).cast("long")
+        row = F.struct(n["symbol"].alias("symbol"), (n["lots"] + extra).cast("long").alias("lots"), extra.alias("extra"), (n["gap"] - extra * n["cost"]).alias("gap"))
+        return F.struct((s["cash"] - extra * (n["cost"] + max(rule.fee, 0.0))).alias("cash"), (s["steps"] - extra).alias("steps"), F.array_append(s["done"], row).alias("done"))
+
+    served = one.select("scenario", F.aggregate("names", start, serve).alias("s")).select("scenario", F.col("s.cash").alias("cash_left"), F.explode("s.done").alias("n"))
+    return served.select("scenario", "n.symbol", "n.lots", "n.extra", "n.gap", "cash_left")

@@ -277,7 +277,8 @@ def buy_fills(orders: DataFrame, days: DataFrame, cash: float, most_days: int =
     """order_id, trade_date, filled: cash (a weight) couples a date's orders, so each rebalance is one fold over its days.
 
     Each day every open order asks for the least of what is left and its capacity; all are scaled alike to the cash left.
-    One rebalance's orders are a portfolio, at most some hundreds of rows.
+    One rebalance's orders are a portfolio, at most some hundreds of rows. An order is open for the first `most_days` dates with
+    capacity from its start and is then given up.
     """
     met = orders.join(days.select("symbol", "trade_date", "capacity"), "symbol").filter("trade_date >= start")
     day = F.dense_rank().over(Window.partitionBy("rebalance_date").orderBy("trade_date"))

@@ -144,7 +144,13 @@ def position_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- allocation
 
-@query(None)
+@query(f"""WITH RECURSIVE {PM}, ls AS (SELECT symbol, close, vol FROM pm WHERE trade_date = (SELECT max(trade_date) FROM pm)),
+al AS (SELECT scenario, capital, symbol, close * 10 AS cost, floor(capital / n / (close * 10)) AS lots, capital / n AS goal, CASE CAST(symbol AS BIGINT) % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS class, vol > 0 AS ok FROM (SELECT *, count(*) OVER (PARTITION BY scenario) AS n FROM ls, (VALUES ('small', 2e6::DOUBLE), ('large', 2e7::DOUBLE)) v(scenario, capital))),
+gp AS (SELECT *, goal - lots * cost AS gap FROM al), wn AS (SELECT *, CASE WHEN ok AND cost > 0 AND gap > 1e-9 THEN floor(gap / cost + 1e-12) + CASE WHEN gap - floor(gap / cost + 1e-12) * cost > 1e-9 AND cost < 2 * (gap - floor(gap / cost + 1e-12) * cost) - 1e-9 AND cost - (gap - floor(gap / cost + 1e-12) * cost) <= 5e3 + 1e-9 THEN 1 ELSE 0 END ELSE 0 END AS wanted FROM gp),
+od AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY class = 2, class, abs(gap - cost), cost, symbol) AS k FROM wn),
+go AS (SELECT scenario, CAST(0 AS BIGINT) AS k, capital - sum(lots * cost) AS cash, CAST(0 AS DOUBLE) AS extra FROM od GROUP BY scenario, capital UNION ALL
+SELECT od.scenario, od.k, go.cash - (cost + 5) * least(wanted, floor((go.cash + 1e-9) / (cost + 5))), least(wanted, floor((go.cash + 1e-9) / (cost + 5))) FROM go JOIN od ON od.scenario = go.scenario AND od.k = go.k + 1)
+SELECT scenario, symbol, CAST(lots + extra AS BIGINT) AS lots, CAST(extra AS BIGINT) AS extra, round(gap - extra * cost, 4) AS gap, round((SELECT arg_max(cash, k) FROM go g WHERE g.scenario = od.scenario), 4) AS cash_left FROM od JOIN go USING (scenario, k)""")
 def secondary_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest date's allocation at two capitals, left-over cash spent lot by lot."""
     last = _last(spark, sf_dir)
@@ -153,5 +159,5 @@ def secondary_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.col("symbol").cast("long") % 4 == 0, "HIGH").when(F.col("symbol").cast("long") % 4 == 1, "LOW").otherwise("NEUTRAL")
     goal = F.col("capital") / F.col("n")
     made = sized.select("scenario", "capital", "symbol", F.col("close").alias("price"), F.lit(10.0).alias("round_lot"), F.floor(goal / (F.col("close") * 10)).alias("lots"), goal.alias("target_value"), rule.alias("valuation"), (F.col("vol") > 0).alias("tradable"))
-    out = L.secondary_fill(made, L.Filling(fee=5.0, most_over=5e3, over_lots=1, avoid_high=True))
+    out = L.secondary_fill(made, L.Filling(fee=5.0, most_over=5e3, calm_first=True))
     return out.select("scenario", "symbol", "lots", "extra", F.round("gap", 4).alias("gap"), F.round("cash_left", 4).alias("cash_left"))

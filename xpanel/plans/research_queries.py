@@ -355,28 +355,36 @@ def period_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- execution
 
-def _orders(spark: SparkSession, sf_dir: str, what: str = "orders") -> DataFrame:
-    p = monthly(spark, sf_dir)
-    held = P.weights(P.select(scored(spark, sf_dir), 4)).select(F.col("trade_date").alias("rebalance_date"), F.col("trade_date").alias("entry_date"), "symbol", "weight")
-    return E.simulate(held, p, CAPITALS, E.Rules(0.05, ("amount",), buy_days=2, abandon_after=2), what)
+CAPITALS = {"small": 1e5, "large": 1e6}
+_EX = f"""{PM}, {SC}, tg AS (SELECT trade_date, symbol, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol) AS k FROM sc) WHERE k <= 4),
+cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS d FROM (SELECT DISTINCT trade_date FROM pm)), rd AS (SELECT trade_date, d, row_number() OVER (ORDER BY trade_date) AS i, lead(d) OVER (ORDER BY trade_date) AS nxt FROM (SELECT DISTINCT trade_date FROM tg) JOIN cal USING (trade_date)),
+mv AS (SELECT i, symbol, sum(w) AS delta FROM (SELECT i, symbol, weight AS w FROM tg JOIN rd USING (trade_date) UNION ALL SELECT i + 1, symbol, -weight FROM tg JOIN rd USING (trade_date)) GROUP BY 1, 2 HAVING abs(sum(w)) > 1e-12),
+od AS (SELECT trade_date AS rebalance_date, symbol, CASE WHEN delta < 0 THEN 'sell' ELSE 'buy' END AS side, abs(delta) AS requested, d AS lo, CASE WHEN delta < 0 THEN greatest(d, coalesce(nxt - 1, (SELECT max(d) FROM cal))) ELSE least(d + 1, (SELECT max(d) FROM cal)) END AS hi FROM mv JOIN rd USING (i)),
+pg AS (SELECT scenario, capital, rebalance_date, od.symbol, side, requested, cal.trade_date, d - lo + 1 AS day_number, coalesce(0.05 * amount, 0) / capital AS capacity FROM od JOIN cal ON d BETWEEN lo AND hi CROSS JOIN (VALUES ('small', 1e5::DOUBLE), ('large', 1e6::DOUBLE)) v(scenario, capital) LEFT JOIN pm ON pm.symbol = od.symbol AND pm.trade_date = cal.trade_date),
+dn AS (SELECT *, least(sum(capacity) OVER o, requested) AS done, least(coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), requested) AS prev FROM pg WINDOW o AS (PARTITION BY scenario, rebalance_date, symbol ORDER BY trade_date)),
+cl AS (SELECT scenario, capital, rebalance_date, symbol, side, max(requested) AS requested, sum(done - prev) AS filled, count(CASE WHEN done - prev > 1e-12 THEN 1 END) AS fill_days, greatest(max(requested) - sum(done - prev), 0) AS unfilled FROM dn GROUP BY ALL),
+st AS (SELECT *, CASE WHEN unfilled <= 1e-12 THEN 'filled' WHEN side = 'sell' THEN 'delayed_sell' WHEN filled > 1e-12 THEN 'cancelled_buy_deadline' ELSE 'abandoned_zero_fill' END AS status FROM cl)"""
 
 
-CAPITALS = {"small": 1e5, "large": 1e6}
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = monthly(spark, sf_dir)
+    held = P.weights(P.select(scored(spark, sf_dir), 4)).select(F.col("trade_date").alias("rebalance_date"), F.col("trade_date").alias("entry_date"), "symbol", "weight")
+    return E.progress(E.orders(held, p, buy_days=2), p.select("trade_date", "symbol", (0.05 * F.col("amount")).alias("room")), CAPITALS)
 
 
-@query(None)
+@query(f"WITH {_EX} SELECT scenario, rebalance_date, symbol, side, round(requested, 6) AS requested, round(filled, 6) AS filled, fill_days, round(unfilled, 6) AS unfilled, status FROM st")
 def execution_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(_orders(spark, sf_dir), cash_weight=9)
+    return _r(E.closed(_progress(spark, sf_dir)).drop("capital"))
 
 
-@query(None)
+@query(f"WITH {_EX} SELECT scenario, rebalance_date, symbol, side, trade_date, day_number, round(capacity, 6) AS capacity, round(done - prev, 6) AS fill_weight, round(requested - done, 6) AS remaining FROM dn WHERE done - prev > 1e-12")
 def execution_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(_orders(spark, sf_dir, "fills"))
+    return _r(E.fills(_progress(spark, sf_dir)).drop("capital", "requested"))
 
 
-@query(None)
+@query(f"WITH {_EX} SELECT scenario, count(*) AS orders, " + ", ".join(f"round(coalesce(sum(CASE WHEN side = '{x}' THEN {c} * capital END), 0), 2) AS {c}_{x}_notional" for x in ("buy", "sell") for c in ("requested", "filled", "unfilled")) + ", " + ", ".join(f"count(CASE WHEN status = '{x}' THEN 1 END) AS {x}" for x in E.STATUSES) + " FROM st GROUP BY 1")
 def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(E.summarized(_orders(spark, sf_dir), CAPITALS), **{f"{c}_{s}_notional": 2 for s in ("buy", "sell") for c in ("requested", "filled", "unfilled")})
+    return _r(E.summarized(E.closed(_progress(spark, sf_dir))), **{f"{c}_{s}_notional": 2 for s in ("buy", "sell") for c in ("requested", "filled", "unfilled")})
 
 
 # ---- runs
