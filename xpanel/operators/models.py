@@ -114,35 +114,6 @@ def evaluate_windows(df: DataFrame, cal: DataFrame, windows: list[Split], featur
     return df.sparkSession.createDataFrame(out, "window int, status string, direction double, test_ic double, mae double, hit_rate double")
 
 
-def cv_direction(df: DataFrame, cal: DataFrame, folds: list[Split], features: Sequence[str], label: str, kind: str = "ridge", flip_below: float = 0.0) -> tuple[float, list[float | None]]:
-    """+1 or -1 by the mean of the folds' test ICs, and these. A fit for each fold, some tens at most."""
-    ics = [r.test_ic for r in evaluate_windows(df, cal, folds, features, label, kind, mode="fixed").orderBy("window").collect()]
-    known = [x for x in ics if x is not None]
-    return (-1.0 if known and sum(known) / len(known) < flip_below else 1.0), ics
-
-
-def sweep(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float], l1_ratios: Sequence[float] = ()) -> DataFrame:
-    """kind, alpha, l1_ratio, mean test IC: ridge for each alpha, elastic net for each pair. A fit for each row, a grid's size; train is cached for them."""
-    train = train.persist()
-    jobs = [("ridge", a, 0.0) for a in alphas] + [("elasticnet", a, r) for a in alphas for r in l1_ratios]
-    out = []
-    for kind, alpha, ratio in jobs:
-        scored = predict(fit(train, kind, features, label, alpha=alpha, l1_ratio=ratio), test, features)
-        out.append((kind, float(alpha), float(ratio), S.daily_ic(scored, "pred", label).agg(F.avg("ic")).first()[0]))
-    train.unpersist()
-    return test.sparkSession.createDataFrame(out, "kind string, alpha double, l1_ratio double, ic double")
-
-
-def live_scores(df: DataFrame, features: Sequence[str], label: str, kind: str = "ridge") -> DataFrame:
-    """trade_date, symbol, pred, place of the latest date's rows, by a model fitted on all rows with a label before it."""
-    last = df.agg(F.max("trade_date")).first()[0]
-    if last is None:
-        raise ValueError("nothing to score")
-    made = predict(fit(df.filter(F.col("trade_date") < F.lit(last)), kind, features, label), df.filter(F.col("trade_date") == F.lit(last)), features)
-    place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("pred"), "symbol"))
-    return made.select("trade_date", "symbol", "pred", place.alias("place"))
-
-
 def neutral_predictions(scored: DataFrame, controls: Sequence[str], strength: float = 1.0, least: int = 3) -> DataFrame:
     """scored with pred less its regression on the controls within each date, and signal likewise."""
     made = CS.neutralize(scored, "pred", controls, strength, least, "_neutral")

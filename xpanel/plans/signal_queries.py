@@ -127,13 +127,6 @@ def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold_rows(spark, cal, P.walk_forward(cal.count(), 0.1, 3, gap=1))
 
 
-@query(None)
-def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = M.with_features(scored(spark, sf_dir))
-    model = M.fit(df, "ridge", M.FEATURES, "t", alpha=1.0)
-    return M.predict(model, df, M.FEATURES).select("trade_date", "symbol", F.round("pred", R).alias("pred"))
-
-
 @query(None)
 def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = M.with_features(scored(spark, sf_dir))
@@ -145,13 +138,6 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.permutation_ic(M.with_features(scored(spark, sf_dir)), M.FEATURES, "t", runs=2, seed=3)
 
 
-@query(None)
-def walk_forward_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = M.with_features(scored(spark, sf_dir))
-    cal = D.calendar(df)
-    return M.evaluate_windows(df, cal, P.walk_forward(cal.count(), 0.15, 2, gap=1), M.FEATURES, "t")
-
-
 @query(f"""WITH {PM}, {SC}, v AS (SELECT symbol, count(*) AS n, avg(t) / nullif(stddev_samp(t), 0) AS sharpe FROM sc GROUP BY 1), m AS (SELECT var_samp(sharpe) AS variance, count(*) AS trials FROM v)
 SELECT symbol, n, round(sharpe, 5) AS sharpe, round(variance, 6) AS variance, trials FROM v, m""")
 def sharpe_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,33 +172,3 @@ def feature_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PM} SELECT symbol, count(*) AS n FROM pm GROUP BY symbol")
 def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(None)
-def linear_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge and elastic net over a grid of penalties, judged on the last fifth of the dates."""
-    from ..operators.dataset import holdout
-
-    df = holdout(M.with_features(scored(spark, sf_dir)), 0.2)
-    made = M.sweep(df.filter(~F.col("is_holdout")), df.filter("is_holdout"), M.FEATURES, "t", [0.1, 10.0], [0.5])
-    return _round(made, "ic")
-
-
-@query(None)
-def cv_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = M.with_features(scored(spark, sf_dir))
-    cal = D.calendar(df)
-    sign, ics = M.cv_direction(df, cal, P.time_series(cal.count(), 3, gap=1), M.FEATURES, "t")
-    return spark.createDataFrame([(i, x, sign) for i, x in enumerate(ics)], "fold int, ic double, direction double")
-
-
-@query(None)
-def live_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(M.live_scores(M.with_features(scored(spark, sf_dir)), M.FEATURES, "t"), "pred")
-
-
-@query(None)
-def neutral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = M.with_features(scored(spark, sf_dir))
-    made = M.neutral_predictions(M.predict(M.fit(df, "ridge", M.FEATURES, "t"), df, M.FEATURES, -1.0), ["f_vol"])
-    return _round(made.select("trade_date", "symbol", "pred", "signal"), "pred", "signal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import live_queries, panel_queries, portfolio_queries, research_queries, signal_queries  # noqa: F401  they register themselves
+from .plans import live_queries, model_queries, panel_queries, portfolio_queries, research_queries, signal_queries  # noqa: F401  they register themselves
 from .plans.registry import ORACLES, QUERIES, Query
 
 
