@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from itertools import product
 from random import Random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,31 +58,61 @@ def weights(held: DataFrame, mode: str = "equal", score: str = "s", side: int =
     return held.withColumn("_e", F.exp(F.greatest(F.lit(-5.0), F.least(z, F.lit(5.0))))).withColumn("weight", F.col("_e") / F.sum("_e").over(day)).drop("_e")
 
 
-def _held_with_buffer(pdf: pd.DataFrame, k: int, exit_: int, entry: int) -> pd.DataFrame:
-    """The rows of pdf (trade_date, place, symbol) that are held, date after date."""
-    before: set[str] | None = None
-    out = []
-    for _, day in pdf.sort_values(["trade_date", "place"]).groupby("trade_date", sort=True):
-        names = day["symbol"].tolist()
-        if before is None or (exit_ <= 0 and entry <= 0):
-            chosen = names[:k]
-        else:
-            kept = [n for n in names[: k + max(0, exit_)] if n in before]
-            preferred = names[: max(0, k - max(0, entry))]
-            chosen = list(dict.fromkeys([*kept, *preferred, *names]))[:k]
-        before = set(chosen)
-        out.append(day[day["symbol"].isin(before)])
-    return pd.concat(out) if out else pdf
-
+def held_names(ranked: DataFrame, k: Column, exit_: Column, entry: Column, by: Sequence[str] = (), most_of_group: int | None = None) -> DataFrame:
+    """by, trade_date, symbol held with hysteresis, from names ranked within each date (by, trade_date, place, symbol, group if there is a cap).
 
-def buffered(df: DataFrame, k: int, exit_: int, entry: int, score: str = "s") -> DataFrame:
-    """The rows of df held with hysteresis, with place.
-
-    A held name stays while it ranks within k + exit; free places go to names within k - entry first, then to the next.
-    Only each date's first k + exit names enter the fold, so its one group has a portfolio's size for each date.
+    A held name stays a candidate while its place is within k + exit; names within k - entry come next, then the others, up to k candidates. With a
+    cap, candidates are taken in that order while their group has room (a null group always has), so fewer than k may be held; without
+    a date before, or without a band, the cap fills up from the whole ranking. One row for each date holds its first names, and a
+    fold over the dates of each `by` carries the last holdings; the state is a portfolio, whatever the panel's size. Symbols are
+    unique within a date.
     """
-    ranked = select(df, k + max(0, exit_), score)
-    return ranked.groupBy().applyInPandas(lambda pdf: _held_with_buffer(pdf, k, exit_, entry), ranked.schema)
+    by = list(by)
+    group = F.col("group") if most_of_group is not None else F.lit(None).cast("string")
+    capped = F.col("place")
+    rows = ranked.withColumns({"_k": k, "_x": F.greatest(exit_, F.lit(0)), "_e": F.greatest(entry, F.lit(0)), "_g": group})
+    if most_of_group is not None:
+        inner = F.row_number().over(Window.partitionBy(*by, "trade_date", "_g").orderBy("place"))
+        rows = rows.withColumn("_ok", F.col("_g").isNull() | (inner <= most_of_group))
+        capped = F.when(F.col("_ok"), F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*by, "trade_date").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_first", F.coalesce(capped <= F.col("_k"), F.lit(False))).filter(F.col("_first") | (F.col("place") <= F.col("_k") + F.col("_x")))
+    one = F.struct("place", "symbol", F.col("_g").alias("group"), "_first")
+    names = rows.groupBy(*by, "trade_date", "_k", "_x", "_e").agg(F.sort_array(F.collect_list(one)).alias("names"))
+    days = names.groupBy(*by, "_k", "_x", "_e").agg(F.sort_array(F.collect_list(F.struct("trade_date", "names"))).alias("days"))
+    none = F.lit(None).cast("array<string>")
+    start = F.struct(none.alias("held"), F.array().cast("array<struct<trade_date:date,held:array<string>>>").alias("out"))
+
+    def step(s: Column, d: Column) -> Column:
+        names = d["names"]
+        near = F.filter(names, lambda n: n["place"] <= F.col("_k") + F.col("_x"))
+        kept = F.filter(near, lambda n: F.array_contains(s["held"], n["symbol"]))
+        pool = F.array_distinct(F.concat(kept, F.filter(near, lambda n: n["place"] <= F.col("_k") - F.col("_e")), near))
+        wanted = F.when(F.size(kept) >= F.col("_k"), kept).otherwise(F.slice(pool, F.lit(1), F.col("_k")))
+        if most_of_group is None:
+            chosen = F.slice(wanted, F.lit(1), F.col("_k"))
+        else:
+            room = lambda a, n: (F.size(a) < F.col("_k")) & (n["group"].isNull() | (F.size(F.filter(a, lambda x: x["group"] == n["group"])) < most_of_group))
+            chosen = F.aggregate(wanted, F.filter(wanted, lambda n: F.lit(False)), lambda a, n: F.when(room(a, n), F.array_append(a, n)).otherwise(a))
+        fresh = s["held"].isNull() | ((F.col("_x") == 0) & (F.col("_e") == 0))
+        held = F.transform(F.when(fresh, F.filter(names, lambda n: n["_first"])).otherwise(chosen), lambda n: n["symbol"])
+        return F.struct(held.alias("held"), F.array_append(s["out"], F.struct(d["trade_date"].alias("trade_date"), held.alias("held"))).alias("out"))
+
+    held = days.select(*by, F.explode(F.aggregate("days", start, step)["out"]).alias("_d"))
+    return held.select(*by, "_d.trade_date", F.explode("_d.held").alias("symbol"))
+
+
+def buffered(df: DataFrame, k: int, exit_: int, entry: int, score: str = "s", c: Constraints = Constraints()) -> DataFrame:  # noqa: B008
+    """The rows of df held with hysteresis, with place; a group's cap holds together with the band (see held_names)."""
+    capped = c.group and c.most_of_group
+    if capped:
+        order = [F.desc(score), F.asc("symbol")]
+        ranked = eligible(df, c).filter(F.col(score).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("trade_date").orderBy(*order)))
+        names = ranked.select("trade_date", "place", "symbol", F.col(c.group).cast("string").alias("group"))
+    else:
+        ranked = select(df, k + max(0, exit_), score, c)
+        names = ranked.select("trade_date", "place", "symbol")
+    held = held_names(names, F.lit(k), F.lit(exit_), F.lit(entry), (), c.most_of_group if capped else None)
+    return ranked.join(held, ["trade_date", "symbol"], "left_semi").select(ranked.columns)
 
 
 def holdings_at(positions: DataFrame, as_of: str) -> DataFrame:
@@ -189,8 +218,7 @@ def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0,
             n = F.count(F.lit(1)).over(Window.partitionBy("trade_date"))
             rows = rows.withColumn("_room", n - k)
         rows = rows.withColumn("_score", sign * F.col("s"))
-        eligible_ = eligible(rows, c) if exit_ or entry else rows
-        held = buffered(eligible_, many, exit_, entry, "_score") if exit_ or entry else select(rows, many, "_score", c)
+        held = buffered(rows, many, exit_, entry, "_score", c) if exit_ or entry else select(rows, many, "_score", c)
         if sign < 0 and short_k:
             held = held.filter("place <= _room")
         kept = ["_next", "_price"] if strict else []
@@ -239,8 +267,8 @@ def grid(df: DataFrame, variants: Sequence[Variant]) -> DataFrame:
     ranked = select(price_ahead(df), most).select("trade_date", "symbol", "s", "place", F.col("close").alias("entry_price"), "_next", "_price")
     met = ranked.join(F.broadcast(table), F.col("place") <= F.col("k") + F.col("exit_"))
     if any(v.exit_ or v.entry for v in variants):
-        fold = lambda pdf: _held_with_buffer(pdf, *(int(pdf[c].iloc[0]) for c in ("k", "exit_", "entry")))
-        met = met.groupBy("variant").applyInPandas(fold, met.schema)  # a portfolio's rows for each date
+        held = held_names(met, F.col("k"), F.col("exit_"), F.col("entry"), ("variant",))
+        met = met.join(held, ["variant", "trade_date", "symbol"], "left_semi")  # a portfolio's rows for each date
     else:
         met = met.filter("place <= k")
     day = Window.partitionBy("variant", "trade_date")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -104,51 +103,63 @@ def cross_up(c: str, trigger: str) -> Column:
     return F.coalesce((F.col(c) >= F.lag(trigger).over(w)) & (F.lag(c).over(w) < F.lag(trigger, 2).over(w)), F.lit(False))
 
 
-def _smoothed(df: DataFrame, c: str, alpha: float, name: str) -> DataFrame:
-    """df with name: the exponential mean along each symbol, started at the first value; nulls carry the mean on.
+BLOCK = 64  # known rows of a block of the scan
 
-    A recurrence has no window form that keeps its precision, so each symbol's rows are one group, read in date order; a
-    symbol's history bounds it.
+
+def smoothed(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with exponential means along each symbol (name to column and weight), started at the first value; nulls carry a mean on.
+
+    A step v = d v + a x is a pair (decay, value), and runs of steps compose, so the scan has two levels. Inside a block of
+    BLOCK known rows a mean is a scaled running sum; a block ends in one value, and those of a symbol's blocks are folded in
+    order, which gives the carry into each. Rows are sorted once by symbol and then dealt by symbol and block, so a long history is
+    shared by many tasks and every row costs the same. The columns are null in the same rows.
     """
+    c = next(iter(means.values()))[0]
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    known = F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("_n", known).withColumns({"_block": F.floor((F.col("_n") - 1) / BLOCK).cast("int"), "_j": F.pmod(F.col("_n") - 1, F.lit(BLOCK)).cast("int")})
+    inside = Window.partitionBy("symbol", "_block").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+
+    def own(x: str, weight: float) -> Column:
+        if weight == 1:
+            return F.last(F.col(x), ignorenulls=True).over(inside)
+        return weight * F.pow(F.lit(1 - weight), F.col("_j")) * F.sum(F.col(x) / F.pow(F.lit(1 - weight), F.col("_j"))).over(inside)
+
+    rows = rows.withColumns({f"_own_{i}": own(x, weight) for i, (x, weight) in enumerate(means.values())})
+    ends = rows.filter("_n > 0").groupBy("symbol", "_block").agg(*(F.max_by(f"_own_{i}", "_n").alias(f"e{i}") for i in range(len(means))), *(F.min_by(x, "_n").alias(f"f{i}") for i, (x, _) in enumerate(means.values())))
+    listed = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_block", *(f"{k}{i}" for i in range(len(means)) for k in "ef")))).alias("x"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        known = pdf[c].notna()
-        pdf[name] = pdf.loc[known, c].ewm(alpha=alpha, adjust=False).mean().reindex(pdf.index).ffill()
-        return pdf
+    def carries(i: int, weight: float) -> Column:
+        """Into each block: the first value, then what the blocks before have left; all but the last are full."""
+        decay = (1 - weight) ** BLOCK
+        last = lambda a: F.get(a, F.size(a) - 1)
+        return F.aggregate("x", F.array(F.get("x", F.lit(0))[f"f{i}"]), lambda a, b: F.array_append(a, decay * last(a) + b[f"e{i}"]))
 
-    return df.groupBy("symbol").applyInPandas(one, df.withColumn(name, F.lit(None).cast("double")).schema)
+    into = listed.select("symbol", *(carries(i, weight).alias(f"c{i}") for i, (_, weight) in enumerate(means.values()))).select("symbol", F.posexplode(F.arrays_zip(*(f"c{i}" for i in range(len(means))))).alias("_block", "_c"))
+    both = rows.join(into, ["symbol", "_block"], "left")
+    made = {name: F.when(F.col("_n") > 0, F.pow(F.lit(1 - weight), F.col("_j") + 1) * F.col("_c")[f"c{i}"] + F.col(f"_own_{i}")) for i, (name, (_, weight)) in enumerate(means.items())}
+    return both.select(*df.columns, *(v.alias(n) for n, v in made.items()))
 
 
 def ema(df: DataFrame, c: str, n: int, name: str) -> DataFrame:
     """df with name: exponential mean with weight 2 / (n + 1), started at the first value."""
-    return _smoothed(df, c, 2 / (n + 1), name)
+    return smoothed(df, {name: (c, 2 / (n + 1))})
 
 
 def macd_hist(df: DataFrame, c: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """symbol, trade_date, macd_hist; every mean starts at its first value. The three means share one group of each symbol."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        mean = lambda x, n: x.ewm(alpha=2 / (n + 1), adjust=False).mean().ffill()
-        macd = mean(pdf[c], fast) - mean(pdf[c], slow)
-        return pdf[["symbol", "trade_date"]].assign(macd_hist=macd - mean(macd, signal))
-
-    kinds = df.select("symbol", "trade_date", F.lit(None).cast("double").alias("macd_hist")).schema
-    return df.select("symbol", "trade_date", c).groupBy("symbol").applyInPandas(one, kinds)
+    """symbol, trade_date, macd_hist; every mean starts at its first value."""
+    line = smoothed(df.select("symbol", "trade_date", c), {"_fast": (c, 2 / (fast + 1)), "_slow": (c, 2 / (slow + 1))})
+    line = line.select("symbol", "trade_date", (F.col("_fast") - F.col("_slow")).alias("_line"))
+    return smoothed(line, {"_signal": ("_line", 2 / (signal + 1))}).select("symbol", "trade_date", (F.col("_line") - F.col("_signal")).alias("macd_hist"))
 
 
 def rsi(df: DataFrame, c: str = "close", n: int = 14) -> DataFrame:
     """symbol, trade_date, rsi: gains and losses smoothed with weight 1 / n from the first change on; null until n changes are known."""
     moved = df.select("symbol", "trade_date", delta(c).alias("_d")).filter("_d is not null")
     moved = moved.select("symbol", "trade_date", F.greatest("_d", F.lit(0.0)).alias("_up"), F.greatest(-F.col("_d"), F.lit(0.0)).alias("_down"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        up, down = (pdf[x].ewm(alpha=1 / n, adjust=False, min_periods=n).mean() for x in ("_up", "_down"))
-        return pdf[["symbol", "trade_date"]].assign(rsi=100 * up / (up + down).where(up + down > 0))
-
-    return moved.groupBy("symbol").applyInPandas(one, moved.select("symbol", "trade_date", F.lit(None).cast("double").alias("rsi")).schema)
+    made = smoothed(moved, {"_u": ("_up", 1 / n), "_l": ("_down", 1 / n)}).withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")))
+    total = F.col("_u") + F.col("_l")
+    return made.select("symbol", "trade_date", F.when((F.col("_k") >= n) & (total > 0), 100 * F.col("_u") / total).alias("rsi"))
 
 
 def calendar_stat(c: ColumnOrName, years: int, stat: str, least: int = 2) -> Column:

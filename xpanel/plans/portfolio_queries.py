@@ -106,6 +106,22 @@ def buffered_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.buffered(scored(spark, sf_dir), 4, exit_=2, entry=1).select("trade_date", "symbol")
 
 
+_BUFCAP = f"""{PM}, {SC}, rk AS (SELECT *, CAST(symbol AS BIGINT) % 3 AS g, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol) AS place FROM sc), rg AS (SELECT *, row_number() OVER (PARTITION BY trade_date, g ORDER BY place) AS gp FROM rk), rc AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY gp > 2, place) AS cp FROM rg),
+nm AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i, names, first FROM (SELECT trade_date, list({{'symbol': symbol, 'g': g}} ORDER BY place) FILTER (place <= 7) AS names, list({{'symbol': symbol, 'g': g}} ORDER BY place) FILTER (gp <= 2 AND cp <= 5) AS first FROM rc GROUP BY 1)),
+f AS (SELECT i, trade_date, first AS held FROM nm WHERE i = 1
+  UNION ALL SELECT i, trade_date, list_reduce(list_prepend([{{'symbol': '', 'g': -1::BIGINT}}], list_transform(wanted, lambda x: [x])), lambda a, x: CASE WHEN len(a) <= 5 AND len(list_filter(a, lambda y: y.g = x[1].g)) < 2 THEN list_concat(a, x) ELSE a END)[2:] FROM (
+    SELECT i, trade_date, CASE WHEN len(kept) >= 5 THEN kept ELSE list_concat(pool, list_filter(names, lambda z: NOT list_contains(pool, z)))[:5] END AS wanted FROM (
+      SELECT i, trade_date, names, kept, list_concat(kept, list_filter(names[:4], lambda z: NOT list_contains(kept, z))) AS pool FROM (
+        SELECT nm.i, nm.trade_date, nm.names, list_filter(nm.names, lambda z: list_contains(f.held, z)) AS kept FROM f JOIN nm ON nm.i = f.i + 1))))"""
+
+
+@query(f"WITH RECURSIVE {_BUFCAP} SELECT trade_date, unnest(held).symbol AS symbol FROM f")
+def capped_buffered_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five names, two of a group at most, with a band of two beyond the last place and one before it: cap and band often conflict."""
+    df = scored(spark, sf_dir).withColumn("g", F.col("symbol").cast("long") % 3)
+    return P.buffered(df, 5, exit_=2, entry=1, c=P.Constraints(group="g", most_of_group=2)).select("trade_date", "symbol")
+
+
 @query(None)
 def buffered_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(P.backtest(scored(spark, sf_dir), 4, short_k=3, exit_=2, entry=1))
