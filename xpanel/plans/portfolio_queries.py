@@ -68,10 +68,22 @@ def _net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.backtest(scored(spark, sf_dir), 4).select("trade_date", F.col("net").alias("r"))
 
 
-def _leg(x: str, order: str, k: int = 4, room: str = "TRUE") -> str:
-    """The CTEs of one leg, names ending in x: bt{x} has gross, turnover, fee of its periods."""
-    return f"""rk{x} AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, symbol) AS place, count(*) OVER (PARTITION BY trade_date) AS n FROM sc), held{x} AS (SELECT * FROM rk{x} WHERE place <= {k} AND {room}),
-pr{x} AS (SELECT held{x}.trade_date, d.exit_date, held{x}.symbol, 1.0 / count(*) OVER (PARTITION BY held{x}.trade_date) AS weight, held{x}.close AS entry_price, y.close AS exit_price FROM held{x} JOIN d USING (trade_date) LEFT JOIN sc y ON y.symbol = held{x}.symbol AND y.trade_date = d.exit_date WHERE d.exit_date IS NOT NULL),
+def _leg(x: str, order: str, k: int = 4, room: str = "TRUE", exit_: int = 0, entry: int = 0, signal: bool = False) -> str:
+    """The CTEs of one leg, names ending in x: bt{x} has gross, turnover, fee of its periods. A band makes them recursive; signal: weights by the score."""
+    held = f"held{x} AS (SELECT * FROM rk{x} WHERE place <= {k} AND {room})"
+    if exit_ or entry:
+        held = f"""nm{x} AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i, names FROM (SELECT trade_date, list(symbol ORDER BY place) AS names FROM rk{x} WHERE place <= {k + exit_} GROUP BY 1)),
+f{x} AS (SELECT i, trade_date, names[:{k}] AS held FROM nm{x} WHERE i = 1 UNION ALL SELECT i, trade_date, list_concat(pool, list_filter(names, lambda z: NOT list_contains(pool, z)))[:{k}] FROM (
+  SELECT i, trade_date, names, list_concat(kept, list_filter(names[:{k - entry}], lambda z: NOT list_contains(kept, z))) AS pool FROM (
+    SELECT nm{x}.i, nm{x}.trade_date, nm{x}.names, list_filter(nm{x}.names, lambda z: list_contains(f{x}.held, z)) AS kept FROM f{x} JOIN nm{x} ON nm{x}.i = f{x}.i + 1))),
+hn{x} AS (SELECT trade_date, unnest(held) AS symbol FROM f{x}), held{x} AS (SELECT rk{x}.* FROM rk{x} JOIN hn{x} USING (trade_date, symbol) WHERE {room})"""
+    weight = f"1.0 / count(*) OVER (PARTITION BY held{x}.trade_date)"
+    if signal:
+        held += f", zz{x} AS (SELECT *, exp(greatest(-5, least(coalesce((s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0), 0), 5))) AS e FROM held{x} WINDOW w AS (PARTITION BY trade_date))"
+        weight = f"e / sum(e) OVER (PARTITION BY held{x}.trade_date)"
+    source = f"zz{x} AS held{x}" if signal else f"held{x}"
+    return f"""rk{x} AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, symbol) AS place, count(*) OVER (PARTITION BY trade_date) AS n FROM sc), {held},
+pr{x} AS (SELECT held{x}.trade_date, d.exit_date, held{x}.symbol, {weight} AS weight, held{x}.close AS entry_price, y.close AS exit_price FROM {source} JOIN d USING (trade_date) LEFT JOIN sc y ON y.symbol = held{x}.symbol AND y.trade_date = d.exit_date WHERE d.exit_date IS NOT NULL),
 sv{x} AS (SELECT * FROM pr{x} WHERE exit_price IS NOT NULL), gr{x} AS (SELECT trade_date, exit_date, sum(weight * (exit_price / entry_price - 1)) / sum(weight) AS gross FROM sv{x} GROUP BY 1, 2),
 dd{x} AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev FROM (SELECT DISTINCT trade_date FROM sv{x})),
 bf{x} AS (SELECT dd{x}.trade_date, symbol, drifted FROM (SELECT trade_date AS prev, symbol, weight * exit_price / entry_price / sum(weight * exit_price / entry_price) OVER (PARTITION BY trade_date) AS drifted FROM sv{x}) JOIN dd{x} USING (prev)),
@@ -122,7 +134,7 @@ def capped_buffered_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.buffered(df, 5, exit_=2, entry=1, c=P.Constraints(group="g", most_of_group=2)).select("trade_date", "symbol")
 
 
-@query(None)
+@query(f"WITH RECURSIVE {PM}, {SC}, {_DATES}, {_leg('l', 's DESC', 4, exit_=2, entry=1)}, {_leg('s', 's', 3, 'place <= n - 4', 2, 1)} SELECT {_BT.format('l.gross - s.gross', 'l.turnover + s.turnover', 'l.fee + s.fee')} FROM btl l JOIN bts s USING (trade_date, exit_date)")
 def buffered_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(P.backtest(scored(spark, sf_dir), 4, short_k=3, exit_=2, entry=1))
 
@@ -367,14 +379,15 @@ def _grid_sql() -> str:
     for i, (k, bps) in enumerate(((3, 0), (3, 10), (5, 0), (5, 10))):
         parts.append(_leg(f"g{i}", "s DESC", k))
         fee = f"CASE WHEN initial THEN {bps / 1e4} ELSE moved * {bps / 1e4} END"
-        rows.append(f"SELECT 'k{k}_equal_bps{bps}_x0_e0' AS variant, count(*) AS periods, round(avg(gross), 6) AS gross, round(avg(CASE WHEN initial THEN moved ELSE moved / 2 END), 6) AS turnover, round(avg({fee}), 6) AS fee, round(avg(gross - {fee}), 6) AS net FROM grg{i} JOIN tug{i} USING (trade_date)")
+        rows.append(f"SELECT 'k{k}_equal_bps{bps}_x0_e0' AS variant, count(*) AS periods, round(avg(gross), 6) AS gross, round(avg(CASE WHEN initial THEN moved ELSE moved / 2 END), 6) AS turnover, round(avg({fee}), 6) AS fee, round(avg(gross - {fee}), 6) AS net, round(product(1 + gross - {fee}) / (1 + product(1 + gross - {fee})), 6) AS final_share FROM grg{i} JOIN tug{i} USING (trade_date)")
     return f"WITH {PM}, {SC}, {_DATES}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
 
 
 @query(_grid_sql())
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """final_share: a variant's final value over itself and the first one, so that long series stay comparable."""
     made = P.grid(scored(spark, sf_dir), [P.Variant(k, b) for k in (3, 5) for b in (0.0, 10.0)])
-    return _r(made.drop("total_return"))
+    return _r(made.withColumn("final_share", (1 + F.col("total_return")) / (2 + F.col("total_return"))).drop("total_return"))
 
 
 @query(f"SELECT variant, periods, net FROM ({_grid_sql()}) ORDER BY net DESC, variant LIMIT 1")
@@ -384,7 +397,15 @@ def tuned_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.orderBy(F.desc("net"), "variant").limit(1).select("variant", "periods", "net")
 
 
-@query(None)
+def _construction_sql() -> str:
+    parts, rows = [], []
+    for i, (k, w, (x, e)) in enumerate((k, w, b) for k in (3, 5) for w in ("equal", "signal") for b in ((0, 0), (2, 1))):
+        parts.append(_leg(f"c{i}", "s DESC", k, "TRUE", x, e, w == "signal"))
+        rows.append(f"SELECT 'k{k}_{w}_bps10_x{x}_e{e}' AS variant, count(*) AS periods, round(avg(gross), 6) AS gross, round(avg(turnover), 6) AS turnover, round(avg(fee), 6) AS fee, round(avg(gross - fee), 6) AS net FROM btc{i}")
+    return f"WITH RECURSIVE {PM}, {SC}, {_DATES}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_construction_sql())
 def construction_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, weighting and hysteresis crossed over one ranking of one scored panel."""
     variants = [P.Variant(k, 10.0, w, x, e) for k in (3, 5) for w in ("equal", "signal") for x, e in ((0, 0), (2, 1))]
