@@ -131,16 +131,32 @@ def rolling_cagr(series: DataFrame, n: int, a_year: float, r: str = "r") -> Data
 
 
 def rolling_drawdown(series: DataFrame, n: int, r: str = "r") -> DataFrame:
-    """The deepest drawdown within the last n periods, by a fold over the window."""
-    w = Window.orderBy("trade_date").rowsBetween(-(n - 1), 0)
-    start = F.struct(F.lit(1.0).alias("nav"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("low"))
-
-    def step(s: Column, x: Column) -> Column:
-        v = s["nav"] * (1 + x)
-        peak = F.greatest(s["peak"], v)
-        return F.struct(v.alias("nav"), peak.alias("peak"), F.least(s["low"], v / peak - 1).alias("low"))
+    """The deepest drawdown within the last n periods; null before n.
 
-    return series.select("trade_date", F.when(F.count(r).over(w) >= n, F.aggregate(F.collect_list(r).over(w), start, step)["low"]).alias("max_drawdown"))
+    A stretch of periods is summed up by its growth, highest and lowest value and deepest fall, and two stretches in a row by theirs. Stretches
+    of 1, 2, 4, ... periods come from two of the size before, one of them so many rows back; the window is put together from
+    those that n is the sum of. So a row costs the logarithm of n, whatever the window.
+    """
+    order = Window.orderBy("trade_date")  # a row for each date
+    v = 1 + F.col(r)
+    state = lambda growth, high, low, fall: F.struct(growth.alias("growth"), high.alias("high"), low.alias("low"), fall.alias("fall"))
+
+    def joined(a: Column, b: Column) -> Column:
+        high, low = F.greatest(a["high"], a["growth"] * b["high"]), F.least(a["low"], a["growth"] * b["low"])
+        return F.when(a.isNotNull() & b.isNotNull(), state(a["growth"] * b["growth"], high, low, F.least(a["fall"], b["fall"], a["growth"] * b["low"] / a["high"] - 1)))
+
+    # values are relative to the one before the stretch, which counts as its first high and low
+    one = F.when(F.col(r).isNotNull(), state(v, F.greatest(v, F.lit(1.0)), F.least(v, F.lit(1.0)), F.least(v - 1, F.lit(0.0))))
+    made, whole, done, size = series.select("trade_date", F.col(r)).withColumn("_s", one), None, 0, 1
+    while size <= n:
+        if n & size:  # this stretch lies before what is there already
+            before = F.lag("_s", done).over(order) if done else F.col("_s")
+            made = made.withColumn("_w", joined(before, F.col("_w")) if whole else before)
+            whole, done = True, done + size
+        size *= 2
+        if size <= n:
+            made = made.withColumn("_s", joined(F.lag("_s", size // 2).over(order), F.col("_s")))
+    return made.select("trade_date", F.col("_w.fall").alias("max_drawdown"))
 
 
 def ladder(series: DataFrame, benchmarks: DataFrame, a_year: float, names: Sequence[str]) -> DataFrame:

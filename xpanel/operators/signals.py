@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import average_rank, correlation, safe_div
+from ..functions.exprs import average_rank, correlation, safe_div, t_two_sided
 from . import crosssection as CS
 from .portfolio import buffered
 
@@ -19,9 +19,10 @@ def daily_ic(df: DataFrame, s: str = "s", t: str = "t", method: str = "spearman"
 
 
 def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
-    """n, mean, population deviation, their ratio and the t statistic."""
+    """n, mean, population deviation, their ratio, the t statistic and its two-sided probability with n - 1 degrees of freedom."""
     made = ic.groupBy(*by).agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_pop("ic").alias("std"))
-    return made.withColumn("ir", safe_div("mean", "std")).withColumn("t_stat", safe_div("mean", F.col("std") / F.sqrt("n")))
+    made = made.withColumn("ir", safe_div("mean", "std")).withColumn("t_stat", safe_div("mean", F.col("std") / F.sqrt("n")))
+    return made.withColumn("p_value", t_two_sided("t_stat", F.col("n") - 1))
 
 
 def quantile_returns(df: DataFrame, q: int = 5, s: str = "s", t: str = "t") -> DataFrame:

@@ -32,10 +32,17 @@ def daily_ic_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(S.daily_ic(scored(spark, sf_dir), method="pearson"), "ic")
 
 
-@query(f"WITH {_IC}, m AS (SELECT count(*) AS n, avg(ic) AS mean, stddev_pop(ic) AS std FROM ic) SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean / nullif(std, 0), 6) AS ir, round(mean / nullif(std / sqrt(n), 0), 5) AS t_stat FROM m")
+#: the probability of t by the finite series for whole degrees of freedom v, in powers of cos(atan(t / sqrt(v)))
+_P_VALUE = """m AS (SELECT count(*) AS n, avg(ic) AS mean, stddev_pop(ic) AS std, avg(ic) / nullif(stddev_pop(ic) / sqrt(count(*)), 0) AS t FROM ic), th AS (SELECT n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS th FROM m),
+ev AS (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln((2 * k - 1) / (2.0 * k)) END) OVER (ORDER BY k) + 2 * k * ln(cos(th)) AS l FROM th, range(v // 2) AS x(k) WHERE v % 2 = 0),
+od AS (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln(2 * k / (2 * k + 1.0)) END) OVER (ORDER BY k) + (2 * k + 1) * ln(cos(th)) AS l FROM th, range((v - 1) // 2) AS x(k) WHERE v % 2 = 1),
+pv AS (SELECT 1 - CASE WHEN v % 2 = 0 THEN sin(th) * (SELECT sum(exp(l)) FROM ev) ELSE 2 / pi() * (th + sin(th) * coalesce((SELECT sum(exp(l)) FROM od), 0)) END AS p FROM th)"""
+
+
+@query(f"WITH {_IC}, {_P_VALUE} SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean / nullif(std, 0), 6) AS ir, round(t, 5) AS t_stat, round(p, 6) AS p_value FROM m, pv")
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = S.ic_summary(S.daily_ic(scored(spark, sf_dir)))
-    return made.select("n", *(F.round(c, R).alias(c) for c in ("mean", "std", "ir")), F.round("t_stat", 5).alias("t_stat"))
+    return made.select("n", *(F.round(c, R).alias(c) for c in ("mean", "std", "ir", "p_value")), F.round("t_stat", 5).alias("t_stat"))
 
 
 _QR = f"{PM}, {SC}, q AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s, symbol) AS p, count(*) OVER (PARTITION BY trade_date) AS n FROM sc), qb AS (SELECT *, CAST(greatest(0, ceil((p - 1) * 5.0 / (n - 1)) - 1) AS INTEGER) AS bucket FROM q WHERE n >= 5), qr AS (SELECT trade_date, bucket, avg(t) AS mean_target FROM qb GROUP BY 1, 2)"
