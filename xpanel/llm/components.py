@@ -19,11 +19,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # grouped sides are written before they are joined: a hub's links have an exchange of their own, which adaptive execution can split
+        # the grouped side is written before it is joined, so that a hub's links have an exchange of their own, which adaptive execution can split
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))  # after this step a node has few smaller neighbours left
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         star = stored(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
