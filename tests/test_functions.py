@@ -105,3 +105,24 @@ def test_holdings_equal_a_walk_over_dates(spark, k, exit_, entry, cap):
         want += [(day(d), n) for n in held]
     assert got == sorted(want)
     assert P.buffered(df.limit(0), k, exit_, entry, c=c).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["tail", "ties", "few", "none"])
+def test_quantiles_of_a_whole_table(spark, kind):
+    from xpanel.operators import ranks as RK
+
+    r = np.random.default_rng(1)
+    v = {"tail": np.exp(r.normal(0, 4, 5000)), "ties": np.round(r.normal(0, 1, 5000)), "few": np.array([3.0, 1.0]), "none": np.zeros(0)}[kind]
+    df = spark.createDataFrame([(str(i), float(x)) for i, x in enumerate(v)] + [("n", None), ("m", float("nan"))], "symbol string, v double").repartition(4)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    got = {x.share: x.value for x in RK.quantiles(df, "v", shares).collect()}
+    assert len(got) == (len(shares) if len(v) else 0) and all(math.isclose(got[p], np.quantile(v, p), rel_tol=1e-12, abs_tol=1e-12) for p in got)
+    placed = RK.numbered(df.filter(~F.isnan("v")), "v", "symbol")
+    order = sorted(range(len(v)), key=lambda i: (v[i], str(i)))
+    assert {x.symbol: x.position for x in placed.collect()} == {str(i): p + 1 for p, i in enumerate(order)}
+    if kind == "tail":
+        sizes = [x["count"] for x in df.filter("v is not null").groupBy(RK.bins(df, "v")).count().collect()]
+        assert len(sizes) > 500 and max(sizes) < 40  # as even on a heavy tail
+        parts = RK.part_quantiles(placed.withColumn("part", F.floor((F.col("position") - 1) / 2000)), "part", "v", {"lo": 0.0, "mid": 0.5})
+        s = np.sort(v)
+        assert {x.part: (x.n, x.lo, x.mid) for x in parts.collect()} == {i: (len(y), y[0], float(np.quantile(y, 0.5))) for i, y in enumerate((s[:2000], s[2000:4000], s[4000:]))}

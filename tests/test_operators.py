@@ -149,8 +149,10 @@ def test_smoothing_starts_late_and_bridges_nulls(spark):
 
 
 def test_numbers_without_one_task(spark):
+    from xpanel.operators import ranks as RK
+
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate((5.0, 1.0, 1.0, None, 9.0))], "symbol string, v double")
-    assert {r.symbol: (r.position, r.n) for r in CS.numbered(df, "v", "symbol").collect()} == {"1": (1, 4), "2": (2, 4), "0": (3, 4), "4": (4, 4)}
+    assert {r.symbol: (r.position, r.n) for r in RK.numbered(df, "v", "symbol").collect()} == {"1": (1, 4), "2": (2, 4), "0": (3, 4), "4": (4, 4)}
 
 
 def test_ridge_equals_the_closed_form(spark):

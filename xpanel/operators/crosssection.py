@@ -109,20 +109,3 @@ def least_symbols(df: DataFrame, n: int) -> DataFrame:
     """Dates with at least n different symbols; counted before the join, so only dates travel."""
     good = df.groupBy("trade_date").agg(F.countDistinct("symbol").alias("n")).filter(F.col("n") >= n)
     return df.join(good.select("trade_date"), "trade_date", "left_semi")
-
-
-def numbered(df: DataFrame, c: str, tie: str, bins: int = 1024) -> DataFrame:
-    """df with position (from 1, by c and then tie) and n, over all rows with a value, without one task for all of them.
-
-    Rows fall into bins of equal width between the least and the largest value; the counts of the bins (a row each) say where
-    every bin's positions begin.
-    """
-    some = df.filter(F.col(c).isNotNull())
-    span = some.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))  # one row
-    share = F.coalesce(safe_div(F.col(c) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    binned = some.crossJoin(F.broadcast(span)).withColumn("_bin", F.floor(share * (bins - 1))).drop("_lo", "_hi")
-    count = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_many"))
-    every = Window.orderBy("_bin")  # a row for each bin
-    count = count.withColumns({"_before": F.sum("_many").over(every) - F.col("_many"), "n": F.sum("_many").over(Window.partitionBy())}).drop("_many")
-    place = F.row_number().over(Window.partitionBy("_bin").orderBy(c, tie))
-    return binned.withColumn("_p", place).join(F.broadcast(count), "_bin").withColumn("position", F.col("_before") + F.col("_p")).drop("_bin", "_p", "_before")

@@ -10,6 +10,7 @@ from ..operators import crosssection as CS
 from ..operators import dataset as DS
 from ..operators import dates as D
 from ..operators import joins as J
+from ..operators import ranks as RK
 from ..operators import timeseries as TS
 from .panels import EV, PM, PW, SC, SUP, W, intraday, monthly, read, scored, suppliers, weekly
 from .registry import query
@@ -283,9 +284,11 @@ def session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(df: DataFrame, c: str) -> DataFrame:
-    """count, mean, median, population deviation and outer percentiles of a column."""
-    q = lambda p: F.round(F.percentile(c, p), R)
-    return df.agg(F.count(c).alias("n"), F.round(F.avg(c), R).alias("mean"), q(0.5).alias("median"), F.round(F.stddev_pop(c), R).alias("std"), *(q(p / 100).alias(f"p{p}") for p in (10, 25, 75, 90)))
+    """count, mean, median, population deviation and outer percentiles of a column; the percentiles are exact and need no task with all values."""
+    shares = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    found = RK.quantiles(df, c, list(shares.values()))
+    wide = found.agg(*(F.round(F.max(F.when(F.col("share") == p, F.col("value"))), R).alias(n) for n, p in shares.items()))  # a row for each share
+    return df.agg(F.count(c).alias("n"), F.round(F.avg(c), R).alias("mean"), F.round(F.stddev_pop(c), R).alias("std")).crossJoin(wide)
 
 
 @query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM events")
@@ -297,9 +300,9 @@ def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT bucket, count(*) AS n, round(min(adv), 4) AS lo, round(quantile_cont(adv, 0.5), 4) AS mid, round(quantile_cont(adv, 0.75), 4) AS p75, round(quantile_cont(adv, 0.9), 4) AS p90, round(max(adv), 4) AS hi FROM b GROUP BY bucket""")
 def liquidity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = monthly(spark, sf_dir).groupBy("symbol").agg(F.avg("amount").alias("adv"))
-    placed = CS.numbered(d, "adv", "symbol")
-    q = lambda p: F.round(F.percentile("adv", p), 4)
-    return placed.withColumn("bucket", X.quantile_bucket("position", "n", 5)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("adv"), 4).alias("lo"), q(0.5).alias("mid"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.round(F.max("adv"), 4).alias("hi"))
+    placed = RK.numbered(d, "adv", "symbol").withColumn("bucket", X.quantile_bucket("position", "n", 5)).drop("n")
+    made = RK.part_quantiles(placed, "bucket", "adv", {"lo": 0.0, "mid": 0.5, "p75": 0.75, "p90": 0.9, "hi": 1.0})
+    return made.select("bucket", "n", *(F.round(c, 4).alias(c) for c in ("lo", "mid", "p75", "p90", "hi")))
 
 
 @query(f"WITH {PM}, {SUP} SELECT trade_date, symbol, close FROM pm JOIN sup USING (symbol) WHERE industry NOT LIKE '%1%' AND cap > 0")
