@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dates as D
 from ..operators import gram as G
 from ..operators import models as M
+from ..operators import ranking as R
 from ..operators import splits as SP
 from .panels import PM, SC, monthly, scored
 from .registry import query
@@ -129,6 +130,14 @@ def neutral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.neutral_predictions(rows, ["f_vol"]).select("trade_date", "symbol", "pred", "signal"))
 
 
+@query(None)
+def pairwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a ranker boosted on all pairs of a date; trees are no SQL (tests compare its gradient with all pairs)."""
+    df = M.with_features(scored(spark, sf_dir))
+    made = R.fit_ranker(df, M.FEATURES, "t", rounds=4).score(df)
+    return _rounded(made.select("trade_date", "symbol", "pred"))
+
+
 # ---- combinatorial splits, refitted
 
 
