@@ -239,11 +239,16 @@ class _Labeller:
         return score[_spread(start[back], many[back])], many[back]
 
 
+def _room(model: Model) -> int:
+    """Bytes of text labelled at a time: transfer matrices take the square of the number of languages, so more languages get less text."""
+    return max(1 << 16, (1 << 26) // max(16, len(model.labels) ** 2))
+
+
 def _labelled(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(model) if model else None
         for batch in batches:
-            for part in groups(batch, "text", 1 << 22):
+            for part in groups(batch, "text", _room(model) if model else 1 << 22):
                 n = part.num_rows
                 lang, mean = np.full(n, "und", object), np.zeros(n)
                 if labeller:
@@ -292,6 +297,36 @@ def train(docs: DataFrame, per_language: int = 150) -> Model | None:
     return fit(sorted(map(tuple, rows)))
 
 
+def _words_labelled(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(model) if model else None
+        for batch in batches:
+            for part in groups(batch, "text", _room(model)) if model else ():
+                w = Words(pc.fill_null(part["text"].cast(pa.large_string()), ""))
+                score, letters = labeller.look(w, w.hashes())
+                piece = np.repeat(np.arange(len(letters)), letters)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(w.at))[piece]
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                p = marginals(score, model.move, at)
+                words = [c for i in np.flatnonzero(letters) for c in cores(w.data[w.start[i] : w.end[i]].tobytes().decode())]
+                place = np.arange(len(doc)) - at[doc] if len(doc) else doc
+                lang = np.array(model.labels, object)[p.argmax(1)] if len(doc) else np.zeros(0, object)
+                yield pa.RecordBatch.from_arrays([part["key"].take(pa.array(doc)), pa.array(place.astype(np.int64)), pa.array(words, pa.string()), pa.array(lang, pa.string()), pa.array(np.minimum(p.max(1), 1.0) if len(doc) else np.zeros(0))], names=["key", "place", "word", "lang", "score"])
+
+    return run
+
+
+def label_words(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, place, word, lang, score: every run of letters of every text, in order, with its likeliest language and that language's posterior.
+
+    The chain runs over the whole text, so a word in a stretch of another language is labelled by its neighbours too. Texts without
+    letters, null ones and a model of nothing give no rows; rows with equal keys each give theirs.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    made = rows.mapInArrow(_words_labelled(model), f"key {rows.schema['key'].dataType.simpleString()}, place long, word string, lang string, score double")
+    return made.withColumnRenamed("key", key)
+
+
 def digest(docs: DataFrame, per_language: int = 150) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned only from documents that are not held out."""
     model = train(docs.filter(~held_out()).select("lang", "text"), per_language)
