@@ -173,10 +173,10 @@ def participation_slippage(traded: Column, capital: float, amount: Column, base_
     return traded * (base_bps + impact_bps * F.pow(F.coalesce(part, F.lit(cap)), F.lit(power))) / 1e4
 
 
-def price_ahead(df: DataFrame) -> DataFrame:
-    """df with the symbol's own next date and its price then; one exchange by symbol."""
+def price_ahead(df: DataFrame, c: str = "close") -> DataFrame:
+    """df with the symbol's own next date and its price (column c) then; one exchange by symbol."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
-    return df.withColumns({"_next": F.lead("trade_date").over(w), "_price": F.lead("close").over(w)})
+    return df.withColumns({"_next": F.lead("trade_date").over(w), "_price": F.lead(c).over(w)})
 
 
 def evaluated(held: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -202,15 +202,18 @@ def evaluated(held: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return day.select(*by, "trade_date", "exit_date", "gross", F.when(first, moved).otherwise(moved / 2).alias("turnover"), first.alias("initial"))
 
 
-def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0, exit_policy: str = "strict", c: Constraints = Constraints(), side: int = 1, short_k: int = 0, exit_: int = 0, entry: int = 0) -> DataFrame:  # noqa: B008
+def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0, exit_policy: str = "strict", c: Constraints = Constraints(), side: int = 1, short_k: int = 0, exit_: int = 0, entry: int = 0, price_in: str = "close", price_out: str = "close") -> DataFrame:  # noqa: B008
     """trade_date, exit_date, gross, turnover, fee, net for a top-k portfolio rebalanced on every date of df.
 
+    Names are bought at price_in of their date, which the constraints look at too, and valued at price_out of the exit date.
+
     side -1 sells the k worst short. With short_k both legs run and their returns, turnovers and fees add up; the short leg
     takes no name of the long one, and a date without either leg has no period. exit_ and entry are the hysteresis of
     the holdings. The table is read once, and exits are each symbol's own next row.
     """
     strict = exit_policy == "strict"
-    source = price_ahead(df) if strict else df
+    df = df.withColumns({"_out": F.col(price_out), "close": F.col(price_in)})
+    source = price_ahead(df, "_out") if strict else df
 
     def leg(sign: int, many: int) -> DataFrame:
         rows = source
@@ -229,7 +232,7 @@ def backtest(df: DataFrame, k: int, weighting: str = "equal", bps: float = 10.0,
     if strict:
         priced = dated.withColumn("exit_price", F.when(F.col("_next") == F.col("exit_date"), F.col("_price")))
     else:
-        priced = exits(dated, df.select("symbol", "trade_date", "close"), exit_policy)
+        priced = exits(dated, df.select("symbol", "trade_date", F.col("_out").alias("close")), exit_policy)
     made = evaluated(priced, ["side"]).withColumn("fee", bps_fee(F.col("turnover"), F.col("initial"), bps)).withColumn("gross", F.col("gross") * F.col("side"))
     if short_k:
         both = made.groupBy("trade_date", "exit_date").agg(*(F.sum(x).alias(x) for x in ("gross", "turnover", "fee")), F.count(F.lit(1)).alias("_legs"))

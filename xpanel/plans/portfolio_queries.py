@@ -68,7 +68,7 @@ def _net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.backtest(scored(spark, sf_dir), 4).select("trade_date", F.col("net").alias("r"))
 
 
-def _leg(x: str, order: str, k: int = 4, room: str = "TRUE", exit_: int = 0, entry: int = 0, signal: bool = False) -> str:
+def _leg(x: str, order: str, k: int = 4, room: str = "TRUE", exit_: int = 0, entry: int = 0, signal: bool = False, price_in: str = "close") -> str:
     """The CTEs of one leg, names ending in x: bt{x} has gross, turnover, fee of its periods. A band makes them recursive; signal: weights by the score."""
     held = f"held{x} AS (SELECT * FROM rk{x} WHERE place <= {k} AND {room})"
     if exit_ or entry:
@@ -83,7 +83,7 @@ hn{x} AS (SELECT trade_date, unnest(held) AS symbol FROM f{x}), held{x} AS (SELE
         weight = f"e / sum(e) OVER (PARTITION BY held{x}.trade_date)"
     source = f"zz{x} AS held{x}" if signal else f"held{x}"
     return f"""rk{x} AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, symbol) AS place, count(*) OVER (PARTITION BY trade_date) AS n FROM sc), {held},
-pr{x} AS (SELECT held{x}.trade_date, d.exit_date, held{x}.symbol, {weight} AS weight, held{x}.close AS entry_price, y.close AS exit_price FROM {source} JOIN d USING (trade_date) LEFT JOIN sc y ON y.symbol = held{x}.symbol AND y.trade_date = d.exit_date WHERE d.exit_date IS NOT NULL),
+pr{x} AS (SELECT held{x}.trade_date, d.exit_date, held{x}.symbol, {weight} AS weight, held{x}.{price_in} AS entry_price, y.close AS exit_price FROM {source} JOIN d USING (trade_date) LEFT JOIN sc y ON y.symbol = held{x}.symbol AND y.trade_date = d.exit_date WHERE d.exit_date IS NOT NULL),
 sv{x} AS (SELECT * FROM pr{x} WHERE exit_price IS NOT NULL), gr{x} AS (SELECT trade_date, exit_date, sum(weight * (exit_price / entry_price - 1)) / sum(weight) AS gross FROM sv{x} GROUP BY 1, 2),
 dd{x} AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev FROM (SELECT DISTINCT trade_date FROM sv{x})),
 bf{x} AS (SELECT dd{x}.trade_date, symbol, drifted FROM (SELECT trade_date AS prev, symbol, weight * exit_price / entry_price / sum(weight * exit_price / entry_price) OVER (PARTITION BY trade_date) AS drifted FROM sv{x}) JOIN dd{x} USING (prev)),
@@ -95,6 +95,13 @@ _DATES = "d AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) A
 _BT = "trade_date, exit_date, round({0}, 6) AS gross, round({1}, 6) AS turnover, round({2}, 6) AS fee, round({0} - ({2}), 6) AS net"
 
 
+@query(f"WITH {PM}, {SC.replace('SELECT *, round(signal', 'SELECT *, round(close * (1 + CAST(vol AS BIGINT) % 7 / 100.0), 4) AS price_open, round(signal')}, {_DATES}, {_leg('o', 's DESC', price_in='price_open')} SELECT {_BT.format('gross', 'turnover', 'fee')} FROM bto")
+def open_to_close_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bought at one price column and valued at another."""
+    df = scored(spark, sf_dir).withColumn("price_open", F.round(F.col("close") * (1 + F.col("vol").cast("long") % 7 / 100), 4))
+    return _r(P.backtest(df, 4, price_in="price_open"))
+
+
 @query(f"WITH {PM}, {SC}, {_DATES}, {_leg('s', 's')} SELECT {_BT.format('-gross', 'turnover', 'fee')} FROM bts")
 def short_leg_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(P.backtest(scored(spark, sf_dir), 4, side=-1))

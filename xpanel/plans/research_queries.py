@@ -314,11 +314,12 @@ def _style_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 @query(f"""WITH {_ST} SELECT trade_date, factor, n_universe, n_holdings, round(coalesce(covered / nullif(total, 0), 0), 6) AS weight_coverage, round(portfolio_long, 5) AS portfolio_long, round(portfolio_short, 5) AS portfolio_short, round(portfolio_net, 5) AS portfolio_net, round(portfolio_gross, 5) AS portfolio_gross,
-round(uc, 5) AS universe_cap_weight, round(portfolio_net - uc, 5) AS active_net_vs_cap FROM sx JOIN tt USING (trade_date)""")
+round(uc, 5) AS universe_cap_weight, round(portfolio_net - uc, 5) AS active_net_vs_cap, round(ue, 5) + 0.0 AS universe_equal, round(portfolio_net - ue, 5) AS active_net_vs_equal FROM sx JOIN tt USING (trade_date)""")
 def style_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     un, held = _style_inputs(spark, sf_dir)
-    five = ("portfolio_long", "portfolio_short", "portfolio_net", "portfolio_gross", "universe_cap_weight", "active_net_vs_cap")
-    return _r(Q.styles(held, un).drop("universe_equal", "active_net_vs_equal"), **dict.fromkeys(five, 5))
+    five = ("portfolio_long", "portfolio_short", "portfolio_net", "portfolio_gross", "universe_cap_weight", "active_net_vs_cap", "universe_equal", "active_net_vs_equal")
+    made = _r(Q.styles(held, un), **dict.fromkeys(five, 5))
+    return made.withColumn("universe_equal", F.col("universe_equal") + 0.0)  # no negative zero
 
 
 @query(f"""WITH {_ST}, {"hp AS (SELECT trade_date, coalesce(industry, 'unknown') AS industry, sum(w) AS portfolio FROM hd LEFT JOIN sup USING (symbol) GROUP BY 1, 2)"},
