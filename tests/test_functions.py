@@ -62,7 +62,7 @@ def test_rolling_drawdown_equals_a_scan(spark, n):
 def test_exponential_means_over_many_blocks(spark):
     """Long histories, nulls at the start and inside, a mean of one row, and two symbols."""
     r = np.random.default_rng(5)
-    rows = [(s, day(i), None if i < k or i % 7 == 3 else float(r.normal())) for s, k, n in (("a", 5, 400), ("b", 0, 64), ("c", 0, 65), ("d", 3, 3)) for i in range(n)]
+    rows = [(s, day(i), None if i < k or i % 7 == 3 else float(r.normal())) for s, k, n in (("a", 5, 400), ("b", 0, 64), ("c", 0, 65), ("d", 3, 3), ("e", 2, 90)) for i in range(n)]
     df = spark.createDataFrame(rows, "symbol string, trade_date date, close double").repartition(3)
     for n in (1, 2, 12, 200):
         got = {(x.symbol, x.trade_date): x.e for x in TS.ema(df, "close", n, "e").collect()}

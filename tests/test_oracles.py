@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 DATA = os.environ.get("XPANEL_TEST_DIR", "/root/testdata/sf0.001")
-NAMES = ("daily_ic_spearman", "quantile_returns", "asof_merge", "universe_asof", "topk_backtest", "label_next_rebalance", "event_overlap_purge", "ffill_limit", "sell_fills", "contribution_summary", "drawdown_episodes", "rolling_beta", "universe_headers", "return_headers", "round_lot_pick", "latest_price", "sell_signals", "scenario_grid", "target_export", "order_summary", "return_summary", "drawdown_timing", "long_short_backtest", "buffered_holdings", "parameter_grid", "modeling_dataset", "label_shifted_rebalance", "style_exposures", "period_benchmark", "cpcv_path_metrics", "rsi", "neutralize_many", "factor_ic_report", "benchmark_ladder", "run_ranking", "promotion_gate", "period_plan_horizon")
+NAMES = ("ridge_predictions", "walk_forward_report", "cv_ic", "linear_sweep", "cpcv_purged", "cpcv_refit_metrics", "execution_orders", "execution_summary", "secondary_fill", "ema", "macd_hist", "capped_buffered_holdings", "turnover_buffered", "buffered_backtest", "construction_grid", "ic_summary", "metric_snapshot", "liquidity_buckets", "rolling_max_drawdown", "open_to_close_backtest", "live_snapshot", "neutral_scores", "daily_ic_spearman", "quantile_returns", "asof_merge", "universe_asof", "topk_backtest", "label_next_rebalance", "event_overlap_purge", "ffill_limit", "sell_fills", "contribution_summary", "drawdown_episodes", "rolling_beta", "universe_headers", "return_headers", "round_lot_pick", "latest_price", "sell_signals", "scenario_grid", "target_export", "order_summary", "return_summary", "drawdown_timing", "long_short_backtest", "buffered_holdings", "parameter_grid", "modeling_dataset", "label_shifted_rebalance", "style_exposures", "period_benchmark", "cpcv_path_metrics", "rsi", "neutralize_many", "factor_ic_report", "benchmark_ladder", "run_ranking", "promotion_gate", "period_plan_horizon")
 
 
 @pytest.fixture(scope="module")

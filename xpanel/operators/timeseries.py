@@ -126,7 +126,7 @@ def smoothed(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
         return weight * F.pow(F.lit(1 - weight), F.col("_j")) * F.sum(F.col(x) / F.pow(F.lit(1 - weight), F.col("_j"))).over(inside)
 
     rows = rows.withColumns({f"_own_{i}": own(x, weight) for i, (x, weight) in enumerate(means.values())})
-    ends = rows.filter("_n > 0").groupBy("symbol", "_block").agg(*(F.max_by(f"_own_{i}", "_n").alias(f"e{i}") for i in range(len(means))), *(F.min_by(x, "_n").alias(f"f{i}") for i, (x, _) in enumerate(means.values())))
+    ends = rows.filter(F.col(c).isNotNull()).groupBy("symbol", "_block").agg(*(F.max_by(f"_own_{i}", "_n").alias(f"e{i}") for i in range(len(means))), *(F.min_by(x, "_n").alias(f"f{i}") for i, (x, _) in enumerate(means.values())))
     listed = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_block", *(f"{k}{i}" for i in range(len(means)) for k in "ef")))).alias("x"))
 
     def carries(i: int, weight: float) -> Column:
