@@ -115,7 +115,7 @@ def _keys(won: np.ndarray, rows: int, bands: int) -> np.ndarray:
 def _bands(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups(batch, "text"):
+            for part in groups(batch, "text", 1 << 20):
                 n = part.num_rows
                 element, doc, weight = weighted(*shingles(part["text"]))
                 size = np.bincount(doc, minlength=n)
@@ -139,7 +139,7 @@ def _bands(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's distinct elements, with its id as two numbers."""
     for batch in batches:
-        for part in groups(batch, "text"):
+        for part in groups(batch, "text", 1 << 20):
             element, doc, _ = weighted(*shingles(part["text"]))
             key = np.frombuffer(b"".join(part["k"].to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)[doc]
             yield pa.RecordBatch.from_arrays([signed(element), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["element", "k1", "k2"])
@@ -147,7 +147,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in groups(batch, "text"):
+        for part in groups(batch, "text", 1 << 20):
             element, doc, _ = weighted(*shingles(part["text"]))
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays([signed(element), *(part[c].take(at) for c in ("id", "c", "size"))], names=["element", "id", "c", "size"])
