@@ -55,9 +55,14 @@ def _transformed(c: str, how: str):
     return CS.keep_nulls(c, CS.zscore(c) if how == "zscore" else CS.rank_pct(c))
 
 
-def pricing_frame(panel: DataFrame, columns: Sequence[str] = ("close",)) -> DataFrame:
-    """trade_date, symbol and pricing columns, one row a key, taken before any filter: exits may be priced where the model saw nothing."""
-    return panel.select("trade_date", "symbol", *columns).dropDuplicates(["trade_date", "symbol"])
+def pricing_frame(panel: DataFrame, columns: Sequence[str] = ("close",), order: Sequence[str] = ()) -> DataFrame:
+    """trade_date, symbol and pricing columns, one row a key, taken before any filter: exits may be priced where the model saw nothing.
+
+    Of a repeated key the row that is first by order stays, and among those alike in it the one of the smallest values, so that a repeated task
+    keeps the same row.
+    """
+    first = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.struct(*columns).alias("row"))
+    return panel.groupBy("trade_date", "symbol").agg(F.min(first).alias("_x")).select("trade_date", "symbol", *(F.col("_x.row").getField(c).alias(c) for c in columns))
 
 
 def modeling_rows(panel: DataFrame, recipe: Recipe, universe: DataFrame | None = None) -> DataFrame:

@@ -115,3 +115,9 @@ def mapped(df: DataFrame, mapping: DataFrame, by: Sequence[str], source: str, ta
     """df with target: the mapping's value for its keys, or the source as it is where there is no rule. mapping has one row for each key."""
     both = df.join(mapping.select(*by, F.col(target).alias("_mapped")), list(by), "left")
     return both.withColumn(target, F.coalesce("_mapped", source)).drop("_mapped")
+
+
+def with_label_of(df: DataFrame, labels: DataFrame, c: str, some: DataFrame) -> DataFrame:
+    """The rows of df whose symbol has a label that some of the labelled rows have; labels: symbol, c. Two semi joins, nothing comes to the driver."""
+    wanted = some.select(c).filter(F.col(c).isNotNull()).distinct()
+    return df.join(labels.join(wanted, c, "left_semi").select("symbol").distinct(), "symbol", "left_semi")

@@ -190,3 +190,11 @@ def session_bars(ticks: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
     at, worth = F.struct(*order), F.col("price") * F.col("size")
     made = ticks.groupBy(*by).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"), F.sum(worth).alias("amount"))
     return made.withColumn("vwap", safe_div("amount", "volume"))
+
+
+def bar_vwap(bars: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by with bars, volume and vwap: the means of open, high, low and close weighted by volume. Bars without a price or volume do not count; null without volume."""
+    mean = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
+    ok = mean.isNotNull() & (F.col("volume") > 0)
+    made = bars.groupBy(*by).agg(F.count_if(ok).alias("bars"), F.sum(F.when(ok, F.col("volume"))).alias("volume"), F.sum(F.when(ok, mean * F.col("volume"))).alias("_w"))
+    return made.select(*by, "bars", "volume", safe_div("_w", "volume").alias("vwap"))

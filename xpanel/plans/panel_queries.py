@@ -283,6 +283,15 @@ def session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(TS.session_bars(ticks, ("symbol", "trade_date"), ("ts", "event_id")), "open", "close", "high", "low", "n", "volume", "amount", "vwap", keys=("symbol", "trade_date")).withColumns({"n": F.col("n").cast("long"), "amount": F.round("amount", 4)})
 
 
+@query(f"""WITH {EV}, bar AS (SELECT symbol, trade_date, arg_min(price, (ts, event_id)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (ts, event_id)) AS c, CAST(sum(event_id % 90 + 10) AS DOUBLE) AS v FROM ev GROUP BY 1, 2)
+SELECT symbol, CAST(date_trunc('month', trade_date) AS DATE) AS month, count(*) AS bars, round(sum(v), 4) AS volume, round(sum((o + h + l + c) / 4 * v) / nullif(sum(v), 0), 6) AS vwap FROM bar GROUP BY 1, 2""")
+def bar_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month's volume-weighted mean of daily bars; a tick's size is made of its event_id, as the table has none."""
+    ticks = intraday(spark, sf_dir).withColumn("size", (F.col("event_id") % 90 + 10).cast("double"))
+    bars = TS.session_bars(ticks, ("symbol", "trade_date"), ("ts", "event_id")).withColumn("month", F.trunc("trade_date", "MM"))
+    return TS.bar_vwap(bars, ("symbol", "month")).select("symbol", "month", "bars", F.round("volume", 4).alias("volume"), F.round("vwap", R).alias("vwap"))
+
+
 def snapshot(df: DataFrame, c: str) -> DataFrame:
     """count, mean, median, population deviation and outer percentiles of a column; the percentiles are exact and need no task with all values."""
     shares = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}

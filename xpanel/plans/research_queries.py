@@ -71,7 +71,7 @@ def dropped_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PM} SELECT trade_date, symbol, close, amount FROM pm")
 def pricing_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = monthly(spark, sf_dir)
-    return DS.pricing_frame(p.unionByName(p.filter("vol > 300")), ("close", "amount"))
+    return DS.pricing_frame(p.unionByName(p.filter("vol > 300")), ("close", "amount"), ("vol",))
 
 
 @query(f"""WITH {PW}, reb AS (SELECT max(trade_date) AS rebalance_date FROM pw GROUP BY date_trunc('quarter', trade_date)),
@@ -237,8 +237,7 @@ def industry_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SUP} SELECT symbol FROM sup WHERE industry IN (SELECT industry FROM sup WHERE symbol IN ('1', '2'))")
 def industry_universe_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = suppliers(spark, sf_dir)
-    chosen = [r.industry for r in s.filter("symbol in ('1', '2')").select("industry").distinct().collect()]  # two symbols' labels
-    return J.by_label(s.select("symbol"), s, "industry", chosen, "only", "drop")
+    return J.with_label_of(s.select("symbol"), s, "industry", s.filter("symbol in ('1', '2')"))
 
 
 _PROBE = """pb AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, lower(trim(o_orderpriority)) AS subject, o_orderstatus AS field, CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter, CAST(o_orderdate AS DATE) AS info_date, o_totalprice AS amount FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL)"""

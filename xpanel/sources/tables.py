@@ -111,10 +111,13 @@ def details(df: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
 
 
 def write_tables(named: dict[str, DataFrame], path: str) -> list[str]:
-    """One Parquet folder for each table that is not empty; the names of those written."""
-    kept = [n for n, df in named.items() if df.head(1)]
-    for n in kept:
-        named[n].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{n}")
+    """One Parquet folder for each table; the names of those that have rows, told by what was written, so no plan runs twice."""
+    kept = []
+    for n, df in named.items():
+        at = f"{path.rstrip('/')}/{n}"
+        df.write.mode("overwrite").parquet(at)
+        if df.sparkSession.read.schema(df.schema).parquet(at).head(1):
+            kept.append(n)
     return kept
 
 
