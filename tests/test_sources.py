@@ -42,3 +42,14 @@ def test_no_orders(spark):
     none = spark.createDataFrame([], "side string, status string, requested_notional double, filled_notional double, unfilled_notional double")
     row = live.order_summary(none).first()
     assert row.orders == 0 and row.requested_notional == 0 and row.fill_ratio is None
+
+
+def test_scored_panels_and_typed_columns(spark, tmp_path):
+    from xpanel.sources import tables
+
+    raw = spark.createDataFrame([("20200102", " A ", "1.5", "x"), ("2020-01-03", "B", "nan", "2"), ("bad", "C", "1", "2"), ("20200103", " ", "1", "2"), ("20200103", "D", "inf", "2"), ("20200103", "E", "-2", None)], "date string, ts_code string, Signal string, f string")
+    got = sorted((str(r.trade_date), r.symbol, r.score, r.f) for r in tables.scored_panel(raw, ["f"]).collect())
+    assert got == [("2020-01-02", "A", 1.5, None), ("2020-01-03", "E", -2.0, None)]
+    raw.write.option("header", True).csv(str(tmp_path / "x.csv"))
+    made = tables.typed(tables.projected(spark, str(tmp_path / "x.csv"), ["date", "f", "none"]), {"date": "date", "f": "int", "none": "int"})
+    assert made.dtypes == [("date", "date"), ("f", "int")] and sorted(str(r.date) for r in made.filter("f = 2").collect()) == ["2020-01-03"] * 3 + ["None"]

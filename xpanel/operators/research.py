@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import expected_max_sharpe, probabilistic_sharpe, safe_div
+from .joins import mapped
 
 # The six styles.
 STYLES = ("size", "value", "quality", "momentum", "low_vol", "beta")
@@ -132,6 +133,27 @@ def probe_coverage(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return both.withColumns({"rows": F.coalesce("rows", F.lit(0)), "fields": F.coalesce("fields", F.lit(0))})
 
 
+def details_report(rows: DataFrame, rules: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The whole analysis of a probe of financial details: one row for each field and normalised subject.
+
+    rows: symbol, field, subject, quarter, info_date, amount. rules: field, subject, normal, a row for each rule; other subjects keep their name.
+    Of one symbol's disclosures of a subject in a quarter the last counts (latest_rows and latest_amount), the others are repeats. is_new:
+    an earlier probe (before, of the same columns) has no such field and subject; null without one. One exchange by disclosure key serves the
+    flags, one by subject the sums.
+    """
+    normal = lambda df: mapped(df, F.broadcast(rules), ["field", "subject"], "subject", "normal")
+    made = normal(rows)
+    last = F.row_number().over(Window.partitionBy("symbol", "field", "normal", "quarter").orderBy(F.desc("info_date"), F.desc("amount"))) == 1
+    report = made.withColumn("_last", last).groupBy("field", "normal").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("_last").alias("latest_rows"), F.count_if(~F.col("_last")).alias("repeats"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("subject").alias("raw_subjects"),
+        F.min("quarter").alias("first_quarter"), F.max("quarter").alias("last_quarter"), F.sum(F.when(F.col("_last"), F.col("amount"))).alias("latest_amount"),
+    )
+    if before is None:
+        return report.withColumn("is_new", F.lit(None).cast("boolean"))
+    known = normal(before).select("field", "normal").distinct().withColumn("_known", F.lit(True))
+    return report.join(known, ["field", "normal"], "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+
+
 def disclosures(rows: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
     """keys that are disclosed more than once: how often, first and last date, different values."""
     made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.countDistinct(value).alias("amounts"))

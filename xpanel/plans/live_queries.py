@@ -124,6 +124,14 @@ def details_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.details(raw, ["O", "F"]).select("symbol", "field", "quarter", "subject", "amount", "info_date")
 
 
+@query("SELECT CAST(o_orderdate AS DATE) AS trade_date, CAST(o_custkey AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS score, CAST(o_orderkey AS DOUBLE) AS weight FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderkey % 5 <> 0")
+def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows under other headers, some scores not readable."""
+    o = read(spark, sf_dir, "orders")
+    raw = o.select(F.date_format("o_orderdate", "yyyyMMdd").alias("Date"), F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("ts_code"), F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("pred"), F.col("o_orderkey").alias("weight"))
+    return tables.scored_panel(raw, ["weight", "absent"])
+
+
 _POS = f"{PM}, ps AS (SELECT trade_date AS entry_date, symbol, round(1.0 / count(*) OVER (PARTITION BY trade_date), 9) AS weight FROM pm WHERE CAST(vol AS BIGINT) % 3 = 0), ds AS (SELECT DISTINCT entry_date FROM ps ORDER BY 1 DESC LIMIT 2)"
 
 

@@ -293,6 +293,17 @@ def new_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pb.filter("quarter >= '1998q1'").select("field", "subject").distinct().join(pb.filter("quarter < '1995q2' and subject <> '3-medium'").select("field", "subject"), ["field", "subject"], "left_anti")
 
 
+@query(f"""WITH {_PROBE}, {_RULES}, m AS (SELECT pb.*, coalesce(normal, subject) AS nm FROM pb LEFT JOIN mp USING (field, subject) WHERE quarter >= '1996q1'), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, field, nm, quarter ORDER BY info_date DESC, amount DESC) AS n FROM m),
+b AS (SELECT DISTINCT field, coalesce(normal, subject) AS nm FROM pb LEFT JOIN mp USING (field, subject) WHERE quarter < '1996q1' AND subject <> '3-medium')
+SELECT k.field, k.nm AS normal, count(*) AS rows, count(CASE WHEN n = 1 THEN 1 END) AS latest_rows, count(CASE WHEN n > 1 THEN 1 END) AS repeats, count(DISTINCT symbol) AS symbols, count(DISTINCT subject) AS raw_subjects, min(quarter) AS first_quarter, max(quarter) AS last_quarter, round(sum(CASE WHEN n = 1 THEN amount END), 2) AS latest_amount, any_value(b.nm) IS NULL AS is_new
+FROM k LEFT JOIN b ON b.field = k.field AND b.nm = k.nm GROUP BY 1, 2""")
+def details_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pb = _probe(spark, sf_dir)
+    rules = spark.createDataFrame([("O", "1-urgent", "fast"), ("O", "2-high", "fast"), ("F", "5-low", "slow")], "field string, subject string, normal string")
+    made = Q.details_report(pb.filter("quarter >= '1996q1'"), rules, pb.filter("quarter < '1996q1' and subject <> '3-medium'"))
+    return made.withColumn("latest_amount", F.round("latest_amount", 2))
+
+
 # ---- exposures and benchmarks
 
 _ST = f"""{PM}, {SC}, {SUP}, un AS (SELECT trade_date, symbol, cap, s, ln(amount) AS size, -ln(close) AS value, amount / nullif(vol, 0) - close AS quality, s AS momentum, -abs(s) AS low_vol, vol AS beta FROM sc LEFT JOIN sup USING (symbol)),

@@ -55,6 +55,29 @@ def return_series(df: DataFrame, order: str, values: Sequence[str] = RETURN_VALU
     return keep_last(made.filter(F.col("trade_date").isNotNull() & F.col(name).isNotNull() & ~F.isnan(name)), ["trade_date"], ["_order"]).drop("_order")
 
 
+SCORES = ("signal_eval", "signal", "pred", "score")
+SCORE_DATES = ("trade_date", "date", "rebalance_date")
+
+
+def scored_panel(df: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """trade_date, symbol, score and those of the features that are there, as numbers, of a table of scored rows.
+
+    Headers may vary; symbols are trimmed. Rows without a readable date, a symbol or a finite score are left out. A table may carry its
+    keys as columns of any of the accepted names; repeated keys stay.
+    """
+    date, symbol, score = present(df, SCORE_DATES), present(df, UNIVERSE_SYMBOLS), present(df, SCORES)
+    number = lambda c: F.col(f"`{c}`").cast("string").try_cast("double")
+    made = df.select(parse_date(f"`{date}`").alias("trade_date"), F.trim(F.col(f"`{symbol}`").cast("string")).alias("symbol"), number(score).alias("score"), *(number(c).alias(c) for c in features if c in df.columns and c != score))
+    ok = F.col("trade_date").isNotNull() & (F.col("symbol") != "") & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    return made.filter(ok)
+
+
+def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """df with the named columns as given types (a text that is no such value becomes null), dates in either form; others stay as they are."""
+    cast = {c: parse_date(f"`{c}`") if kind == "date" else F.col(f"`{c}`").try_cast(kind) for c, kind in kinds.items() if c in df.columns}
+    return df.withColumns(cast)
+
+
 # Accepted headers of instruments, labels and prices.
 SYMBOLS = ("symbol", "ts_code", "order_book_id", "stock_ticker")
 LISTED = ("list_date", "listed_date")
