@@ -126,3 +126,12 @@ def test_quantiles_of_a_whole_table(spark, kind):
         parts = RK.part_quantiles(placed.withColumn("part", F.floor((F.col("position") - 1) / 2000)), "part", "v", {"lo": 0.0, "mid": 0.5})
         s = np.sort(v)
         assert {x.part: (x.n, x.lo, x.mid) for x in parts.collect()} == {i: (len(y), y[0], float(np.quantile(y, 0.5))) for i, y in enumerate((s[:2000], s[2000:4000], s[4000:]))}
+
+
+def test_a_steady_mean_does_not_depend_on_the_order_of_rows(spark):
+    v = [1e16, 1.0, 1.0, 3.0, 0.1, 0.7]
+    rows = [("a", x) for x in v] + [("b", x) for x in reversed(v)] + [("c", x) for x in sorted(v, reverse=True)] + [("d", None), ("n", float("nan")), ("n", 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, v double").coalesce(1)
+    got = {r.symbol: r for r in df.groupBy("symbol").agg(F.avg("v").alias("plain"), X.steady_mean("v").alias("steady")).collect()}
+    assert len({got[s].plain for s in "abc"}) > 1 and len({got[s].steady for s in "abc"}) == 1
+    assert math.isclose(got["a"].steady, sum(v) / len(v), rel_tol=1e-12) and got["d"].steady is None and math.isnan(got["n"].steady)

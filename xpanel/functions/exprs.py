@@ -75,6 +75,12 @@ def correlation(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b)))
 
 
+def steady_mean(c: ColumnOrName) -> Column:
+    """Aggregate: the mean of a group's values added in ascending order, so that it is the same double whatever order the rows arrive in; for groups whose values fit a list."""
+    v = F.array_sort(F.collect_list(col(c).cast("double")))
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v))
+
+
 def gated(value: Column, count_of: ColumnOrName, window: WindowSpec, least: int) -> Column:
     """A window value, null until `least` non-null rows are in the frame."""
     return F.when(F.count(col(count_of)).over(window) >= least, value)

@@ -2,7 +2,8 @@
 
 Approximate percentiles of a column (a mergeable sketch, OUTER * INNER values at the driver) split its range into bins of about equal
 numbers of rows, however the values are spread; equal rows always share a bin, and the split points are constants of the plan, so every part of
-it and every repeated task bins alike. Counts of the bins, a row each, say which ranks a bin holds. Only bins that hold a wanted rank are
+it and every repeated task bins alike, if the values are the same each time they are computed: a sum or mean of doubles in the order of a shuffle is
+not, and equal ones fall on both sides of a split point (`exprs.steady_mean` is). Counts of the bins, a row each, say which ranks a bin holds. Only bins that hold a wanted rank are
 sorted, and values are counted before they are dealt, so a value that a third of the rows have is one row of a bin.
 """
 
@@ -52,7 +53,7 @@ def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> DataFrame:
 
 
 def numbered(df: DataFrame, c: str, tie: str) -> DataFrame:
-    """df with position (from 1, by c and then tie) and n, over all rows with a value.
+    """df with position (from 1, by c and then tie) and n, over all rows with a value; c must not depend on the order of rows.
 
     Rows with one value share a task, so c should not have a few values for most rows.
     """

@@ -308,7 +308,7 @@ def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PM}, d AS (SELECT symbol, avg(amount) AS adv FROM pm GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY adv, symbol) AS p, count(*) OVER () AS n FROM d), b AS (SELECT *, CAST(greatest(0, ceil((p - 1) * 5.0 / (n - 1)) - 1) AS INTEGER) AS bucket FROM r)
 SELECT bucket, count(*) AS n, round(min(adv), 4) AS lo, round(quantile_cont(adv, 0.5), 4) AS mid, round(quantile_cont(adv, 0.75), 4) AS p75, round(quantile_cont(adv, 0.9), 4) AS p90, round(max(adv), 4) AS hi FROM b GROUP BY bucket""")
 def liquidity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = monthly(spark, sf_dir).groupBy("symbol").agg(F.avg("amount").alias("adv"))
+    d = monthly(spark, sf_dir).groupBy("symbol").agg(X.steady_mean("amount").alias("adv"))  # a symbol's months
     placed = RK.numbered(d, "adv", "symbol").withColumn("bucket", X.quantile_bucket("position", "n", 5)).drop("n")
     made = RK.part_quantiles(placed, "bucket", "adv", {"lo": 0.0, "mid": 0.5, "p75": 0.75, "p90": 0.9, "hi": 1.0})
     return made.select("bucket", "n", *(F.round(c, 4).alias(c) for c in ("lo", "mid", "p75", "p90", "hi")))
