@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,47 @@ def test_left_over_cash_goes_lot_by_lot(spark):
     assert {r.symbol: r.lots for r in L.secondary_fill(df.filter("scenario = 'x'"), over).collect()} == {"A": 3, "B": 2, "C": 0}
 
 
+def greedy(rows, rule):
+    """lots of every name and the cash left, name by name."""
+    rank = {"LOW": 0, "NEUTRAL": 1, "HIGH": 2, "EXTREME": 3, "NA": 4}
+    cash, steps, out, line = rows[0][1] - sum(r[3] * r[4] * r[5] for r in rows), rule.steps or 10**9, {}, []
+    for _, _, symbol, price, lot, lots, goal, valuation, tradable in rows:
+        cost, gap = price * lot, goal - lots * lot * price
+        below = math.floor(gap / cost + 1e-12)
+        rest = gap - below * cost
+        over = rule.most_over is not None and rest > 1e-9 and cost - rest < rest - 1e-9 and cost - rest <= rule.most_over + 1e-9
+        line.append((rule.calm_first and valuation in ("HIGH", "EXTREME"), rank[valuation], abs(gap - cost), cost, symbol, below + over if tradable and gap > 1e-9 else 0))
+    for *_, cost, symbol, wanted in sorted(line):
+        n = max(0, min(wanted, math.floor((cash + 1e-9) / (cost + rule.fee)), steps)) if wanted else 0
+        cash, steps, out[symbol] = cash - n * (cost + rule.fee), steps - n, n
+    return out, cash
+
+
+@pytest.mark.parametrize("seed,steps", [(1, None), (2, None), (3, 25), (4, 1), (5, None)])
+def test_left_over_cash_of_many_names_equals_one_by_one(spark, capsys, seed, steps):
+    """Costs from 1 to 100,000, so that cash runs short of large lots long before it does of small ones; equal names too."""
+    from xpanel.operators import live as L
+
+    r = np.random.default_rng(seed)
+    rows = []
+    for scenario, capital in (("none", 40.0), ("little", 5000.0), ("some", 300000.0), ("all", 1e9)):
+        for i in range(300):
+            price = float(round(10 ** r.uniform(0, 5), 2)) if i % 5 else 77.0
+            goal = price * float(round(r.uniform(0, 4), 3)) if i % 5 else 200.0
+            rows.append((scenario, capital, str(i), price, 1.0, 0, goal, ("LOW", "NEUTRAL", "HIGH", "NA")[i % 4], i % 11 > 0))
+    df = spark.createDataFrame(rows, "scenario string, capital double, symbol string, price double, round_lot double, lots long, target_value double, valuation string, tradable boolean")
+    rule = L.Filling(steps=steps, fee=2.0, most_over=1000.0, calm_first=True)
+    made = L.secondary_fill(df, rule)
+    made.explain()
+    assert "collect_list" not in capsys.readouterr().out  # no group holds all names
+    got = {(x.scenario, x.symbol): x for x in made.collect()}
+    assert len(got) == len(rows)
+    for s in ("none", "little", "some", "all"):
+        want, cash = greedy([x for x in rows if x[0] == s], rule)
+        assert {n: got[s, n].extra for n in want} == want
+        assert math.isclose(got[s, "1"].cash_left, cash, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_summary_of_short_and_even_series(spark):
     from xpanel.operators import returns as T
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import bins
+
 
 def round_lots(df: DataFrame, by: str, lot: str, order: str) -> DataFrame:
     """The most frequent lot of each `by`; of equally frequent ones the last by `order`. Null and not-a-number lots do not count."""
@@ -85,9 +88,9 @@ VALUATION_ORDER = {"LOW": 0, "NEUTRAL": 1, "HIGH": 2, "EXTREME": 3, "NA": 4}
 
 @dataclass(frozen=True)
 class Filling:
-    """How left-over cash is spent. most_over: the value by which a last lot may pass its target; None: never. calm_first, calm_only: names of high or extreme valuation come last, or not at all."""
+    """How left-over cash is spent. steps: the most lots of a scenario; None: any number. most_over: the value by which a last lot may pass its target; None: never. calm_first, calm_only: names of high or extreme valuation come last, or not at all."""
 
-    steps: int = 1000
+    steps: int | None = 1000
     buffer_share: float = 0.0
     buffer: float = 0.0
     fee: float = 0.0
@@ -99,13 +102,13 @@ class Filling:
 def secondary_fill(allocation: DataFrame, rule: Filling = Filling()) -> DataFrame:  # noqa: B008
     """scenario, symbol, lots, extra, gap, cash_left: what is left of a scenario's capital goes to further lots.
 
-    allocation: scenario, capital, symbol, price, round_lot, lots, target_value, valuation, tradable. A lot must bring its name nearer
-    to the target. Names rank by valuation class, then the gap that a lot leaves, its cost and symbol. Every further lot
-    leaves its own name a smaller gap, so a name that comes first stays first until it is done: names are served in the order
-    of their first lot, each as many whole lots as it wants and as the cash that the names before it have left will pay. The wants are
-    expressions of a row; the cash runs through a scenario's ranked names (a portfolio's) in one fold.
+    allocation: scenario, capital, symbol, price, round_lot, lots, target_value, valuation, tradable; the same each time it is computed.
+    A lot must bring its name nearer to the target. Names rank by valuation class, then the gap that a lot leaves, its cost and symbol.
+    Every further lot leaves its own name a smaller gap, so a name that comes first stays first until it is done: names are served in the
+    order of their first lot, each as many whole lots as it wants and as the cash that the names before it have left will pay. The wants
+    are expressions of a row; the cash is followed in `_rounds`, of which a scenario has a few.
     """
-    zero = F.lit(0.0)
+    zero, fee = F.lit(0.0), max(rule.fee, 0.0)
     cost = F.when(F.col("tradable") & (F.col("price") > 0) & (F.col("round_lot") > 0), F.col("price") * F.col("round_lot")).otherwise(zero)
     spent = F.col("lots") * F.coalesce("round_lot", zero) * F.coalesce("price", zero)
     rows = allocation.withColumns({"_cost": F.coalesce(cost, zero), "_spent": spent}).withColumn("_gap", F.coalesce("target_value", zero) - F.col("_spent"))
@@ -117,17 +120,72 @@ def secondary_fill(allocation: DataFrame, rule: Filling = Filling()) -> DataFram
     if rule.calm_only:
         wanted = F.when(high, 0).otherwise(wanted)
     place = F.coalesce(*(F.when(F.col("valuation") == n, i) for n, i in VALUATION_ORDER.items()), F.lit(len(VALUATION_ORDER)))
-    key = F.struct((high & F.lit(rule.calm_first)).alias("high"), place.alias("place"), F.abs(F.col("_gap") - F.col("_cost")).alias("after"), F.col("_cost").alias("cost"), "symbol", wanted.alias("wanted"), "lots", F.col("_gap").alias("gap"))
-    one = rows.groupBy("scenario").agg(F.sort_array(F.collect_list(key)).alias("names"), F.max("capital").alias("capital"), F.sum("_spent").alias("spent"))
-    cash = F.col("capital") - F.col("capital") * max(rule.buffer_share, 0.0) - max(rule.buffer, 0.0) - F.col("spent")
-    none = F.array().cast("array<struct<symbol:string,lots:bigint,extra:bigint,gap:double>>")
-    start = F.struct(cash.alias("cash"), F.lit(rule.steps).cast("long").alias("steps"), none.alias("done"))
-
-    def serve(s: Column, n: Column) -> Column:
-        able = F.floor((s["cash"] + 1e-9) / F.when(n["wanted"] > 0, n["cost"] + max(rule.fee, 0.0))).cast("long")
-        extra = F.greatest(F.least(n["wanted"], F.coalesce(able, F.lit(0)), s["steps"]), F.lit(0)).cast("long")
-        row = F.struct(n["symbol"].alias("symbol"), (n["lots"] + extra).cast("long").alias("lots"), extra.alias("extra"), (n["gap"] - extra * n["cost"]).alias("gap"))
-        return F.struct((s["cash"] - extra * (n["cost"] + max(rule.fee, 0.0))).alias("cash"), (s["steps"] - extra).alias("steps"), F.array_append(s["done"], row).alias("done"))
-
-    served = one.select("scenario", F.aggregate("names", start, serve).alias("s")).select("scenario", F.col("s.cash").alias("cash_left"), F.explode("s.done").alias("n"))
-    return served.select("scenario", "n.symbol", "n.lots", "n.extra", "n.gap", "cash_left")
+    copies = Window.partitionBy("scenario", "symbol").orderBy(place, "_gap", "_cost", "_wanted", "lots")  # rows of one name, if there are several
+    key = F.struct((high & F.lit(rule.calm_first)).alias("high"), place.alias("place"), F.abs(F.col("_gap") - F.col("_cost")).alias("after"), F.col("_cost").alias("cost"), "symbol", F.row_number().over(copies).alias("copy"))
+    rows = rows.withColumns({"_wanted": F.coalesce(wanted, F.lit(0)).cast("long"), "_unit": F.col("_cost") + fee}).withColumn("_key", key).select("scenario", "capital", "symbol", "lots", "_gap", "_cost", "_spent", "_key", "_wanted", "_unit")
+    rows = rows.persist()
+    try:
+        rounds, left = _rounds(rows, rule)
+    finally:
+        rows.unpersist()
+    after = F.col("_from").isNull() | (F.col("_key") > F.col("_from"))
+    until = F.col("_to").isNull() | (F.col("_key") <= F.col("_to"))
+    served = rows.join(F.broadcast(left), F.col("scenario").eqNullSafe(F.col("_at"))).drop("_at")  # a row for each scenario
+    served = served.join(F.broadcast(rounds), F.col("scenario").eqNullSafe(F.col("_of")) & (F.col("_wanted") > 0) & after & until, "left")  # a row for each round
+    extra = F.coalesce(F.when(F.col("_key") == F.col("_to"), F.col("_last")).when(F.col("_unit") <= F.col("_small"), F.col("_wanted")), F.lit(0)).cast("long")
+    served = served.withColumn("extra", extra)
+    return served.select("scenario", "symbol", (F.col("lots") + F.col("extra")).cast("long").alias("lots"), "extra", (F.col("_gap") - F.col("extra") * F.col("_cost")).alias("gap"), "cash_left")
+
+
+def _rounds(rows: DataFrame, rule: Filling) -> tuple[DataFrame, DataFrame]:
+    """Rounds (_of, _from, _to, _small, _last) and the cash left of every scenario (_at, cash_left).
+
+    A round begins after the name _from. Lots of up to _small (half the cash, or the largest lot) are small. While the cash is not below
+    _small, every small lot can be paid, so a running sum says what cash each name meets. The round ends at the first name _to that
+    gets a large lot, not all the small ones that it wants, the last step, or leaves less cash than _small; it gets _last lots. So a round
+    halves the cash at least, and names are passed about as often as the logarithm of cash over the smallest lot. Running sums are of
+    blocks of names (class and bin of the gap left) and of the blocks' totals; names of one gap share a block. One row for each scenario is
+    collected.
+    """
+    spark, kind, shape = rows.sparkSession, *(rows.schema[c].dataType.simpleString() for c in ("scenario", "_key"))
+    first = rows.groupBy("scenario").agg(F.max("capital").alias("capital"), F.sum("_spent").alias("spent"), F.max(F.when(F.col("_wanted") > 0, F.col("_unit"))).alias("most"))
+    share, buffer = max(rule.buffer_share, 0.0), max(rule.buffer, 0.0)
+    cash, going, made = {}, {}, []
+    for r in first.select("scenario", (F.col("capital") - F.col("capital") * share - buffer - F.col("spent")).alias("cash"), "most").collect():
+        cash[r.scenario] = r.cash
+        if r.most is not None and r.cash is not None and not math.isnan(r.cash):
+            going[r.scenario] = (None, r.most, 2**62 if rule.steps is None else rule.steps)
+    asks = rows.filter("_wanted > 0").withColumn("_after", F.col("_key.after"))
+    if going:
+        asks = asks.withColumn("_block", F.struct("_key.high", "_key.place", bins(asks, "_after").alias("bin")))
+    while going:
+        state = [(s, at, float(cash[s]), float(min(cash[s] / 2, most)), steps) for s, (at, most, steps) in going.items()]
+        now = spark.createDataFrame(state, f"_at {kind}, _from {shape}, _cash double, _small double, _steps long")
+        open_ = (F.col("_unit") <= F.col("_cash") + 1e-9) & (F.col("_from").isNull() | (F.col("_key") > F.col("_from")))
+        small = F.col("_unit") <= F.col("_small")
+        named = asks.join(F.broadcast(now), F.col("scenario").eqNullSafe(F.col("_at")) & open_)
+        named = named.withColumns({"_need": F.when(small, F.col("_wanted") * F.col("_unit")).otherwise(0.0), "_many": F.when(small, F.col("_wanted")).otherwise(0)})
+        blocks, names = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.partitionBy("_at").orderBy("_b"), Window.partitionBy("_at", "_block").orderBy("_key")))
+        totals = named.groupBy("_at", F.col("_block").alias("_b")).agg(F.sum("_need").alias("_n"), F.sum("_many").alias("_m"))
+        totals = totals.select(F.col("_at").alias("_s"), "_b", *(F.coalesce(F.sum(c).over(blocks), F.lit(0)).alias(c) for c in ("_n", "_m")))  # a row for each block
+        met = named.withColumns({"_before": F.coalesce(F.sum("_need").over(names), F.lit(0.0)), "_taken": F.coalesce(F.sum("_many").over(names), F.lit(0))})
+        met = met.join(F.broadcast(totals), F.col("_at").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+        met = met.withColumns({"_has": F.col("_cash") - F.col("_n") - F.col("_before"), "_steps": F.col("_steps") - F.col("_m") - F.col("_taken")})
+        met = met.withColumn("_able", F.floor((F.col("_has") + 1e-9) / F.col("_unit")).cast("long"))
+        met = met.withColumn("_last", F.greatest(F.least("_wanted", "_able", "_steps"), F.lit(0)).cast("long"))
+        short = (F.col("_able") < F.col("_wanted")) | (F.col("_has") - F.col("_need") < F.col("_small")) | (F.col("_steps") <= F.col("_wanted"))
+        end = F.struct("_key", "_last", (F.col("_has") - F.col("_last") * F.col("_unit")).alias("cash"), (F.col("_steps") - F.col("_last")).alias("steps"))
+        ends = F.when(F.when(small, short).otherwise(F.col("_able") >= 1), end)
+        found = {r.scenario: r for r in met.groupBy("scenario").agg(F.min(ends).alias("end"), F.sum("_need").alias("total")).collect()}
+        for s, at, _, least, _ in state:
+            got, [_, most, _] = found.get(s), going.pop(s)
+            if got is None or got.end is None:
+                made.append((s, at, None, least, 0))
+                cash[s] -= got.total if got else 0.0
+                continue
+            made.append((s, at, got.end["_key"], least, got.end["_last"]))
+            cash[s] = got.end.cash
+            if got.end.steps > 0:
+                going[s] = (got.end["_key"], most, got.end.steps)
+    rounds = spark.createDataFrame(made, f"_of {kind}, _from {shape}, _to {shape}, _small double, _last long")
+    return rounds, spark.createDataFrame([(s, None if c is None else float(c)) for s, c in cash.items()], f"_at {kind}, cash_left double")

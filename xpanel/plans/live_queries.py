@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import live as L
@@ -163,9 +163,9 @@ def secondary_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest date's allocation at two capitals, left-over cash spent lot by lot."""
     last = _last(spark, sf_dir)
     grid = spark.createDataFrame([("small", 2e6), ("large", 2e7)], "scenario string, capital double")
-    sized = last.crossJoin(F.broadcast(grid)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("scenario")))
+    sized = last.crossJoin(F.broadcast(last.agg(F.count(F.lit(1)).alias("n")))).crossJoin(F.broadcast(grid))  # one row; two rows
     rule = F.when(F.col("symbol").cast("long") % 4 == 0, "HIGH").when(F.col("symbol").cast("long") % 4 == 1, "LOW").otherwise("NEUTRAL")
     goal = F.col("capital") / F.col("n")
     made = sized.select("scenario", "capital", "symbol", F.col("close").alias("price"), F.lit(10.0).alias("round_lot"), F.floor(goal / (F.col("close") * 10)).alias("lots"), goal.alias("target_value"), rule.alias("valuation"), (F.col("vol") > 0).alias("tradable"))
-    out = L.secondary_fill(made, L.Filling(fee=5.0, most_over=5e3, calm_first=True))
+    out = L.secondary_fill(made, L.Filling(steps=None, fee=5.0, most_over=5e3, calm_first=True))
     return out.select("scenario", "symbol", "lots", "extra", F.round("gap", 4).alias("gap"), F.round("cash_left", 4).alias("cash_left"))
