@@ -1,5 +1,6 @@
 """Models from sums: closed forms, optimality, and purging against brute force."""
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -123,3 +124,23 @@ def test_purging_equals_brute_force(spark, seed):
             assert {x.trade_date: x.role for x in got if x.split == i} == brute_roles(days, grp, spans, c, embargo, gap)
     none = {x.trade_date: x.role for x in G.cpcv_roles(dates, 6, 2, None, 0, 2).filter("split = 0").collect()}
     assert none == brute_roles(days, grp, {}, (0, 1), 0, 2)
+
+
+def test_rows_of_many_splits_are_ranked_in_bounded_tasks(spark, capsys, monkeypatch):
+    """Dealt in small tasks, each date's splits in several parts, the figures stay the same."""
+    days = spark.range(16).select(F.expr("date_add(date'2020-01-01', cast(id as int))").alias("trade_date"))
+    panel = days.crossJoin(spark.range(12).select(F.col("id").cast("string").alias("symbol")))
+    draw = lambda i: F.round(F.pmod(F.hash("trade_date", "symbol", F.lit(i)), F.lit(1000)) / 1000, 3)
+    df = panel.select("trade_date", "symbol", *(draw(i).alias(c) for i, c in enumerate(("a", "b", "t"))))
+    roles = G.cpcv_roles(D.groups(df, 4), 4, 2, gap_steps=1)
+
+    def figures():
+        made = G.cpcv_days(df, roles, ["a", "b"], "t", k=3)
+        made.explain()
+        return sorted((x.split, x.grp, x.trade_date, round(x.ic, 9), round(x.top_mean, 9), x.hits, tuple(x.names)) for x in made.collect()), capsys.readouterr().out
+
+    whole, _ = figures()
+    monkeypatch.setattr(G, "RANKED", 20)  # of some 50 or 60 rows of a date in all splits
+    small, plan = figures()
+    assert small == whole and len(whole) == 5 * 8  # the split of the first and last group has no dates to train on
+    assert any(int(n) >= 50 for n in re.findall(r"_part#\d+, (\d+)\), REPARTITION_BY_NUM", plan))  # tasks by the number of rows

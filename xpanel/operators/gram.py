@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import average_rank, correlation
 from .splits import Split
 
+RANKED = 2_000_000  # rows of a date in all splits that a task ranks together, some 100 bytes each
 DIGITS = 10  # predictions are compared to so many digits, so that ranks do not depend on the order of sums
 
 
@@ -139,28 +141,28 @@ def window_scores(df: DataFrame, cal: DataFrame, windows: Sequence[Split], featu
     return scored(complete(df, features, label).join(F.broadcast(dated), "trade_date"), models, features)  # a row for each date of each window
 
 
-def directed(rows: DataFrame, label: str, by: Sequence[str], mode: str, fixed: float = 1.0, flip_below: float = 0.0) -> DataFrame:
-    """by, train_ic, direction: as given, or by the sign of the mean daily IC of pred on the training rows (role train)."""
+def directed(rows: DataFrame, label: str, by: Sequence[str], mode: str, fixed: float = 1.0, flip_below: float = 0.0, ranked: str | None = None) -> DataFrame:
+    """by, train_ic, direction: as given, or by the sign of the mean daily IC of pred on the training rows (role train). ranked: a column with the label's ranks, if there is one."""
     if mode not in ("fixed", "train_ic"):
         raise ValueError(f"unknown mode {mode!r}")
     keys = (*by, "trade_date")
-    train = rows.filter("role = 'train'").select(*keys, average_rank("pred", *keys).alias("a"), average_rank(label, *keys).alias("b"))
+    train = rows.filter("role = 'train'").select(*keys, average_rank("pred", *keys).alias("a"), (F.col(ranked) if ranked else average_rank(label, *keys)).alias("b"))
     ic = train.groupBy(*keys).agg(correlation("a", "b").alias("ic")).groupBy(*by).agg(F.avg("ic").alias("train_ic"))
     sign = F.lit(float(fixed)) if mode == "fixed" else F.when(F.col("train_ic") < flip_below, -fixed).otherwise(fixed)
     return ic.withColumn("direction", sign)
 
 
-def daily_report(rows: DataFrame, label: str, by: Sequence[str], k: int, q: int = 5) -> DataFrame:
+def daily_report(rows: DataFrame, label: str, by: Sequence[str], k: int, q: int = 5, ranked: str | None = None) -> DataFrame:
     """by, trade_date with every daily figure of signal against the label, from one ranking of each date.
 
     ic, pearson, hits and absolute errors (of pred), the label's mean over the first and last of q buckets, and of the k best names
-    their number, mean label, share of positive labels and set.
+    their number, mean label, share of positive labels and set. ranked: a column with the label's ranks, if there is one.
     """
     keys = (*by, "trade_date")
     day = Window.partitionBy(*keys)
     up = F.row_number().over(day.orderBy("signal", "symbol"))
     n = F.count(F.lit(1)).over(day)
-    ranked = rows.withColumns({"_a": average_rank("signal", *keys), "_b": average_rank(label, *keys), "_p": up, "_n": n, "_k": F.row_number().over(day.orderBy(F.desc("signal"), "symbol"))})
+    ranked = rows.withColumns({"_a": average_rank("signal", *keys), "_b": F.col(ranked) if ranked else average_rank(label, *keys), "_p": up, "_n": n, "_k": F.row_number().over(day.orderBy(F.desc("signal"), "symbol"))})
     bucket = F.when(F.col("_n") >= q, F.greatest(F.lit(0), F.ceil((F.col("_p") - 1) * q / (F.col("_n") - 1)) - 1))
     top = F.col("_k") <= k
     return ranked.groupBy(*keys).agg(
@@ -297,18 +299,27 @@ def cpcv_days(df: DataFrame, roles: DataFrame, features: Sequence[str], label: s
     """split, grp, trade_date and the daily figures of every split's test dates, each split refitted on its own training dates.
 
     A split's sums are those of all dates less its test, purged and embargoed ones. Splits of fewer than least_dates training dates are left out.
+    A date's rows are ranked in every split. They are dealt by date and, if that is more than RANKED rows, by part of the splits, and meet their
+    splits only in the task that ranks them, so a task holds about as many rows at any size. Two tables are collected: sums, a row for each
+    date, and roles, a row for each date of each split.
     """
-    daily = daily_sums(df, features, label)
+    spark = df.sparkSession
+    kept = complete(df, features, label).select("trade_date", "symbol", *dict.fromkeys((*features, label)))
+    daily, roles = (spark.createDataFrame(x.collect(), x.schema) for x in (daily_sums(kept, features, label), roles.select("split", "trade_date", "grp", "role")))
     enough = roles.groupBy("split").agg(F.count_if(F.col("role") == "train").alias("n")).filter(F.col("n") >= least_dates).select("split")
     models = solved(left_over(daily, roles.filter("role <> 'train'").select("split", "trade_date"), enough, features), features, (alpha,)).drop("rows", "alpha")
-    wanted = roles.filter("role in ('train', 'test')" if mode == "train_ic" else "role = 'test'").select("split", "trade_date", "grp", "role")
-    rows = scored(complete(df, features, label).join(F.broadcast(wanted), "trade_date"), models, features)  # a row for each date of each split
+    wanted = roles.filter("role in ('train', 'test')" if mode == "train_ic" else "role = 'test'")
+    most, total = wanted.join(daily, "trade_date").groupBy("trade_date").agg(F.sum(F.col("m")[0]).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    parts, tasks = max(1, ceil(most / RANKED)), max(1, 2 * ceil(total / RANKED))
+    dealt = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "trade_date", "_part")
+    dealt = dealt.withColumn("_rank", average_rank(label, "trade_date", "_part"))  # the same in every split, as a split has all rows of a date or none
+    rows = scored(dealt.join(F.broadcast(wanted.withColumn("_part", F.pmod("split", F.lit(parts)))), ["trade_date", "_part"]), models, features)  # a row for each date of each split
     if mode == "train_ic":
-        rows = rows.join(F.broadcast(directed(rows, label, ["split"], mode)), "split")  # a row for each split
+        rows = rows.join(F.broadcast(directed(rows, label, ["split", "_part"], mode, ranked="_rank")), ["split", "_part"])  # a row for each split
     else:
         rows = rows.withColumn("direction", F.lit(1.0))
     test = rows.filter("role = 'test'").withColumn("signal", F.col("pred") * F.col("direction"))
-    return daily_report(test, label, ["split", "grp"], k)
+    return daily_report(test, label, ["split", "_part", "grp"], k, ranked="_rank").drop("_part")
 
 
 def cpcv_paths(days: DataFrame, paths: DataFrame) -> DataFrame:
