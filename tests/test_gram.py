@@ -144,3 +144,22 @@ def test_rows_of_many_splits_are_ranked_in_bounded_tasks(spark, capsys, monkeypa
     small, plan = figures()
     assert small == whole and len(whole) == 5 * 8  # the split of the first and last group has no dates to train on
     assert any(int(n) >= 50 for n in re.findall(r"_part#\d+, (\d+)\), REPARTITION_BY_NUM", plan))  # tasks by the number of rows
+
+
+def test_rows_are_copied_for_the_parts_of_splits_in_bounded_tasks(spark, capsys, monkeypatch):
+    """Rows of several parts are dealt by date and symbol before they are copied; one part needs no such deal."""
+    days = spark.range(16).select(F.expr("date_add(date'2020-01-01', cast(id as int))").alias("trade_date"))
+    panel = days.crossJoin(spark.range(12).select(F.col("id").cast("string").alias("symbol")))
+    df = panel.select("trade_date", "symbol", *(F.pmod(F.hash("trade_date", "symbol", F.lit(i)), F.lit(97)).cast("double").alias(c) for i, c in enumerate(("a", "b", "t"))))
+    roles = G.cpcv_roles(D.groups(df, 4), 4, 2, gap_steps=1)
+    copying = r"Generate explode\(.*\n(?:.*(?:Project|Filter|WholeStage|AQEShuffle|InputAdapter|ShuffleQuery).*\n)*.*Exchange hashpartitioning\(trade_date#\d+, symbol#\d+, (\d+)\), REPARTITION_BY_NUM"
+
+    def made():
+        days = G.cpcv_days(df, roles, ["a", "b"], "t", k=3)
+        days.explain()
+        return sorted((x.split, x.trade_date, round(x.ic, 9), round(x.top_mean, 9), tuple(x.names)) for x in days.collect()), re.findall(copying, capsys.readouterr().out)
+
+    whole, none = made()
+    monkeypatch.setattr(G, "RANKED", 20)
+    small, tasks = made()
+    assert small == whole and none == [] and len(tasks) == 2 and all(int(n) >= 16 * 12 * 2 / 20 for n in tasks)  # once for directions, once for figures

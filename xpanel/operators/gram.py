@@ -300,7 +300,8 @@ def cpcv_days(df: DataFrame, roles: DataFrame, features: Sequence[str], label: s
 
     A split's sums are those of all dates less its test, purged and embargoed ones. Splits of fewer than least_dates training dates are left out.
     A date's rows are ranked in every split. They are dealt by date and, if that is more than RANKED rows, by part of the splits, and meet their
-    splits only in the task that ranks them, so a task holds about as many rows at any size. Two tables are collected: sums, a row for each
+    splits only in the task that ranks them, so a task holds about as many rows at any size; before they are copied for the parts they are dealt
+    by date and symbol. Two tables are collected: sums, a row for each
     date, and roles, a row for each date of each split.
     """
     spark = df.sparkSession
@@ -311,6 +312,9 @@ def cpcv_days(df: DataFrame, roles: DataFrame, features: Sequence[str], label: s
     wanted = roles.filter("role in ('train', 'test')" if mode == "train_ic" else "role = 'test'")
     most, total = wanted.join(daily, "trade_date").groupBy("trade_date").agg(F.sum(F.col("m")[0]).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
     parts, tasks = max(1, ceil(most / RANKED)), max(1, 2 * ceil(total / RANKED))
+    if parts > 1:  # each row is written once a part, by tasks of bounded size too and not by the few that made the panel
+        rows = daily.agg(F.sum(F.col("m")[0])).first()[0]
+        kept = kept.repartition(ceil(parts * rows / RANKED), "trade_date", "symbol")
     dealt = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "trade_date", "_part")
     dealt = dealt.withColumn("_rank", average_rank(label, "trade_date", "_part"))  # the same in every split, as a split has all rows of a date or none
     rows = scored(dealt.join(F.broadcast(wanted.withColumn("_part", F.pmod("split", F.lit(parts)))), ["trade_date", "_part"]), models, features)  # a row for each date of each split
