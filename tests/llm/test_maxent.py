@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from xpanel.llm import maxent
 from xpanel.llm.words import U
@@ -79,6 +81,30 @@ def test_step_follows_the_gradient():
     assert loss() > before + 100
 
 
+def test_packed_rows_are_written_and_read_a_few_at_a_time(spark):
+    docs = spark.range(0, 100_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))  # ten batches, so ten rows of one file
+    blocks, _ = maxent._prepared(maxent._rows(docs, ["doc_id"], "false", "doc_id", "text"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    held = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(held) == 10 and max(held) <= maxent._ROWS
+
+
+def test_pieces_of_a_long_text_have_the_features_of_the_whole(spark):
+    r = random.Random(7)
+    text = " ".join(r.choice(["the", "of", "and", "thing", "shore", "boat", "x"]) for _ in range(2 * maxent._PIECE + 9))
+    rows = maxent._rows(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], "false", "doc_id", "text")
+    blocks, _ = maxent._prepared(rows)
+    model, _, _ = fitted()
+    t = maxent._Tokens(pa.array([text]))
+    whole = model.features(t.words, model.classes(t.words, t.begins), t.token, np.arange(len(t.token)))
+    some = np.arange(5, len(t.token), 7)
+    at = model.features(t.words, model.classes(t.words, t.begins), t.token, np.arange(len(t.token)), some)
+    assert all((x[some] == y).all() for x, y in zip(whole, at, strict=True))
+    got = blocks.mapInArrow(maxent._gradients(model, rows.first().step), "row int, n double, shares binary").collect()
+    want = np.bincount(np.concatenate(whole), minlength=maxent.ROWS)
+    assert {g.row: g.n for g in got} == {i: want[i] for i in np.flatnonzero(want)}
+
+
 def test_layout_does_not_matter(spark):
     docs = spark.createDataFrame(list(enumerate(texts(80)[:90])), "doc_id long, text string")
     one, many = ({r.doc_id: r.score for r in maxent.digest(docs.repartition(n)).collect()} for n in (1, 7))

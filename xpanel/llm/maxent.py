@@ -43,6 +43,8 @@ STEPS = 4
 RATE, PRIOR = 0.5, 5.0
 _BLOCK = 1 << 23  # bytes of text packed into a row
 _CHUNK = 1 << 13  # tokens whose class probabilities are held at a time
+_PIECE = 16 * _CHUNK  # tokens whose features are held at a time
+_ROWS = 4  # packed rows that a writer or reader of their table holds at a time
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
 END = U(0)  # the token that ends a text; no word has this hash
@@ -76,22 +78,18 @@ class Model:
             out[mine] = self.head_class[at[mine]]
         return out
 
-    def features(self, words: np.ndarray, kind: np.ndarray, token: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """The hashed row of each feature of every token. place: tokens before it in its text."""
+    def features(self, words: np.ndarray, kind: np.ndarray, token: np.ndarray, place: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """The hashed row of each feature of every token, or of those at the positions given. place: tokens before it in its text."""
+        at = np.arange(len(token)) if at is None else at
+        first = place[at]
 
-        def before(x: np.ndarray, k: int, none: int) -> np.ndarray:
-            out = np.full(len(x), none, x.dtype)
-            out[k:] = x[: len(x) - k]
-            out[place < k] = none
-            return out
+        def before(x: np.ndarray, k: int, none: np.generic) -> np.ndarray:
+            return np.where(first < k, none, x[token[np.maximum(at - k, 0)]])
 
-        none = CLASSES
-        y = kind[token]
-        y1, y2, y3 = (before(y, k, none) for k in (1, 2, 3))
-        row_of = np.r_[_row(words, 1), _row(np.array([0x5BD1E995], U), 1)]  # the last: no token before
+        y1, y2, y3 = (before(kind, k, np.int64(CLASSES)) for k in (1, 2, 3))
         pair = _row(np.arange((CLASSES + 1) ** 2).astype(U), 2)
         skip = _row(np.arange(CLASSES + 1).astype(U), 3)
-        return [row_of[before(token, 1, len(words))], pair[y1 * (CLASSES + 1) + y2], skip[y3]]
+        return [_row(before(words, 1, U(0x5BD1E995)), 1), pair[y1 * (CLASSES + 1) + y2], skip[y3]]
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         s = self.bias + self.weights[rows[0]]
@@ -163,12 +161,12 @@ class _Block:
         self.docs = column("docs")
         self.token = _unpacked(batch["low"][i].as_py(), batch["high"][i].as_py())
         self.many = self.docs.field("n").to_numpy()
-        self.doc = np.repeat(np.arange(len(self.many)), self.many)
-        self.place = np.arange(len(self.token)) - np.repeat(np.cumsum(self.many) - self.many, self.many)
+        self.doc = np.repeat(np.arange(len(self.many), dtype=np.int32), self.many)
+        self.place = np.arange(len(self.token), dtype=np.int32) - np.repeat((np.cumsum(self.many) - self.many).astype(np.int32), self.many)
 
 
 def _unpacked(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u2").astype(np.int64) + (np.frombuffer(high, "<u2").astype(np.int64) << 16)
+    return np.frombuffer(low, "<u2").astype(np.int32) + (np.frombuffer(high, "<u2").astype(np.int32) << 16)
 
 
 def _gradients(model: Model, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,18 +180,19 @@ def _gradients(model: Model, step: int) -> Callable[[Iterator[pa.RecordBatch]],
                 mine = (b.docs.field("step").to_numpy() == step) & ~b.docs.field("held_out").to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(mine[b.doc])
                 kind = model.classes(b.words, b.begins)
-                y, rows = kind[b.token], model.features(b.words, kind, b.token, b.place)
-                for k in range(0, len(at), _CHUNK):
-                    some = at[k : k + _CHUNK]
-                    here = [r[some] for r in rows]
-                    p = model.probabilities(here)
-                    for r in here:
-                        order = np.argsort(r.astype(np.uint16), kind="stable")
-                        sorted_ = r[order]
-                        cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                        expected[sorted_[cut]] += np.add.reduceat(p[order], cut)
-                for r in rows:
-                    observed += np.bincount(r[at] * CLASSES + y[at], minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                for j in range(0, len(at), _PIECE):
+                    mine = at[j : j + _PIECE]
+                    y, rows = kind[b.token[mine]], model.features(b.words, kind, b.token, b.place, mine)
+                    for k in range(0, len(mine), _CHUNK):
+                        here = [r[k : k + _CHUNK] for r in rows]
+                        p = model.probabilities(here)
+                        for r in here:
+                            order = np.argsort(r.astype(np.uint16), kind="stable")
+                            sorted_ = r[order]
+                            cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                            expected[sorted_[cut]] += np.add.reduceat(p[order], cut)
+                    for r in rows:
+                        observed += np.bincount(r * CLASSES + y, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
         n = observed.sum(1)
         some = np.flatnonzero(n)
         share = (np.concatenate([observed[some], expected[some]], axis=1) / n[some, None]).astype("<f2")
@@ -224,12 +223,13 @@ def _class_scores(model: Model, row: pa.DataType) -> Callable[[Iterator[pa.Recor
             for i in range(batch.num_rows):
                 b = _Block(batch, i)
                 classes = model.classes(b.words, b.begins)
-                y, rows = classes[b.token], model.features(b.words, classes, b.token, b.place)
-                log = np.empty(len(y))
-                for k in range(0, len(y), _CHUNK):
-                    p = model.probabilities([r[k : k + _CHUNK] for r in rows])
-                    log[k : k + _CHUNK] = np.log10(np.maximum(p[np.arange(len(p)), y[k : k + _CHUNK]], 1e-30))
-                score = np.bincount(b.doc, log - mass[y], len(b.many))
+                log = np.empty(len(b.token))
+                for k in range(0, len(log), _CHUNK):
+                    at = np.arange(k, min(k + _CHUNK, len(log)))
+                    y = classes[b.token[at]]
+                    p = model.probabilities(model.features(b.words, classes, b.token, b.place, at))
+                    log[at] = np.log10(np.maximum(p[np.arange(len(p)), y], 1e-30)) - mass[y]
+                score = np.bincount(b.doc, log, len(b.many))
                 docs = pa.StructArray.from_arrays([b.docs.field("row"), b.docs.field("held_out"), b.docs.field("n"), pa.array(score)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([batch["block"][i : i + 1], pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), batch["low"][i : i + 1], batch["high"][i : i + 1]], names=["block", "docs", "low", "high"])
 
@@ -276,7 +276,7 @@ def _prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = rows.schema["row"].dataType.simpleString()
     arrow = rows.select("row").limit(0).toArrow().schema.field(0).type
     columns = f"block long, docs array<struct<row:{kind},held_out:boolean,step:int,n:long>>, words array<long>, begins array<int>, trained array<int>, low binary, high binary"
-    blocks = stored(rows.mapInArrow(_packed(arrow), columns), "blocks")
+    blocks = stored(rows.mapInArrow(_packed(arrow), columns), "blocks", _ROWS)
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "begins", "trained")).alias("word_at", "x")).select("block", "word_at", F.col("x.words").alias("word"), F.col("x.begins").alias("begin"), F.col("x.trained").alias("n"))
     by_word = Window.partitionBy("word")  # a row for each block at most
     known = each.withColumns({"c": F.sum("n").over(by_word), "first": F.min("block").over(by_word)}).filter("c > 0")

@@ -38,10 +38,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table that survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, read from a table that survives lost executors.
+
+    rows: of a row group, which a task holds whole when it writes and when it reads; for rows of megabytes, as Parquet looks at
+    the size of a group only after a hundred rows.
+    """
     path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", rows) if rows else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
