@@ -7,8 +7,8 @@ before (n-gram), and the class three before (skip). Within a class a seen word h
 together 1, so probabilities add up to one.
 
 Tasks pack a block of texts, once, into a row: its different words by frequency with their counts in the training documents, and
-its tokens as their numbers. Counts of all words come from one exchange of blocks' different words by word, so that no word has more rows
-than there are blocks. Weights are trained by distributed gradient updates: in each of STEPS steps the training documents of that
+its tokens as their numbers. These rows are written and read a few at a time. Counts of all words come from one exchange of
+blocks' different words by word, so that no word has more rows than there are blocks. Weights are trained by distributed gradient updates: in each of STEPS steps the training documents of that
 step are read, every task sums the observed and expected counts of features by class, sparsely by hashed row, a shuffle by row adds
 them up, and each weight moves by its gradient (observed less expected) over the geometric mean of both counts. Every training
 document is used in one step. The model (ROWS x CLASSES weights, 65,536 ranges) has the same size for every input and is sent to
